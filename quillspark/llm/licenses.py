@@ -144,6 +144,7 @@ def scan(text: str) -> tuple:
     labels: set[str] = set()
     starts: list[int] = []
     rest, at, word, tagged = 1.0, 0, 0, False
+    own: dict[int, str] = {}  # of the method's phrases that start at one place the longest
     for end, phrase in automaton().iter(joined):
         if phrase in BASE:
             begin = end - len(phrase) - 1
@@ -158,9 +159,11 @@ def scan(text: str) -> tuple:
         elif phrase == TAG:
             tagged = True
         else:
-            label, sure = OWN[phrase]
-            labels.add(label)
-            rest *= 1 - sure
+            begin = end - len(phrase) - 1
+            own[begin] = max(own.get(begin, ""), phrase, key=len)
+    for label, sure in map(OWN.__getitem__, own.values()):
+        labels.add(label)
+        rest *= 1 - sure
     if tagged:
         for expression in _TAG_LINE.findall(text):
             bare = expression.strip().removesuffix("*/").removesuffix("-->").strip()
