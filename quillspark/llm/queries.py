@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .licenses import scan_licenses
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .pieces import encoding_report
 from .pii import pii_report
@@ -26,6 +27,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -34,5 +39,5 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op9_license_scan, op10_piece_coding)}
+QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
 ORACLE_SQL: dict[str, str] = {}
