@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .hashing import BASE, mix, slice_hashes
 
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
@@ -45,28 +46,11 @@ CHUNK = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _draw = np.random.default_rng(20)
 _A = (_draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
-@lru_cache(2)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    while len(out) < n:
-        out = np.concatenate((out, out * np.uint64(pow(base, len(out), 1 << 64))))
-    return out
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection on 64 bits under which near values lie far apart."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of k words."""
     chunk: list[bytes] = []
@@ -86,9 +70,7 @@ def _sets(chunk: list[bytes], k: int) -> Iterator[np.ndarray]:
     word = ~_BLANK[data]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    n = 1 << (len(data) - 1).bit_length()
-    total = np.concatenate(([np.uint64(0)], np.cumsum((data + np.uint64(1)) * _powers(_BASE, n)[: len(data)], dtype=np.uint64)))
-    words = mix((total[ends] - total[starts]) * _powers(_BASE_INVERSE, n)[starts])
+    words = slice_hashes(data, starts, ends)
     limits = np.cumsum([1 + len(x) for x in chunk])
     first = np.concatenate(([0], np.searchsorted(starts, limits)))
     rolled = words[: max(0, len(words) - k + 1)]
@@ -136,7 +118,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             for s in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
                 one.append(s.sum(dtype=np.uint64))
-                two.append(mix(s ^ np.uint64(_BASE)).sum(dtype=np.uint64))
+                two.append(mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64))
                 sign.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(sign, pa.binary())],

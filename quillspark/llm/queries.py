@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .pieces import encoding_report
 from .pii import pii_report
 from .sharding import shard_documents
+from .suffix_dedup import dedup_report
 
 
 def op2_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op8_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -39,5 +44,5 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
+QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
 ORACLE_SQL: dict[str, str] = {}
