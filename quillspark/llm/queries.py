@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .packing import pack_documents
 from .pieces import encoding_report
 from .pii import pii_report
+from .quality import quality_report
 from .sharding import shard_documents
 from .suffix_dedup import dedup_report
 
@@ -28,6 +29,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
@@ -44,5 +49,5 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
+QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
 ORACLE_SQL: dict[str, str] = {}
