@@ -14,6 +14,7 @@ from .pii import pii_report
 from .quality import quality_report
 from .sharding import shard_documents
 from .suffix_dedup import dedup_report
+from .vector_join import similar_vectors
 
 
 def op2_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,5 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
+QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op6_epsilon_grid, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
 ORACLE_SQL: dict[str, str] = {}
