@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import search
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -17,6 +18,12 @@ from .suffix_dedup import dedup_report
 from .vector_join import similar_vectors
 
 
+def op1_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = search(docs.select(docs["doc_id"].alias("id"), docs["text"].cast("binary").alias("media")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op2_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -54,5 +61,5 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op6_epsilon_grid, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
+QUERIES = {f.__name__: f for f in (op1_chroma_search, op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op6_epsilon_grid, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
 ORACLE_SQL: dict[str, str] = {}
