@@ -10,9 +10,11 @@ confirmed on their full shingle sets, recomputed from the texts.
 
 Groups stay linear. Documents with equal sets are one class from the start. A
 band bucket first links each class to its least member only; components of
-those confirmed links then show which buckets still hold more than one, and
-only pairs across components of such a bucket are compared, since a pair inside
-a component cannot change the result.
+those confirmed links then show which buckets still hold more than one. There
+members meet a few random pivots of other components. Of the buckets that are
+mixed even then, small ones give all their pairs across components; large ones
+are compared block by block on full sets, and only edges that join components
+come back. A pair inside a component cannot change the result.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with
 probability 5e-8.
@@ -41,7 +43,10 @@ from .hashing import BASE, mix, slice_hashes
 
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
-BATCH, MISS = 16, 1e-7
+BATCH, MISS = 16, 1e-5
+#: Pivots that each member of a mixed bucket meets; members up to which all pairs of a bucket that
+#: is mixed even then are candidates of their own; documents of a block beyond.
+PIVOTS, CROWD, BLOCK = 6, 32, 256
 CHUNK = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -169,6 +174,88 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _across(placed: DataFrame, pivots: int | None) -> DataFrame:
+    """Pairs (a, b) across components of a bucket: of each member with several pivots (the least
+    members in as many random orders), or of all. placed: key, id, c."""
+    if pivots is None:
+        other = placed.select("key", F.col("id").alias("p"), F.col("c").alias("pc"))
+    else:
+        least = [F.min_by(F.struct(F.col("id").alias("p"), F.col("c").alias("pc")), F.xxhash64(F.lit(i), "id", "key")) for i in range(pivots)]
+        other = placed.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("all")).select("key", F.inline("all"))
+    pairs = placed.join(other, "key").where("c <> pc" if pivots else "c <> pc and id > p")
+    return pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of buckets (key, id) those with more than one component: key, id, c, and key, n, least."""
+    placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    sizes = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    sizes = materialize(sizes.where("lo <> hi").select("key", "n", "least"))
+    return materialize(placed.join(sizes.select("key"), "key")), sizes
+
+
+def _in_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across components among the members (key, id, c, least) of large mixed buckets.
+
+    Members whose buckets overlap are a family. It is dealt into blocks of about BLOCK
+    documents, a large component's apart from the rest, and pairs of blocks are compared
+    on full sets in one task each; two blocks of one component are not. A pair of blocks
+    returns edges that join its components, never all links."""
+    one = materialize(members.select("id", "c").distinct())
+    family = components(members.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "family")
+    one = materialize(one.join(family, "id").select("id", "c", "family"))
+    core = one.groupBy("family", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK)
+    loose = one.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    dealt = one.join(core, ["family", "c"], "left").join(loose, "family")
+    of = F.coalesce("n", "m")
+    part = F.pmod(F.xxhash64(F.when(F.col("n").isNull(), F.col("c")).otherwise(F.col("id"))), F.ceil(of / BLOCK))
+    dealt = materialize(dealt.select("id", "c", "family", F.when(F.col("n").isNotNull(), F.col("c")).alias("core"), part.alias("part")))
+    held = dealt.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    name = F.concat_ws("/", F.col("family").cast("string"), F.coalesce(F.col("core").cast("string"), F.lit("")), F.col("part").cast("string"))
+    blocks = materialize(held.groupBy("family", "core", name.alias("block")).agg(F.collect_list(F.struct("id", "c", "text")).alias("docs")))
+    names = blocks.select("family", "core", "block")
+    meet = names.join(names.select("family", F.col("core").alias("core2"), F.col("block").alias("block2")), "family")
+    meet = meet.where("block <= block2 and (core is null or core2 is null or core <> core2)").select("block", "block2")
+    pairs = meet.join(blocks.select("block", F.col("docs").alias("x")), "block").join(blocks.select(F.col("block").alias("block2"), F.col("docs").alias("y")), "block2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                out.extend(_block_edges(x.as_py(), y.as_py(), k, percent))
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], names=["a", "b"])
+
+    return pairs.select("x", "y").mapInArrow(run, "a long, b long")
+
+
+def _block_edges(x: list[dict], y: list[dict], k: int, percent: int) -> list[tuple[int, int]]:
+    sets_x, sets_y = (list(shingle_sets([d["text"] for d in z], k)) for z in (x, y))
+    every = np.unique(np.concatenate(sets_y))
+    flat = np.searchsorted(every, np.concatenate(sets_y))
+    size = np.array([len(s) for s in sets_y])
+    begin, c = np.cumsum(size) - size, np.array([d["c"] for d in y])
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.get(i, i) != i:
+            root[i] = root.get(root[i], root[i])
+            i = root[i]
+        return i
+
+    out = []
+    for d, s in zip(x, sets_x, strict=True):
+        mark = np.zeros(len(every), np.int64)
+        at = np.minimum(np.searchsorted(every, s), len(every) - 1)
+        mark[at[every[at] == s]] = 1
+        both = np.add.reduceat(mark[flat], begin)
+        for j in np.flatnonzero((100 * both >= percent * (size + len(s) - both)) & (c != d["c"])):
+            a, b = find(d["c"]), find(int(c[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((d["id"], y[j]["id"]))
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -186,18 +273,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     near = materialize(confirmed(likely(stars, sigs, percent / 100), docs, k, percent))
     found = materialize(components(near))
 
-    placed = crowded.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    members = placed.join(mixed, "key")
-    across = (
-        members.alias("x")
-        .join(members.alias("y"), F.expr("x.key = y.key and x.c <> y.c and x.id > y.id"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = confirmed(likely(across, sigs, percent / 100), docs, k, percent)
-    found = components(near.unionByName(more))
+    placed, _ = _mixed(crowded.select("key", "id"), found)
+    across = materialize(_across(placed, PIVOTS).join(stars, ["a", "b"], "left_anti"))
+    near = near.unionByName(materialize(confirmed(likely(across, sigs, percent / 100), docs, k, percent)))
+    found = materialize(components(near))
+
+    placed, sizes = _mixed(placed.select("key", "id"), found)
+    few = placed.join(sizes.where(F.col("n") <= CROWD).select("key"), "key", "left_semi")
+    tested = stars.unionByName(across)
+    across = materialize(_across(few, None).join(tested, ["a", "b"], "left_anti"))
+    near = near.unionByName(confirmed(likely(across, sigs, percent / 100), docs, k, percent))
+    many = placed.join(sizes.where(F.col("n") > CROWD).select("key", "least"), "key")
+    near = near.unionByName(_in_blocks(many, docs, k, percent))
+    found = components(near)
 
     named = classes.join(found, "id", "left").select(*sets, F.coalesce("component", "id").alias("component_id"))
     out = signs.select("doc_id", *sets).join(named, sets, "left")
