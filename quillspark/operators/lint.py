@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.sentences import sentences
 from ..functions.text import blocks, column_of, java, line_of, match_spans, over, word_count
 from ..rules.core import CORE
-from ..rules.model import MACHINE, SEVERITIES, Options, Rule, RuleSet
+from ..rules.model import MACHINE, Options, Rule, RuleSet
+from .suppression import allowed
 
 FINDING = "array<struct<start:int,end:int,rule_ix:int,part_ix:int,rule_id:string,severity:string,tier:string,intent:string,message:string,weight:int,replacement:string>>"
 # Shapes that two document metrics count.
@@ -64,6 +65,24 @@ def _cased(found: Column, fix: str) -> Column:
     return F.when(upper, F.lit(fix.upper())).when(capital, F.lit(fix[:1].upper() + fix[1:])).otherwise(F.lit(fix))
 
 
+def _blocks(rule: Rule) -> Column:
+    """The blocks that a rule looks at; scope `all` takes the document for one."""
+    if rule.scope == "all":
+        return F.array(F.struct(F.lit(0).alias("start"), F.length("__t").alias("end"), F.col("__t").alias("text")))
+    return F.col("blocks")
+
+
+def _sents(rule: Rule) -> Column:
+    return F.filter("sents", lambda s: ~s["is_citation"]) if rule.scope == "prose" else F.col("sents")
+
+
+def _masked(rule: Rule, findings: Column) -> Column:
+    """Of a prose rule only what lies inside one sentence that is no citation."""
+    if rule.scope != "prose":
+        return findings
+    return F.filter(findings, lambda f: F.exists(_sents(rule), lambda s: (s["start"] <= f["start"]) & (f["end"] <= s["end"])))
+
+
 def _matches(rule: Rule, ix: int, part: int, pattern: str, fix: str | None) -> Column:
     def one(b: Column) -> Column:
         spans = match_spans(b["text"], java(pattern))
@@ -78,7 +97,7 @@ def _matches(rule: Rule, ix: int, part: int, pattern: str, fix: str | None) -> C
         moved = F.transform(spans, lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end"), s["text"].alias("text")))
         return F.transform(moved, lambda s: _finding(rule, ix, part, s, replacement=_cased(s["text"], fix) if fix else None))
 
-    return F.when(F.col("__t").rlike(java(pattern)), over(F.col("blocks"), one)).otherwise(F.array().cast(FINDING))
+    return F.when(F.col("__t").rlike(java(pattern)), over(_blocks(rule), one)).otherwise(F.array().cast(FINDING))
 
 
 def _phrase(rule: Rule, ix: int) -> Column:
@@ -92,22 +111,22 @@ def _leading(rule: Rule, ix: int) -> Column:
         return _finding(rule, ix, 0, span)
 
     any_ = reduce(lambda a, b: f"{a}|{b}", (f"(?:{p})" for p, _ in rule.pairs()))
-    hit = F.filter("sents", lambda s: s["text"].rlike(java(f"(?i)^(?:{any_})")))
+    hit = F.filter(_sents(rule), lambda s: s["text"].rlike(java(f"(?i)^(?:{any_})")))
     return F.when(F.col("__t").rlike(java(f"(?i){any_}")), F.transform(hit, one)).otherwise(F.array().cast(FINDING))
 
 
-def density_count(pattern: str) -> Column:
+def density_count(pattern: str, within: Column | str = "blocks") -> Column:
     """Matches of a pattern over all blocks."""
-    return F.aggregate("blocks", F.lit(0), lambda acc, b: acc + F.regexp_count(b["text"], F.lit(java(pattern))))
+    return F.aggregate(within, F.lit(0), lambda acc, b: acc + F.regexp_count(b["text"], F.lit(java(pattern))))
 
 
 def _density(rule: Rule, ix: int) -> Column:
     pattern = rule.pairs()[0][0]
-    count, words = density_count(pattern), F.greatest(F.col("words"), F.lit(1))
+    count, words = density_count(pattern, _blocks(rule)), F.greatest(F.col("words"), F.lit(1))
     fires = count / words * 1000 > F.lit(float(rule.threshold))
     weight = F.greatest(F.lit(1), F.ceil(count - F.lit(float(rule.threshold)) * words / 1000))
     first = F.element_at(
-        over(F.col("blocks"), lambda b: F.transform(match_spans(b["text"], java(pattern), group=re.search(r"(?<!\\)\((?!\?)", pattern) is not None), lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end")))), 1
+        over(_blocks(rule), lambda b: F.transform(match_spans(b["text"], java(pattern), group=re.search(r"(?<!\\)\((?!\?)", pattern) is not None), lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end")))), 1
     )
     message = F.concat(F.lit(rule.says() + " ("), count.cast("string"), F.lit(" occurrences in "), F.col("words").cast("string"), F.lit(" words)"))
     return F.when(F.col("__t").rlike(java(pattern)), F.when(fires, F.array(_finding(rule, ix, 0, first, message, weight)))).otherwise(F.array().cast(FINDING))
@@ -141,7 +160,7 @@ def document_metric(metric: str) -> Column:
 
 def _statistical(rule: Rule, ix: int) -> Column:
     if rule.metric == "sentence-length":
-        return F.transform(F.filter("sents", lambda s: s["n_words"] > rule.max_words), lambda s: _finding(rule, ix, 0, s))
+        return F.transform(F.filter(_sents(rule), lambda s: s["n_words"] > rule.max_words), lambda s: _finding(rule, ix, 0, s))
     if rule.metric == "repetitive-openers":
         state = F.struct(F.lit(None).cast("string").alias("opener"), F.lit(-1).alias("block"), F.lit(0).alias("run"), F.array().cast(FINDING).alias("out"))
 
@@ -154,7 +173,7 @@ def _statistical(rule: Rule, ix: int) -> Column:
                 F.when(fires, F.array_append(acc["out"], _finding(rule, ix, 0, s))).otherwise(acc["out"]).alias("out"),
             )
 
-        return F.aggregate("sents", state, step, lambda acc: acc["out"])
+        return F.aggregate(_sents(rule), state, step, lambda acc: acc["out"])
     value, limit = document_metric(rule.metric), F.lit(float(rule.threshold))
     fires = value > limit if rule.direction == "above" else value < limit
     message = F.format_string(f"{rule.says()} (%.2f, threshold {rule.threshold:.2f})", value)
@@ -168,7 +187,7 @@ def find(docs: DataFrame, rules: RuleSet | None = None, options: Options = Optio
     """Adds `words`, `n_sentences` and `findings`, sorted by place, rule and pattern."""
     chosen = [r for r in (rules or core_rules()).chosen(options) if r.engine != "inferential"]
     df = parse(docs, text)
-    parts = [(r, _ENGINES[r.engine](r, ix).cast(FINDING)) for ix, r in enumerate(chosen)]
+    parts = [(r, _masked(r, _ENGINES[r.engine](r, ix).cast(FINDING))) for ix, r in enumerate(chosen)]
     # the many phrases share one pattern: most documents have none of them
     plain = [p for r in chosen if r.engine == "phrase" for p, _ in r.pairs() if p.startswith(PLAIN)]
     some = [e for r, e in parts if r.engine == "phrase" and all(p.startswith(PLAIN) for p, _ in r.pairs())]
@@ -178,6 +197,7 @@ def find(docs: DataFrame, rules: RuleSet | None = None, options: Options = Optio
         any_ = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in plain)
         rest.append(F.when(F.col("__t").rlike(java(any_)), F.concat(*some)).otherwise(empty))
     df = df.withColumn("findings", F.array_sort(F.concat(empty, *(F.coalesce(e, empty) for e in rest))))
+    df = df.withColumn("findings", allowed(F.col("findings"), F.col("__t"), rules or core_rules(), options.directive))
     return df.withColumn("n_sentences", F.size("sents"))
 
 
@@ -226,6 +246,3 @@ def fixed(docs: DataFrame, rules: RuleSet | None = None, options: Options = Opti
     done = F.aggregate(edits, zero, step, lambda acc: F.struct(F.concat(acc["out"], F.substr(F.col("__t"), acc["pos"] + 1)).alias("text"), acc["n"].alias("n")))
     return df.withColumn("__d", done).select("doc_id", F.col("__d.text").alias("fixed_text"), F.col("__d.n").alias("n_fixes"))
 
-
-def points_of(severity: str) -> int:
-    return SEVERITIES[severity]

@@ -25,7 +25,7 @@ def parse_rule(text: str, package: str, file: str = "rule") -> Rule:
     patterns = tuple(p if isinstance(p, str) else (p["pattern"], p["fix"]) if p.get("fix") else p["pattern"] for p in fields.get("patterns") or ())
     params = {k: int(v) for k, v in (fields.get("params") or {}).items()}
     context = fields.get("allow_context")
-    keep = {k: fields[k] for k in ("engine", "severity", "intent", "threshold", "metric", "direction", "granularity", "message", "match_case") if k in fields}
+    keep = {k: fields[k] for k in ("engine", "severity", "intent", "scope", "threshold", "metric", "direction", "granularity", "message", "match_case") if k in fields}
     if keep.get("engine") == "inferential":
         keep["rubric"] = fields.get("rubric") or body.strip()
     return Rule(fields.get("id", ""), patterns=patterns, package=package, allow_context=(context["pattern"], context["window"]) if context else None, **params, **keep)
@@ -51,7 +51,7 @@ def write_package(folder: str | Path, name: str, rules: RuleSet) -> None:
     (folder / "rules").mkdir(parents=True, exist_ok=True)
     (folder / "style.yaml").write_text(yaml.safe_dump({"name": name, "version": "1"}))
     for r in rules.rules:
-        fields = {"id": r.name, "engine": r.engine, "severity": r.severity, "intent": r.intent}
+        fields = {"id": r.name, "engine": r.engine, "severity": r.severity, "intent": r.intent, "scope": r.scope}
         fields |= {k: getattr(r, k) for k in ("threshold", "metric", "direction", "granularity", "message") if getattr(r, k) is not None}
         if r.patterns:
             fields["patterns"] = [p if f is None else {"pattern": p, "fix": f} for p, f in r.pairs()]

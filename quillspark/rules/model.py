@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 ENGINES = {"phrase": "static", "leading": "static", "density": "static", "statistical": "statistical", "inferential": "inferential"}
 SEVERITIES = {"error": 5, "warning": 3, "suggestion": 1}
 INTENTS = ("style", "detection")
+SCOPES = ("prose", "text", "all")
 SENTENCE_METRICS = ("sentence-length", "repetitive-openers")
 DOCUMENT_METRICS = ("sentence-length-variance", "cadence-autocorrelation", "repeated-opener-density", "triad-density", "paired-adjective-rate")
 MACHINE, MAYBE = "machine-applicable", "maybe-incorrect"
@@ -29,6 +30,7 @@ class Rule:
     engine: str
     severity: str = "warning"
     intent: str = "detection"
+    scope: str = "text"
     patterns: tuple = ()
     threshold: float | None = None
     metric: str | None = None
@@ -53,6 +55,7 @@ class Rule:
         need(severity in SEVERITIES, "severity", self.severity, sorted(SEVERITIES))
         object.__setattr__(self, "severity", severity)
         need(self.intent in INTENTS, "intent", self.intent, INTENTS)
+        need(self.scope in SCOPES, "scope", self.scope, SCOPES)
         if self.engine in ("phrase", "leading"):
             need(len(self.patterns) > 0, "patterns", self.patterns, "one or more")
         if self.engine == "density":
