@@ -1,7 +1,8 @@
 """Sentences of a block, as array expressions.
 
 Whether a text splits at a full stop depends on a few characters on either side
-only, so all candidates are judged independently and no state is carried.
+only, so one pattern with bounded look-behind says where, and a text is cut in
+one pass.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import match_spans, trimmed
+from .text import pieces, trimmed
 
 # Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = (
@@ -22,52 +23,30 @@ WORD = r"\p{IsAlphabetic}(?:[\p{IsAlphabetic}\p{N}]|['’-](?=[\p{IsAlphabetic}\
 NUMBER = r"[0-9](?:[0-9]|[.,](?=[0-9]))*+"
 REPORTER = r"(?U)\d+\s+[A-Z][A-Za-z.]{0,15}\s+\d+"
 SIGNAL = r"(?U)^(?:See also|But see|See|Cf\.|Accord|E\.g\.,)\s.*?\b[A-Z][\w.'’&-]*(?:\s+[\w.'’&-]+)*?\s+v\.\s+[A-Z]"
-LOOK = 64
-
-
-def _ends(block: Column) -> Column:
-    def splits(c: Column) -> Column:
-        rest = F.substr(block, c["end"] + 1, F.lit(LOOK))
-        last = rest.rlike(r"(?U)^\s*\z") & (c["end"] + LOOK >= F.length(block))
-        likely = rest.rlike(r"""(?U)^\s+[\p{IsUppercase}0-9"“‘'(]""")
-        size = F.least(F.lit(LOOK), c["start"])
-        left = F.substr(block, c["start"] - size + 1, size)
-        word = F.regexp_extract(left, r"[\p{IsAlphabetic}\p{N}.()'’-]*\z", 0)
-        before = F.substr(left, F.lit(1), F.length(left) - F.length(word))
-        first = before.rlike(r"(?U)\n[^\S\n]*\z") | (before.rlike(r"(?U)^[^\S\n]*\z") & (c["start"] <= LOOK))
-        blocked = (
-            F.concat(F.lower(word), F.lit(".")).isin(ABBREVIATIONS)
-            | word.rlike(r"^[A-Z]\z")
-            | word.rlike(r"(?i)^[0-9]+(?:d|st|nd|rd|th)\z")
-            | (word.rlike(r"^\(?(?:[0-9]{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,3})\)?\z") & first)
-        )
-        single = c["text"].rlike(r"^\.(?![.!?])")
-        return last | (likely & ~(single & (word != "") & blocked))
-
-    marks = match_spans(block, r"""[.!?]++["'”’)\]]*+""")
-    ends = F.transform(F.filter(marks, splits), lambda c: c["end"])
-    return F.array_distinct(F.array_append(ends, F.length(block)))
+_GLUED = r"(?<![\p{IsAlphabetic}\p{N}.()'’-])"
+_ABBREVIATION = "(?i:" + "|".join(sorted((a[:-1].replace(".", r"\.") for a in ABBREVIATIONS), key=lambda a: (-len(a), a))) + ")"
+_ORDINAL = r"[0-9]{1,18}(?i:d|st|nd|rd|th)"
+_ITEM = r"(?<=^|\n)[^\S\n]{0,32}\(?(?:[0-9]{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,3})\)?"
+#: A full stop alone that belongs to an abbreviation, an initial, an ordinal or a numbered item.
+_BLOCKED = rf"(?:(?<={_GLUED}(?:{_ABBREVIATION}|[A-Z]|{_ORDINAL}))|(?<={_ITEM}))\.(?![.!?])"
+BOUNDARY = rf"""(?U)(?<![.!?])(?!{_BLOCKED})[.!?]++["'”’)\]]*+(?=\s++[\p{{IsUppercase}}0-9"“‘'(])"""
 
 
 def sentences(block: Column) -> Column:
     """array of (start, end, text, n_words, opener, is_citation) of a block's text."""
-    ends = _ends(block)
-    begins = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+
+    def seen(z: Column) -> Column:
+        head = F.regexp_replace(trimmed(z["text"]), r"""(?U)^[\s"'“”‘’]+""", "")
+        return F.struct(z["start"].alias("start"), z["end"].alias("end"), z["text"].alias("text"), head.alias("head"), F.lower(F.regexp_extract(z["text"], WORD, 0)).alias("opener"))
 
     def piece(z: Column) -> Column:
-        raw = F.substr(block, z["b"] + 1, z["e"] - z["b"])
-        bare = F.regexp_replace(raw, r"(?U)^\s+", "")
-        text = F.regexp_replace(bare, r"(?U)\s+\z", "")
-        start = z["b"] + F.length(raw) - F.length(bare)
-        opener = F.lower(F.regexp_extract(text, WORD, 0))
-        head = F.regexp_replace(trimmed(text), r"""(?U)^[\s"'“”‘’]+""", "")
         return F.struct(
-            start.alias("start"),
-            (start + F.length(text)).alias("end"),
-            text.alias("text"),
-            F.regexp_count(text, F.lit(f"{WORD}|{NUMBER}")).alias("n_words"),
-            F.nullif(opener, F.lit("")).alias("opener"),
-            (head.rlike(REPORTER) | head.rlike(SIGNAL)).alias("is_citation"),
+            z["start"].alias("start"),
+            z["end"].alias("end"),
+            z["text"].alias("text"),
+            F.regexp_count(z["text"], F.lit(f"{WORD}|{NUMBER}")).alias("n_words"),
+            F.nullif(z["opener"], F.lit("")).alias("opener"),
+            (z["head"].rlike(REPORTER) | z["head"].rlike(SIGNAL)).alias("is_citation"),
         )
 
-    return F.filter(F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), piece), lambda s: s["start"] < s["end"])
+    return F.transform(F.transform(pieces(block, BOUNDARY), seen), piece)

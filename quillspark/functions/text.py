@@ -47,20 +47,29 @@ def match_spans(text: Column, pattern: str, group: bool = False) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
+#: Stands where a text is to be cut; a noncharacter, which no text for interchange holds.
+CUT = "\ufdd0"
+
+
+def pieces(text: Column, behind: str) -> Column:
+    """A text cut behind each match of a pattern: trimmed pieces as an array of (start, end, text), without blank ones.
+
+    Every step binds what it computes to a lambda variable, so nothing is evaluated twice."""
+    parts = F.split(F.regexp_replace(text, behind, "$0" + CUT), CUT, -1)
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
+
+    def place(acc: Column, p: Column) -> Column:
+        return F.struct((acc["pos"] + F.length(p)).alias("pos"), F.array_append(acc["out"], F.struct(acc["pos"].alias("start"), p.alias("raw"))).alias("out"))
+
+    placed = F.aggregate(parts, zero, place, lambda acc: acc["out"])
+    bare = F.transform(placed, lambda z: F.struct((z["start"] + F.length(z["raw"])).alias("stop"), F.regexp_replace(z["raw"], r"(?U)^\s+", "").alias("bare")))
+    whole = F.transform(bare, lambda z: F.struct((z["stop"] - F.length(z["bare"])).alias("start"), F.regexp_replace(z["bare"], r"(?U)\s+\z", "").alias("text")))
+    return F.transform(F.filter(whole, lambda z: z["text"] != ""), lambda z: F.struct(z["start"].alias("start"), (z["start"] + F.length(z["text"])).alias("end"), z["text"].alias("text")))
+
+
 def blocks(text: Column) -> Column:
     """Paragraphs of plain text: lines up to a blank one, as an array of (start, end, text)."""
-    gaps = match_spans(text, r"(?Ud)\n(?:[^\S\n]*\n)+")
-    begin = F.concat(F.array(F.lit(0)), F.transform(gaps, lambda g: g["end"]))
-    end = F.concat(F.transform(gaps, lambda g: g["start"]), F.array(F.length(text)))
-
-    def block(z: Column) -> Column:
-        raw = F.substr(text, z["b"] + 1, z["e"] - z["b"])
-        bare = F.regexp_replace(raw, r"(?U)^\s+", "")
-        whole = F.regexp_replace(bare, r"(?U)\s+\z", "")
-        start = z["b"] + F.length(raw) - F.length(bare)
-        return F.struct(start.alias("start"), (start + F.length(whole)).alias("end"), whole.alias("text"))
-
-    return F.filter(F.transform(F.arrays_zip(begin.alias("b"), end.alias("e")), block), lambda b: b["start"] < b["end"])
+    return pieces(text, r"(?Ud)\n(?:[^\S\n]*\n)+")
 
 
 def line_of(text: Column, offset: Column) -> Column:

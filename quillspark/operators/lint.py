@@ -183,11 +183,22 @@ def _statistical(rule: Rule, ix: int) -> Column:
 _ENGINES = {"phrase": _phrase, "leading": _leading, "density": _density, "statistical": _statistical}
 
 
+_built: dict[tuple, list[tuple[Rule, Column]]] = {}
+
+
+def _expressions(chosen: list[Rule]) -> list[tuple[Rule, Column]]:
+    """The findings of each rule as an expression; kept, since thousands of calls make them and no table is part of them."""
+    key = tuple(chosen)
+    if key not in _built:
+        _built[key] = [(r, _masked(r, _ENGINES[r.engine](r, ix).cast(FINDING))) for ix, r in enumerate(chosen)]
+    return _built[key]
+
+
 def find(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), text: str = "text") -> DataFrame:
     """Adds `words`, `n_sentences` and `findings`, sorted by place, rule and pattern."""
     chosen = [r for r in (rules or core_rules()).chosen(options) if r.engine != "inferential"]
     df = parse(docs, text)
-    parts = [(r, _masked(r, _ENGINES[r.engine](r, ix).cast(FINDING))) for ix, r in enumerate(chosen)]
+    parts = _expressions(chosen)
     # the many phrases share one pattern: most documents have none of them
     plain = [p for r in chosen if r.engine == "phrase" for p, _ in r.pairs() if p.startswith(PLAIN)]
     some = [e for r, e in parts if r.engine == "phrase" and all(p.startswith(PLAIN) for p, _ in r.pairs())]

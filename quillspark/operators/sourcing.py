@@ -57,12 +57,11 @@ def passages(text: Column, least: int = 100, most: int = 500) -> Column:
     return F.aggregate(sents, zero, step, lambda acc: F.when(acc["words"] >= least, F.array_append(acc["out"], acc["open"])).otherwise(acc["out"]))
 
 
-def token_runs(text: Column, n: int) -> Column:
-    """The distinct runs of n words (lower case, letters and digits)."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    k = F.size(words) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(k > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def token_runs(df: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, run): the distinct runs of n words (lower case, letters and digits) of each `text`."""
+    words = df.select(key, F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "").alias("ws"))
+    one = words.where(F.size("ws") >= n).select(key, "ws", F.posexplode("ws").alias("i", "w"))  # one row per word, cut by its place
+    return one.where(F.col("i") <= F.size("ws") - n).select(key, F.array_join(F.slice("ws", F.col("i") + 1, n), " ").alias("run")).distinct()
 
 
 def verbatim_overlap(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
@@ -70,6 +69,5 @@ def verbatim_overlap(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame
 
     Runs of the items are few; a document's runs are filtered by them in the join and
     counted per pair, so nothing but hits is shuffled on."""
-    left = items.select("item_id", F.explode(token_runs(F.col("text"), n)).alias("run"))
-    right = docs.select("doc_id", F.explode(token_runs(F.col("text"), n)).alias("run"))
+    left, right = token_runs(items, "item_id", n), token_runs(docs, "doc_id", n)
     return right.join(left, "run").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("runs"))

@@ -23,6 +23,8 @@ W = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
 
 def _re2(pattern: str) -> str:
     """A pattern for the other dialect, where words are those of all of Unicode only if spelled out."""
+    pattern = pattern.replace(r"(?:ed|en)\b", rf"(?:ed|en)(?:[^{W[1:-1]}]|$)")
+    pattern = pattern.replace(r"(?i)\b(?:is|", rf"(?i)(?:^|[^{W[1:-1]}])(?:is|")
     return pattern.replace(r"\b\w+(?:\s+\w+){0,3}", r"\w+(?:\s+\w+){0,3}").replace(r"\w", W)
 
 
@@ -271,8 +273,8 @@ ORACLE_SQL = {
         packed AS (SELECT doc_id, 1 AS i, 0::BIGINT AS chunk_ix, ps[1] AS chunk, ps FROM parts WHERE len(ps) > 0
         UNION ALL SELECT doc_id, i + 1, CASE WHEN strlen(chunk) + 2 + strlen(ps[i + 1]) <= 2000 THEN chunk_ix ELSE chunk_ix + 1 END, CASE WHEN strlen(chunk) + 2 + strlen(ps[i + 1]) <= 2000 THEN chunk || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END, ps FROM packed WHERE i < len(ps))
         SELECT doc_id, chunk_ix, max(strlen(chunk))::BIGINT AS n_bytes, md5(arg_max(chunk, i)) AS chunk_md5 FROM packed GROUP BY doc_id, chunk_ix""",
-    "recent_passages": f"""WITH {lint_sql()}, some AS (SELECT doc_id, substring(text, 1, 900) AS passage FROM lint WHERE text <> '' ORDER BY doc_id DESC LIMIT 28)
-        SELECT * FROM (SELECT doc_id, passage, sum(strlen(passage)) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM some) WHERE running <= 16000""",
+    "recent_passages": f"""WITH {lint_sql()}, newest AS (SELECT doc_id, substring(text, 1, 900) AS passage FROM lint WHERE text <> '' ORDER BY doc_id DESC LIMIT 28)
+        SELECT * FROM (SELECT doc_id, passage, sum(strlen(passage)) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM newest) WHERE running <= 16000""",
     "benchmark_overlap": f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
