@@ -28,7 +28,7 @@ def test_sentences(spark):
 def test_blocks(spark):
     text = "  one\ntwo \n \t\n\n three 🙂\n\n"
     (r,) = frame(spark, text).select(blocks(F.col("text")).alias("b")).collect()
-    assert [(b.start, b.end, b.text) for b in r.b] == [(2, 9, "one\ntwo"), (15, 22, "three 🙂")]
+    assert [(b.start, b.end, b.text) for b in r.b] == [(2, 9, "one\ntwo"), (16, 23, "three 🙂")]
 
 
 def test_scores(spark):
