@@ -79,13 +79,14 @@ def regressions(current: DataFrame, baseline: DataFrame, tolerance: float = TOLE
 
 
 def quantiles(samples: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """Nearest-rank quantiles (index round((n - 1) * p)) of all values: share, value.
+    """Nearest-rank quantiles (index round((n - 1) * p)) of all values: share, value. A column n counts equal rows.
 
     Ranks come from counts per distinct value; a running sum within ranges of values and
     the totals of the ranges before keep any task from sorting all of them.
     """
     spark = samples.sparkSession
-    counts = samples.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(F.col("n")) if "n" in samples.columns else F.count(F.lit(1))
+    counts = samples.where(F.col(value).isNotNull()).groupBy(value).agg(n.alias("n"))
     parts = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     sizes = parts.groupBy("part").agg(F.sum("n").alias("size"))
@@ -100,8 +101,8 @@ def quantiles(samples: DataFrame, value: str, shares: list[float]) -> DataFrame:
 def threshold_grid(samples: DataFrame, metric: str, shares: list[float], points: int = 3, top: int = 6) -> DataFrame:
     """The `top` thresholds of a metric, above or below, by the AUC of the score with `points` more where they fire.
     samples: label, penalty, words and the metric."""
-    cells = samples.groupBy("label", "penalty", "words", metric).agg(F.count(F.lit(1)).alias("n"))
-    grid = quantiles(samples, metric, shares).select("value").distinct().withColumn("direction", F.explode(F.array(F.lit("above"), F.lit("below"))))
+    cells = samples.groupBy("label", "penalty", "words", metric).agg(F.count(F.lit(1)).alias("n")).persist()  # read four times below
+    grid = quantiles(cells, metric, shares).select("value").distinct().withColumn("direction", F.explode(F.array(F.lit("above"), F.lit("below"))))
     fires = F.coalesce(F.when(F.col("direction") == "above", F.col(metric) > F.col("value")).otherwise(F.col(metric) < F.col("value")), F.lit(False))
     tried = cells.crossJoin(F.broadcast(grid))  # at most two rows for each of a fixed list of shares
     tried = tried.withColumn("score", score_of(F.col("penalty") + F.when(fires, points).otherwise(0), F.col("words")))

@@ -88,7 +88,11 @@ def _place(text: Column, quote: Column) -> Column:
     n = F.length(quote)
     windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - n)), lambda i: F.struct((-(1 - F.levenshtein(F.substr(text, i + 1, n), quote) / n)).alias("far"), i.alias("at")))
     best = F.array_min(windows)
-    fuzzy = F.when((n <= FUZZY_CHARS) & (n <= F.length(text)) & (-best["far"] >= FUZZY_LEAST), best["at"])
+    # of k + 1 parts of the quote, k edits leave one as it is: without any of them in the text no stretch comes near
+    k = F.floor(n * (1 - FUZZY_LEAST) + 1e-9).cast("int")
+    size = F.greatest(F.lit(1), F.floor(n / (k + 1))).cast("int")
+    near = F.exists(F.sequence(F.lit(0), k), lambda i: F.contains(text, F.substr(quote, i * size + 1, size)))
+    fuzzy = F.when((n <= FUZZY_CHARS) & (n <= F.length(text)) & near & (-best["far"] >= FUZZY_LEAST), best["at"])
     return F.when(exact >= 0, exact).otherwise(fuzzy)
 
 

@@ -101,7 +101,7 @@ def score_by_source(spark: SparkSession, sf: str) -> DataFrame:
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     """Scored documents with a label: quality stands for authorship, so only the arithmetic means anything."""
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, "human").otherwise("ai").alias("label"))
-    return simple_scores(spark, sf).join(labels, "doc_id")
+    return simple_scores(spark, sf).join(labels, "doc_id").persist()  # measures read it several times
 
 
 def splits(spark: SparkSession, sf: str) -> DataFrame:
