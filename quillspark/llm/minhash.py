@@ -180,7 +180,7 @@ def _across(placed: DataFrame, pivots: int | None) -> DataFrame:
     if pivots is None:
         other = placed.select("key", F.col("id").alias("p"), F.col("c").alias("pc"))
     else:
-        least = [F.min_by(F.struct(F.col("id").alias("p"), F.col("c").alias("pc")), F.xxhash64(F.lit(i), "id", "key")) for i in range(pivots)]
+        least = [F.min_by(F.struct(F.col("id").alias("p"), F.col("c").alias("pc")), F.xxhash64(F.lit(i), "id")) for i in range(pivots)]
         other = placed.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("all")).select("key", F.inline("all"))
     pairs = placed.join(other, "key").where("c <> pc" if pivots else "c <> pc and id > p")
     return pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
