@@ -1,18 +1,21 @@
 """Operator 10: encoding and decoding with a SentencePiece vocabulary.
 
+The ids are those of the model, a BPE model: of neighbouring pieces whose join
+is a piece, those of the highest score merge first, of equal scores the leftmost.
 An Aho-Corasick automaton over the pieces runs once over the text; at each
-position its output links give every piece that ends there, and each relaxes
-the best score of its end (Viterbi). A character that no piece covers alone
-falls back to its UTF-8 byte pieces at a price below every piece. Of equal
-scores the longer last piece wins.
+position its output links give every piece that ends there. The encoding of a
+prefix has one last piece: the only one that the merges would leave next to the
+last piece of what stands before it. Neighbours that merges leave alone stay
+alone in any context, so these junctions decide the whole encoding (exact BPE in
+one pass). A character that is no piece is written as its UTF-8 byte pieces.
 
 No piece of such a vocabulary reaches from a word into the next blank, so the
 path splits into independent stretches (a run of blanks with the word behind
-it); a bounded memo in each Python worker keeps the paths of stretches it has
-met. One pass over each scan partition, no shuffle, one text at a time.
+it); bounded memos in each Python worker keep the paths of stretches and the
+junctions it has met. One pass over each scan partition, no shuffle, one text at a time.
 
 Decoding inverts encoding for every text, also one that holds the blank mark
-U+2581 itself, which is written in byte pieces.
+U+2581 itself, which is written in byte pieces (the model takes it for a blank).
 
 Defined results: a null text counts as empty and has no pieces; repeated rows
 give repeated results; an empty table gives an empty result; further columns of
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 BLANK = "▁"
 #: Stands for a blank mark in the text itself; no valid text has a lone surrogate.
 MARK = "\udfff"
-MEMO, MEMO_LENGTH = 400_000, 48
+MEMO, MEMO_LENGTH, JUNCTIONS = 400_000, 48, 200_000
 
 
 class Vocabulary:
@@ -46,55 +49,70 @@ class Vocabulary:
         self.bytes: list[bytes] = [b""] * len(pieces)
         self.byte_id = [-1] * 256
         self.automaton = ahocorasick.Automaton()
+        self.texts = [""] * len(pieces)
+        self.scores: dict[str, float] = {}
         alphabet: set[str] = set()
-        least, crossing = 0.0, False
+        crossing = False
         for i, (piece, score, kind) in enumerate(pieces):
             if kind == "byte":
                 b = int(piece[3:5], 16)
                 self.byte_id[b], self.bytes[i] = i, bytes([b])
             elif kind == "normal" and piece:
                 self.bytes[i] = piece.replace(BLANK, " ").encode("utf-8")
-                self.automaton.add_word(piece, (len(piece), score, i))
+                self.automaton.add_word(piece, (len(piece), i))
+                self.texts[i], self.scores[piece] = piece, score
                 alphabet.update(piece)
-                least = min(least, score)
                 crossing |= BLANK in piece.lstrip(BLANK)
-        self.automaton.make_automaton()
         if min(self.byte_id) < 0:
             raise ValueError("the vocabulary lacks byte pieces")
-        self.price = least - 10.0
+        for c in sorted(alphabet - self.scores.keys()):  # no piece alone, but merges start from it
+            self.automaton.add_word(c, (1, len(self.texts)))
+            self.texts.append(c)
+        self.automaton.make_automaton()
         free = "".join(c for c in "\n\r\t" if c not in alphabet)
         self.stretches = None if crossing else re.compile(f"[{free}]|{BLANK}*[^{BLANK}{free}]+|{BLANK}+" if free else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.memo: dict[str, bytes] = {}
+        self.junctions: dict[tuple[int, int], bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces that the merges make of a short text, one merge at a time."""
+        parts, scores = list(text), self.scores
+        while len(parts) > 1:
+            best, at = None, -1
+            for j in range(len(parts) - 1):
+                score = scores.get(parts[j] + parts[j + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, j
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def stands(self, before: int, i: int) -> bool:
+        """Whether the merges leave piece i alone behind piece `before` (-1: behind nothing that merges)."""
+        known = self.junctions.get((before, i))
+        if known is None:
+            piece = self.texts[i]
+            left = [self.texts[before]] if before >= 0 else []
+            known = self.merged("".join(left) + piece) == [*left, piece]
+            if len(self.junctions) >= JUNCTIONS:
+                self.junctions.clear()
+            self.junctions[before, i] = known
+        return known
 
     def path(self, stretch: str) -> list[int]:
-        """The ids of the best segmentation of a stretch (blanks already marked)."""
-        n, price = len(stretch), self.price
-        best = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # start and id (-1: bytes) of the last piece
-        at = 0
-        covered = False
-
-        def close(end: int) -> None:  # position `end` has all its pieces; bytes if none covers its last character alone
-            if not covered and (x := best[end - 1] + price) > best[end]:
-                best[end], back[end] = x, (end - 1, -1)
-
-        for last, (length, score, i) in self.automaton.iter(stretch):
-            while at < last:
-                close(at + 1)
-                at, covered = at + 1, False
+        """The ids of a stretch (blanks already marked)."""
+        n = len(stretch)
+        back: list[tuple[int, int]] = [(0, -1)] + [(i, -1) for i in range(n)]  # start and id (-1: bytes) of the last piece of each prefix
+        for last, (length, i) in self.automaton.iter(stretch):
             start = last + 1 - length
-            x = best[start] + score
-            if x > best[last + 1] or x == best[last + 1] and start < back[last + 1][0]:
-                best[last + 1], back[last + 1] = x, (start, i)
-            covered |= length == 1
-        while at < n:
-            close(at + 1)
-            at, covered = at + 1, False
+            if back[last + 1][1] < 0 and self.stands(back[start][1], i):
+                back[last + 1] = (start, i)
         out: list[int] = []
         end = n
         while end:
             start, i = back[end]
-            if i >= 0:
+            if 0 <= i < len(self.bytes):
                 out.append(i)
             else:
                 c = BLANK if stretch[start] == MARK else " " if stretch[start] == BLANK else stretch[start]

@@ -235,6 +235,19 @@ def test_pieces_round_trip(docs, rows):
         assert r.text_crc32 == r.decoded_crc32 == zlib.crc32((text[r.doc_id] or "").encode())
 
 
+def test_pieces_are_those_of_the_model(rows):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, v, draw = sentencepiece.SentencePieceProcessor(model_file=path), pieces.vocabulary(path), random.Random(9)
+    learned = [p for p in v.texts if p]
+    texts = [t or "" for _, t in rows] + ["the house", "The  national   parks\tof\n\nCanada  ", "naïveté 12345 🙂🙂 中文字字", "aaaaaaaabbbbabab"]
+    texts += ["".join(draw.choices(learned, k=draw.randint(1, 40))).replace(pieces.BLANK, " ") for _ in range(500)]
+    texts += ["".join(draw.choices("  \t\nabehinorst", k=draw.randint(1, 120))) for _ in range(500)] + ["".join(draw.choices("ehinst", k=3000)), " " * 77 + "x" + " " * 33]
+    for text in texts:
+        assert v.encode(text).tolist() == (sp.encode(text) if text else []), text[:200]
+
+
 def test_quality_held_out(spark):
     """Documents whose class shows in both views; half of the labels are held back."""
     draw = random.Random(1)
