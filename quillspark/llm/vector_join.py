@@ -14,7 +14,8 @@ returns a number of links per vector and edges that span its groups, never the
 pairs themselves, so dense groups stay linear in what is shuffled.
 
 The rotation is fitted on at most `SAMPLE` vectors, those with the least hash of
-their id; any rotation gives the same links, a good one skips more.
+their id; any rotation gives the same links, a good one skips more. A length that
+is not in the sample keeps its first axes.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and rows without an id, have no links and are their own component;
@@ -58,6 +59,12 @@ def _rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def _turn(turns: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """The leading directions for a length; its first axes where the sample held none of it."""
+    turn = turns.get(width)
+    return np.eye(width, min(width, LEADING)) if turn is None else turn
+
+
 def _far(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], eps: float) -> bool:
     gap = np.maximum(0, np.maximum(a[0] - b[1], b[0] - a[1]))
     return bool((gap * gap).sum() > eps * eps)
@@ -129,7 +136,7 @@ def _blocks(turns: dict[int, np.ndarray], eps: float):
 
     def made(width: int, rows: list[tuple]) -> pa.RecordBatch:
         blob = np.array([r[2] for r in rows], "<f8").tobytes()
-        lead = _unit(blob, width) @ turns[width]
+        lead = _unit(blob, width) @ _turn(turns, width)
         cells = [[a, b] for a, b in sorted({(r[3][0], r[3][1]) for r in rows})]
         row = ([width], [np.array([r[0] for r in rows], "<i8").tobytes()], [np.array([r[1] for r in rows], "<i8").tobytes()], [blob], [lead.min(axis=0)], [lead.max(axis=0)], [cells])
         types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())))
@@ -169,7 +176,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, block: int = BLOCK)
             cells = []
             for v in batch.column(2).to_pylist():
                 x = np.array(v)
-                c = np.floor((x / math.sqrt((x * x).sum())) @ turns[len(v)] / eps).astype(int).tolist()
+                c = np.floor((x / math.sqrt((x * x).sum())) @ _turn(turns, len(v)) / eps).astype(int).tolist()
                 cells.append((c + [0, 0])[: max(2, len(c))])
             yield pa.RecordBatch.from_arrays([pa.array([len(v) for v in batch.column(2)], pa.int32()), *batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["w", "id", "n", "v", "cells"])
 
@@ -202,7 +209,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, block: int = BLOCK)
                 b, b2, w, ids, times, vectors_, ids2, times2, vectors2 = (c[i].as_py() for c in batch.columns)
                 x = _unit(vectors_, w)
                 y = x if b == b2 else _unit(vectors2, w)
-                p = _Pair(x, y, turns[w], np.frombuffer(times, "<i8"), np.frombuffer(times2, "<i8"), least)
+                p = _Pair(x, y, _turn(turns, w), np.frombuffer(times, "<i8"), np.frombuffer(times2, "<i8"), least)
                 p.join(0, len(x), 0, len(y))
                 of = np.frombuffer(ids, "<i8"), np.frombuffer(ids2, "<i8")
                 some = [np.flatnonzero(n) for n in p.links]

@@ -205,6 +205,21 @@ def test_vectors(spark):
     assert got == {i: (n[i], want[i], want[i] == i) for i in want}
 
 
+def test_vectors_of_lengths_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "SAMPLE", 1)
+    draw = np.random.default_rng(8)
+    rows = []
+    for width in (1, 3, 24):
+        for _ in range(4):
+            v = draw.normal(size=width)
+            rows += [(len(rows) + k, [float(x) for x in v + draw.normal(size=width) * 0.01 * k]) for k in range(3)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9]
+    want, n = smallest(links, list(unit)), Counter(x for pair in links for x in pair)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (n[i], want[i], want[i] == i) for i in want}
+
+
 def test_licenses(docs, rows):
     labels = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
     text = dict(rows)
