@@ -289,6 +289,27 @@ def test_fingerprints_find_their_copies(docs, rows):
     assert {r.id for r in found} == {i for i, _ in rows}
 
 
+def test_fingerprints_of_short_recordings(spark):
+    """Short near copies are found, different short texts stay apart, equal ones share a class, also where their numbers are equal."""
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 8))) for _ in range(400)]
+    rows, near = [], []
+    for n in range(12):
+        text = " ".join(draw.choices(words, k=200))[: 80 + 90 * n]
+        i = 100 * (n + 1)
+        rows += [(i, text), (i + 1, text + " one more"), (i + 2, text), (i + 3, " ".join(draw.choices(words, k=200))[: len(text)])]
+        near.append((i, i + 1))
+    flat = "same numbers " * 4
+    rows += [(5001, flat + "\x01"), (5002, flat + "\x02")]
+    found = fingerprints.search(spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text as binary) media")).collect()
+    of = {r.id: r.class_id for r in found}
+    text = dict(rows)
+    assert all((of[a] == of[b]) == (text[a] == text[b]) for a in of for b in of)
+    pairs = {(r.query_id, r.id) for r in found if r.query_id is not None}
+    assert set(near) <= pairs
+    assert all(i == q + 1 for q, i in pairs)
+
+
 @pytest.mark.parametrize(
     "make",
     [
