@@ -26,7 +26,7 @@ def corpus():
     texts += [
         "write to ann.lee+x@mail.example.org or b@c.d, bad@x, a@b.c@d.e and a..b@c-d.ef.", "host 10.0.0.1 and 300.1.1.1 and 1.2.3.4.5.6.7.8 and 0010.1.1.1 256.1.1.1",
         "card 4111 1111 1111 1111 and 4111-1111-1111-1112 and 4111111111111111 0 5500 0000 0000 0004", "call +49 (30) 1234-5678 or +1 2 or +12345678901234567890 or +44 20 7946 0958.",
-        "iban DE89 3704 0044 0532 0130 00 and ssn 123-45-6789 for the taxpayer", "🙂 é x@y.zz 🙂 1.1.1.1",
+        "iban DE89 3704 0044 0532 0130 00 and ssn 123-45-6789 for the taxpayer", "🙂 é x@y.zz 🙂 1.1.1.1", "end <|endoftext|> here<|endoftext|>",
         "Under the MIT License. Apache license; general  public-license; not mitlicense nor MIT License", "SPDX-License-Identifier: MIT OR (Apache-2.0 AND BSD-3-Clause)\nGNU General Public License general public license",
         "SPDX-License-Identifier: ((GPL-2.0 WITH Classpath-exception-2.0\nlicensed under the Apache License Version 2.0 MIT LICENSE",
     ]
