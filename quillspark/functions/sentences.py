@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import pieces, trimmed
+from .text import pieces
 
 # Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = (
@@ -22,31 +22,28 @@ ABBREVIATIONS = (
 WORD = r"\p{IsAlphabetic}(?:[\p{IsAlphabetic}\p{N}]|['’-](?=[\p{IsAlphabetic}\p{N}]))*+"
 NUMBER = r"[0-9](?:[0-9]|[.,](?=[0-9]))*+"
 REPORTER = r"(?U)\d+\s+[A-Z][A-Za-z.]{0,15}\s+\d+"
-SIGNAL = r"(?U)^(?:See also|But see|See|Cf\.|Accord|E\.g\.,)\s.*?\b[A-Z][\w.'’&-]*(?:\s+[\w.'’&-]+)*?\s+v\.\s+[A-Z]"
+CASE = r"[A-Z][\w.'’-]*\s+vs?\.\s+[A-Z]"
+SIGNAL = rf"""(?Us)^[\s"“‘']*(?:See also|See|But see|Cf\.|Accord|E\.g\.,)(?=\s).*?{CASE}"""
 _GLUED = r"(?<![\p{IsAlphabetic}\p{N}.()'’-])"
 _ABBREVIATION = "(?i:" + "|".join(sorted((a[:-1].replace(".", r"\.") for a in ABBREVIATIONS), key=lambda a: (-len(a), a))) + ")"
 _ORDINAL = r"[0-9]{1,18}(?i:d|st|nd|rd|th)"
 _ITEM = r"(?<=^|\n)[^\S\n]{0,32}\(?(?:[0-9]{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,3})\)?"
 #: A full stop alone that belongs to an abbreviation, an initial, an ordinal or a numbered item.
 _BLOCKED = rf"(?:(?<={_GLUED}(?:{_ABBREVIATION}|[A-Z]|{_ORDINAL}))|(?<={_ITEM}))\.(?![.!?])"
-BOUNDARY = rf"""(?U)(?<![.!?])(?!{_BLOCKED})[.!?]++["'”’)\]]*+(?=\s++[\p{{IsUppercase}}0-9"“‘'(])"""
+BOUNDARY = rf"""(?U)(?=[.!?])(?<![.!?])(?!{_BLOCKED})[.!?]++["'”’)\]]*+(?=\s++[\p{{IsUppercase}}0-9"“‘'(])"""
 
 
 def sentences(block: Column) -> Column:
     """array of (start, end, text, n_words, opener, is_citation) of a block's text."""
 
-    def seen(z: Column) -> Column:
-        head = F.regexp_replace(trimmed(z["text"]), r"""(?U)^[\s"'“”‘’]+""", "")
-        return F.struct(z["start"].alias("start"), z["end"].alias("end"), z["text"].alias("text"), head.alias("head"), F.lower(F.regexp_extract(z["text"], WORD, 0)).alias("opener"))
-
     def piece(z: Column) -> Column:
         return F.struct(
             z["start"].alias("start"),
             z["end"].alias("end"),
             z["text"].alias("text"),
             F.regexp_count(z["text"], F.lit(f"{WORD}|{NUMBER}")).alias("n_words"),
-            F.nullif(z["opener"], F.lit("")).alias("opener"),
-            (z["head"].rlike(REPORTER) | z["head"].rlike(SIGNAL)).alias("is_citation"),
+            F.nullif(F.lower(F.regexp_extract(z["text"], WORD, 0)), F.lit("")).alias("opener"),
+            (z["text"].rlike(SIGNAL) | z["text"].rlike(REPORTER)).alias("is_citation"),
         )
 
-    return F.transform(F.transform(pieces(block, BOUNDARY), seen), piece)
+    return F.transform(pieces(block, BOUNDARY), piece)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
@@ -25,26 +25,59 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\b[\w'’-]+\b"))
 
 
-def match_spans(text: Column, pattern: str, group: bool = False) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions may use often, also inside lambdas: the generator keeps the
+    optimizer from putting their definitions in the place of each use."""
+    one = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(one)).alias("__once")).select(*df.columns, *(F.col(f"__once.{n}").alias(n) for n in columns))
+
+
+#: Items that a running sum takes at a time: sums append to an array, whose copies grow with the square of this only.
+RUNNING = 256
+
+
+def offsets(lengths: Column) -> Column:
+    """Where each item begins, of items with these lengths that stand in a row."""
+    zero = F.array(F.lit(0))
+
+    def grown(acc: Column, x: Column) -> Column:
+        return F.array_append(acc, F.element_at(acc, -1) + x)
+
+    def whole(sums: Column) -> Column:
+        bases = F.aggregate(sums, zero, lambda acc, p: grown(acc, F.element_at(p, -1)))
+        return let(bases, lambda z: F.flatten(F.transform(sums, lambda p, i: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: x + F.get(z, i)))))
+
+    def parts(all_: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(RUNNING))
+        return F.transform(first, lambda i: F.aggregate(F.slice(all_, i, F.lit(RUNNING)), zero, grown))
+
+    return let(lengths, lambda all_: let(parts(all_), whole))
+
+
+def extract(text: Column, pattern: Column, group: int = 0) -> Column:
+    """The first match of a pattern that is a column, or a group of it."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(group))
+
+
+def match_spans(text: Column, pattern: Column | str) -> Column:
     """All non-empty matches, leftmost and not overlapping: array of (start, end, text).
 
-    The text split at the pattern gives what stands between the matches. With
-    `group` the span is that of the first group, looked up in the match, where it took part.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if group else found
-    both = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("s"), inner.alias("g"))
+    The text split at the pattern gives what stands between the matches."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    both = let(found, lambda m: F.arrays_zip(m.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("s")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start, whole = acc["pos"] + F.length(x["s"]), F.length(x["m"])
-        inside = F.when(F.length(x["g"]) > 0, F.position(x["g"], x["m"]) - 1).otherwise(0) if group else F.lit(0)
-        shown = F.when(F.length(x["g"]) > 0, x["g"]).otherwise(x["m"]) if group else x["m"]
-        span = F.struct((start + inside).alias("start"), (start + inside + F.length(shown)).alias("end"), shown.alias("text"))
-        return F.struct((start + whole).alias("pos"), F.when(whole > 0, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(pairs: Column) -> Column:
+        at = offsets(F.transform(pairs, lambda z: F.length(z["s"]) + F.length(z["m"])))
+        return F.zip_with(pairs, at, lambda z, o: F.struct((o + F.length(z["s"])).alias("start"), (o + F.length(z["s"]) + F.length(z["m"])).alias("end"), z["m"].alias("text")))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("spans"))
-    spans = F.aggregate(both, zero, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    spans = F.filter(let(both, placed), lambda z: z["end"] > z["start"])
+    return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 #: Stands where a text is to be cut; a noncharacter, which no text for interchange holds.
@@ -52,18 +85,14 @@ CUT = "\ufdd0"
 
 
 def pieces(text: Column, behind: str) -> Column:
-    """A text cut behind each match of a pattern: trimmed pieces as an array of (start, end, text), without blank ones.
-
-    Every step binds what it computes to a lambda variable, so nothing is evaluated twice."""
-    parts = F.split(F.regexp_replace(text, behind, "$0" + CUT), CUT, -1)
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
+    """A text cut behind each match of a pattern: trimmed pieces as an array of (start, end, text), without blank ones."""
 
-    def place(acc: Column, p: Column) -> Column:
-        return F.struct((acc["pos"] + F.length(p)).alias("pos"), F.array_append(acc["out"], F.struct(acc["pos"].alias("start"), p.alias("raw"))).alias("out"))
+    def placed(parts: Column) -> Column:
+        at = offsets(F.transform(parts, lambda p: F.length(p)))
+        bare = F.zip_with(parts, at, lambda p, o: F.struct((o + F.length(p)).alias("stop"), F.regexp_replace(p, r"(?U)^\s+", "").alias("bare")))
+        return F.transform(bare, lambda z: F.struct((z["stop"] - F.length(z["bare"])).alias("start"), F.regexp_replace(z["bare"], r"(?U)\s+\z", "").alias("text")))
 
-    placed = F.aggregate(parts, zero, place, lambda acc: acc["out"])
-    bare = F.transform(placed, lambda z: F.struct((z["start"] + F.length(z["raw"])).alias("stop"), F.regexp_replace(z["raw"], r"(?U)^\s+", "").alias("bare")))
-    whole = F.transform(bare, lambda z: F.struct((z["stop"] - F.length(z["bare"])).alias("start"), F.regexp_replace(z["bare"], r"(?U)\s+\z", "").alias("text")))
+    whole = let(F.split(F.regexp_replace(text, behind, "$0" + CUT), CUT, -1), placed)
     return F.transform(F.filter(whole, lambda z: z["text"] != ""), lambda z: F.struct(z["start"].alias("start"), (z["start"] + F.length(z["text"])).alias("end"), z["text"].alias("text")))
 
 

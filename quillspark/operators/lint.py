@@ -1,23 +1,25 @@
 """Rules over documents: findings, their positions, and a score.
 
 Everything about a document stays in its row: blocks, sentences and findings
-are arrays, and one projection computes them all without a shuffle. Documents in
-which none of the many phrases occurs are recognised by one combined pattern and
-skip the rest.
+are arrays, and a chain of projections computes them without a shuffle. What
+later expressions use more than once is computed once, behind a generator.
+
+Patterns are data, not expressions: one literal array holds them, a document's
+lower case tells by plain searches which of them may match at all, and the one
+expression that matches a pattern runs over those. A plan's size does not depend
+on the number of rules.
 """
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentences import sentences
-from ..functions.text import blocks, column_of, java, line_of, match_spans, over, word_count
+from ..functions.text import blocks, column_of, extract, java, let, line_of, match_spans, once, over, word_count
 from ..rules.core import CORE
 from ..rules.model import MACHINE, Options, Rule, RuleSet
+from ..rules.parts import as_literal, candidates, folded, parts
 from .suppression import allowed
 
 FINDING = "array<struct<start:int,end:int,rule_ix:int,part_ix:int,rule_id:string,severity:string,tier:string,intent:string,message:string,weight:int,replacement:string>>"
@@ -25,7 +27,6 @@ FINDING = "array<struct<start:int,end:int,rule_ix:int,part_ix:int,rule_id:string
 TRIAD = r"(?i)\b\w+(?:\s+\w+){0,3},\s+\w+(?:\s+\w+){0,3},\s+and\s+\w+"
 PAIR = r"\b[a-z][a-z'’-]{2,}\s+and\s+[a-z][a-z'’-]{2,}\b"
 LEAST_SENTENCES, LEAST_WORDS = 8, 50
-PLAIN = r"(?i)\b"
 
 
 def core_rules() -> RuleSet:
@@ -34,8 +35,7 @@ def core_rules() -> RuleSet:
 
 def parse(docs: DataFrame, text: str = "text", sentences_too: bool = True) -> DataFrame:
     """Adds `words`, `blocks` and `sents` (of all blocks, with offsets in the document and block_ix)."""
-    df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({"words": word_count(F.col("__t")), "blocks": blocks(F.col("__t"))})
+    df = once(docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))), words=word_count(F.col("__t")), blocks=blocks(F.col("__t")))
     if not sentences_too:
         return df
 
@@ -45,91 +45,132 @@ def parse(docs: DataFrame, text: str = "text", sentences_too: bool = True) -> Da
             lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end"), s["text"].alias("text"), s["n_words"].alias("n_words"), s["opener"].alias("opener"), s["is_citation"].alias("is_citation"), i.alias("block_ix")),
         )
 
-    return df.withColumn("sents", F.flatten(F.transform("blocks", of)))
+    return once(df, sents=F.flatten(F.transform("blocks", of)))
 
 
-def _finding(rule: Rule, ix: int, part: int, span: Column, message: Column | None = None, weight: Column | None = None, replacement: Column | None = None) -> Column:
-    text = F.lit(None).cast("string")
+def _row(start: Column, end: Column, rule_ix: Column, part_ix: Column, rule_id: Column, severity: Column, tier: Column, intent: Column, message: Column, weight: Column | None = None, replacement: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
     return F.struct(
-        span["start"].alias("start"), span["end"].alias("end"), F.lit(ix).alias("rule_ix"), F.lit(part).alias("part_ix"), F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"),
-        F.lit(rule.tier).alias("tier"), F.lit(rule.intent).alias("intent"), (F.lit(rule.says()) if message is None else message).alias("message"),
-        (F.lit(1) if weight is None else weight).cast("int").alias("weight"), (text if replacement is None else replacement).alias("replacement"),
+        start.cast("int").alias("start"), end.cast("int").alias("end"), rule_ix.cast("int").alias("rule_ix"), part_ix.cast("int").alias("part_ix"), rule_id.alias("rule_id"), severity.alias("severity"), tier.alias("tier"),
+        intent.alias("intent"), message.alias("message"), (F.lit(1) if weight is None else weight).cast("int").alias("weight"), (none if replacement is None else replacement).alias("replacement"),
     )
 
 
-def _cased(found: Column, fix: str) -> Column:
+def _finding(rule: Rule, ix: int, span: Column, message: Column | None = None) -> Column:
+    return _row(span["start"], span["end"], F.lit(ix), F.lit(0), F.lit(rule.id), F.lit(rule.severity), F.lit(rule.tier), F.lit(rule.intent), F.lit(rule.says()) if message is None else message)
+
+
+def _of_part(p: Column, span: Column, message: Column | None = None, weight: Column | None = None, replacement: Column | None = None) -> Column:
+    return _row(span["start"], span["end"], p["rule_ix"], p["part_ix"], p["rule_id"], p["severity"], p["tier"], p["intent"], p["message"] if message is None else message, weight, replacement)
+
+
+def _cased(found: Column, fix: Column) -> Column:
     """The replacement in the case of what it replaces."""
     letters = F.regexp_replace(found, r"\P{IsAlphabetic}", "")
-    upper = (F.length(letters) > 1) & (letters == F.upper(letters))
-    capital = found.rlike(r"^\p{IsUppercase}")
-    return F.when(upper, F.lit(fix.upper())).when(capital, F.lit(fix[:1].upper() + fix[1:])).otherwise(F.lit(fix))
+    upper = (F.length(letters) > 1) & (letters == F.upper(letters)) & ~letters.rlike(r"\p{IsLowercase}")
+    first = F.concat(F.upper(F.substring(fix, 1, 1)), F.substr(fix, F.lit(2)))
+    return F.when(upper, F.upper(fix)).when(letters.rlike(r"^\p{IsUppercase}"), first).otherwise(fix)
 
 
-def _blocks(rule: Rule) -> Column:
-    """The blocks that a rule looks at; scope `all` takes the document for one."""
-    if rule.scope == "all":
-        return F.array(F.struct(F.lit(0).alias("start"), F.length("__t").alias("end"), F.col("__t").alias("text")))
-    return F.col("blocks")
+def _replacement(p: Column, found: Column) -> Column:
+    """What takes the place of a match: a template with its groups, or a literal in the case of the match."""
+    # a template without a group is literal text, and its case follows the match too
+    groups = p["fix"].rlike(r"(?<!\\)\$")
+    filled = F.regexp_replace(found, p["pattern"], p["fix"])
+    literal = F.when(p["expands"], filled).otherwise(p["fix"])
+    as_is = (p["expands"] & groups) | ~p["match_case"]
+    return F.when(p["fix"].isNotNull(), F.when(as_is, literal).otherwise(_cased(found, literal)))
 
 
-def _sents(rule: Rule) -> Column:
-    return F.filter("sents", lambda s: ~s["is_citation"]) if rule.scope == "prose" else F.col("sents")
+def _reach(side: Column, window: Column, take) -> Column:
+    """Of a stretch of at most `window` characters those next to the match that make up `window` bytes, whole characters."""
+    enough = F.filter(F.sequence(F.lit(1), F.greatest(window, F.lit(1))), lambda k: F.octet_length(take(side, k)) >= window)
+    return take(side, F.when(window < 1, 0).otherwise(F.coalesce(F.array_min(enough), F.length(side))))
 
 
-def _masked(rule: Rule, findings: Column) -> Column:
-    """Of a prose rule only what lies inside one sentence that is no citation."""
-    if rule.scope != "prose":
-        return findings
-    return F.filter(findings, lambda f: F.exists(_sents(rule), lambda s: (s["start"] <= f["start"]) & (f["end"] <= s["end"])))
+def _around(start: Column, end: Column, text: Column, window: Column) -> Column:
+    before = F.substr(F.col("__t"), F.greatest(F.lit(1), start + 1 - window), F.least(window, start))
+    after = F.substr(F.col("__t"), end + 1, window)
+    return F.concat(_reach(before, window, F.right), text, _reach(after, window, F.left))
 
 
-def _matches(rule: Rule, ix: int, part: int, pattern: str, fix: str | None) -> Column:
-    def one(b: Column) -> Column:
-        spans = match_spans(b["text"], java(pattern))
-        if rule.allow_context:
-            context, size = rule.allow_context
+def _units(p: Column) -> Column:
+    """The blocks that a part looks at; scope `all` takes the document for one."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("__t").alias("end"), F.col("__t").alias("text")))
+    return F.when(p["scope"] == "all", whole).otherwise(F.col("blocks"))
 
-            def around(s: Column) -> Column:
-                start = b["start"] + s["start"]
-                return F.substr(F.col("__t"), F.greatest(F.lit(1), start + 1 - size), F.least(F.lit(size), start) + s["end"] - s["start"] + size)
 
-            spans = F.filter(spans, lambda s: ~around(s).rlike(java(context)))
-        moved = F.transform(spans, lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end"), s["text"].alias("text")))
-        return F.transform(moved, lambda s: _finding(rule, ix, part, s, replacement=_cased(s["text"], fix) if fix else None))
+def _prose() -> Column:
+    return F.filter("sents", lambda s: ~s["is_citation"])
 
-    return F.when(F.col("__t").rlike(java(pattern)), over(_blocks(rule), one)).otherwise(F.array().cast(FINDING))
 
+def _masked(scope: Column, findings: Column) -> Column:
+    """Of a prose rule only what lies inside one sentence that is no citation."""
+    inside = lambda f: F.exists("sents", lambda s: ~s["is_citation"] & (s["start"] <= f["start"]) & (f["end"] <= s["end"]))
+    return F.filter(findings, lambda f: (scope != "prose") | inside(f))
+
+
+def _phrase(p: Column) -> Column:
+    def one(b: Column) -> Column:
+        moved = F.transform(match_spans(b["text"], p["pattern"]), lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end"), s["text"].alias("text")))
+        fits = lambda s: F.coalesce(~F.regexp_like(_around(s["start"], s["end"], s["text"], p["window"]), p["context"]), F.lit(True))
+        kept = F.when(p["context"].isNull(), moved).otherwise(F.filter(moved, fits))
+        return F.transform(kept, lambda s: _of_part(p, s, replacement=_replacement(p, s["text"])))
 
-def _phrase(rule: Rule, ix: int) -> Column:
-    return F.concat(*(_matches(rule, ix, n, pattern, fix) for n, (pattern, fix) in enumerate(rule.pairs())))
+    return over(_units(p), one)
 
 
-def _leading(rule: Rule, ix: int) -> Column:
+def _leading(p: Column) -> Column:
     def one(s: Column) -> Column:
-        needles = [F.nullif(F.regexp_extract(s["text"], java(f"(?i)^(?:{p})"), 0), F.lit("")) for p, _ in rule.pairs()]
-        span = F.struct(s["start"].alias("start"), (s["start"] + F.length(F.coalesce(*needles))).alias("end"))
-        return _finding(rule, ix, 0, span)
+        head = extract(s["text"], p["pattern"])
+        return _of_part(p, F.struct(s["start"].alias("start"), (s["start"] + F.length(head)).alias("end")))
 
-    any_ = reduce(lambda a, b: f"{a}|{b}", (f"(?:{p})" for p, _ in rule.pairs()))
-    hit = F.filter(_sents(rule), lambda s: s["text"].rlike(java(f"(?i)^(?:{any_})")))
-    return F.when(F.col("__t").rlike(java(f"(?i){any_}")), F.transform(hit, one)).otherwise(F.array().cast(FINDING))
+    sents = F.when(p["scope"] == "prose", _prose()).otherwise(F.col("sents"))
+    return F.transform(F.filter(sents, lambda s: F.regexp_like(s["text"], p["pattern"])), one)
 
 
-def density_count(pattern: str, within: Column | str = "blocks") -> Column:
+def density_count(pattern: Column | str, within: Column | str = "blocks") -> Column:
     """Matches of a pattern over all blocks."""
-    return F.aggregate(within, F.lit(0), lambda acc, b: acc + F.regexp_count(b["text"], F.lit(java(pattern))))
+    pattern = F.lit(java(pattern)) if isinstance(pattern, str) else pattern
+    return F.aggregate(within, F.lit(0), lambda acc, b: acc + F.regexp_count(b["text"], pattern))
+
+
+def _density(p: Column) -> Column:
+    words = F.greatest(F.col("words"), F.lit(1))
+
+    def fired(count: Column) -> Column:
+        weight = F.greatest(F.lit(1), F.ceil(count - p["threshold"] * words / 1000))
+        b = F.filter(_units(p), lambda b: F.regexp_like(b["text"], p["pattern"]))[0]
+        whole = extract(b["text"], p["pattern"])
+        group = F.when(p["pattern"].rlike(r"(?<!\\)\((?!\?)"), extract(b["text"], p["pattern"], 1)).otherwise("")
+        at = b["start"] + F.length(F.split(b["text"], p["pattern"], 2)[0])
+        start = at + F.when(group != "", F.position(group, whole) - 1).otherwise(0)
+        span = F.struct(start.alias("start"), (start + F.length(F.when(group != "", group).otherwise(whole))).alias("end"))
+        message = F.concat(p["message"], F.lit(" ("), count.cast("string"), F.lit(" occurrences in "), F.col("words").cast("string"), F.lit(" words)"))
+        return F.when(count / words * 1000 > p["threshold"], F.array(_of_part(p, span, message, weight))).otherwise(F.array().cast(FINDING))
 
+    return let(density_count(p["pattern"], _units(p)), fired)
 
-def _density(rule: Rule, ix: int) -> Column:
-    pattern = rule.pairs()[0][0]
-    count, words = density_count(pattern, _blocks(rule)), F.greatest(F.col("words"), F.lit(1))
-    fires = count / words * 1000 > F.lit(float(rule.threshold))
-    weight = F.greatest(F.lit(1), F.ceil(count - F.lit(float(rule.threshold)) * words / 1000))
-    first = F.element_at(
-        over(_blocks(rule), lambda b: F.transform(match_spans(b["text"], java(pattern), group=re.search(r"(?<!\\)\((?!\?)", pattern) is not None), lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end")))), 1
-    )
-    message = F.concat(F.lit(rule.says() + " ("), count.cast("string"), F.lit(" occurrences in "), F.col("words").cast("string"), F.lit(" words)"))
-    return F.when(F.col("__t").rlike(java(pattern)), F.when(fires, F.array(_finding(rule, ix, 0, first, message, weight)))).otherwise(F.array().cast(FINDING))
+
+def _by_parts(rows: list[dict], at: Column) -> Column:
+    """Findings of the rows of `parts` at some places."""
+    kinds = {"phrase": _phrase, "leading": _leading, "density": _density}
+    used = [k for k in kinds if any(r["kind"] == k for r in rows)]
+
+    def one(p: Column) -> Column:
+        found = F.array().cast(FINDING)
+        for k in used:
+            found = F.when(p["kind"] == k, kinds[k](p).cast(FINDING)).otherwise(found)
+        return _masked(p["scope"], found) if any(r["scope"] == "prose" for r in rows) else found
+
+    return F.flatten(F.transform(F.transform(at, lambda i: F.element_at(as_literal(rows), i)), one))
+
+
+def hit_counts(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds `counts`: for each pattern that may match, rule_id and the number of matches over all blocks."""
+    rows = parts(rules)
+    df = once(parse(docs, sentences_too=False).withColumn("__low", folded(F.col("__t"))), __at=candidates(rows, F.col("__low"))).drop("__low")
+    return once(df, counts=F.transform(F.transform("__at", lambda i: F.element_at(as_literal(rows), i)), lambda p: F.struct(p["rule_id"].alias("rule_id"), density_count(p["pattern"], _units(p)).alias("n")))).drop("__at")
 
 
 def document_metric(metric: str) -> Column:
@@ -140,75 +181,80 @@ def document_metric(metric: str) -> Column:
     if metric in ("triad-density", "paired-adjective-rate"):
         pattern = TRIAD if metric == "triad-density" else PAIR
         hits = F.aggregate(sents, F.lit(0), lambda a, s: a + F.regexp_count(s["text"], F.lit(java(pattern))))
-        return F.when(total >= LEAST_WORDS, hits / total * 1000)
-    mean = total / n
-    square = F.aggregate(words, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        return let(total, lambda t: F.when(t >= LEAST_WORDS, hits / t * 1000))
     enough = n >= LEAST_SENTENCES
-    if metric == "sentence-length-variance":
-        return F.when(enough, square / n)
-    if metric == "cadence-autocorrelation":
-        pairs = F.arrays_zip(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
-        lag = F.aggregate(pairs, F.lit(0.0), lambda a, z: a + (z["a"] - mean) * (z["b"] - mean))
-        return F.when(enough & (square > 0), lag / square)
-    named = F.filter(sents, lambda s: s["opener"].isNotNull())
-    k = F.greatest(F.size(named) - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice(named, F.lit(1), k).alias("a"), F.slice(named, F.lit(2), k).alias("b"))
-    inside = F.filter(pairs, lambda z: z["a"]["block_ix"] == z["b"]["block_ix"])
-    same = F.size(F.filter(inside, lambda z: z["a"]["opener"] == z["b"]["opener"]))
-    return F.when(enough & (F.size(inside) > 0), same / F.size(inside))
+    if metric in ("sentence-length-variance", "cadence-autocorrelation"):
+
+        def with_mean(z: Column) -> Column:
+            apart = F.transform(z["words"], lambda x: x - z["mean"])
+            return let(apart, spread)
+
+        def spread(apart: Column) -> Column:
+            square = F.aggregate(apart, F.lit(0.0), lambda a, x: a + x * x)
+            if metric == "sentence-length-variance":
+                return square / n
+            less = F.greatest(n - 1, F.lit(0))
+            pairs = F.zip_with(F.slice(apart, F.lit(1), less), F.slice(apart, F.lit(2), less), lambda x, y: x * y)
+            lag = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
+            return let(square, lambda q: F.when(q > 0, lag / q))
+
+        return F.when(enough, let(words, lambda w: let(F.struct(w.alias("words"), (F.aggregate(w, F.lit(0.0), lambda a, x: a + x) / n).alias("mean")), with_mean)))
+
+    def ratio(named: Column) -> Column:
+        k = F.greatest(F.size(named) - 1, F.lit(0))
+        pairs = F.arrays_zip(F.slice(named, F.lit(1), k).alias("a"), F.slice(named, F.lit(2), k).alias("b"))
+        return let(F.filter(pairs, lambda z: z["a"]["block_ix"] == z["b"]["block_ix"]), share)
+
+    def share(inside: Column) -> Column:
+        same = F.size(F.filter(inside, lambda z: z["a"]["opener"] == z["b"]["opener"]))
+        return F.when(F.size(inside) > 0, same / F.size(inside))
+
+    return F.when(enough, let(F.filter(sents, lambda s: s["opener"].isNotNull()), ratio))
 
 
 def _statistical(rule: Rule, ix: int) -> Column:
+    sents = _prose() if rule.scope == "prose" else F.col("sents")
     if rule.metric == "sentence-length":
-        return F.transform(F.filter(_sents(rule), lambda s: s["n_words"] > rule.max_words), lambda s: _finding(rule, ix, 0, s))
+        return F.transform(F.filter(sents, lambda s: s["n_words"] > rule.max_words), lambda s: _finding(rule, ix, s))
     if rule.metric == "repetitive-openers":
-        state = F.struct(F.lit(None).cast("string").alias("opener"), F.lit(-1).alias("block"), F.lit(0).alias("run"), F.array().cast(FINDING).alias("out"))
+        # a run starts where a sentence does not go on; of every run_length-th in it a finding is made
+        state = F.struct(F.lit(None).cast("string").alias("opener"), F.lit(-1).alias("block"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
 
-        def step(acc: Column, s: Column) -> Column:
+        def step(acc: Column, z: Column) -> Column:
+            s, i = z["s"], z["i"]
             goes_on = (s["opener"] == acc["opener"]) & (s["block_ix"] == acc["block"])
             run = F.when(s["opener"].isNull(), 0).when(F.coalesce(goes_on, F.lit(False)), acc["run"] + 1).otherwise(1)
-            fires = run == rule.run_length
-            return F.struct(
-                F.when(~fires, s["opener"]).alias("opener"), s["block_ix"].alias("block"), F.when(fires, 0).otherwise(run).alias("run"),
-                F.when(fires, F.array_append(acc["out"], _finding(rule, ix, 0, s))).otherwise(acc["out"]).alias("out"),
-            )
-
-        return F.aggregate(_sents(rule), state, step, lambda acc: acc["out"])
-    value, limit = document_metric(rule.metric), F.lit(float(rule.threshold))
-    fires = value > limit if rule.direction == "above" else value < limit
-    message = F.format_string(f"{rule.says()} (%.2f, threshold {rule.threshold:.2f})", value)
-    return F.when(F.coalesce(fires, F.lit(False)), F.array(_finding(rule, ix, 0, F.element_at("sents", 1), message))).otherwise(F.array().cast(FINDING))
-
-
-_ENGINES = {"phrase": _phrase, "leading": _leading, "density": _density, "statistical": _statistical}
+            return let(run, lambda run: F.struct(
+                F.when(run != rule.run_length, s["opener"]).alias("opener"), s["block_ix"].alias("block"), F.when(run == rule.run_length, 0).otherwise(run).alias("run"),
+                F.when(run == rule.run_length, F.array_append(acc["out"], i)).otherwise(acc["out"]).alias("out"),
+            ))
 
+        def found(some: Column) -> Column:
+            numbered = F.transform(some, lambda s, i: F.struct(F.struct(s["opener"].alias("opener"), s["block_ix"].alias("block_ix")).alias("s"), i.alias("i")))
+            return F.transform(F.aggregate(numbered, state, step, lambda acc: acc["out"]), lambda i: _finding(rule, ix, F.get(some, i)))
 
-_built: dict[tuple, list[tuple[Rule, Column]]] = {}
+        return let(sents, found)
+    limit = F.lit(float(rule.threshold))
 
+    def judged(value: Column) -> Column:
+        fires = value > limit if rule.direction == "above" else value < limit
+        message = F.format_string(f"{rule.says()} (%.2f, threshold {rule.threshold:.2f})", value)
+        return F.when(F.coalesce(fires, F.lit(False)), F.array(_finding(rule, ix, F.element_at("sents", 1), message))).otherwise(F.array().cast(FINDING))
 
-def _expressions(chosen: list[Rule]) -> list[tuple[Rule, Column]]:
-    """The findings of each rule as an expression; kept, since thousands of calls make them and no table is part of them."""
-    key = tuple(chosen)
-    if key not in _built:
-        _built[key] = [(r, _masked(r, _ENGINES[r.engine](r, ix).cast(FINDING))) for ix, r in enumerate(chosen)]
-    return _built[key]
+    return let(document_metric(rule.metric), judged)
 
 
 def find(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), text: str = "text") -> DataFrame:
     """Adds `words`, `n_sentences` and `findings`, sorted by place, rule and pattern."""
     chosen = [r for r in (rules or core_rules()).chosen(options) if r.engine != "inferential"]
+    rows = parts(chosen)
     df = parse(docs, text)
-    parts = _expressions(chosen)
-    # the many phrases share one pattern: most documents have none of them
-    plain = [p for r in chosen if r.engine == "phrase" for p, _ in r.pairs() if p.startswith(PLAIN)]
-    some = [e for r, e in parts if r.engine == "phrase" and all(p.startswith(PLAIN) for p, _ in r.pairs())]
-    rest = [e for r, e in parts if not (r.engine == "phrase" and all(p.startswith(PLAIN) for p, _ in r.pairs()))]
+    df = once(df.withColumn("__low", folded(F.col("__t"))), __at=candidates(rows, F.col("__low"))).drop("__low")
     empty = F.array().cast(FINDING)
-    if some:
-        any_ = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in plain)
-        rest.append(F.when(F.col("__t").rlike(java(any_)), F.concat(*some)).otherwise(empty))
-    df = df.withColumn("findings", F.array_sort(F.concat(empty, *(F.coalesce(e, empty) for e in rest))))
-    df = df.withColumn("findings", allowed(F.col("findings"), F.col("__t"), rules or core_rules(), options.directive))
+    measured = [_masked(F.lit(r.scope), _statistical(r, ix).cast(FINDING)) if r.scope == "prose" else _statistical(r, ix).cast(FINDING) for ix, r in enumerate(chosen) if r.engine == "statistical"]
+    every = F.concat(empty, *([_by_parts(rows, F.col("__at"))] if rows else []), *(F.coalesce(e, empty) for e in measured))
+    df = once(df, __found=F.array_sort(every)).drop("__at")
+    df = once(df, findings=allowed(F.col("__found"), F.col("__t"), rules or core_rules(), options.directive)).drop("__found")
     return df.withColumn("n_sentences", F.size("sents"))
 
 

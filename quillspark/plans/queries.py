@@ -34,14 +34,10 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Matches of each phrase rule over the corpus."""
-    rules = [r for r in COUNTED if r.engine == "phrase"]
-    df = lint.parse(lint_corpus(spark, sf), sentences_too=False)
-
-    def hits(r: Rule):
-        return sum((F.when(F.col("__t").rlike(java(p)), lint.density_count(java(p).removeprefix("(?Ud)"))).otherwise(0) for p, _ in r.pairs()), F.lit(0))
-
-    each = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), hits(r).cast("long").alias("n")) for r in rules))
-    return df.select(F.inline(each)).groupBy("rule_id").agg(F.sum("n").alias("n_hits"), F.count_if(F.col("n") > 0).alias("n_docs"))
+    df = lint.hit_counts(lint_corpus(spark, sf), [r for r in COUNTED if r.engine == "phrase"]).select("doc_id", F.inline("counts"))
+    by_rule = df.groupBy("doc_id", "rule_id").agg(F.sum("n").alias("n")).groupBy("rule_id").agg(F.sum("n").alias("n_hits"), F.count_if(F.col("n") > 0).alias("n_docs"))
+    every = spark.createDataFrame([(r.id,) for r in COUNTED if r.engine == "phrase"], "rule_id string")
+    return every.join(by_rule, "rule_id", "left").fillna(0)
 
 
 def density_rates(spark: SparkSession, sf: str) -> DataFrame:

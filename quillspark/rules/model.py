@@ -24,7 +24,8 @@ class RuleError(ValueError):
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule. `patterns` holds patterns, or pairs of a pattern and its literal replacement."""
+    """One rule. `patterns` holds patterns, or pairs of a pattern and its replacement: a literal one,
+    or one that names groups ($1, ${name}, $$ for a dollar sign) at the places in `templates`."""
 
     name: str
     engine: str
@@ -40,6 +41,7 @@ class Rule:
     max_words: int = 45
     allow_context: tuple[str, int] | None = None
     match_case: bool = True
+    templates: tuple[int, ...] = ()
     message: str | None = None
     rubric: str | None = None
     package: str = "core"
@@ -68,6 +70,9 @@ class Rule:
                 need(self.direction in ("above", "below"), "direction", self.direction, ("above", "below"))
         else:
             need(self.direction is None, "direction", self.direction, "set for statistical rules only")
+        for n in self.templates:
+            need(self.engine == "phrase" and n < len(self.patterns) and self.pairs()[n][1] is not None, "templates", self.templates, "places of patterns with a replacement")
+            self.java_template(self.pairs()[n][1], self.pairs()[n][0])
         if self.engine != "phrase":
             need(self.allow_context is None, "allow_context", self.allow_context, "set for phrase rules only")
         if self.engine == "inferential":
@@ -86,6 +91,25 @@ class Rule:
         """Each pattern with its replacement."""
         return [(p, None) if isinstance(p, str) else (p[0], p[1]) for p in self.patterns]
 
+    def java_template(self, template: str, pattern: str | None = None) -> str:
+        """A template in the notation of Java's replacements; groups that `pattern` lacks are an error."""
+        known = None
+        if pattern is not None:
+            try:
+                known = re.compile(pattern)
+            except re.error:  # a construct of the other dialect: groups are not checked
+                pass
+
+        def one(m: re.Match) -> str:
+            name = m[1] or m[2]
+            if name is None:
+                return r"\$" if m[0] == "$$" else "\\" + m[0]
+            if known is not None and (int(name) > known.groups if name.isdigit() else name not in known.groupindex):
+                raise RuleError(self.name, "templates", m[0], "a group of the pattern")
+            return f"${name}" if name.isdigit() else f"${{{name}}}"
+
+        return re.sub(r"\$\$|\$(\w+)|\$\{(\w+)\}|[\\$]", one, template)
+
     def says(self) -> str:
         return self.message or f"{self.name.replace('-', ' ').capitalize()}."
 
