@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,19 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\b[\w'’-]+\b"))
 
 
+def kept(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Keeps what `make` returns for its (hashable) arguments: an expression names no table, and takes hundreds of calls to the JVM to build."""
+    found: dict = {}
+
+    def get(*args) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in found:
+            found[key] = make(*args)
+        return found[key]
+
+    return get
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """What `use` makes of a value that is computed once, however often it is used."""
     return F.transform(F.array(value), use)[0]

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentences import sentences
-from ..functions.text import blocks, column_of, extract, java, let, line_of, match_spans, once, over, word_count
+from ..functions.text import blocks, column_of, extract, java, kept, let, line_of, match_spans, once, over, word_count
 from ..rules.core import CORE
 from ..rules.model import MACHINE, Options, Rule, RuleSet
-from ..rules.parts import as_literal, candidates, folded, parts
+from ..rules.parts import as_literal, candidates, folded, keywords, parts
 from .suppression import allowed
 
 FINDING = "array<struct<start:int,end:int,rule_ix:int,part_ix:int,rule_id:string,severity:string,tier:string,intent:string,message:string,weight:int,replacement:string>>"
@@ -33,19 +33,29 @@ def core_rules() -> RuleSet:
     return RuleSet(CORE)
 
 
-def parse(docs: DataFrame, text: str = "text", sentences_too: bool = True) -> DataFrame:
-    """Adds `words`, `blocks` and `sents` (of all blocks, with offsets in the document and block_ix)."""
-    df = once(docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))), words=word_count(F.col("__t")), blocks=blocks(F.col("__t")))
-    if not sentences_too:
-        return df
+@kept
+def _all_blocks() -> Column:
+    return blocks(F.col("__t"))
+
 
+@kept
+def _all_sentences() -> Column:
     def of(b: Column, i: Column) -> Column:
         return F.transform(
             sentences(b["text"]),
             lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end"), s["text"].alias("text"), s["n_words"].alias("n_words"), s["opener"].alias("opener"), s["is_citation"].alias("is_citation"), i.alias("block_ix")),
         )
 
-    return once(df, sents=F.flatten(F.transform("blocks", of)))
+    return F.flatten(F.transform("blocks", of))
+
+
+def parse(docs: DataFrame, text: str = "text", sentences_too: bool = True) -> DataFrame:
+    """Adds `words`, `blocks` and `sents` (of all blocks, with offsets in the document and block_ix)."""
+    df = once(docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))), words=word_count(F.col("__t")), blocks=_all_blocks())
+    if not sentences_too:
+        return df
+
+    return once(df, sents=_all_sentences())
 
 
 def _row(start: Column, end: Column, rule_ix: Column, part_ix: Column, rule_id: Column, severity: Column, tier: Column, intent: Column, message: Column, weight: Column | None = None, replacement: Column | None = None) -> Column:
@@ -152,6 +162,12 @@ def _density(p: Column) -> Column:
     return let(density_count(p["pattern"], _units(p)), fired)
 
 
+def _with_candidates(df: DataFrame, rows: list[dict]) -> DataFrame:
+    """Adds `__at`, the places of the rows that a document may match."""
+    df = df.withColumn("__low", folded(F.col("__t"))).withColumn("__words", keywords(rows, F.col("__low")))
+    return once(df, __at=candidates(rows, "__low", "__words")).drop("__low", "__words")
+
+
 def _by_parts(rows: list[dict], at: Column) -> Column:
     """Findings of the rows of `parts` at some places."""
     kinds = {"phrase": _phrase, "leading": _leading, "density": _density}
@@ -169,7 +185,7 @@ def _by_parts(rows: list[dict], at: Column) -> Column:
 def hit_counts(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Adds `counts`: for each pattern that may match, rule_id and the number of matches over all blocks."""
     rows = parts(rules)
-    df = once(parse(docs, sentences_too=False).withColumn("__low", folded(F.col("__t"))), __at=candidates(rows, F.col("__low"))).drop("__low")
+    df = _with_candidates(parse(docs, sentences_too=False), rows)
     return once(df, counts=F.transform(F.transform("__at", lambda i: F.element_at(as_literal(rows), i)), lambda p: F.struct(p["rule_id"].alias("rule_id"), density_count(p["pattern"], _units(p)).alias("n")))).drop("__at")
 
 
@@ -244,16 +260,21 @@ def _statistical(rule: Rule, ix: int) -> Column:
     return let(document_metric(rule.metric), judged)
 
 
+@kept
+def _findings(chosen: tuple[Rule, ...]) -> Column:
+    """All findings of rules, sorted."""
+    rows, empty = parts(list(chosen)), F.array().cast(FINDING)
+    measured = [_masked(F.lit(r.scope), _statistical(r, ix).cast(FINDING)) if r.scope == "prose" else _statistical(r, ix).cast(FINDING) for ix, r in enumerate(chosen) if r.engine == "statistical"]
+    return F.array_sort(F.concat(empty, *([_by_parts(rows, F.col("__at"))] if rows else []), *(F.coalesce(e, empty) for e in measured)))
+
+
 def find(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), text: str = "text") -> DataFrame:
     """Adds `words`, `n_sentences` and `findings`, sorted by place, rule and pattern."""
     chosen = [r for r in (rules or core_rules()).chosen(options) if r.engine != "inferential"]
     rows = parts(chosen)
     df = parse(docs, text)
-    df = once(df.withColumn("__low", folded(F.col("__t"))), __at=candidates(rows, F.col("__low"))).drop("__low")
-    empty = F.array().cast(FINDING)
-    measured = [_masked(F.lit(r.scope), _statistical(r, ix).cast(FINDING)) if r.scope == "prose" else _statistical(r, ix).cast(FINDING) for ix, r in enumerate(chosen) if r.engine == "statistical"]
-    every = F.concat(empty, *([_by_parts(rows, F.col("__at"))] if rows else []), *(F.coalesce(e, empty) for e in measured))
-    df = once(df, __found=F.array_sort(every)).drop("__at")
+    df = _with_candidates(df, rows)
+    df = once(df, __found=_findings(tuple(chosen))).drop("__at")
     df = once(df, findings=allowed(F.col("__found"), F.col("__t"), rules or core_rules(), options.directive)).drop("__found")
     return df.withColumn("n_sentences", F.size("sents"))
 

@@ -21,10 +21,24 @@ SNIPPETS = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is small for the session's cores, dealt over all of them; any other as it is read.
+
+    Rules cost far more than a shuffle of a small table that lies in one row group. The size
+    is the one that the plan states; a large table is never shuffled."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if size < SPLIT * cores else df
+
+
+SPLIT = 128 << 20
+
+
 def lint_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang, source."""
     snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.pmod("doc_id", F.lit(len(SNIPPETS))) + 1).cast("int"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), snippet).alias("text"), "lang", "source")
 
 

@@ -27,41 +27,45 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "".join(FOLDED), "".join(FOLDED.values())))
 
 
-def _needs(items) -> frozenset[str] | None:
-    """Strings of which every match holds one; None where nothing is known."""
-    found: list[frozenset[str]] = []
-    run = ""
-    for op, value in [*items, (None, None)]:
+def _needs(items, left: bool = False, right: bool = False) -> frozenset[tuple[str, bool]] | None:
+    """(string, whether it is a whole word) of which every match holds one; None where nothing is known.
+    `left` and `right` say whether a word's edge lies before and behind the items."""
+    found: list[frozenset[tuple[str, bool]]] = []
+    items = list(items)
+    edges = [left] + [op is _parser.AT and value is _parser.AT_BOUNDARY for op, value in items] + [right]
+    run, opened = "", False
+    for n, (op, value) in enumerate([*items, (None, None)]):
         if op is _parser.LITERAL:
+            opened = opened if run else edges[n]
             run += chr(value)
             continue
-        if op in (_parser.AT, _parser.ASSERT, _parser.ASSERT_NOT):
-            continue
         if run:
-            found.append(frozenset((run,)))
+            closed = edges[n + 1]
+            whole = [m for m in re.finditer(r"\w+", run) if (m.start() > 0 or opened) and (m.end() < len(run) or closed)]
+            found.append(frozenset(((max((m[0] for m in whole), key=len), True),)) if whole else frozenset(((run, False),)))
             run = ""
         inner = None
         if op in _AS_ONE:
-            inner = _needs(value[-1] if isinstance(value, tuple) else value)
+            inner = _needs(value[-1] if isinstance(value, tuple) else value, edges[n], edges[n + 2])
         elif op in _REPEATS and value[0] > 0:
             inner = _needs(value[2])
         elif op is _parser.BRANCH:
-            each = [_needs(x) for x in value[1]]
+            each = [_needs(x, edges[n], edges[n + 2]) for x in value[1]]
             inner = None if None in each else frozenset().union(*each)
         if inner:
             found.append(inner)
-    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+    return max(found, key=lambda x: (min(len(s) for s, _ in x), -len(x)), default=None)
 
 
-def needed(pattern: str) -> frozenset[str] | None:
-    """Lower-case literals of which every text with a match holds one; None where none are known."""
+def needed(pattern: str) -> frozenset[tuple[str, bool]] | None:
+    """Lower-case strings of which every text with a match holds one, each with whether it stands there as a whole word."""
     try:
         found = _needs(_parser.parse(pattern))
     except (re.error, OverflowError):  # a construct of the other dialect
         return None
-    if not found or "" in found:
+    if not found or any(not s for s, _ in found):
         return None
-    return frozenset("".join(FOLDED.get(c, c) for c in x).lower() for x in found)
+    return frozenset(("".join(FOLDED.get(c, c) for c in s).lower(), whole) for s, whole in found)
 
 
 def parts(rules: list[Rule]) -> list[dict]:
@@ -90,14 +94,24 @@ def as_literal(rows: list[dict]) -> Column:
     return F.from_json(F.lit(json.dumps([{k: v for k, v in r.items() if k != "needs"} for r in rows])), PART)
 
 
-def candidates(rows: list[dict], low: Column) -> Column:
-    """Places (from 1) of the rows that a text with this lower case may match."""
+def _text(literal: str) -> str:
+    return "'" + literal.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def keywords(rows: list[dict], low: Column) -> Column:
+    """Of the whole words that the rows need those in a text with this lower case."""
+    wanted = sorted({s for r in rows for s, whole in r["needs"] or () if whole})
+    if not wanted:
+        return F.array().cast("array<string>")
+    return F.array_intersect(F.expr(f"array({', '.join(map(_text, wanted))})"), F.split(low, r"(?U)[^\w]+"))
+
+
+def candidates(rows: list[dict], low: str, words: str) -> Column:
+    """Places (from 1) of the rows that a text may match, by the columns of its lower case and its `keywords`."""
 
-    def may(r: dict) -> Column:
-        at = F.lit(False)
-        for literal in sorted(r["needs"]):
-            at = at | F.contains(low, F.lit(literal))
-        return at
+    def may(r: dict) -> str:
+        return " OR ".join(f"array_contains({words}, {_text(s)})" if whole else f"contains({low}, {_text(s)})" for s, whole in sorted(r["needs"]))
 
-    each = [F.lit(i) if r["needs"] is None else F.when(may(r), F.lit(i)) for i, r in enumerate(rows, 1)]
-    return F.array_compact(F.array(*each)) if each else F.array().cast("array<int>")
+    # as one text: some hundred expressions, each a call to the JVM
+    each = [str(i) if r["needs"] is None else f"CASE WHEN {may(r)} THEN {i} END" for i, r in enumerate(rows, 1)]
+    return F.expr(f"array_compact(array({', '.join(each)}))") if each else F.array().cast("array<int>")
