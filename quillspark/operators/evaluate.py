@@ -81,16 +81,18 @@ def regressions(current: DataFrame, baseline: DataFrame, tolerance: float = TOLE
 def quantiles(samples: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """Nearest-rank quantiles (index round((n - 1) * p)) of all values: share, value. A column n counts equal rows.
 
-    Ranks come from counts per distinct value; a running sum within ranges of values and
+    Ranks come from counts per distinct value; a running sum within 64 ranges of values and
     the totals of the ranges before keep any task from sorting all of them.
     """
     spark = samples.sparkSession
     n = F.sum(F.col("n")) if "n" in samples.columns else F.count(F.lit(1))
     counts = samples.where(F.col(value).isNotNull()).groupBy(value).agg(n.alias("n"))
-    parts = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id())
+    # cuts are numbers, so that a recomputed task deals its rows as before
+    cuts = counts.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)]).alias("c")).first().c or []
+    parts = counts.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
     inside = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     sizes = parts.groupBy("part").agg(F.sum("n").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 64 rows
     ranked = parts.withColumn("upto", F.sum("n").over(inside)).join(before.drop("size"), "part").withColumn("upto", F.col("upto") + F.col("before"))
     total = counts.agg(F.sum("n").alias("total"))
     wanted = spark.createDataFrame([(float(p),) for p in shares], "share double").crossJoin(F.broadcast(total)).withColumn("at", F.round((F.col("total") - 1) * F.col("share")).cast("long"))

@@ -12,12 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules.model import Rule
+from .lint import score_of
 
 CONTEXT_CHARS, VERSION, FLOOR = 1200, "3", 0.6
 FUZZY_CHARS, FUZZY_LEAST = 400, 0.9
 ANSWER = "array<struct<rule:string,quote:string,explanation:string,confidence:double,suggested_rewrite:string>>"
-# Words in an explanation that take its finding back.
-NEGATIONS = ("does not violate", "doesn't violate", "not a violation", "no violation", "does not match", "doesn't match", "does not apply", "not applicable", "should not be flagged")
+# Phrases of a verdict that takes its finding back.
+NEGATIONS = (
+    "does not violate", "do not violate", "doesn't violate", "not a violation", "not violated", "no violation", "does not flag", "do not flag", "doesn't flag",
+    "nothing to flag", "no issues found", "no problems found", "complies with the rule",
+)
+# Words, between blanks, of an explanation that still reads as a pass.
+BROAD = (
+    "does not flag", "do not flag", "doesn t flag", "nothing to flag", "does not violate", "do not violate", "doesn t violate", "not violate", "not violated", "no violation", "no violations",
+    "not a violation", "complies", "compliant", "satisfies", "adheres", "conforms", "no issue", "no issues", "no problem", "no problems", "is acceptable", "is fine",
+)
 
 
 def chunks(parsed: DataFrame, context_chars: int = CONTEXT_CHARS) -> DataFrame:
@@ -73,12 +82,33 @@ def parsed_answers(answers: DataFrame) -> DataFrame:
     return found.select("cache_key", "ord", "f.rule", "f.quote", F.coalesce("f.explanation", F.lit("")).alias("explanation"), clamped.alias("confidence"), "f.suggested_rewrite")
 
 
-def denied(explanation: Column) -> Column:
-    """Whether an explanation takes its finding back."""
-    low = F.lower(explanation)
+def _rule_words(rule: Column) -> Column:
+    """A rule's name in words: its id without the package."""
+    return F.lower(F.replace(F.substring_index(rule, "/", -1), F.lit("-"), F.lit(" ")))
+
+
+def _any(text: Column, phrases) -> Column:
     out = F.lit(False)
-    for phrase in NEGATIONS:
-        out = out | F.contains(low, F.lit(phrase))
+    for phrase in phrases:
+        out = out | F.contains(text, phrase if isinstance(phrase, Column) else F.lit(phrase))
+    return out
+
+
+def denied(explanation: Column, rule: Column) -> Column:
+    """Whether an explanation takes its finding back, in general or by its rule's name ("no empty hedge")."""
+    low, name = F.lower(explanation), _rule_words(rule)
+    named = (F.trim(name) != "") & _any(low, (F.concat(F.lit(x), name) for x in ("no ", "not a ", "not an ")))
+    return _any(low, NEGATIONS) | named
+
+
+def negational(explanation: Column, rule: Column) -> Column:
+    """Whether an explanation reads as a pass at all: wider than `denied`, to count what that misses."""
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(explanation), r"[^\p{IsAlphabetic}\p{N}]+", " ")), F.lit(" "))
+    name = _rule_words(rule)
+    out = _any(words, (f" {p} " for p in BROAD))
+    for thing in (name, F.substring_index(name, " ", -1)):
+        named = _any(words, (F.concat(F.lit(f" {x} "), thing, F.lit(" ")) for x in ("no", "not a", "not an", "not", "does not", "doesn t")))
+        out = out | ((F.trim(thing) != "") & named)
     return out
 
 
@@ -101,7 +131,7 @@ def grounded(findings: DataFrame, wanted: DataFrame) -> DataFrame:
     df = findings.join(wanted.select("doc_id", "cache_key", "chunk_text", "rules", F.col("start").alias("base")), "cache_key")
     foreign = ~F.array_contains("rules", F.col("rule"))
     df = df.withColumn("at", F.when(~foreign, _place(F.col("chunk_text"), F.col("quote"))))
-    status = F.when(foreign, "foreign").when(F.col("at").isNull(), "not found").when(denied(F.col("explanation")), "denied").otherwise("grounded")
+    status = F.when(foreign, "foreign").when(F.col("at").isNull(), "not found").when(denied(F.col("explanation"), F.col("rule")), "denied").otherwise("grounded")
     start = F.col("base") + F.col("at")
     return df.select("doc_id", "cache_key", "ord", "rule", "quote", "explanation", "confidence", "suggested_rewrite", status.alias("status"), start.alias("start"), (start + F.length("quote")).alias("end"))
 
@@ -118,3 +148,17 @@ def judge_stats(checked: DataFrame, wanted: DataFrame, cache: DataFrame) -> Data
     by_doc = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("hit").alias("cache_hits"))
     found = checked.groupBy("doc_id").agg(F.count_if(F.col("status") == "grounded").alias("grounded"), F.count_if(F.col("status") != "grounded").alias("discarded"))
     return by_doc.join(found, "doc_id", "left").fillna(0).withColumn("chunks_failed", F.col("chunks") - F.col("cache_hits"))
+
+
+def judged_scores(scores: DataFrame, judged: DataFrame, rules: Sequence[Rule], floor: float = FLOOR) -> DataFrame:
+    """Scores of `lint_scores` (doc_id, word_count, sentence_count, penalty) with what a judge found.
+
+    judged: doc_id, rule, status and confidence, as `grounded` returns them. Findings that stand in the
+    text and pass the gate count with their confidence; penalties are summed before they meet the scores."""
+    spark = scores.sparkSession
+    known = spark.createDataFrame([(r.id, r.severity, r.intent) for r in rules], "rule string, severity string, intent string")
+    kept = gated(judged.where("status = 'grounded'").join(F.broadcast(known), "rule"), floor)  # a row per rule
+    points = F.when(F.col("severity") == "warning", 3).otherwise(1)
+    added = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_judged"), F.sum(F.when(F.col("intent") == "detection", points * F.col("confidence")).otherwise(0.0)).alias("added"))
+    df = scores.join(added, "doc_id", "left").fillna(0, ["n_judged", "added"]).withColumn("penalty", F.col("penalty") + F.col("added"))
+    return df.select("doc_id", "word_count", "n_judged", "penalty", score_of(F.col("penalty"), F.col("word_count")).alias("score"))

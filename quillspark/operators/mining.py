@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import java
 from ..rules.model import Options, RuleSet
 from .lint import find, parse
 
-OXFORD_WITH = r"(?i)\w+,\s+\w+(?:\s+\w+){0,3},\s+(?:and|or)\s+\w+"
-OXFORD_WITHOUT = r"(?i)\w+,\s+\w+(?:\s+\w+){0,3}\s+(?:and|or)\s+\w+"
+# Lists with and without a comma before the last member.
+OXFORD_WITH = r"[A-Za-z][\w'’-]*,\s+(?:[A-Za-z][\w'’-]*\s+){0,3}[A-Za-z][\w'’-]*,\s+(?:and|or)\s+[A-Za-z]"
+OXFORD_WITHOUT = r"[A-Za-z][\w'’-]*,\s+(?:[A-Za-z][\w'’-]*\s+){1,3}(?:and|or)\s+[A-Za-z]"
+# Families of terms, each with its forms and what stands for them.
+FAMILIES = {
+    "no-utilize": {"utilize": "use", "utilizes": "uses", "utilized": "used", "utilizing": "using"},
+    "no-in-order-to": {"in order to": "to"},
+    "no-prior-to": {"prior to": "before"},
+    "no-subsequent-to": {"subsequent to": "after"},
+    "no-commence": {"commence": "begin", "commences": "begins", "commencing": "beginning"},
+    "no-endeavor": {"endeavor": "try", "endeavors": "tries", "endeavoring": "trying"},
+}
 LEAST_WORDS, LEAST_SENTENCES = 300, 30
 
 
+def family_pattern(name: str) -> str:
+    return "|".join(rf"(?:\b{form}\b)" for form in FAMILIES[name])
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row over all documents: counts of words, sentences, marks and serial commas; lengths of sentences."""
     df = parse(docs).withColumn("prose", F.filter("sents", lambda s: ~s["is_citation"] & (s["n_words"] > 0)))
@@ -22,10 +37,12 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
         F.regexp_count(t, F.lit(r"(?U)\S+")).alias("w"), F.size("prose").alias("s"), F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("l"), F.array_max(lengths).alias("m"),
         *((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).alias(n) for n, c in (("em", "—"), ("en", "–"), ("semi", ";"))),
         F.regexp_count(t, F.lit(r"(?Ud)" + OXFORD_WITH)).alias("ox1"), F.regexp_count(t, F.lit(r"(?Ud)" + OXFORD_WITHOUT)).alias("ox0"),
+        *(F.regexp_count(t, F.lit(java(family_pattern(n)))).alias(f"t{i}") for i, n in enumerate(FAMILIES)),
     ).agg(
         F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("w"), F.lit(0)).alias("words"), F.coalesce(F.sum("s"), F.lit(0)).alias("sentences"), F.coalesce(F.sum("em"), F.lit(0)).alias("em_dashes"), F.coalesce(F.sum("en"), F.lit(0)).alias("en_dashes"),
         F.coalesce(F.sum("semi"), F.lit(0)).alias("semicolons"), F.coalesce(F.sum("ox1"), F.lit(0)).alias("oxford_with"), F.coalesce(F.sum("ox0"), F.lit(0)).alias("oxford_without"),
         F.coalesce(F.max("m"), F.lit(0)).alias("max_sentence"), F.coalesce(F.sum("l") / F.sum("s"), F.lit(0.0)).alias("mean_sentence"),
+        *(F.coalesce(F.sum(f"t{i}"), F.lit(0)).alias(n.replace("-", "_")) for i, n in enumerate(FAMILIES)),
     )
 
 
@@ -44,6 +61,7 @@ def absences(stats: DataFrame) -> DataFrame:
         ("no-em-dash", enough & (s("em_dashes") == 0), F.lit(0)), ("no-semicolon", enough & (s("semicolons") == 0), F.lit(0)),
         ("serial-comma", enough & (s("oxford_without") == 0) & (s("oxford_with") >= 3), s("oxford_with")), ("no-serial-comma", enough & (s("oxford_with") == 0) & (s("oxford_without") >= 3), s("oxford_without")),
         ("sentence-cap", enough & (s("sentences") >= LEAST_SENTENCES), cap),
+        *((n, enough & (s(n.replace("-", "_")) == 0), F.lit(0)) for n in FAMILIES),
     ]
     every = F.array(*(F.struct(F.lit(n).alias("name"), a.alias("applies"), v.cast("long").alias("value")) for n, a, v in rules))
     return stats.select(F.inline(every))

@@ -8,20 +8,37 @@ from pyspark.sql import functions as F
 # Elements that go with their content, and those that end a word.
 DROPPED = ("script", "style", "nav", "header", "footer")
 BREAKING = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|blockquote|pre|hr"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&sect;": "§", "&hellip;": "…"}
+_ENTITY = "&(?:" + "|".join(e[1:-1] for e in ENTITIES) + "|#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6});"
+
+
+def _character(entity: Column) -> Column:
+    """The character of an entity; a number that is none stays as written."""
+    hex_ = F.regexp_extract(entity, "(?i)^&#x([0-9a-f]+);$", 1)
+    number = F.when(hex_ != "", F.conv(hex_, 16, 10)).otherwise(F.regexp_extract(entity, "^&#([0-9]+);$", 1)).try_cast("int")
+    whole = number.between(0, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    by_number = F.when(number == 160, " ").when(whole, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    named = F.lit(None).cast("string")
+    for name, char in ENTITIES.items():
+        named = F.when(entity == name, F.lit(char)).otherwise(named)
+    return F.coalesce(named, by_number, entity)
+
+
+def decoded(text: Column) -> Column:
+    """Entities as characters, in one pass: what a decoded entity spells is not decoded again."""
+    found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    parts = F.zip_with(F.split(text, _ENTITY, -1), found, lambda before, e: F.concat(before, F.coalesce(_character(e), F.lit(""))))
+    return F.when(text.rlike(_ENTITY), F.array_join(parts, "")).otherwise(text)
 
 
 def html_text(html: Column) -> Column:
-    """The text of a page: dropped elements, tags and comments go, entities are decoded."""
+    """The text of a page: dropped elements (to the end, where one is never closed), tags and comments go, entities are decoded."""
     x = F.coalesce(html, F.lit(""))
     x = F.regexp_replace(x, "(?s)<!--.*?-->", " ")
     for name in DROPPED:
-        x = F.regexp_replace(x, f"(?is)<{name}\\b[^>]*>.*?</{name}\\s*>", " ")
+        x = F.regexp_replace(x, f"(?is)<{name}\\b[^>]*>.*?(?:</{name}\\s*>|\\z)", " ")
     x = F.regexp_replace(x, f"(?i)</?(?:{BREAKING})\\b[^>]*>", "\n")
-    x = F.regexp_replace(x, "<[^>]+>", "")
-    for entity, char in ENTITIES.items():
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+    return decoded(F.regexp_replace(x, "<[^>]+>", ""))
 
 
 def clean_lines(text: Column) -> Column:
@@ -57,17 +74,37 @@ def passages(text: Column, least: int = 100, most: int = 500) -> Column:
     return F.aggregate(sents, zero, step, lambda acc: F.when(acc["words"] >= least, F.array_append(acc["out"], acc["open"])).otherwise(acc["out"]))
 
 
+#: Runs of the items up to which they are sent to every task; 8-byte hashes, about 100 MB at the most.
+FEW = 5_000_000
+
+
 def token_runs(df: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, run): the distinct runs of n words (lower case, letters and digits) of each `text`."""
-    words = df.select(key, F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "").alias("ws"))
-    one = words.where(F.size("ws") >= n).select(key, "ws", F.posexplode("ws").alias("i", "w"))  # one row per word, cut by its place
-    return one.where(F.col("i") <= F.size("ws") - n).select(key, F.array_join(F.slice("ws", F.col("i") + 1, n), " ").alias("run")).distinct()
+    """(key, run): the runs of n words (lower case, letters and digits) of each `text`, as hashes and as often as they stand."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    few = df.select(key, words.alias("ws")).where(F.size("ws") >= n)
+    return few.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.lit(n)), " ")))).alias("run"))
+
+
+def _texts_of_runs(df: DataFrame, key: str, n: int) -> DataFrame:
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    return df.select(key, words.alias("ws")).where(F.size("ws") >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, F.lit(n)), " ")))).alias("run"))
 
 
 def verbatim_overlap(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     """(item_id, doc_id, runs): documents that share a run of n words with an item.
 
-    Runs of the items are few; a document's runs are filtered by them in the join and
-    counted per pair, so nothing but hits is shuffled on."""
-    left, right = token_runs(items, "item_id", n), token_runs(docs, "doc_id", n)
-    return right.join(left, "run").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("runs"))
+    The documents that hold the hash of some item's run are found first, without a shuffle where
+    the items are few; only those documents' runs are then compared as texts."""
+    wanted = token_runs(items, "item_id", n).select("run").distinct()
+    few = wanted.limit(FEW + 1).count() <= FEW
+    hit = token_runs(docs, "doc_id", n).join(F.broadcast(wanted) if few else wanted, "run", "left_semi").select("doc_id").distinct()
+    some = docs.select("doc_id", "text").join(hit, "doc_id", "left_semi")
+    left, right = _texts_of_runs(items, "item_id", n), _texts_of_runs(some, "doc_id", n)
+    return right.join(left, "run").groupBy("item_id", "doc_id", "run").agg(F.lit(1)).groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def short_overlap(docs: DataFrame, items: DataFrame, least: int = 5, most: int = 7) -> DataFrame:
+    """(item_id, doc_id): documents that hold the whole of an item of `least` to `most` words."""
+    size = F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
+    each = [verbatim_overlap(docs, items.where(size == n), n).select("item_id", "doc_id") for n in range(least, most + 1)]
+    return each[0].unionByName(each[1]).unionByName(each[2]) if len(each) == 3 else each[0]

@@ -105,6 +105,45 @@ def test_sourcing(spark):
     page = "<html><script>x<y</script><p>One &amp; <b>two</b></p><!-- c --><p>7</p><p>three [1] four</p></html>"
     (r,) = frame(spark, page).select(sourcing.clean_lines(sourcing.html_text(F.col("text"))).alias("t")).collect()
     assert r.t == "One & two three four"
+    odd = "a&mdash;b &sect; &#8212;&#x1F642; &amp;lt; &#xD800; &bogus;<script>never closed"
+    (r,) = frame(spark, odd).select(sourcing.html_text(F.col("text")).alias("t")).collect()
+    assert r.t.strip() == "a—b § —🙂 &lt; &#xD800; &bogus;"
+
+
+def test_overlap_of_short_items(spark):
+    items = spark.createDataFrame([(1, "one two three four five"), (2, "a b c d"), (3, "x y z u v w t s")], "item_id long, text string")
+    docs = frame(spark, "zero One, two three FOUR five six", "x y z u v w t s", "a b c d")
+    assert [tuple(r) for r in sourcing.short_overlap(docs, items).collect()] == [(1, 0)]
+    assert [tuple(r) for r in sourcing.verbatim_overlap(docs, items).collect()] == [(3, 1, 1)]
+
+
+def test_verdicts(spark):
+    rows = [("core/empty-hedge", "No empty hedge here."), ("core/empty-hedge", "This hedge adds no information."), ("core/empty-hedge", "Not applicable."), ("x/y", "Nothing to flag."), ("core/empty-hedge", "It does not hedge.")]
+    got = spark.createDataFrame(rows, "rule string, explanation string").select(judge.denied(F.col("explanation"), F.col("rule")), judge.negational(F.col("explanation"), F.col("rule"))).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, False), (False, False), (True, True), (False, True)]
+
+
+def test_judged_scores(spark):
+    scores = spark.createDataFrame([(1, 100, 5, 3.0), (2, 10, 1, 0.0)], "doc_id long, word_count int, sentence_count int, penalty double")
+    rules = [Rule("vague", "inferential", granularity="paragraph")]
+    judged = spark.createDataFrame([(1, "core/vague", "grounded", 0.8), (1, "core/vague", "denied", 0.9), (1, "core/vague", "grounded", 0.5)], "doc_id long, rule string, status string, confidence double")
+    got = {r.doc_id: (r.n_judged, r.score) for r in judge.judged_scores(scores, judged, rules).collect()}
+    assert got == {1: (1, 58), 2: (0, 100)}
+
+
+def test_templates(spark):
+    rule = Rule("swap", "phrase", patterns=((r"(?i)\b(\w+), (\w+)\b", "$2 $1$$"), ("Plain", "x$1")), templates=(0,), match_case=False)
+    (r,) = lint.fixed(frame(spark, "Doe, john; Plain"), RuleSet((rule,))).collect()
+    assert r.fixed_text == "john Doe$; x$1"
+    with pytest.raises(RuleError):
+        Rule("swap", "phrase", patterns=((r"(a)", "$2"),), templates=(0,))
+
+
+def test_quantiles(spark):
+    rows = [(float(i * i % 97),) for i in range(500)] + [(None,)]
+    want = sorted(x for (x,) in rows if x is not None)
+    got = {r.share: r.value for r in evaluate.quantiles(spark.createDataFrame(rows, "v double"), "v", [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
+    assert got == {p: want[round(499 * p)] for p in (0.0, 0.1, 0.5, 0.99, 1.0)}
 
 
 def test_corpus_stats(spark):
