@@ -332,6 +332,54 @@ def test_fingerprints_of_short_recordings(spark):
     assert all(i == q + 1 for q, i in pairs)
 
 
+def plain_alignment(x, y, least=fingerprints.LEAST_OVERLAP):
+    """Whether some stretch of frames of two long recordings differs in few bits, at any shift of samples."""
+    a, b = (fingerprints.samples_of(z.encode(), 1) for z in (x, y))
+    _, _, grid = fingerprints.numbers_of(b)
+    for phase in range(fingerprints.HOP):
+        _, _, mine = fingerprints.numbers_of(a, phase)
+        for k in range(-len(mine) + least, len(grid) - least + 1):
+            i, j = max(0, -k), min(len(mine), len(grid) - k)
+            equal = np.bitwise_count(mine[i:j] ^ grid[i + k : j + k]) == 0
+            if len(equal) >= least and np.convolve(equal, np.ones(least), "valid").max() == least:
+                return True
+    return False
+
+
+def test_fingerprints_against_every_shift(spark):
+    """Passages and near copies at any shift: what a search of all shifts finds, and what was planted, is found."""
+    draw = random.Random(21)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 8))) for _ in range(400)]
+    some = lambda n: " ".join(draw.choices(words, k=n))[:n]
+    rows, planted, passages = [], set(), {}
+    for n in range(4):
+        q, passage = 100 * (n + 1), some(1500)
+        passages[q] = passage
+        rows += [(q, some(900) + passage + some(700)), (q + 1, some(333 + 7 * n) + passage + some(500)), (q + 2, some(2500))]
+        text = rows[-3][1]
+        rows += [(q + 3, text[:1600] + "inserted" + text[1600:]), (q + 4, passage + some(900) + passage + some(100))]
+        planted |= {(q, q + 1), (q, q + 3), (q, q + 4)}
+    found = fingerprints.search(spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text as binary) media")).collect()
+    pairs = {(r.query_id, r.id) for r in found if r.query_id is not None}
+    text = dict(rows)
+    every = {(q, i) for q in (100, 200) for i in text if i != q and plain_alignment(text[q], text[i])}
+    assert {p for p in planted if p[0] in (100, 200)} <= every <= pairs and planted <= pairs
+    assert all(q // 100 == i // 100 for q, i in pairs)
+    offsets = {(r.query_id, r.id): r.offset for r in found if r.query_id is not None}
+    for q, passage in passages.items():
+        assert offsets[q, q + 1] == text[q + 1].index(passage) - text[q].index(passage)
+
+
+def test_fingerprints_of_classes_that_share_an_id(spark):
+    draw = random.Random(22)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 8))) for _ in range(400)]
+    x, y = (" ".join(draw.choices(words, k=600)) for _ in range(2))
+    rows = [(1, x), (1, y), (100, x + " and more"), (200, y + " and more"), (None, x)]
+    found = fingerprints.search(spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text as binary) media")).collect()
+    assert sum(r.query_id is None for r in found) == 5
+    assert sorted((r.query_id, r.id) for r in found if r.query_id is not None) == [(100, 1), (200, 1)]
+
+
 @pytest.mark.parametrize(
     "make",
     [
