@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,25 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`, which driver and executors share.
 
-    Where the session names none (local runs, tests) a temporary folder is set.
+    A local session that names none (tests) gets a temporary folder; on a cluster that
+    is an error, since a folder of the driver's machine is not one of the executors'.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quillspark-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: The folder of each table that `materialize` gave and `release` has not deleted.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it back: what follows
     starts from files that outlive a lost executor, not from a recomputed lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes every table that `materialize` wrote in the shared folder."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table of a `materialize`, once nothing that is still to run reads it."""
+    path = _written.pop(df, None)
+    if path:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -182,7 +182,9 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, block: int = BLOCK)
 
     grid = distinct.select("id", "n", "v").mapInArrow(gridded, "w int, id long, n long, v array<double>, cells array<int>")
     count = distinct.count()
-    ordered = grid.repartitionByRange(max(1, -(-count // block)), "w", "cells", "id").sortWithinPartitions("w", "cells", "id")
+    tasks = max(1, -(-count // block))
+    # where the session deals into more parts than asked for, neighbouring ones are read by one task: blocks stay full
+    ordered = grid.repartitionByRange(tasks, "w", "cells", "id").sortWithinPartitions("w", "cells", "id").coalesce(tasks)
     shape = "w int, ids binary, times binary, vectors binary, lo array<double>, hi array<double>, cells array<array<int>>"
     blocks = materialize(ordered.mapInArrow(_blocks(turns, eps), shape).withColumn("b", F.monotonically_increasing_id()))
 
