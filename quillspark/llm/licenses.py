@@ -4,14 +4,17 @@ One automaton holds the notice phrases and the identifier tag. A text becomes
 its lower-case words joined by single spaces, so that a phrase matches exactly
 where its words stand consecutively. Behind each identifier tag the raw text
 holds an expression (`MIT OR (Apache-2.0 AND BSD-3-Clause)`); a shunting-yard
-parser turns it into postfix and evaluates the licences it names and whether
-it lets a reader choose.
+parser turns it into postfix and evaluates it: the licences that it names, those
+that hold whatever a reader chooses (`required`), in how many ways one may choose
+(`choices`), and the exceptions that go with licences. Nothing is multiplied out,
+so nested choices of any number take linear time.
 
 One pass over each partition, no shuffle; texts are handled one at a time.
 
 Defined results: a null text counts as empty; a text without words or notices
 has nulls for its places, empty labels and score 0; a malformed expression
-contributes the licences it names but no score of its own; repeated rows give
+contributes the licences it names but no score, requirement or choice of its own;
+of several expressions in a text all hold; repeated rows give
 repeated results; further columns of the input are ignored.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
@@ -103,47 +107,56 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(expression: str) -> list[frozenset[str]] | None:
-    """The alternatives of an expression, each the set of licences that then hold; None if malformed.
+@dataclass(frozen=True)
+class Terms:
+    """What an expression comes to: licences it names, those that hold in each of its `choices`, and exceptions (licence, exception)."""
 
-    `a or b` offers both sides, `a and b` joins them, `a with e` is licence `a with e`.
-    """
+    named: frozenset[str] = frozenset()
+    required: frozenset[str] = frozenset()
+    choices: int = 1
+    exceptions: frozenset[tuple[str, str]] = field(default=frozenset())
+
+    def also(self, other: Terms) -> Terms:
+        return Terms(self.named | other.named, self.required | other.required, self.choices * other.choices, self.exceptions | other.exceptions)
+
+    def otherwise(self, other: Terms) -> Terms:
+        return Terms(self.named | other.named, self.required & other.required, self.choices + other.choices, self.exceptions | other.exceptions)
+
+    def excepting(self, other: Terms) -> Terms:
+        pairs = {(x, e) for x in self.named for e in other.named}
+        return Terms(self.named, self.required, self.choices, self.exceptions | pairs)
+
+
+def evaluate(expression: str) -> Terms | None:
+    """The terms of an expression; None if it is malformed."""
     order = postfix(expression)
     if order is None:
         return None
-    stack: list[list[frozenset[str]]] = []
+    stack: list[Terms] = []
     for token in order:
         if token not in _RANK:
-            stack.append([frozenset((token,))])
+            stack.append(Terms(frozenset((token,)), frozenset((token,))))
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            both = left + right
-        elif token == "and":
-            if len(left) * len(right) > 64:  # nested choices multiply: keep the union of all
-                both = [frozenset().union(*left, *right)]
-            else:
-                both = [a | b for a in left for b in right]
-        else:
-            both = [frozenset(f"{x} with {next(iter(right[0]))}" for x in a) for a in left]
-        stack.append(list(dict.fromkeys(both)))
+        stack.append(left.otherwise(right) if token == "or" else left.also(right) if token == "and" else left.excepting(right))
     return stack[0]
 
 
 def family(name: str) -> str:
     """The label of a licence identifier."""
-    bare = name.split(" with ")[0].removesuffix("+")
+    bare = name.removesuffix("+")
     return next((f for f in FAMILIES if bare.startswith(f)), bare)
 
 
 def scan(text: str) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score) of a text."""
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, required, choices, exceptions) of a text."""
     words = text.encode("utf-8").translate(_WORDS).split()
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
     base_labels: set[str] = set()
     labels: set[str] = set()
     starts: list[int] = []
     rest, at, word, tagged = 1.0, 0, 0, False
+    every = Terms()
     own: dict[int, str] = {}  # of the method's phrases that start at one place the longest
     for end, phrase in automaton().iter(joined):
         if phrase in BASE:
@@ -167,29 +180,34 @@ def scan(text: str) -> tuple:
     if tagged:
         for expression in _TAG_LINE.findall(text):
             bare = expression.strip().removesuffix("*/").removesuffix("-->").strip()
-            choices = evaluate(bare)
-            if choices is None:
+            terms = evaluate(bare)
+            if terms is None:
                 labels.update(f for f in (family(x.lower()) for x in _TOKEN.findall(bare)) if f in FAMILIES)
             else:
-                labels.update(family(x) for choice in choices for x in choice)
+                labels.update(map(family, terms.named))
+                every = every.also(terms)
                 rest *= 1 - TAG_SURE
     labels |= base_labels
     first, last = (min(starts), max(starts)) if starts else (None, None)
-    return len(words), len(starts), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1 - rest
+    listed = lambda x: ",".join(sorted(set(x)))
+    own_terms = (listed(every.required), min(every.choices, MOST_CHOICES), listed(f"{x} with {e}" for x, e in every.exceptions))
+    return len(words), len(starts), first, last, listed(base_labels), listed(labels), 1 - rest, *own_terms
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required string, choices long, exceptions string"
+#: The largest number that the column `choices` holds.
+MOST_CHOICES = (1 << 63) - 1
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id, text) with its notices and labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.int64(), pa.string()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             found = [scan(x.as_py() or "") for x in batch.column(1)]
-            columns = [[row[i] for row in found] for i in range(7)]
+            columns = [[row[i] for row in found] for i in range(10)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -259,7 +259,13 @@ def test_licenses(docs, rows):
 
 def test_license_expressions():
     assert licenses.postfix("MIT OR (A AND B WITH x)") == ["mit", "a", "b", "x", "with", "and", "or"]
-    assert licenses.evaluate("MIT OR Apache-2.0 AND BSD") == [{"mit"}, {"apache-2.0", "bsd"}]
+    t = licenses.evaluate("MIT OR Apache-2.0 AND BSD")
+    assert (t.named, t.required, t.choices) == ({"mit", "apache-2.0", "bsd"}, frozenset(), 2)
+    t = licenses.evaluate("(MIT OR Apache-2.0) AND GPL-2.0 WITH cp")
+    assert (t.required, t.choices, t.exceptions) == ({"gpl-2.0"}, 2, {("gpl-2.0", "cp")})
+    assert licenses.scan("SPDX-License-Identifier: MIT OR GPL-2.0")[7:] == ("", 2, "") != licenses.scan("SPDX-License-Identifier: MIT AND GPL-2.0")[7:] == ("gpl-2.0,mit", 1, "")
+    t = licenses.evaluate(" AND ".join(f"(a{i} OR b{i})" for i in range(100)))
+    assert t.choices == 2**100 and not t.required and len(t.named) == 200
     assert licenses.evaluate("(MIT") is None and licenses.evaluate("MIT OR") is None and licenses.evaluate("") is None
 
 
