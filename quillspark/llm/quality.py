@@ -1,21 +1,27 @@
 """Operator 5: document quality by co-training two views.
 
 The text view sees what a text is made of (shares of characters, repetition of
-words), the metadata view what is known about the page (language, source,
-length, lines). Each is a logistic regression. Over `ROUNDS` rounds each labels
-a pool of unlabelled documents, and the ones it is most confident about join the
-other's training set. Both are then calibrated on labelled rows kept out of
-training, and a regression over the two calibrated views gives the score.
-
-Fitting takes at most `MAX_LABELLED` labelled rows and `MAX_POOL` unlabelled
-ones, those with the least hash of their doc_id; only their features (some
-seventy numbers a row) reach the driver, so its memory has a bound that no input
-raises. Scoring is one pass over all documents, with no shuffle.
+words), the metadata view what is known about the page besides its text
+(language, source, stated length). Each is a logistic regression. Both begin
+with labelled rows. In each of `ROUNDS` rounds each view labels all documents
+that have no label, and those it is confident about teach the other: a pass over
+the table of features gives each class's gradient and curvature, a few thousand
+numbers a task that are added up on the way to the driver, for each of `STEPS`
+Newton steps. Whatever their number, a class's pseudo-labels weigh `TRUST` times
+what its labelled rows do. Both views are then calibrated on labelled rows kept
+out of training, and a regression over the two calibrated views gives the score.
+
+The documented bound is on labelled rows: at most `MAX_LABELLED` of them, those
+with the least hash of their doc_id, one row for each doc_id, reach the driver as
+some ninety numbers each. The unlabelled pool has no bound and is never sampled.
+Features are computed once and written, a tenth of the input; scoring is one pass.
 
 Defined results: a null text counts as empty; null metadata is a value of its
-own; of several labels for a document the least counts; where the labels hold
+own; of several labels for a document the least counts, and of several rows for
+a labelled document the one with the least features; where the labels hold
 only one class (or none) every score is 0.5 and every document is kept; repeated
-rows give repeated results; further columns of the input are ignored.
+rows give repeated results; an empty table gives an empty result; further columns
+of the input are ignored, or kept by `score`.
 """
 
 from __future__ import annotations
@@ -30,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_POOL = 20_000, 20_000
-ROUNDS, CONFIDENT, PER_ROUND = 4, 0.97, 1_000
+from .common import materialize
+
+MAX_LABELLED = 20_000
+ROUNDS, STEPS, CONFIDENT, TRUST = 3, 3, 0.97, 1.0
 HELD_OUT = 5  # every fifth labelled row calibrates
 RIDGE = 1e-2
+#: Sums that one task adds up.
+FAN_IN = 64
 
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 
@@ -51,14 +61,13 @@ def text_view(text: str) -> np.ndarray:
     return np.array([distinct, distinct**2, pairs, pairs**2, length / 10, *(math.sqrt(x / n) for x in shares)])
 
 
-def meta_view(text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Language, source, stated length and layout of a page."""
-    out = np.zeros(46)
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Language, source and stated length of a page."""
+    out = np.zeros(43)
     out[zlib.crc32(repr(lang).encode()) % 8] = 1
     out[8 + zlib.crc32(repr(source).encode()) % 32] = 1
     size = math.log1p(max(0, n_chars)) if n_chars is not None else 0.0
-    lines = text.count("\n") + 1
-    out[40:] = size / 10, (size / 10) ** 2, n_chars is None, math.log1p(lines) / 5, math.log1p(len(text) / lines) / 10, len(text) == 0
+    out[40:] = size / 10, (size / 10) ** 2, n_chars is None
     return out
 
 
@@ -100,29 +109,94 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(margin(np.clip(np.column_stack((a, b)), -20, 20), self.both))
 
 
-def fit(text: np.ndarray, meta: np.ndarray, label: np.ndarray) -> Model | None:
-    """Co-trains on rows whose label is 0 or 1 and a pool whose label is -1; None without both classes."""
-    known = np.flatnonzero(label >= 0)
-    held, train = known[::HELD_OUT], np.delete(known, np.s_[::HELD_OUT])
-    if min(len(np.unique(label[held])), len(np.unique(label[train]))) < 2:
-        return None
-    views = (text, meta)
-    taught = [dict(zip(train.tolist(), label[train].tolist(), strict=True)) for _ in views]
-    pool = np.flatnonzero(label < 0)
-    share = label[train].mean()
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.column_stack((x, np.ones(len(x))))
+
+
+def _slopes(x: np.ndarray, y: np.ndarray | float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the log-likelihood of rows that end in a one."""
+    p = sigmoid(x @ w)
+    return x.T @ (y - p), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def _split(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return v[:, :TEXT_WIDTH], v[:, TEXT_WIDTH:]
 
-    def trained() -> list[np.ndarray]:
-        return [logistic(v[list(t)], np.array(list(t.values()), float)) for v, t in zip(views, taught, strict=True)]
 
-    weights = trained()
-    for _ in range(ROUNDS if len(pool) else 0):
+def _taught(batches: Iterator[pa.RecordBatch], teachers: list[np.ndarray], learners: list[np.ndarray]) -> bytes | None:
+    """For each learning view and each class: the rows that the other view is confident about, their gradient and curvature."""
+    total = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        views = _split(_features(batch.column(0)))
+        sure = [sigmoid(margin(v, w)) for v, w in zip(views, teachers, strict=True)]
+        found = []
         for me, other in ((0, 1), (1, 0)):
-            p = sigmoid(margin(views[me][pool], weights[me]))
-            for value, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(PER_ROUND * part))]
-                for i in pool[best[sure[best] >= CONFIDENT]].tolist():
-                    taught[other].setdefault(i, value)
-        weights = trained()
+            x = _with_one(views[me])
+            for y, some in ((0.0, sure[other] <= 1 - CONFIDENT), (1.0, sure[other] >= CONFIDENT)):
+                g, h = _slopes(x[some], y, learners[me])
+                found += [[some.sum()], g, h.ravel()]
+        found = np.concatenate(found)
+        total = found if total is None else total + found
+    return None if total is None else total.astype("<f8").tobytes()
+
+
+def _pool_sums(pool: DataFrame, teachers: list[np.ndarray], learners: list[np.ndarray]) -> list[tuple] | None:
+    """(n, gradient, curvature) of the pseudo-labelled rows of `pool` (v), by view and class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _taught(batches, teachers, learners)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.binary())], names=["sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x.as_py(), "<f8") for x in table.column("sums")]
+        return pa.table({"g": table.column("g").slice(0, 1), "sums": pa.array([np.sum(rows, axis=0).tobytes()], pa.binary())})
+
+    parts = pool.rdd.getNumPartitions()
+    sums = pool.mapInArrow(run, "sums binary").withColumn("g", F.spark_partition_id())
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        sums = sums.select("sums", F.floor(F.col("g") / FAN_IN).cast("int").alias("g")).groupBy("g").applyInArrow(added, "g int, sums binary")
+    rows = [np.frombuffer(r.sums, "<f8") for r in sums.select("sums").collect()]
+    if not rows:
+        return None
+    total, out, at = np.sum(rows, axis=0), [], 0
+    for w in learners:
+        d = len(w)
+        for _ in range(2):
+            out.append((total[at], total[at + 1 : at + 1 + d], total[at + 1 + d : at + 1 + d + d * d].reshape(d, d)))
+            at += 1 + d + d * d
+    return out
+
+
+def fit(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: DataFrame | None = None) -> Model | None:
+    """Co-trains on labelled rows and the features `v` of `pool`; None without both classes."""
+    every = np.arange(len(label))
+    held, train = every[::HELD_OUT], np.delete(every, np.s_[::HELD_OUT])
+    if min(len(np.unique(label[held])), len(np.unique(label[train]))) < 2:
+        return None
+    views = (text, meta)
+    y = label[train].astype(float)
+    weights = [logistic(v[train], y) for v in views]
+    mine = [_with_one(v[train]) for v in views]
+    each = [float((y == c).sum()) for c in (0, 1)]
+    for _ in range(ROUNDS if pool is not None else 0):
+        teachers, learners = weights, list(weights)
+        for _ in range(STEPS):
+            sums = _pool_sums(pool, teachers, learners)
+            if sums is None:
+                break
+            for me in (0, 1):
+                g, h = _slopes(mine[me], y, learners[me])
+                for c in (0, 1):
+                    n, more_g, more_h = sums[2 * me + c]
+                    if n:
+                        g, h = g + TRUST * each[c] / n * more_g, h + TRUST * each[c] / n * more_h
+                ridge = np.full(len(g), RIDGE)
+                learners[me] = learners[me] + np.linalg.solve(h + np.diag(ridge) + 1e-9 * np.eye(len(g)), g - ridge * learners[me])
+        weights = learners
     y = label[held].astype(float)
     margins = [margin(v[held], w) for v, w in zip(views, weights, strict=True)]
     scales = [logistic(m[:, None], y) for m in margins]
@@ -130,53 +204,70 @@ def fit(text: np.ndarray, meta: np.ndarray, label: np.ndarray) -> Model | None:
     return Model(*weights, *scales, logistic(calibrated, y))
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(x.as_py() or "", *y) for x, *y in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
-    return np.array([text_view(r[0]) for r in rows]), np.array([meta_view(*r) for r in rows])
+TEXT_WIDTH = len(text_view(""))
+
+
+def _features(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1).astype(float)
+
 
+def _views(batch: pa.RecordBatch) -> np.ndarray:
+    metas = zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)
+    return np.array([np.concatenate((text_view(x.as_py() or ""), meta_view(*m))) for x, m in zip(batch.column("text"), metas, strict=True)]).astype("<f4")
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
-    """Fits on bounded samples of `labels` (doc_id, quality) and of unlabelled `docs`."""
-    order = F.xxhash64("doc_id")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    some = known.orderBy(order, "doc_id").limit(max_labelled)
-    rest = docs.select("doc_id").where("doc_id is not null").orderBy(order, "doc_id").limit(max_labelled + max_pool)
-    rest = rest.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool).select("doc_id", F.lit(-1).alias("y"))
-    chosen = some.unionByName(rest)  # at most max_labelled + max_pool pairs of numbers: safe to broadcast
+
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, y (the label, or null) and v (both views as floats) of each row of `docs`, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                text, meta = _views(batch)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([v.tobytes() for v in np.column_stack((text, meta)).astype("<f4")], pa.binary())], names=["doc_id", "y", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([v.tobytes() for v in _views(batch)], pa.binary())], names=["doc_id", "v"])
+
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+    found = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, v binary")
+    return materialize(found.join(known, "doc_id", "left"))
 
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
-    found = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, y int, v binary").toLocalIterator())
+
+def train(rows: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
+    """Fits on a bounded sample of the labelled rows and on all unlabelled ones of `features`."""
+    some = rows.where("y in (0, 1)").groupBy("doc_id").agg(F.min(F.struct("v", "y")).alias("x"))
+    found = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("x.*").collect()
     if not found:
         return None
-    views = np.frombuffer(b"".join(r[2] for r in found), "<f4").reshape(len(found), -1).astype(float)
-    width = len(text_view(""))
-    return fit(views[:, :width], views[:, width:], np.array([r[1] for r in found]))
+    text, meta = _split(np.frombuffer(b"".join(r.v for r in found), "<f4").reshape(len(found), -1).astype(float))
+    return fit(text, meta, np.array([r.y for r in found]), rows.where("y is null").select("v"))
+
+
+def _scored(model: Model | None, views: np.ndarray, threshold: float) -> list[pa.Array]:
+    three = [np.full(len(views), 0.5)] * 3 if model is None else model.scores(*_split(views.astype(float)))
+    return [*map(pa.array, three), pa.array(three[2] >= threshold)]
+
+
+KINDS = "text_score double, meta_score double, score double, kept boolean"
+KIND_NAMES = [k.split()[0] for k in KINDS.split(", ")]
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """`docs` with text_score, meta_score, score and kept. It has doc_id, text, lang, source and n_chars."""
-    kinds = "text_score double, meta_score double, score double, kept boolean"
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + kinds
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + KINDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model is None or not batch.num_rows:
-                three = [np.full(batch.num_rows, 0.5)] * 3
-            else:
-                three = model.scores(*_views(batch))
-            added = [*map(pa.array, three), pa.array(three[2] >= threshold)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(k.split()[0] for k in kinds.split(", "))])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_scored(model, _views(batch), threshold)], names=[*batch.schema.names, *KIND_NAMES])
 
     return docs.mapInArrow(run, schema)
 
 
-def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The scores of every document."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return score(docs, train(docs, labels)).select("doc_id", "text_score", "meta_score", "score", "kept")
+    rows = features(docs, labels)
+    model = train(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_scored(model, _features(batch.column(1)), threshold)], names=["doc_id", *KIND_NAMES])
+
+    return rows.select("doc_id", "v").mapInArrow(run, "doc_id long, " + KINDS)
