@@ -12,11 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import shared_folder, table
+from quillspark.llm.common import release, shared_folder, table
 from quillspark.llm.minhash import near_duplicates
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.pii import mask
-from quillspark.llm.quality import score, train
+from quillspark.llm.quality import features, score, train
 from quillspark.llm.suffix_dedup import without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,7 +25,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     docs = docs.select(*COLUMNS)
-    return score(docs, train(docs, table(spark, sf_dir, "labels"))).where("kept").select(*COLUMNS)
+    rows = features(docs, table(spark, sf_dir, "labels"))
+    model = train(rows)
+    release(rows)
+    return score(docs, model).where("kept").select(*COLUMNS)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
