@@ -2,7 +2,7 @@
 
 A regular expression per kind proposes spans; validators confirm them (octets of
 an address, Luhn for cards, digit counts for telephone numbers, mod 97 for bank
-accounts); words that stand shortly before a span raise or lower its score.
+accounts); words that stand close to a span, on either side, raise or lower its score.
 Kinds without a checksum of their own (`ssn`) count only where the context
 speaks for them.
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, offsets
+
 # The kinds in the order of the result and their patterns. \G lets
 # an address start where the last one ended, inside a run of the same characters.
 KINDS = {
@@ -95,18 +97,21 @@ VALID = {
 
 
 def _placed(found: Column, between: Column) -> Column:
-    """Matches with the text before each (up to the context window) and their offsets."""
-    both = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("s"))
-    kind = "array<struct<start:int,end:int,text:string,before:string>>"
+    """Matches with the text on both sides of each (up to the context window, at most to the next match of the kind) and their offsets."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["s"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), F.lower(F.right(x["s"], F.lit(WINDOW))).alias("before"))
-        return F.struct(end.alias("pos"), F.array_append(acc["spans"], span).alias("spans"))
+    def pairs(n: Column) -> Column:
+        return F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), n).alias("s"), F.slice(between, F.lit(2), n).alias("a"))
+
+    def with_offsets(both: Column) -> Column:
+        at = offsets(F.transform(both, lambda x: F.length(x["s"]) + F.length(x["m"])))
+        return F.zip_with(both, at, span)
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["s"])
+        near = F.lower(F.concat(F.right(x["s"], F.lit(WINDOW)), F.lit("\n"), F.left(x["a"], F.lit(WINDOW))))
+        return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text"), near.alias("near"))
 
-    first = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("spans"))
-    return F.aggregate(both, first, step, lambda acc: acc["spans"])
+    return let(F.size(found), lambda n: let(pairs(n), with_offsets))
 
 
 def find_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
@@ -125,7 +130,7 @@ def find_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFr
         spans = F.filter(_placed(F.col(f"__m_{kind}"), F.col(f"__s_{kind}")), lambda x: VALID[kind](x["text"]))
 
         def one(x: Column) -> Column:
-            score = F.lit(PRIOR[kind]) + F.when(x["before"].rlike(CONTEXT[kind]), RAISE).otherwise(0.0) - F.when(x["before"].rlike(AGAINST), LOWER).otherwise(0.0)
+            score = F.lit(PRIOR[kind]) + F.when(x["near"].rlike(CONTEXT[kind]), RAISE).otherwise(0.0) - F.when(x["near"].rlike(AGAINST), LOWER).otherwise(0.0)
             return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.least(F.lit(1.0), score).alias("score"))
 
         spans = F.transform(spans, one)
