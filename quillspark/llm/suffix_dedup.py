@@ -45,7 +45,7 @@ from .suffix_arrays import common_prefixes, find, suffix_array
 
 WIDTH, GRAM = 100, 32
 #: Bytes of text that a map task, a bucket and a suffix array take at a time.
-MAP_BLOCK, BUCKET_TEXT, SHARD_BLOCK, STRETCH = 32 << 20, 32 << 20, 2 << 20, 1 << 20
+MAP_BLOCK, BUCKET_TEXT, SHARD_BLOCK, STRETCH = 32 << 20, 2 << 20, 2 << 20, 1 << 20
 
 ROW = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("run", "<u2"), ("gram", "<u8"), ("span", "<u8")])
 
@@ -311,7 +311,7 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
         .select("doc_id", "row", F.col("w.starts").alias("starts"), F.col("w.runs").alias("runs"), F.col("w.grams").alias("grams"))
     )
     spans = known.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "starts", "runs", "grams")
-    fetched = spans.mapInArrow(_fetch(4 * buckets), "shard int, gram long, doc_id long, row long, start int, run int, span binary")
+    fetched = spans.mapInArrow(_fetch(buckets), "shard int, gram long, doc_id long, row long, start int, run int, span binary")
     return found.where("kind = 'covered'").unionByName(fetched.groupBy("shard").applyInArrow(_shard_side, FOUND))
 
 
@@ -326,12 +326,12 @@ def removed(data: bytes, starts: list[bytes], runs: list[bytes]) -> list[tuple[i
 
 
 def _with_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    docs = docs.withColumn("row", F.xxhash64("text"))
+    docs = docs.withColumn("__row", F.xxhash64("text"))
     ranges = (
-        covered_ranges(docs.select("doc_id", "row", "text"))
+        covered_ranges(docs.select("doc_id", F.col("__row").alias("row"), "text"))
         .groupBy("doc_id", "row")
         .agg(F.collect_list(F.struct("starts", "runs")).alias("w"))
-        .select("doc_id", "row", F.col("w.starts").alias("starts"), F.col("w.runs").alias("runs"))
+        .select("doc_id", F.col("row").alias("__row"), F.col("w.starts").alias("__starts"), F.col("w.runs").alias("__runs"))
     )
     return docs, materialize(ranges)
 
@@ -356,7 +356,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    whole = docs.join(ranges, ["doc_id", "row"], "left").select("doc_id", "text", "starts", "runs")
+    whole = docs.join(ranges, ["doc_id", "__row"], "left").select("doc_id", "text", "__starts", "__runs")
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -383,6 +383,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append(b"".join([*kept, data[at:]]).decode("utf-8"))
         return pd.Series(out)
 
-    joined = docs.join(ranges, ["doc_id", "row"], "left")
-    hit = F.col("starts").isNotNull()
-    return joined.withColumn("text", F.when(hit, cut("text", "starts", "runs")).otherwise(F.col("text"))).select(*columns)
+    joined = docs.join(ranges, ["doc_id", "__row"], "left")
+    hit = F.col("__starts").isNotNull()
+    return joined.withColumn("text", F.when(hit, cut("text", "__starts", "__runs")).otherwise(F.col("text"))).select(*columns)
