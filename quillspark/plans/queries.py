@@ -11,6 +11,7 @@ from ..functions.text import java
 from ..operators import evaluate, judge, lint, mining, render, sourcing
 from ..rules.model import Options, Rule, RuleSet
 from .lint_corpus import lint_corpus, lint_sql, quoted
+from .sentence_sql import SENTENCE_SQL
 
 CORE = lint.core_rules()
 INFERENTIAL = [r for r in CORE.rules if r.engine == "inferential"]
@@ -279,4 +280,4 @@ ORACLE_SQL = {
     "benchmark_overlap": f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
-}
+} | SENTENCE_SQL
