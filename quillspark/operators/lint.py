@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markdown import PROSE, markdown_blocks
 from ..functions.sentences import sentences
 from ..functions.text import blocks, column_of, extract, java, kept, let, line_of, match_spans, once, over, word_count
 from ..rules.core import CORE
@@ -34,8 +35,12 @@ def core_rules() -> RuleSet:
 
 
 @kept
-def _all_blocks() -> Column:
-    return blocks(F.col("__t"))
+def _all_blocks(markdown: str | None) -> Column:
+    plain = F.transform(blocks(F.col("__t")), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["text"].alias("text"), F.lit("paragraph").alias("kind")))
+    if markdown is None:
+        return plain
+    cut = lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.substr(F.col("__t"), b["start"] + 1, b["end"] - b["start"]).alias("text"), b["kind"].alias("kind"))
+    return F.when(F.coalesce(F.col(markdown), F.lit(False)), F.transform(markdown_blocks(F.col("__t")), cut)).otherwise(plain)
 
 
 @kept
@@ -43,15 +48,20 @@ def _all_sentences() -> Column:
     def of(b: Column, i: Column) -> Column:
         return F.transform(
             sentences(b["text"]),
-            lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end"), s["text"].alias("text"), s["n_words"].alias("n_words"), s["opener"].alias("opener"), s["is_citation"].alias("is_citation"), i.alias("block_ix")),
+            lambda s: F.struct((s["start"] + b["start"]).alias("start"), (s["end"] + b["start"]).alias("end"), s["text"].alias("text"), s["n_words"].alias("n_words"), s["opener"].alias("opener"), s["is_citation"].alias("is_citation"), (~s["is_citation"] & b["kind"].isin(*PROSE)).alias("prose"), i.alias("block_ix")),
         )
 
-    return F.flatten(F.transform("blocks", of))
+    return F.flatten(F.transform("blocks", lambda b, i: F.when(b["kind"] != "code", of(b, i)).otherwise(F.array())))
 
 
 def parse(docs: DataFrame, text: str = "text", sentences_too: bool = True) -> DataFrame:
-    """Adds `words`, `blocks` and `sents` (of all blocks, with offsets in the document and block_ix)."""
-    df = once(docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))), words=word_count(F.col("__t")), blocks=_all_blocks())
+    """Adds `words`, `blocks` and `sents` (of all blocks but code, with offsets in the document and block_ix).
+
+    Where `docs` has a column `markdown`, texts for which it is true are read as Markdown."""
+    markdown = "markdown" if "markdown" in docs.columns else None
+    df = once(docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))), words=word_count(F.col("__t")), blocks=_all_blocks(markdown))
+    if markdown:  # words of code do not count
+        df = df.withColumn("words", F.col("words") - F.aggregate("blocks", F.lit(0), lambda acc, b: acc + F.when(b["kind"] == "code", word_count(b["text"])).otherwise(0)))
     if not sentences_too:
         return df
 
@@ -105,18 +115,19 @@ def _around(start: Column, end: Column, text: Column, window: Column) -> Column:
 
 
 def _units(p: Column) -> Column:
-    """The blocks that a part looks at; scope `all` takes the document for one."""
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("__t").alias("end"), F.col("__t").alias("text")))
-    return F.when(p["scope"] == "all", whole).otherwise(F.col("blocks"))
+    """The blocks that a part looks at: no code, for `prose` no headings and quotes; scope `all` takes the document for one."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("__t").alias("end"), F.col("__t").alias("text"), F.lit("paragraph").alias("kind")))
+    written = F.filter("blocks", lambda b: (b["kind"] != "code") & ((p["scope"] != "prose") | b["kind"].isin(*PROSE)))
+    return F.when(p["scope"] == "all", whole).otherwise(written)
 
 
 def _prose() -> Column:
-    return F.filter("sents", lambda s: ~s["is_citation"])
+    return F.filter("sents", lambda s: s["prose"])
 
 
 def _masked(scope: Column, findings: Column) -> Column:
     """Of a prose rule only what lies inside one sentence that is no citation."""
-    inside = lambda f: F.exists("sents", lambda s: ~s["is_citation"] & (s["start"] <= f["start"]) & (f["end"] <= s["end"]))
+    inside = lambda f: F.exists("sents", lambda s: s["prose"] & (s["start"] <= f["start"]) & (f["end"] <= s["end"]))
     return F.filter(findings, lambda f: (scope != "prose") | inside(f))
 
 

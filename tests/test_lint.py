@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from quillspark.functions.sentences import sentences
+from quillspark.functions.markdown import markdown_blocks
 from quillspark.functions.text import blocks
 from quillspark.operators import evaluate, judge, lint, mining, sourcing
 from quillspark.rules.model import Options, Rule, RuleError, RuleSet
@@ -76,6 +77,40 @@ def test_prose_scope(spark):
     assert [r.start for r in lint.diagnostics(docs, rules).collect()] == [38]
 
 
+def test_markdown_blocks(spark):
+    cases = {
+        "# The Title\n\nBody paragraph here.\n": [("heading", "The Title"), ("paragraph", "Body paragraph here.")],
+        "- first point\n- second point\n": [("item", "first point"), ("item", "second point")],
+        "1. first item\n\n2. second item\n": [("item", "first item"), ("item", "second item")],
+        "1. first item\n\n   more of it\n\nafter": [("item", "first item"), ("item", "more of it"), ("paragraph", "after")],
+        "> Quoted holding\n> of the court.\n": [("quote", "Quoted holding\n> of the court.")],
+        "Intro text.\n\n```rust\nlet x = 1;\n\n# no\n```\n\nOutro.\n": [("paragraph", "Intro text."), ("code", "```rust\nlet x = 1;\n\n# no\n```"), ("paragraph", "Outro.")],
+        "Para.\n\n    let indented = true;\n\nAfter.\n": [("paragraph", "Para."), ("code", "    let indented = true;"), ("paragraph", "After.")],
+        "> - nested point\n": [("item", "nested point")],
+        "- item\n  > inner quote\n": [("item", "item"), ("quote", "inner quote")],
+        "A *b* [c](https://d.e) f.\nLine two\n\nNext.\n": [("paragraph", "A *b* [c](https://d.e) f.\nLine two"), ("paragraph", "Next.")],
+        "> # Quoted Heading\n": [("heading", "Quoted Heading")],
+        "# Café—Ruling ##\n\nThe naïve—🙂 text.\n": [("heading", "Café—Ruling"), ("paragraph", "The naïve—🙂 text.")],
+        "Before.\n\n---\n\n<div>\nraw html\n</div>\n\nAfter.\n": [("paragraph", "Before."), ("paragraph", "After.")],
+        "Before.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nAfter.\n": [("paragraph", "Before."), ("paragraph", "After.")],
+        "Title\n=====\ntext in\n2020. was written\n1. one": [("heading", "Title"), ("paragraph", "text in\n2020. was written"), ("item", "one")],
+        "# H\n\npara one\n\n- li\n\n> q\n\n~~~\ncode": [("heading", "H"), ("paragraph", "para one"), ("item", "li"), ("quote", "q"), ("code", "~~~\ncode")],
+        "": [],
+    }
+    for r in frame(spark, *cases).select("text", markdown_blocks(F.col("text")).alias("b")).collect():
+        assert [(b.kind, r.text[b.start : b.end]) for b in r.b] == cases[r.text], r.text
+
+
+def test_markdown_scopes(spark):
+    text = "# utilize\n\nWe utilize it.\n\n```\nutilize code here\n```\n\n> utilize\n"
+    docs = frame(spark, text, text).withColumn("markdown", F.col("doc_id") == 1)
+    for scope, at in (("text", [2, 14, 56]), ("prose", [14]), ("all", [2, 14, 31, 56])):
+        rules = RuleSet((Rule("x", "phrase", scope=scope, patterns=(r"(?i)\butilize\b",)),))
+        found = lint.diagnostics(docs, rules).where("doc_id = 1").orderBy("ord").collect()
+        assert [r.start for r in found] == at, scope
+    assert {r.doc_id: r.words for r in lint.parse(docs).collect()} == {0: 8, 1: 5}
+
+
 def test_rule_errors():
     for bad in ({"name": "X"}, {"engine": "none"}, {"patterns": ()}, {"severity": "fatal"}, {"direction": "above"}, {"scope": "here"}):
         with pytest.raises(RuleError):
