@@ -6,10 +6,11 @@ values, so that ranks and thresholds work on histograms, not on pairs of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lint import score_of
+from ..rules.model import RuleSet
+from .lint import find, score_of
 
 TRAIN_SHARE, TOLERANCE = 70, 0.03
 
@@ -124,3 +125,16 @@ def verdict_discipline(findings: DataFrame) -> DataFrame:
         F.count_if(kept & (F.col("label") == "human")).alias("human_kept"), F.count_if(kept & (F.col("label") == "human") & F.col("negational")).alias("human_kept_negational"),
     )
     return n.withColumns({"negation_rate": ratio(F.col("dropped_negative"), F.col("emitted")), "surviving_rate": ratio(F.col("human_kept_negational"), F.col("human_kept"))})
+
+
+def rule_tests(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """(rule_id, example_ix, kind, text, fired, ok): whether each rule flags its bad examples and leaves its good ones alone."""
+    rows = [(r.id, i, kind, text) for r in rules.rules if r.engine != "inferential" for i, pair in enumerate(r.examples) for kind, text in zip(("bad", "good"), pair, strict=True)]
+    examples = spark.createDataFrame(rows, "rule_id string, example_ix int, kind string, text string")
+    fired = F.exists("findings", lambda f: f["rule_id"] == F.col("rule_id"))
+    return find(examples, rules).select("rule_id", "example_ix", "kind", "text", fired.alias("fired"), (fired == (F.col("kind") == "bad")).alias("ok"))
+
+
+def combined_slice(samples: DataFrame, style: str) -> DataFrame:
+    """All human samples and the machine-written ones of one style: the rows of a slice's AUC."""
+    return samples.where((F.col("label") == "human") | (F.col("prompt_style") == style))

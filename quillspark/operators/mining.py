@@ -67,6 +67,37 @@ def absences(stats: DataFrame) -> DataFrame:
     return stats.select(F.inline(every))
 
 
+def synthesized(docs: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(name, bad, good) for candidate rules (name, flags, seek, inject): `good` is the corpus' first sentence (by doc_id and place)
+    of 20 to 160 bytes on one line that holds `seek` and that the rule's pattern `flags` not; `bad` is that sentence with the
+    first `seek` replaced by `inject`, which the pattern must flag. A rule without such a sentence has no row."""
+    text = F.col("s.text")
+    sents = parse(docs).select("doc_id", F.explode("sents").alias("s")).where(~F.col("s.is_citation") & F.octet_length(text).between(20, 160) & ~F.contains(text, F.lit("\n")))
+
+    def one(name: str, flags: str, seek: str, inject: str) -> Column:
+        at = F.length(F.split(text, java(seek), 2)[0])
+        bad = F.concat(F.substr(text, F.lit(1), at), F.lit(inject), F.substr(text, at + F.length(F.regexp_extract(text, java(seek), 0)) + 1))
+        fits = ~text.rlike(java(flags)) & text.rlike(java(seek)) & bad.rlike(java(flags))
+        return F.when(fits, F.struct(F.lit(name).alias("name"), bad.alias("bad"), text.alias("good")))
+
+    each = sents.select("doc_id", F.col("s.start").alias("start"), F.explode(F.array_compact(F.array(*(one(*r) for r in rules)))).alias("e"))
+    first = each.groupBy("e.name").agg(F.min_by(F.struct("e.bad", "e.good"), F.struct("doc_id", "start")).alias("x"))
+    return first.select("name", "x.bad", "x.good")
+
+
+def family_seeks() -> list[tuple[str, str, str, str]]:
+    """The term families as rules for `synthesized`."""
+    return [(n, family_pattern(n), rf"\b{next(iter(forms.values()))}\b", next(iter(forms))) for n, forms in FAMILIES.items()]
+
+
+def sanitized(candidates: DataFrame) -> DataFrame:
+    """Candidate rules (id, pattern, ...) with ids in kebab case and unique, without blank patterns: those that repeat an id get a number."""
+    bare = F.trim(F.regexp_replace(F.lower("id"), "[^a-z0-9]+", "-"), F.lit("-"))
+    named = candidates.where(F.coalesce("pattern", F.lit("")) != "").withColumn("id", F.when(bare == "", "rule").otherwise(bare))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("lens_ix", "ix"))
+    return named.withColumn("__n", nth).withColumn("id", F.when(F.col("__n") > 1, F.concat_ws("-", "id", "__n")).otherwise(F.col("id"))).drop("__n")
+
+
 def packed(parts: Column, size: Column | None = None, target: int = 2000, glue: str = "\n\n") -> Column:
     """Neighbouring parts joined greedily up to `target` bytes; no part is cut."""
     kind = "array<string>"

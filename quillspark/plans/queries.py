@@ -188,6 +188,17 @@ def self_firing(spark: SparkSession, sf: str) -> DataFrame:
     return mining.self_firing(lint_corpus(spark, sf), RuleSet(tuple(r for r in CORE.rules if r.engine in ("phrase", "leading"))))
 
 
+def mined_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples for rules that speak for what the corpus writes, where it does."""
+    return mining.synthesized(lint_corpus(spark, sf), mining.family_seeks())
+
+
+def judged_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores under the countable rules with the findings of the scripted judge."""
+    scores = lint.lint_scores(lint_corpus(spark, sf), options=SIMPLE)
+    return judge.judged_scores(scores, judge_findings(spark, sf), INFERENTIAL).withColumn("penalty", F.round("penalty", 6))
+
+
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     return pages.select("page_id", sourcing.clean_lines(sourcing.html_text(F.col("html"))).alias("text"))
@@ -217,7 +228,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
-    regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, page_texts, page_passages,
+    regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, page_texts, page_passages,
     benchmark_overlap, rule_coverage, exit_codes, revision_briefs,
 )} | {
     "leading_hits": partial(_by_option, Options(enable=tuple(r.id for r in CORE.rules if r.engine == "leading"))),

@@ -22,13 +22,20 @@ def parse_rule(text: str, package: str, file: str = "rule") -> Rule:
     for name in fields:
         if name not in _FIELDS:
             raise RuleError(file, name, fields[name], sorted(_FIELDS))
-    patterns = tuple(p if isinstance(p, str) else (p["pattern"], p["fix"]) if p.get("fix") else p["pattern"] for p in fields.get("patterns") or ())
+    listed = [{"pattern": p} if isinstance(p, str) else p for p in fields.get("patterns") or ()]
+    for n, p in enumerate(listed):
+        if "fix" in p and "fixTemplate" in p:
+            raise RuleError(file, f"patterns[{n}]", p, "one of fix and fixTemplate")
+    fixes = [p.get("fix") or p.get("fixTemplate") for p in listed]
+    patterns = tuple((p["pattern"], f) if f else p["pattern"] for p, f in zip(listed, fixes, strict=True))
+    templates = tuple(n for n, p in enumerate(listed) if p.get("fixTemplate"))
+    examples = tuple((e["bad"], e["good"]) for e in fields.get("examples") or ())
     params = {k: int(v) for k, v in (fields.get("params") or {}).items()}
     context = fields.get("allow_context")
     keep = {k: fields[k] for k in ("engine", "severity", "intent", "scope", "threshold", "metric", "direction", "granularity", "message", "match_case") if k in fields}
     if keep.get("engine") == "inferential":
         keep["rubric"] = fields.get("rubric") or body.strip()
-    return Rule(fields.get("id", ""), patterns=patterns, package=package, allow_context=(context["pattern"], context["window"]) if context else None, **params, **keep)
+    return Rule(fields.get("id", ""), patterns=patterns, templates=templates, examples=examples, package=package, allow_context=(context["pattern"], context["window"]) if context else None, **params, **keep)
 
 
 def load_package(folder: str | Path) -> RuleSet:
@@ -46,13 +53,24 @@ def from_sources(package: str, files: list[tuple[str, str]]) -> RuleSet:
 
 
 def write_package(folder: str | Path, name: str, rules: RuleSet) -> None:
-    """A manifest and one file for each rule."""
+    """A manifest and one file for each rule; files of rules that are gone go too."""
     folder = Path(folder)
     (folder / "rules").mkdir(parents=True, exist_ok=True)
+    for old in folder.glob("rules/*.md"):
+        if old.stem not in {r.name for r in rules.rules}:
+            old.unlink()
     (folder / "style.yaml").write_text(yaml.safe_dump({"name": name, "version": "1"}))
     for r in rules.rules:
         fields = {"id": r.name, "engine": r.engine, "severity": r.severity, "intent": r.intent, "scope": r.scope}
         fields |= {k: getattr(r, k) for k in ("threshold", "metric", "direction", "granularity", "message") if getattr(r, k) is not None}
         if r.patterns:
-            fields["patterns"] = [p if f is None else {"pattern": p, "fix": f} for p, f in r.pairs()]
+            fields["patterns"] = [p if f is None else {"pattern": p, "fixTemplate" if n in r.templates else "fix": f} for n, (p, f) in enumerate(r.pairs())]
+        if r.engine == "statistical":
+            fields["params"] = {"run_length": r.run_length, "max_words": r.max_words}
+        if r.allow_context:
+            fields["allow_context"] = {"pattern": r.allow_context[0], "window": r.allow_context[1]}
+        if not r.match_case:
+            fields["match_case"] = False
+        if r.examples:
+            fields["examples"] = [{"bad": b, "good": g} for b, g in r.examples]
         (folder / "rules" / f"{r.name}.md").write_text(f"---\n{yaml.safe_dump(fields, allow_unicode=True)}---\n{r.rubric or ''}")

@@ -25,7 +25,8 @@ class RuleError(ValueError):
 @dataclass(frozen=True)
 class Rule:
     """One rule. `patterns` holds patterns, or pairs of a pattern and its replacement: a literal one,
-    or one that names groups ($1, ${name}, $$ for a dollar sign) at the places in `templates`."""
+    or one that names groups ($1, ${name}, $$ for a dollar sign) at the places in `templates`.
+    `examples` are pairs of a text that the rule flags and one that it leaves alone."""
 
     name: str
     engine: str
@@ -44,6 +45,7 @@ class Rule:
     templates: tuple[int, ...] = ()
     message: str | None = None
     rubric: str | None = None
+    examples: tuple[tuple[str, str], ...] = ()
     package: str = "core"
 
     def __post_init__(self) -> None:

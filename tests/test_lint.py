@@ -6,7 +6,9 @@ from quillspark.functions.sentences import sentences
 from quillspark.functions.markdown import markdown_blocks
 from quillspark.functions.text import blocks
 from quillspark.operators import evaluate, judge, lint, mining, sourcing
+from quillspark.rules import loader
 from quillspark.rules.model import Options, Rule, RuleError, RuleSet
+from quillspark.streaming.scores import score_monitor, stream_scores
 
 DASHES = "a–b and 3–4"
 
@@ -184,3 +186,43 @@ def test_quantiles(spark):
 def test_corpus_stats(spark):
     r = mining.corpus_stats(frame(spark, "One, two, and three. Four; five — six.", None)).first()
     assert (r.files, r.sentences, r.semicolons, r.em_dashes, r.oxford_with) == (2, 2, 1, 1, 1)
+
+
+def test_examples_of_rules(spark):
+    rules = RuleSet((Rule("short", "phrase", patterns=((r"(?i)\butilize\b", "use"),), examples=(("We utilize it.", "We use it."), ("fine", "utilize"))),))
+    got = {(r.example_ix, r.kind): r.ok for r in evaluate.rule_tests(spark, rules).collect()}
+    assert got == {(0, "bad"): True, (0, "good"): True, (1, "bad"): False, (1, "good"): False}
+
+
+def test_packages(tmp_path):
+    rules = RuleSet((
+        Rule("swap", "phrase", patterns=((r"(a)(b)", "$2$1"), ("x", "y"), "z"), templates=(0,), match_case=False, allow_context=("q", 2), examples=(("ab", "c"),), package="own"),
+        Rule("long", "statistical", metric="sentence-length", max_words=9, package="own"),
+    ))
+    loader.write_package(tmp_path, "own", RuleSet((*rules.rules, Rule("gone", "phrase", patterns=("g",), package="own"))))
+    loader.write_package(tmp_path, "own", rules)
+    assert sorted(loader.load_package(tmp_path).rules, key=lambda r: r.name) == sorted(rules.rules, key=lambda r: r.name)
+    with pytest.raises(RuleError):
+        loader.parse_rule("id: x\nengine: phrase\npatterns: [{pattern: a, fix: b, fixTemplate: c}]", "own")
+
+
+def test_mined_examples(spark):
+    docs = frame(spark, "See Smith v. Jones use this. We use the standard form here.", "They use the other form there.")
+    got = {r.name: (r.bad, r.good) for r in mining.synthesized(docs, mining.family_seeks()).collect()}
+    assert got == {"no-utilize": ("We utilize the standard form here.", "We use the standard form here.")}
+    rows = [(0, 0, "No Utilize!", "a"), (0, 1, "no-utilize", "b"), (1, 0, "--", "c"), (1, 1, "x", "")]
+    got = mining.sanitized(spark.createDataFrame(rows, "lens_ix int, ix int, id string, pattern string")).collect()
+    assert sorted((r.id, r.pattern) for r in got) == [("no-utilize", "a"), ("no-utilize-2", "b"), ("rule", "c")]
+
+
+def test_stream(spark, tmp_path):
+    frame(spark, "We utilize it.", "Fine.").withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    docs = spark.readStream.schema("doc_id long, text string, at timestamp").parquet(str(tmp_path / "in"))
+    scored = stream_scores(docs, keep=("doc_id", "at"))
+    query = scored.writeStream.format("memory").queryName("scored").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
+    query.awaitTermination()
+    want = {r.doc_id: r.score for r in lint.lint_scores(frame(spark, "We utilize it.", "Fine.")).collect()}
+    assert {r.doc_id: r.score for r in spark.table("scored").collect()} == want
+    query = score_monitor(scored, "at").writeStream.format("memory").queryName("monitor").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
+    query.awaitTermination()
+    assert [(r.n, r.mean_score) for r in spark.table("monitor").collect()] == [(2, sum(want.values()) / 2)]
