@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, match_spans, over
 from ..rules.model import Rule
 from .lint import score_of
 
@@ -113,17 +114,24 @@ def negational(explanation: Column, rule: Column) -> Column:
 
 
 def _place(text: Column, quote: Column) -> Column:
-    """The offset of a quote: its first exact place, else of the stretches of its length the most similar one."""
+    """The offset of a quote: its first exact place, else of the stretches of its length the most similar one.
+
+    Of k + 1 parts of the quote, k edits leave one as it is, at most k characters off its place: only
+    stretches around such parts are compared."""
     exact = F.position(quote, text) - 1
-    n = F.length(quote)
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - n)), lambda i: F.struct((-(1 - F.levenshtein(F.substr(text, i + 1, n), quote) / n)).alias("far"), i.alias("at")))
-    best = F.array_min(windows)
-    # of k + 1 parts of the quote, k edits leave one as it is: without any of them in the text no stretch comes near
-    k = F.floor(n * (1 - FUZZY_LEAST) + 1e-9).cast("int")
+    n, k = F.length(quote), F.floor(F.length(quote) * (1 - FUZZY_LEAST) + 1e-9).cast("int")
     size = F.greatest(F.lit(1), F.floor(n / (k + 1))).cast("int")
-    near = F.exists(F.sequence(F.lit(0), k), lambda i: F.contains(text, F.substr(quote, i * size + 1, size)))
-    fuzzy = F.when((n <= FUZZY_CHARS) & (n <= F.length(text)) & near & (-best["far"] >= FUZZY_LEAST), best["at"])
-    return F.when(exact >= 0, exact).otherwise(fuzzy)
+
+    def around(i: Column) -> Column:
+        part = F.substr(quote, i * size + 1, size)
+        literal = F.regexp_replace(part, r"([^\p{L}\p{N}\s])", r"\\$1")
+        near = lambda s: F.sequence(F.greatest(F.lit(0), s["start"] - i * size - k - size), F.greatest(F.lit(0), F.least(F.length(text) - n, s["start"] - i * size + k + size)))
+        return F.when(F.contains(text, part), over(match_spans(text, literal), near)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(over(F.sequence(F.lit(0), k), around))
+    windows = F.transform(starts, lambda i: F.struct((F.levenshtein(F.substr(text, i + 1, n), quote) / n).alias("far"), i.alias("at")))
+    best = let(F.array_min(windows), lambda b: F.when(1 - b["far"] >= FUZZY_LEAST, b["at"]))
+    return F.when(exact >= 0, exact).when((n <= FUZZY_CHARS) & (n <= F.length(text)), best)
 
 
 def grounded(findings: DataFrame, wanted: DataFrame) -> DataFrame:

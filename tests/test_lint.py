@@ -138,6 +138,38 @@ def test_grounding(spark):
     assert [(x.status, x.start) for x in found.orderBy("ord").collect()] == [("grounded", 12), ("grounded", 0), ("foreign", None), ("not found", None)]
 
 
+def test_places_of_altered_quotes(spark):
+    import random
+
+    draw = random.Random(3)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    def plain(text, quote):
+        if quote in text:
+            return text.index(quote)
+        far = [(distance(text[i : i + len(quote)], quote) / len(quote), i) for i in range(len(text) - len(quote) + 1)]
+        return min(far)[1] if far and 1 - min(far)[0] >= judge.FUZZY_LEAST else None
+
+    rows = []
+    for _ in range(60):
+        text = "".join(draw.choices("aab .+", k=draw.randint(20, 150)))
+        at = draw.randrange(len(text) - 12)
+        quote = list(text[at : at + draw.randint(10, 60)])
+        for _ in range(draw.randint(0, 4)):
+            quote[draw.randrange(len(quote))] = draw.choice("abé")
+        rows.append((text, "".join(quote)))
+    got = spark.createDataFrame(rows, "text string, quote string").select("text", "quote", judge._place(F.col("text"), F.col("quote")).alias("at")).collect()
+    want = [plain(t, q) for t, q in rows]
+    assert [r["at"] for r in got] == want and sum(w is not None for w in want) > 30
+
+
 def test_sourcing(spark):
     page = "<html><script>x<y</script><p>One &amp; <b>two</b></p><!-- c --><p>7</p><p>three [1] four</p></html>"
     (r,) = frame(spark, page).select(sourcing.clean_lines(sourcing.html_text(F.col("text"))).alias("t")).collect()
