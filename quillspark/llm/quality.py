@@ -43,7 +43,7 @@ ROUNDS, STEPS, CONFIDENT, TRUST = 3, 3, 0.97, 1.0
 HELD_OUT = 5  # every fifth labelled row calibrates
 RIDGE = 1e-2
 #: Sums that one task adds up.
-FAN_IN = 64
+FAN_IN = 16
 
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 
