@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.markdown import PROSE
 from ..functions.text import let, match_spans, over
 from ..rules.model import Rule
 from .lint import score_of
@@ -32,18 +33,25 @@ BROAD = (
 
 def chunks(parsed: DataFrame, context_chars: int = CONTEXT_CHARS) -> DataFrame:
     """Adds `chunks`: neighbouring blocks together up to `context_chars` characters of their own; a block is never cut.
-    `parsed` has `blocks` and `__t`."""
-    kind = "array<struct<start:int,end:int,size:int>>"
+    Headings, quotes, code, and whatever stands between blocks but white space, end a chunk. `parsed` has `blocks` and `__t`."""
+    kind = "struct<done:array<struct<start:int,end:int,size:int>>,open:struct<start:int,end:int,size:int>>"
+    none = F.lit(None).cast("struct<start:int,end:int,size:int>")
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
 
     def step(acc: Column, b: Column) -> Column:
         size = b["end"] - b["start"]
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(last["size"] + size <= context_chars, F.lit(False))
+        last = acc["open"]
+        gap = F.substr(F.col("__t"), last["end"] + 1, b["start"] - last["end"])
+        joins = F.coalesce((last["size"] + size <= context_chars) & ~gap.rlike(r"(?U)\S"), F.lit(False))
         wider = F.struct(last["start"].alias("start"), b["end"].alias("end"), (last["size"] + size).alias("size"))
         alone = F.struct(b["start"].alias("start"), b["end"].alias("end"), size.alias("size"))
-        return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), wider)).otherwise(F.array_append(acc, alone)).cast(kind)
+        on = F.struct(F.when(joins, acc["done"]).otherwise(closed(acc)).alias("done"), F.when(joins, wider).otherwise(alone).alias("open")).cast(kind)
+        return F.when(b["kind"].isin(*PROSE), on).otherwise(F.struct(closed(acc).alias("done"), none.alias("open")).cast(kind))
 
-    return parsed.withColumn("chunks", F.aggregate("blocks", F.array().cast(kind), step))
+    zero = F.struct(F.array().alias("done"), none.alias("open")).cast(kind)
+    return parsed.withColumn("chunks", F.aggregate("blocks", zero, step, closed))
 
 
 def requests(parsed: DataFrame, rules: Sequence[Rule], context_chars: int = CONTEXT_CHARS, per_rule: bool | None = None, model: str = "none") -> DataFrame:
@@ -72,6 +80,16 @@ def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(cache.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
 
 
+def write_answers(answers: DataFrame, folder: str) -> None:
+    """Adds answers (cache_key, answer) to the cache: a table that readers join on the key."""
+    answers.select("cache_key", "answer").write.mode("append").parquet(folder)
+
+
+def read_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The cached answers, of several for a key the least."""
+    return spark.read.schema("cache_key string, answer string").parquet(folder).groupBy("cache_key").agg(F.min("answer").alias("answer"))
+
+
 def parsed_answers(answers: DataFrame) -> DataFrame:
     """(cache_key, ord, rule, quote, explanation, confidence, suggested_rewrite) from answers (cache_key, answer).
     A fence around the list goes, or else what surrounds the outermost brackets; rule and quote are required."""
@@ -151,11 +169,13 @@ def gated(findings: DataFrame, floor: float = FLOOR) -> DataFrame:
 
 
 def judge_stats(checked: DataFrame, wanted: DataFrame, cache: DataFrame) -> DataFrame:
-    """Per document: chunks, cache hits, failed chunks, grounded and discarded findings."""
+    """Per document: chunks, cache hits, failed chunks, grounded and discarded findings, those discarded by rule, the first failed chunk."""
     hits = wanted.join(cache.select("cache_key", F.lit(1).alias("hit")).dropDuplicates(["cache_key"]), "cache_key", "left")
-    by_doc = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("hit").alias("cache_hits"))
-    found = checked.groupBy("doc_id").agg(F.count_if(F.col("status") == "grounded").alias("grounded"), F.count_if(F.col("status") != "grounded").alias("discarded"))
-    return by_doc.join(found, "doc_id", "left").fillna(0).withColumn("chunks_failed", F.col("chunks") - F.col("cache_hits"))
+    failed = F.when(F.col("hit").isNull(), F.struct("start", "unit_ix", "cache_key"))
+    by_doc = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("hit").alias("cache_hits"), F.min(failed)["cache_key"].alias("first_failure"))
+    by_rule = checked.groupBy("doc_id", "rule").agg(F.count_if(F.col("status") == "grounded").alias("good"), F.count_if(F.col("status") != "grounded").alias("bad"))
+    found = by_rule.groupBy("doc_id").agg(F.sum("good").alias("grounded"), F.sum("bad").alias("discarded"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("bad") > 0, F.struct("rule", "bad"))))).alias("hallucinated"))
+    return by_doc.join(found, "doc_id", "left").fillna(0, ["grounded", "discarded"]).withColumn("chunks_failed", F.col("chunks") - F.col("cache_hits"))
 
 
 def judged_scores(scores: DataFrame, judged: DataFrame, rules: Sequence[Rule], floor: float = FLOOR) -> DataFrame:

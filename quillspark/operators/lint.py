@@ -19,11 +19,11 @@ from ..functions.markdown import PROSE, markdown_blocks
 from ..functions.sentences import sentences
 from ..functions.text import blocks, column_of, extract, java, kept, let, line_of, match_spans, once, over, word_count
 from ..rules.core import CORE
-from ..rules.model import MACHINE, Options, Rule, RuleSet
+from ..rules.model import MACHINE, MAYBE, Options, Rule, RuleSet
 from ..rules.parts import as_literal, candidates, folded, keywords, parts
 from .suppression import allowed
 
-FINDING = "array<struct<start:int,end:int,rule_ix:int,part_ix:int,rule_id:string,severity:string,tier:string,intent:string,message:string,weight:int,replacement:string>>"
+FINDING = "array<struct<start:int,end:int,rule_ix:int,part_ix:int,rule_id:string,severity:string,tier:string,intent:string,message:string,weight:int,replacement:string,confidence:double>>"
 # Shapes that two document metrics count.
 TRIAD = r"(?i)\b\w+(?:\s+\w+){0,3},\s+\w+(?:\s+\w+){0,3},\s+and\s+\w+"
 PAIR = r"\b[a-z][a-z'’-]{2,}\s+and\s+[a-z][a-z'’-]{2,}\b"
@@ -72,7 +72,7 @@ def _row(start: Column, end: Column, rule_ix: Column, part_ix: Column, rule_id:
     none = F.lit(None).cast("string")
     return F.struct(
         start.cast("int").alias("start"), end.cast("int").alias("end"), rule_ix.cast("int").alias("rule_ix"), part_ix.cast("int").alias("part_ix"), rule_id.alias("rule_id"), severity.alias("severity"), tier.alias("tier"),
-        intent.alias("intent"), message.alias("message"), (F.lit(1) if weight is None else weight).cast("int").alias("weight"), (none if replacement is None else replacement).alias("replacement"),
+        intent.alias("intent"), message.alias("message"), (F.lit(1) if weight is None else weight).cast("int").alias("weight"), (none if replacement is None else replacement).alias("replacement"), F.lit(None).cast("double").alias("confidence"),
     )
 
 
@@ -290,10 +290,41 @@ def find(docs: DataFrame, rules: RuleSet | None = None, options: Options = Optio
     return df.withColumn("n_sentences", F.size("sents"))
 
 
+def scope_mask(scope: Column, start: Column, end: Column) -> Column:
+    """Whether a span lies where a scope looks: anywhere for `all`, in one block that is no code for `text`, in one sentence of prose for `prose`."""
+    within = lambda z: (z["start"] <= start) & (end <= z["end"])
+    return F.when(scope == "all", True).when(scope == "prose", F.exists("sents", lambda s: s["prose"] & within(s))).otherwise(F.exists("blocks", lambda b: (b["kind"] != "code") & within(b)))
+
+
+def merged(found: DataFrame, judged: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
+    """`find`'s rows with the findings of a judge (doc_id, rule, status, start, end, explanation, confidence, suggested_rewrite).
+
+    Those that stand in the text count if they lie in their rule's scope, no directive turns them off and
+    their confidence reaches the floor; an error becomes a warning, and a rewrite a fix that may be wrong."""
+    spark = found.sparkSession
+    chosen = [r for r in rules.chosen(options) if r.engine == "inferential"]
+    order = {r.id: i for i, r in enumerate(rules.rules)}
+    known = spark.createDataFrame([(r.id, order[r.id], "warning" if r.severity == "error" else r.severity, r.intent, r.scope) for r in chosen], "rule string, ix int, severity string, intent string, scope string")
+    kept = judged.where((F.col("status") == "grounded") & (F.coalesce("confidence", F.lit(0.0)) >= options.confidence_floor)).join(F.broadcast(known), "rule")  # a row per rule
+    message = F.when(F.coalesce(F.trim("explanation"), F.lit("")) == "", F.concat(F.lit("Flagged by "), F.col("rule"), F.lit("."))).otherwise(F.col("explanation"))
+    row = _row(F.col("start"), F.col("end"), F.col("ix"), F.lit(0), F.col("rule"), F.col("severity"), F.lit("inferential"), F.col("intent"), message, replacement=F.col("suggested_rewrite")).withField("confidence", F.col("confidence").cast("double"))
+    by_doc = kept.groupBy("doc_id").agg(F.collect_list(F.struct(row.alias("f"), F.col("scope").alias("scope"))).alias("__judged"))
+    df = found.join(by_doc, "doc_id", "left")
+    inside = F.transform(F.filter(F.coalesce("__judged", F.array()), lambda z: scope_mask(z["scope"], z["f"]["start"], z["f"]["end"])), lambda z: z["f"])
+    df = once(df, __more=inside.cast(FINDING))
+    more = allowed(F.col("__more"), F.col("__t"), rules, options.directive)
+    return df.withColumn("findings", F.array_sort(F.concat(F.col("findings"), more))).drop("__judged", "__more")
+
+
 def penalty(findings: str = "findings") -> Column:
-    """Points of the findings that speak for detection, by severity and weight."""
+    """Points of the findings that speak for detection, by severity and weight, and by the confidence of a judge."""
     points = lambda f: F.when(f["severity"] == "error", 5).when(f["severity"] == "warning", 3).otherwise(1)
-    return F.aggregate(findings, F.lit(0.0), lambda acc, f: acc + F.when(f["intent"] == "detection", points(f) * f["weight"]).otherwise(0))
+    return F.aggregate(findings, F.lit(0.0), lambda acc, f: acc + F.when(f["intent"] == "detection", points(f) * f["weight"] * F.coalesce(f["confidence"], F.lit(1.0))).otherwise(0))
+
+
+def fixable(findings: Column, maybe: bool = False) -> Column:
+    """How many findings have a fix that may be made; those that another one overlaps count too."""
+    return F.size(F.filter(findings, lambda f: f["replacement"].isNotNull() & (F.lit(maybe) | (f["tier"] != "inferential"))))
 
 
 def score_of(penalty: Column, words: Column) -> Column:
@@ -308,30 +339,41 @@ def lint_scores(docs: DataFrame, rules: RuleSet | None = None, options: Options
     return df.select(*keep, F.col("words").alias("word_count"), F.col("n_sentences").alias("sentence_count"), F.size("findings").alias("n_findings"), "penalty", score_of(F.col("penalty"), F.col("words")).alias("score"), F.array_distinct(F.transform("findings", lambda f: f["rule_id"])).alias("fired_rules"))
 
 
-def diagnostics(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options()) -> DataFrame:
-    """One row per finding with line and column (UTF-16 units, from 1) of both ends and its line as excerpt."""
-    df = find(docs, rules, options).select("doc_id", "__t", F.posexplode("findings").alias("ord", "f")).select("doc_id", "__t", "ord", "f.*")
+def diagnostics(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), found: DataFrame | None = None) -> DataFrame:
+    """One row per finding with line and column (UTF-16 units, from 1) of both ends and its line as excerpt.
+    `found` takes the place of `find(docs)`."""
+    df = (find(docs, rules, options) if found is None else found).select("doc_id", "__t", F.posexplode("findings").alias("ord", "f")).select("doc_id", "__t", "ord", "f.*")
     t = F.col("__t")
     tail = F.substring_index(F.substr(t, F.lit(1), F.col("start")), "\n", -1)
     line = F.concat(tail, F.substring_index(F.substr(t, F.col("start") + 1), "\n", 1))
     return df.select(
         "doc_id", "ord", "rule_id", "severity", "tier", "intent", "start", "end", "message", "weight", "replacement",
         line_of(t, F.col("start")).alias("line"), column_of(t, F.col("start")).alias("column"), line_of(t, F.col("end")).alias("end_line"), column_of(t, F.col("end")).alias("end_column"),
-        F.regexp_replace(F.regexp_replace(line, r"(?U)^\s+", ""), r"(?U)\s+\z", "").alias("excerpt"), F.when(F.col("replacement").isNotNull(), MACHINE).alias("applicability"),
+        F.regexp_replace(F.regexp_replace(line, r"(?U)^\s+", ""), r"(?U)\s+\z", "").alias("excerpt"), "confidence", F.when(F.col("replacement").isNotNull(), F.when(F.col("tier") == "inferential", MAYBE).otherwise(MACHINE)).alias("applicability"),
     )
 
 
-def fixed(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options()) -> DataFrame:
-    """doc_id, the text with all replacements made, and how many were; of overlapping ones the first counts."""
-    df = find(docs, rules, options)
-    edits = F.filter("findings", lambda f: f["replacement"].isNotNull())
+def edited(text: Column, edits: Column) -> Column:
+    """(text, n): a text with its edits (start, end, replacement; by start) made, and how many were; one that begins before the last one's end, or ends behind the text, is left out."""
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"), F.lit(0).alias("n"))
 
     def step(acc: Column, f: Column) -> Column:
-        ok = f["start"] >= acc["pos"]
-        out = F.concat(acc["out"], F.substr(F.col("__t"), acc["pos"] + 1, f["start"] - acc["pos"]), f["replacement"])
+        ok = (f["start"] >= acc["pos"]) & (f["end"] <= F.length(text))
+        out = F.concat(acc["out"], F.substr(text, acc["pos"] + 1, f["start"] - acc["pos"]), f["replacement"])
         return F.struct(F.when(ok, f["end"]).otherwise(acc["pos"]).alias("pos"), F.when(ok, out).otherwise(acc["out"]).alias("out"), (acc["n"] + ok.cast("int")).alias("n"))
 
-    done = F.aggregate(edits, zero, step, lambda acc: F.struct(F.concat(acc["out"], F.substr(F.col("__t"), acc["pos"] + 1)).alias("text"), acc["n"].alias("n")))
-    return df.withColumn("__d", done).select("doc_id", F.col("__d.text").alias("fixed_text"), F.col("__d.n").alias("n_fixes"))
+    return F.aggregate(edits, zero, step, lambda acc: F.struct(F.concat(acc["out"], F.substr(text, acc["pos"] + 1)).alias("text"), acc["n"].alias("n")))
+
 
+def fixed(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), found: DataFrame | None = None, maybe: bool = False) -> DataFrame:
+    """doc_id, the text with all replacements made (also those that may be wrong if `maybe`), and how many were; of overlapping ones the first counts.
+    `found` takes the place of `find(docs)`."""
+    df = find(docs, rules, options) if found is None else found
+    edits = F.filter("findings", lambda f: f["replacement"].isNotNull() & (F.lit(maybe) | (f["tier"] != "inferential")))
+    return once(df, __d=edited(F.col("__t"), edits)).select("doc_id", F.col("__d.text").alias("fixed_text"), F.col("__d.n").alias("n_fixes"))
+
+
+def changed(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options()) -> DataFrame:
+    """The rows of `fixed` whose text differs from what it was: all that a writer has to write."""
+    df = find(docs, rules, options)
+    return fixed(docs, found=df).join(df.select("doc_id", "__t"), "doc_id").where("fixed_text <> __t").drop("__t")

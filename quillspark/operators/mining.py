@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import java
+from ..functions.text import java, trimmed
 from ..rules.model import Options, RuleSet
+from .evaluate import rule_tests
 from .lint import find, parse
 
 # Lists with and without a comma before the last member.
@@ -112,8 +113,38 @@ def packed(parts: Column, size: Column | None = None, target: int = 2000, glue:
 
 def paragraph_chunks(docs: DataFrame, target: int = 2000) -> DataFrame:
     """doc_id, chunk_ix and chunk: paragraphs packed to about `target` bytes."""
-    paragraphs = F.filter(F.split(F.coalesce("text", F.lit("")), "\n\n"), lambda p: p.rlike(r"(?U)\S"))
-    return docs.select("doc_id", F.posexplode(packed(paragraphs, target=target)).alias("chunk_ix", "chunk"))
+    return docs.select("doc_id", F.posexplode(_packed_paragraphs(target)).alias("chunk_ix", "chunk"))
+
+
+def _packed_paragraphs(target: int) -> Column:
+    return packed(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n\n"), trimmed), lambda p: p != ""), target=target)
+
+
+def spread_sample(docs: DataFrame, when: str, slots: int = 28, chars: int = 900, budget: int = 16_000) -> DataFrame:
+    """Passages of the newest documents, spread evenly over each: first, middle, last of its chunks of `chars` bytes.
+
+    With fewer documents than slots each gives several. The sample ends before the passage that would exceed
+    `budget` bytes. A report: its size is the feature. docs: doc_id, text, and `when` to order by."""
+    quota = max(1, -(-slots // max(1, docs.limit(slots).count())))
+    some = docs.where(F.coalesce("text", F.lit("")).rlike(r"(?U)\S")).orderBy(F.desc(when), "doc_id").limit(slots)
+    n, k = F.size("cs"), F.least(F.lit(quota), F.size("cs"))
+    at = F.when(k == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.floor(i * (n - 1) / (k - 1)).cast("int")))
+    taken = some.select("doc_id", when, _packed_paragraphs(chars).alias("cs")).select("doc_id", when, "cs", F.posexplode(at).alias("slot", "ix"))
+    cut = taken.select("doc_id", when, "slot", F.get("cs", F.col("ix")).alias("whole"))
+    cut = cut.withColumn("passage", F.when(F.length("whole") > chars, F.concat(F.substring("whole", 1, chars), F.lit("…"))).otherwise(F.col("whole"))).drop("whole")
+    order = Window.orderBy(F.desc(when), "doc_id", "slot").rowsBetween(Window.unboundedPreceding, 0)  # at most slots documents, some passages each
+    running = cut.withColumns({"running": F.sum(F.octet_length("passage")).over(order), "nth": F.count(F.lit(1)).over(order)})
+    return running.where((F.col("running") <= budget) & (F.col("nth") <= slots)).drop("nth")
+
+
+def consistent(candidates: RuleSet, docs: DataFrame) -> DataFrame:
+    """(rule_id, ok) of candidate rules: those that fire nowhere in the writing, and whose examples hold."""
+    spark = docs.sparkSession
+    fired = self_firing(docs, candidates).select("rule_id", F.lit(True).alias("fires"))
+    wrong = rule_tests(spark, candidates).where("not ok").select("rule_id", F.lit(True).alias("wrong")).distinct()
+    every = spark.createDataFrame([(r.id,) for r in candidates.rules], "rule_id string")
+    df = every.join(fired, "rule_id", "left").join(wrong, "rule_id", "left")
+    return df.select("rule_id", (F.col("fires").isNull() & F.col("wrong").isNull()).alias("ok"))
 
 
 def recency_sample(docs: DataFrame, when: str, slots: int = 28, chars: int = 900, budget: int = 16_000) -> DataFrame:

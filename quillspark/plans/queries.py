@@ -140,6 +140,12 @@ def thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.threshold_grid(df, "metric", [i / 100 for i in range(1, 100)])
 
 
+def judged_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of countable rules and of the scripted judge as one list for each document."""
+    found = lint.merged(lint.find(lint_corpus(spark, sf), options=SIMPLE), _judged(spark, sf), CORE)
+    return lint.diagnostics(None, found=found).where("tier = 'inferential'").select("doc_id", "ord", "rule_id", "severity", "start", "end", "line", "column", "message", "confidence")
+
+
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return judge.requests(lint.parse(lint_corpus(spark, sf), sentences_too=False), INFERENTIAL)
 
@@ -149,6 +155,10 @@ def judge_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judge_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).select("doc_id", "cache_key", "ord", "rule", "status", "start", "end", "confidence")
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """A scripted judge: quotes of chunks, exact, altered and foreign, through parsing, grounding and the gate."""
     asked = _asked(spark, sf)
     quote = F.regexp_extract("chunk_text", r"(?U)^\S+(?:\s+\S+){0,5}", 0)
@@ -159,8 +169,7 @@ def judge_findings(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = F.array(one(quote, INFERENTIAL[0].id, "vague", 0.9), one(altered, INFERENTIAL[-1].id, "padded", 0.7), one(quote, "other/rule", "", 0.9), one(F.lit("not in the text at all"), INFERENTIAL[0].id, "", 1.5), one(quote, INFERENTIAL[0].id, "This does not violate it.", 0.8))
     answers = asked.dropDuplicates(["cache_key"]).select("cache_key", F.concat(F.lit("```json\n"), F.to_json(rows), F.lit("\n```")).alias("answer"))
-    found = judge.grounded(judge.parsed_answers(answers), asked)
-    return found.select("doc_id", "cache_key", "ord", "rule", "status", "start", "end", "confidence")
+    return judge.grounded(judge.parsed_answers(answers), asked)
 
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +237,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
-    regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, page_texts, page_passages,
+    regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
     benchmark_overlap, rule_coverage, exit_codes, revision_briefs,
 )} | {
     "leading_hits": partial(_by_option, Options(enable=tuple(r.id for r in CORE.rules if r.engine == "leading"))),
@@ -282,7 +291,7 @@ ORACLE_SQL = {
     "auc_by_lang": f"{_SLICES} SELECT * FROM result",
     "regressions": f"{_SLICES} SELECT r.slice AS name, e.auc AS baseline, r.auc AS current FROM result r, (SELECT auc FROM result WHERE slice = 'all') e WHERE r.slice <> 'all' AND r.auc < e.auc - 0.03",
     "dimension_counts": "SELECT 'lang' AS dimension, lang AS value, count(*)::BIGINT AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*)::BIGINT FROM documents GROUP BY source",
-    "paragraph_chunks": f"""WITH RECURSIVE {lint_sql()}, parts AS (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '\\S')) AS ps FROM lint),
+    "paragraph_chunks": f"""WITH RECURSIVE {lint_sql()}, parts AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(regexp_replace(p, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '')), lambda p: p <> '') AS ps FROM lint),
         packed AS (SELECT doc_id, 1 AS i, 0::BIGINT AS chunk_ix, ps[1] AS chunk, ps FROM parts WHERE len(ps) > 0
         UNION ALL SELECT doc_id, i + 1, CASE WHEN strlen(chunk) + 2 + strlen(ps[i + 1]) <= 2000 THEN chunk_ix ELSE chunk_ix + 1 END, CASE WHEN strlen(chunk) + 2 + strlen(ps[i + 1]) <= 2000 THEN chunk || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END, ps FROM packed WHERE i < len(ps))
         SELECT doc_id, chunk_ix, max(strlen(chunk))::BIGINT AS n_bytes, md5(arg_max(chunk, i)) AS chunk_md5 FROM packed GROUP BY doc_id, chunk_ix""",

@@ -258,3 +258,48 @@ def test_stream(spark, tmp_path):
     query = score_monitor(scored, "at").writeStream.format("memory").queryName("monitor").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     query.awaitTermination()
     assert [(r.n, r.mean_score) for r in spark.table("monitor").collect()] == [(2, sum(want.values()) / 2)]
+
+
+def test_judged_findings_among_the_others(spark):
+    text = "# Vague head\n\nWe utilize it.\n\nprose-disable-next-line vague\nperhaps so.\n\nSee Smith v. Jones, 12 F.3d 345."
+    docs = frame(spark, text).withColumn("markdown", F.lit(True))
+    rules = RuleSet((Rule("words", "phrase", patterns=((r"(?i)\butilize\b", "use"),)), Rule("vague", "inferential", granularity="paragraph", scope="prose"), Rule("loud", "inferential", granularity="paragraph")))
+    place = lambda quote: (text.index(quote), text.index(quote) + len(quote))
+    rows = [(0, "core/vague", "grounded", *place("Vague head"), "heading", 0.9, None), (0, "core/vague", "grounded", *place("We utilize"), "", 0.9, "We take"), (0, "core/vague", "grounded", *place("perhaps"), "off", 0.9, None)]
+    rows += [(0, "core/loud", "grounded", *place("perhaps"), "on", 0.8, None), (0, "core/loud", "grounded", *place("it"), "low", 0.3, None), (0, "core/vague", "grounded", *place("See Smith"), "cited", 0.9, None), (0, "core/loud", "denied", *place("We"), "no", 0.9, None)]
+    judged = spark.createDataFrame(rows, "doc_id long, rule string, status string, start int, end int, explanation string, confidence double, suggested_rewrite string")
+    found = lint.merged(lint.find(docs, rules), judged, rules)
+    got = lint.diagnostics(docs, found=found).orderBy("ord").collect()
+    assert [(r.rule_id, r.message, r.applicability) for r in got] == [("core/vague", "Flagged by core/vague.", "maybe-incorrect"), ("core/words", "Words.", "machine-applicable"), ("core/loud", "on", None)]
+    r = found.select(lint.penalty().alias("p"), lint.fixable(F.col("findings")).alias("sure"), lint.fixable(F.col("findings"), True).alias("all")).first()
+    assert (round(r.p, 6), r.sure, r["all"]) == (round(3 * 0.9 + 3 + 3 * 0.8, 6), 1, 2)
+    assert lint.fixed(docs, found=found).first().fixed_text == text.replace("utilize", "use")
+    assert lint.fixed(docs, found=found, maybe=True).first().fixed_text == text.replace("We utilize", "We take")
+    assert [x.fixed_text for x in lint.changed(frame(spark, "utilize", "fine"), rules).collect()] == ["use"]
+
+
+def test_chunks_end_at_what_is_no_prose(spark):
+    docs = frame(spark, "one\n\ntwo\n\n# head\n\nthree\n\n---\n\nfour", "one\n\ntwo").withColumn("markdown", F.col("doc_id") == 0)
+    got = {r.doc_id: [(c.start, c.end) for c in r.chunks] for r in judge.chunks(lint.parse(docs)).collect()}
+    assert got == {0: [(0, 8), (18, 23), (30, 34)], 1: [(0, 8)]}
+
+
+def test_cache_and_statistics(spark, tmp_path):
+    rules = [Rule("vague", "inferential", granularity="paragraph")]
+    asked = judge.requests(lint.parse(frame(spark, "Intro text.", "Other text.")), rules)
+    first = asked.where("doc_id = 0").select("cache_key", F.lit('[{"rule":"core/vague","quote":"Intro"},{"rule":"x/y","quote":"Intro"}]').alias("answer"))
+    judge.write_answers(first, str(tmp_path / "cache"))
+    judge.write_answers(first, str(tmp_path / "cache"))
+    cache = judge.read_answers(spark, str(tmp_path / "cache"))
+    assert cache.count() == 1 and judge.cache_misses(asked, cache).count() == 1
+    checked = judge.grounded(judge.parsed_answers(cache), asked)
+    got = {r.doc_id: (r.chunks, r.cache_hits, r.chunks_failed, r.grounded, r.hallucinated, r.first_failure is None) for r in judge.judge_stats(checked, asked, cache).collect()}
+    assert got == {0: (1, 1, 0, 1, {"x/y": 1}, True), 1: (1, 0, 1, 0, None, False)}
+
+
+def test_samples_and_gates(spark):
+    docs = frame(spark, "\n\n".join(f"part {i} " + "x" * 60 for i in range(9)), "only one", "  ")
+    got = mining.spread_sample(docs, "doc_id", slots=5, chars=70, budget=1000).collect()
+    assert [(r.doc_id, r.slot, r.passage[:6]) for r in got] == [(1, 0, "only o"), (0, 0, "part 0"), (0, 1, "part 8")]
+    rules = RuleSet((Rule("a", "phrase", patterns=("part",)), Rule("b", "phrase", patterns=("zeta",), examples=(("a zeta", "none"),)), Rule("c", "phrase", patterns=("eta",), examples=(("none", "none"),))))
+    assert {r.rule_id: r.ok for r in mining.consistent(rules, docs).collect()} == {"core/a": False, "core/b": True, "core/c": False}
