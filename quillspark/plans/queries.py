@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import java
 from ..operators import evaluate, judge, lint, mining, render, sourcing
 from ..rules.model import Options, Rule, RuleSet
+from .finding_sql import finding_sql
 from .lint_corpus import lint_corpus, lint_sql, quoted
 from .sentence_sql import SENTENCE_SQL
 
@@ -19,6 +20,7 @@ DENSITY = [r for r in CORE.rules if r.engine == "density"]
 #: Rules whose matches SQL can count: phrases without context, and rates.
 COUNTED = [r for r in CORE.rules if r.engine in ("phrase", "density") and not r.allow_context and r.name != "no-not-only"]
 SIMPLE = Options(enable=tuple(r.id for r in COUNTED), directive="nothing")
+SOME = Options(disable=("no-semicolons", "core/prefer-short-words"), severity={"no-en-dash": "suggestion"}, thresholds={"no-hedging": 1.0})
 W = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
 
 
@@ -242,7 +244,7 @@ QUERIES = {f.__name__: f for f in (
 )} | {
     "leading_hits": partial(_by_option, Options(enable=tuple(r.id for r in CORE.rules if r.engine == "leading"))),
     "opener_runs": partial(_one_rule, "no-repetitive-openers"), "long_sentences": partial(_one_rule, "sentence-length"), "uniform_rhythm": partial(_one_rule, "uniform-sentence-rhythm"), "triad_overuse": partial(_one_rule, "triad-overuse"), "dash_context": partial(_one_rule, "no-en-dash"),
-    "some_disabled": partial(_by_option, Options(disable=("no-semicolons", "core/prefer-short-words"), severity={"no-en-dash": "suggestion"}, thresholds={"no-hedging": 1.0})),
+    "some_disabled": partial(_by_option, SOME),
 }
 
 
@@ -300,4 +302,4 @@ ORACLE_SQL = {
     "benchmark_overlap": f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
-} | SENTENCE_SQL
+} | SENTENCE_SQL | finding_sql(CORE, SOME)

@@ -44,14 +44,14 @@ SENTENCES = f"""WITH {lint_sql()},
 docs AS (SELECT *, len(regexp_extract_all(text, {_WORDS}))::BIGINT AS word_count FROM lint),
 cut AS (SELECT doc_id, regexp_split_to_array(text, {quoted(_SEPARATOR)}) AS ps, regexp_extract_all(text, {quoted(_SEPARATOR)}) AS ss FROM lint),
 pieces AS (SELECT doc_id, i AS b, ps[i] AS raw, (coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ss[1:i - 1], lambda x: length(x))), 0))::BIGINT AS pos FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM cut)),
-blocks AS (SELECT doc_id, b, pos + length(raw) - length(regexp_replace(raw, {quoted("^" + _BLANK + "+")}, '')) AS bstart, regexp_replace(regexp_replace(raw, {quoted("^" + _BLANK + "+")}, ''), {quoted(_BLANK + "+$")}, '') AS btext FROM pieces WHERE regexp_matches(raw, {quoted(r"[^\s\p{Z}]")})),
+blocks AS MATERIALIZED (SELECT doc_id, b, pos + length(raw) - length(regexp_replace(raw, {quoted("^" + _BLANK + "+")}, '')) AS bstart, regexp_replace(regexp_replace(raw, {quoted("^" + _BLANK + "+")}, ''), {quoted(_BLANK + "+$")}, '') AS btext FROM pieces WHERE regexp_matches(raw, {quoted(r"[^\s\p{Z}]")})),
 tokens AS (SELECT doc_id, b, bstart, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT *, regexp_extract_all(btext, {quoted(r'''[^.!?]+|[.!?]+["'”’)\]]*''')}) AS ts FROM blocks)),
 marked AS (SELECT doc_id, b, bstart, i, ts[i] AS t, (regexp_matches(ts[i], '^[.!?]') AND i < len(ts) AND regexp_matches(ts[i + 1], {quoted(r'''^[\s\p{Z}]+[\p{Lu}0-9"“‘'(]''')})
     AND NOT (regexp_matches(ts[i], {quoted(r"^\.(?:[^.!?]|$)")}) AND regexp_matches(right(array_to_string(ts[greatest(1, i - 8):i - 1], ''), 60), {quoted(_BLOCKED)})))::INT AS ends FROM tokens),
 placed AS (SELECT *, coalesce(sum(ends) OVER w, 0) AS s, coalesce(sum(length(t)) OVER w, 0) AS pos FROM marked WINDOW w AS (PARTITION BY doc_id, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 raws AS (SELECT doc_id, b, s, min(bstart + pos)::BIGINT AS start, string_agg(t, '' ORDER BY i) AS raw FROM placed GROUP BY doc_id, b, s),
 bare AS (SELECT doc_id, b, s, start + length(raw) - length(regexp_replace(raw, {quoted("^" + _BLANK + "+")}, '')) AS start, regexp_replace(regexp_replace(raw, {quoted("^" + _BLANK + "+")}, ''), {quoted(_BLANK + "+$")}, '') AS text FROM raws),
-sents AS (SELECT *, start + length(text) AS stop, len(regexp_extract_all(text, {quoted(f"{_WORD}|{_NUMBER}")}))::BIGINT AS n, nullif(lower(regexp_extract(text, {quoted(_WORD)})), '') AS opener,
+sents AS MATERIALIZED (SELECT *, start + length(text) AS stop, len(regexp_extract_all(text, {quoted(f"{_WORD}|{_NUMBER}")}))::BIGINT AS n, nullif(lower(regexp_extract(text, {quoted(_WORD)})), '') AS opener,
     regexp_matches(text, {_own(REPORTER.removeprefix("(?U)"))}) OR regexp_matches(text, {_own(_SIGNAL)}) AS cited, row_number() OVER (PARTITION BY doc_id ORDER BY b, s) AS k FROM bare WHERE text <> '')"""
 
 #: Findings `f` (doc_id, start, stop, message) with place and line; those on a line with a directive are off.
