@@ -373,8 +373,11 @@ def test_fingerprints_against_every_shift(spark):
         text = rows[-3][1]
         rows += [(q + 3, text[:1600] + "inserted" + text[1600:]), (q + 4, passage + some(900) + passage + some(100))]
         planted |= {(q, q + 1), (q, q + 3), (q, q + 4)}
-    found = fingerprints.search(spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text as binary) media")).collect()
+    media = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text as binary) media")
+    some_found = {(r.query_id, r.id) for r in fingerprints.search(media).collect() if r.query_id is not None}
+    found = fingerprints.search(media, every_shift=True).collect()
     pairs = {(r.query_id, r.id) for r in found if r.query_id is not None}
+    assert {(q, q + 3) for q in passages} <= some_found <= pairs
     text = dict(rows)
     every = {(q, i) for q in (100, 200) for i in text if i != q and plain_alignment(text[q], text[i])}
     assert {p for p in planted if p[0] in (100, 200)} <= every <= pairs and planted <= pairs
