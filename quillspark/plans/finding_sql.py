@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from ..operators.judge import CONTEXT_CHARS, VERSION
 from ..operators.lint import LEAST_SENTENCES, LEAST_WORDS
 from ..rules.model import Options, Rule, RuleSet
 from .lint_corpus import quoted
-from .sentence_sql import _BLANK, _METRICS, W, _own
+from .sentence_sql import _BLANK, _METRICS, SENTENCES, W, _own
 
 _POINTS = {"error": 5, "warning": 3, "suggestion": 1}
 
@@ -97,19 +100,36 @@ def _column(offset: str) -> str:
     return f"(length({head}) + length(regexp_replace({head}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) + 1)::INT"
 
 
+_WHOLE = "regexp_extract(substring(text, 1, start), '[^\\n]*$') || split_part(substring(text, start + 1), chr(10), 1)"
+_EXCERPT = f"""regexp_replace(regexp_replace({_WHOLE}, {quoted("^" + _BLANK + "+")}, ''), {quoted(_BLANK + "+$")}, '')"""
+
+
 def diagnostics(rules: RuleSet, options: Options = Options()) -> str:
-    whole = "regexp_extract(substring(text, 1, start), '[^\\n]*$') || split_part(substring(text, start + 1), chr(10), 1)"
     return f"""{findings(rules, options)} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, rule_ix, part_ix) - 1)::INT AS ord, rule_id, severity, tier, intent, start::INT AS start, stop::INT AS "end", coalesce(message, says) AS message, weight::INT AS weight, replacement,
 line::INT AS line, {_column("start")} AS "column", (length(substring(text, 1, stop)) - length(replace(substring(text, 1, stop), chr(10), '')) + 1)::INT AS end_line, {_column("stop")} AS end_column,
-regexp_replace(regexp_replace({whole}, {quoted("^" + _BLANK + "+")}, ''), {quoted(_BLANK + "+$")}, '') AS excerpt, NULL::DOUBLE AS confidence, CASE WHEN replacement IS NOT NULL THEN 'machine-applicable' END AS applicability FROM found"""
+{_EXCERPT} AS excerpt, NULL::DOUBLE AS confidence, CASE WHEN replacement IS NOT NULL THEN 'machine-applicable' END AS applicability FROM found"""
 
 
 def finding_sql(core: RuleSet, some: Options, leading_max: int = 3) -> dict[str, str]:
+    asked = [r for r in core.rules if r.engine == "inferential"]
+    rubric = "\n\n".join(f"## {r.id}\n{r.rubric or r.says()}" for r in asked)
     tiers = ", ".join(f"({i}, {quoted(r.id)}, {quoted(r.tier)})" for i, r in enumerate(core.rules))
     return {
         "scores": scores(core, keep="doc_id, lang, source"),
         "some_disabled": scores(core, some),
         "all_diagnostics": diagnostics(core),
+        "dash_context": f"""{findings(core)} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS ord, start::INT AS start, stop::INT AS "end", line::INT AS line, {_column("start")} AS "column", says AS message, {_EXCERPT} AS excerpt FROM found WHERE rule_id = 'core/no-en-dash'""",
+        "self_firing": f"{findings(core)} SELECT rule_id, count(DISTINCT doc_id)::BIGINT AS n_docs FROM found WHERE rule_id IN ({', '.join(quoted(r.id) for r in core.rules if r.engine in ('phrase', 'leading'))}) GROUP BY rule_id",
+        "judge_requests": f"""{SENTENCES.replace("WITH ", "WITH RECURSIVE ", 1)}, bs AS (SELECT doc_id, list(bstart ORDER BY b) AS starts, list(bstart + length(btext) ORDER BY b) AS stops FROM blocks GROUP BY doc_id),
+            packed AS (SELECT doc_id, 1 AS i, 0 AS unit_ix, starts[1] AS start, stops[1] AS stop, stops[1] - starts[1] AS size, starts, stops FROM bs
+            UNION ALL SELECT doc_id, i + 1, CASE WHEN size + stops[i + 1] - starts[i + 1] <= {CONTEXT_CHARS} THEN unit_ix ELSE unit_ix + 1 END, CASE WHEN size + stops[i + 1] - starts[i + 1] <= {CONTEXT_CHARS} THEN start ELSE starts[i + 1] END, stops[i + 1],
+                CASE WHEN size + stops[i + 1] - starts[i + 1] <= {CONTEXT_CHARS} THEN size + stops[i + 1] - starts[i + 1] ELSE stops[i + 1] - starts[i + 1] END, starts, stops FROM packed WHERE i < len(starts)),
+            chunks AS (SELECT doc_id, unit_ix, min(start) AS start, max(stop) AS stop FROM packed GROUP BY doc_id, unit_ix)
+            SELECT doc_id, 'chunk' AS unit, unit_ix::INT AS unit_ix, start::INT AS start, stop::INT AS "end", sha256(substring(text, start::BIGINT + 1, (stop - start)::BIGINT) || {quoted(hashlib.sha256(rubric.encode()).hexdigest() + VERSION)}) || ':none' AS cache_key, {quoted(",".join(r.id for r in asked))} AS rules FROM chunks JOIN lint USING (doc_id)""",
+        "fixed_texts": f"""{findings(core).replace("WITH ", "WITH RECURSIVE ", 1)}, edits AS (SELECT doc_id, list({{'a': start, 'b': stop, 'r': replacement}} ORDER BY start, stop, rule_ix, part_ix) AS es FROM found WHERE replacement IS NOT NULL GROUP BY doc_id),
+            folded AS (SELECT doc_id, text, es, 0 AS i, 0::BIGINT AS pos, ''::VARCHAR AS out_, 0 AS n FROM lint LEFT JOIN edits USING (doc_id)
+            UNION ALL SELECT doc_id, text, es, i + 1, CASE WHEN es[i + 1].a >= pos THEN es[i + 1].b ELSE pos END, CASE WHEN es[i + 1].a >= pos THEN out_ || substring(text, pos + 1, es[i + 1].a - pos) || es[i + 1].r ELSE out_ END, n + (es[i + 1].a >= pos)::INT FROM folded WHERE i < len(es))
+            SELECT doc_id, out_ || substring(text, pos + 1) AS fixed_text, n::INT AS n_fixes FROM folded WHERE i = coalesce(len(es), 0)""",
         "exit_codes": f"{findings(core)} SELECT doc_id, CASE WHEN count_if(severity = 'error') > 0 OR count_if(severity = 'warning') > {leading_max} THEN 1 ELSE 0 END::INT AS exit_code FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id",
         "rule_coverage": f"""{findings(core)}, every(ix, rule_id, tier) AS (VALUES {tiers}), counts AS (SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id)
             SELECT tier, count(*)::BIGINT AS total, count_if(tier <> 'inferential')::BIGINT AS ran, coalesce(sum(n), 0)::BIGINT AS findings, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (tier = 'inferential'), '') AS skipped FROM every LEFT JOIN counts USING (rule_id) GROUP BY tier""",

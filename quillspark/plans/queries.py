@@ -277,7 +277,19 @@ aucs AS (SELECT slice, {_AUC} AS auc FROM (SELECT * FROM slices WHERE label = 'a
 result AS (SELECT slice, coalesce(auc, 0)::DOUBLE AS auc, count_if(label = 'ai')::BIGINT AS n_pos, count_if(label = 'human')::BIGINT AS n_neg FROM slices LEFT JOIN aucs USING (slice) GROUP BY slice, auc)"""
 _RUNS = "list_distinct(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' ')))"
 
+_PAGE = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g')"
+for _name in sourcing.DROPPED:
+    _PAGE = f"regexp_replace({_PAGE}, '(?is)<{_name}\\b[^>]*>.*?(?:</{_name}\\s*>|\\z)', ' ', 'g')"
+_PAGE = f"regexp_replace(regexp_replace({_PAGE}, '(?i)</?(?:{sourcing.BREAKING})\\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+for _name in sorted(sourcing.ENTITIES, key=lambda e: e == "&amp;"):
+    _PAGE = f"replace({_PAGE}, {quoted(_name)}, {quoted(sourcing.ENTITIES[_name])})"
+_NOISE = r"^[0-9]+$|^(?:[0-9]+\s+){0,4}[0-9]+$|(?i)^(?:page\s+[0-9]+.*|table of contents|opinion)$"
+
 ORACLE_SQL = {
+    "page_texts": f"""WITH bare AS (SELECT page_id, {_PAGE} AS t FROM pages),
+        lines AS (SELECT page_id, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '')) AS ls FROM bare),
+        joined AS (SELECT page_id, coalesce(array_to_string(list_filter(ls, lambda x: x <> '' AND NOT regexp_matches(x, {quoted(_NOISE)})), ' '), '') AS j FROM lines)
+        SELECT page_id, regexp_replace(array_to_string(list_transform(string_split(j, ' '), lambda w: CASE WHEN regexp_matches(w, '^\\[[0-9]+\\]$') THEN '' ELSE w END), ' '), ' {{2,}}', ' ', 'g') AS text FROM joined""",
     "word_counts": f"{_PARSED} SELECT doc_id, word_count, len(bs)::BIGINT AS n_blocks FROM parsed",
     "phrase_hits": f"{_PARSED}, hits AS ({_rows([r for r in COUNTED if r.engine == 'phrase'])}) SELECT rule_id, sum(n)::BIGINT AS n_hits, count_if(n > 0)::BIGINT AS n_docs FROM hits GROUP BY rule_id",
     "density_rates": f"{_PARSED}, hits AS ({_rows(DENSITY)}) SELECT doc_id, rule_id, n, round(n / w * 1000, 6) AS rate, n / w * 1000 > thr AS fires, greatest(1, ceil(n - thr * w / 1000))::BIGINT AS weight FROM hits WHERE n > 0",
