@@ -231,8 +231,12 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def train(rows: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
     """Fits on a bounded sample of the labelled rows and on all unlabelled ones of `features`."""
-    some = rows.where("y in (0, 1)").groupBy("doc_id").agg(F.min(F.struct("v", "y")).alias("x"))
-    found = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("x.*").collect()
+    known, draw = rows.where("y in (0, 1)"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    n = known.select("doc_id").distinct().count()
+    # a little more than the bound goes through the sort, so that no task sends the driver its own largest part
+    known = known.where(draw < int((1 << 30) * min(1.0, 1.1 * max_labelled / max(n, 1))))
+    some = known.groupBy("doc_id").agg(F.min(F.struct("v", "y")).alias("x"))
+    found = some.orderBy(draw, "doc_id").limit(max_labelled).select("x.*").collect()
     if not found:
         return None
     text, meta = _split(np.frombuffer(b"".join(r.v for r in found), "<f4").reshape(len(found), -1).astype(float))
