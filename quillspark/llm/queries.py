@@ -9,6 +9,7 @@ from .common import table
 from .fingerprints import search
 from .licenses import scan_licenses
 from .minhash import near_duplicates
+from .mixing import mix
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack_documents
 from .pieces import encoding_report
@@ -62,4 +63,8 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chroma_search, op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op6_epsilon_grid, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding)}
+def op13_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chroma_search, op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op6_epsilon_grid, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding, op13_pareto_mix)}
