@@ -72,4 +72,18 @@ early AS (SELECT doc_id FROM placed WHERE b1 < end1 OR (b1 = end1 AND b2 < end2)
 taken AS (SELECT doc_id FROM early UNION ALL SELECT doc_id FROM ended WHERE more)
 SELECT e.doc_id, e.size, g.s AS source_size, g.target, e.size * (e.whole + (e.doc_id IN (SELECT doc_id FROM taken))::BIGINT) AS taken, g.source FROM expected e JOIN goals g USING (src)"""
 
-ORACLE_SQL = {"op6_epsilon_grid": OP6, "op7_suffix_arrays": OP7, "op8_bayes_minhash": OP8, "op13_pareto_mix": OP13}
+OP11 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10), sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups_ AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sizes USING (lang) LEFT JOIN counts USING (lang, source) GROUP BY lang, source, v),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v)::HUGEINT AS p FROM groups_ g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY lang, term), totals AS (SELECT lang, sum(n)::HUGEINT AS total FROM counts GROUP BY lang),
+langs AS (SELECT w.lang, w.term, 1 + 1000000000::HUGEINT * (w.n + 2) // (t.total + 2 * s.v)::HUGEINT AS q FROM whole w JOIN totals t USING (lang) JOIN sizes s USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL SELECT s.lang, s.source, 'term', s.term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares s JOIN langs l ON l.lang = s.lang AND l.term = s.term WHERE s.n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+ORACLE_SQL = {"op6_epsilon_grid": OP6, "op7_suffix_arrays": OP7, "op8_bayes_minhash": OP8, "op11_source_divergence": OP11, "op13_pareto_mix": OP13}

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .divergence import source_divergence
 from .fingerprints import search
 from .licenses import scan_licenses
 from .minhash import near_duplicates
@@ -64,6 +65,10 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return alignment_report(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
@@ -73,4 +78,4 @@ def op13_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chroma_search, op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op6_epsilon_grid, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding, op12_token_alignment, op13_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_chroma_search, op2_vector_best_fit, op3_rendezvous_shards, op4_pii, op5_co_training, op6_epsilon_grid, op7_suffix_arrays, op8_bayes_minhash, op9_license_scan, op10_piece_coding, op11_source_divergence, op12_token_alignment, op13_pareto_mix)}
