@@ -2,14 +2,18 @@
 
 The text view sees what a text is made of (shares of characters, repetition of
 words), the metadata view what is known about the page besides its text
-(language, source, stated length). Each is a logistic regression. Both begin
-with labelled rows. In each of `ROUNDS` rounds each view labels all documents
-that have no label, and those it is confident about teach the other: a pass over
-the table of features gives each class's gradient and curvature, a few thousand
-numbers a task that are added up on the way to the driver, for each of `STEPS`
-Newton steps. Whatever their number, a class's pseudo-labels weigh `TRUST` times
-what its labelled rows do. Both views are then calibrated on labelled rows kept
-out of training, and a regression over the two calibrated views gives the score.
+(language, source, stated length). Each is a logistic regression over features that
+are centred, scaled and bounded. Both begin with labelled rows. In each of `ROUNDS`
+rounds each view labels all documents that have no label, and those it is confident
+about, by calibrated probability, teach the other: a pass over the table of features
+gives each class's likelihood, gradient and curvature, a few thousand numbers a task
+that are added up on the way to the driver, for each of `STEPS` Newton steps. Whatever
+their number, a class's pseudo-labels weigh `TRUST` times what its labelled rows do, and
+the ridge grows with the weight of all rows. A step that lowers the penalised likelihood
+is halved and tried again; a view that is less likely on held-out labelled rows after a
+round is left as it was, and the rounds end when none gains. Calibration uses the same
+held-out rows, every fifth of each class, and a regression over the two calibrated
+views gives the score.
 
 The documented bound is on labelled rows: at most `MAX_LABELLED` of them, those
 with the least hash of their doc_id, one row for each doc_id, reach the driver as
@@ -18,10 +22,11 @@ Features are computed once and written, a tenth of the input; scoring is one pas
 
 Defined results: a null text counts as empty; null metadata is a value of its
 own; of several labels for a document the least counts, and of several rows for
-a labelled document the one with the least features; where the labels hold
-only one class (or none) every score is 0.5 and every document is kept; repeated
-rows give repeated results; an empty table gives an empty result; further columns
-of the input are ignored, or kept by `score`.
+a labelled document the one with the least features; where a class has a single label,
+calibration uses the rows of training; where the labels hold only one class (or none)
+every score is 0.5 and every document is kept; repeated rows give repeated results; an
+empty table gives an empty result; further columns of the input are ignored, or kept by
+`score`, where those of its own names give way.
 """
 
 from __future__ import annotations
@@ -39,9 +44,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MAX_LABELLED = 20_000
-ROUNDS, STEPS, CONFIDENT, TRUST = 3, 3, 0.97, 1.0
-HELD_OUT = 5  # every fifth labelled row calibrates
-RIDGE = 1e-2
+ROUNDS, STEPS, CONFIDENT, TRUST = 3, 4, 0.97, 1.0
+HELD_OUT = 5  # every fifth labelled row of a class calibrates
+RIDGE = 1e-2  # for a weight of one
+#: A feature lies within so many standard deviations of the labelled rows' mean.
+FAR = 5.0
 #: Sums that one task adds up.
 FAN_IN = 16
 
@@ -75,16 +82,34 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 25) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton's method with a ridge."""
-    x = np.column_stack((x, np.ones(len(x))))
-    ridge = np.full(x.shape[1], RIDGE)
-    w = np.zeros(x.shape[1])
+def likelihood(x: np.ndarray, y: np.ndarray | float, w: np.ndarray) -> float:
+    """The log-likelihood of rows that end in a one."""
+    m = x @ w
+    return float(np.sum(y * m - np.logaddexp(0, m)))
+
+
+def penalty(w: np.ndarray, ridge: float) -> np.ndarray:
+    """The ridge of each weight; the intercept has next to none."""
+    return np.append(np.full(len(w) - 1, ridge), 1e-6)
+
+
+def _step(best: float | None, w: np.ndarray, step: np.ndarray, value: float, g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The best penalised likelihood, its weights and the step to try next, once w + step was evaluated:
+    on from there if it is better, else half the step."""
+    tried, r = w + step, penalty(w, ridge)
+    value -= float(r @ tried**2) / 2
+    if best is not None and value < best:
+        return best, w, step / 2
+    return value, tried, np.linalg.solve(h + np.diag(r), g - r * tried)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights (the last is the intercept) of a regression with a ridge in proportion to the rows."""
+    x = _with_one(x)
+    best, w, step = None, np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge) + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        best, w, step = _step(best, w, step, likelihood(x, y, w + step), *_slopes(x, y, w + step), RIDGE * len(x))
+        if np.abs(step).max() < 1e-9:
             break
     return w
 
@@ -97,13 +122,15 @@ def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of each view, their calibration (slope, intercept) and the regression over both."""
 
+    shape: np.ndarray  # mean and 1 / deviation of each feature
     text: np.ndarray
     meta: np.ndarray
     text_scale: np.ndarray
     meta_scale: np.ndarray
     both: np.ndarray
 
-    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, views: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text, meta = _split(shaped(views, self.shape))
         a = margin(margin(text, self.text)[:, None], self.text_scale)
         b = margin(margin(meta, self.meta)[:, None], self.meta_scale)
         return sigmoid(a), sigmoid(b), sigmoid(margin(np.clip(np.column_stack((a, b)), -20, 20), self.both))
@@ -123,30 +150,43 @@ def _split(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[:, :TEXT_WIDTH], v[:, TEXT_WIDTH:]
 
 
-def _taught(batches: Iterator[pa.RecordBatch], teachers: list[np.ndarray], learners: list[np.ndarray]) -> bytes | None:
-    """For each learning view and each class: the rows that the other view is confident about, their gradient and curvature."""
+def shaped(views: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Features centred, scaled and bounded; those that are constant among the labelled rows vanish."""
+    return np.clip((views - shape[0]) * shape[1], -FAR, FAR)
+
+
+#: A view that teaches: its weights, and slope and intercept of its calibration.
+Teacher = tuple[np.ndarray, np.ndarray]
+
+
+def _sure(view: np.ndarray, teacher: Teacher) -> np.ndarray:
+    return sigmoid(margin(margin(view, teacher[0])[:, None], teacher[1]))
+
+
+def _taught(batches: Iterator[pa.RecordBatch], shape: np.ndarray, teachers: list[Teacher], learners: list[np.ndarray]) -> bytes | None:
+    """For each learning view and each class: the rows that the other view is confident about, their likelihood, gradient and curvature."""
     total = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        views = _split(_features(batch.column(0)))
-        sure = [sigmoid(margin(v, w)) for v, w in zip(views, teachers, strict=True)]
+        views = _split(shaped(_features(batch.column(0)), shape))
+        sure = [_sure(v, t) for v, t in zip(views, teachers, strict=True)]
         found = []
         for me, other in ((0, 1), (1, 0)):
             x = _with_one(views[me])
             for y, some in ((0.0, sure[other] <= 1 - CONFIDENT), (1.0, sure[other] >= CONFIDENT)):
                 g, h = _slopes(x[some], y, learners[me])
-                found += [[some.sum()], g, h.ravel()]
+                found += [[some.sum(), likelihood(x[some], y, learners[me])], g, h.ravel()]
         found = np.concatenate(found)
         total = found if total is None else total + found
     return None if total is None else total.astype("<f8").tobytes()
 
 
-def _pool_sums(pool: DataFrame, teachers: list[np.ndarray], learners: list[np.ndarray]) -> list[tuple] | None:
-    """(n, gradient, curvature) of the pseudo-labelled rows of `pool` (v), by view and class."""
+def _pool_sums(pool: DataFrame, shape: np.ndarray, teachers: list[Teacher], learners: list[np.ndarray]) -> list[tuple] | None:
+    """(n, likelihood, gradient, curvature) of the pseudo-labelled rows of `pool` (v), by view and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _taught(batches, teachers, learners)
+        sums = _taught(batches, shape, teachers, learners)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([sums], pa.binary())], names=["sums"])
 
@@ -166,42 +206,64 @@ def _pool_sums(pool: DataFrame, teachers: list[np.ndarray], learners: list[np.nd
     for w in learners:
         d = len(w)
         for _ in range(2):
-            out.append((total[at], total[at + 1 : at + 1 + d], total[at + 1 + d : at + 1 + d + d * d].reshape(d, d)))
-            at += 1 + d + d * d
+            out.append((total[at], total[at + 1], total[at + 2 : at + 2 + d], total[at + 2 + d : at + 2 + d + d * d].reshape(d, d)))
+            at += 2 + d + d * d
     return out
 
 
-def fit(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: DataFrame | None = None) -> Model | None:
-    """Co-trains on labelled rows and the features `v` of `pool`; None without both classes."""
-    every = np.arange(len(label))
-    held, train = every[::HELD_OUT], np.delete(every, np.s_[::HELD_OUT])
-    if min(len(np.unique(label[held])), len(np.unique(label[train]))) < 2:
-        return None
-    views = (text, meta)
-    y = label[train].astype(float)
-    weights = [logistic(v[train], y) for v in views]
-    mine = [_with_one(v[train]) for v in views]
+def _folds(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows held out, every fifth of each class, and rows to train on; the same ones where a class has a single row."""
+    each = [np.flatnonzero(label == c) for c in (0, 1)]
+    if min(map(len, each)) < 2:
+        return np.arange(len(label)), np.arange(len(label))
+    held = np.sort(np.concatenate([e[::HELD_OUT] for e in each]))
+    return held, np.delete(np.arange(len(label)), held)
+
+
+def _rounds(shape: np.ndarray, mine: list, held: list, y: np.ndarray, y_held: np.ndarray, pool_sums, rounds: int) -> list[np.ndarray]:
+    """Weights of both views after co-training. `pool_sums(shape, teachers, learners)` gives the sums over the pool; rows end in a one."""
     each = [float((y == c).sum()) for c in (0, 1)]
-    for _ in range(ROUNDS if pool is not None else 0):
-        teachers, learners = weights, list(weights)
-        for _ in range(STEPS):
-            sums = _pool_sums(pool, teachers, learners)
+    weights = [logistic(x[:, :-1], y) for x in mine]
+    for _ in range(rounds):
+        teachers = [(w, logistic((h @ w)[:, None], y_held)) for w, h in zip(weights, held, strict=True)]
+        best, steps, values = list(weights), [np.zeros(len(w)) for w in weights], [None, None]
+        ridge = RIDGE * (1 + TRUST) * len(y)
+        for _ in range(STEPS):  # both views climb in the same passes
+            tried = [w + step for w, step in zip(best, steps, strict=True)]
+            sums = pool_sums(shape, teachers, tried)
             if sums is None:
-                break
+                return weights
             for me in (0, 1):
-                g, h = _slopes(mine[me], y, learners[me])
+                value, (g, h) = likelihood(mine[me], y, tried[me]), _slopes(mine[me], y, tried[me])
                 for c in (0, 1):
-                    n, more_g, more_h = sums[2 * me + c]
+                    n, more, more_g, more_h = sums[2 * me + c]
                     if n:
-                        g, h = g + TRUST * each[c] / n * more_g, h + TRUST * each[c] / n * more_h
-                ridge = np.full(len(g), RIDGE)
-                learners[me] = learners[me] + np.linalg.solve(h + np.diag(ridge) + 1e-9 * np.eye(len(g)), g - ridge * learners[me])
-        weights = learners
-    y = label[held].astype(float)
-    margins = [margin(v[held], w) for v, w in zip(views, weights, strict=True)]
-    scales = [logistic(m[:, None], y) for m in margins]
+                        scale = TRUST * each[c] / n
+                        value, g, h = value + scale * more, g + scale * more_g, h + scale * more_h
+                values[me], best[me], steps[me] = _step(values[me], best[me], steps[me], value, g, h, ridge)
+        gains = [likelihood(h, y_held, new) > likelihood(h, y_held, old) for h, new, old in zip(held, best, weights, strict=True)]
+        weights = [new if ok else old for new, old, ok in zip(best, weights, gains, strict=True)]
+        if not any(gains):
+            break
+    return weights
+
+
+def fit(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: DataFrame | None = None, rounds: int = ROUNDS) -> Model | None:
+    """Co-trains on labelled rows and the features `v` of `pool`; None without both classes."""
+    if len(np.unique(label)) < 2:
+        return None
+    held, train = _folds(label)
+    rows = np.column_stack((text, meta))
+    deviation = rows[train].std(axis=0)
+    shape = np.stack((rows[train].mean(axis=0), np.where(deviation > 1e-9, 1 / np.maximum(deviation, 1e-9), 0.0)))
+    views = [_with_one(v) for v in _split(shaped(rows, shape))]
+    y, y_held = label[train].astype(float), label[held].astype(float)
+    mine, out = [v[train] for v in views], [v[held] for v in views]
+    weights = _rounds(shape, mine, out, y, y_held, lambda *how: _pool_sums(pool, *how), rounds if pool is not None else 0)
+    margins = [v @ w for v, w in zip(out, weights, strict=True)]
+    scales = [logistic(m[:, None], y_held) for m in margins]
     calibrated = np.column_stack([np.clip(margin(m[:, None], s), -20, 20) for m, s in zip(margins, scales, strict=True)])
-    return Model(*weights, *scales, logistic(calibrated, y))
+    return Model(shape, *weights, *scales, logistic(calibrated, y_held))
 
 
 TEXT_WIDTH = len(text_view(""))
@@ -244,7 +306,7 @@ def train(rows: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
 
 
 def _scored(model: Model | None, views: np.ndarray, threshold: float) -> list[pa.Array]:
-    three = [np.full(len(views), 0.5)] * 3 if model is None else model.scores(*_split(views.astype(float)))
+    three = [np.full(len(views), 0.5)] * 3 if model is None else model.scores(views.astype(float))
     return [*map(pa.array, three), pa.array(three[2] >= threshold)]
 
 
@@ -254,6 +316,7 @@ KIND_NAMES = [k.split()[0] for k in KINDS.split(", ")]
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """`docs` with text_score, meta_score, score and kept. It has doc_id, text, lang, source and n_chars."""
+    docs = docs.drop(*KIND_NAMES)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + KINDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -306,14 +306,16 @@ def test_quality_held_out(spark):
     assert len(got) == 602
     held = [r.kept == (r.doc_id % 2 == 0) for r in got if 300 <= r.doc_id < 600]
     assert np.mean(held) > 0.97
-    taught = quality.train(quality.features(docs, labels))
-    pool = quality.features(docs, labels).where("y is null").select("v")
-    sums = quality._pool_sums(pool, [taught.text, taught.meta], [taught.text, taught.meta])
-    views = quality._split(quality._features(pool.toArrow().column("v").combine_chunks()))
-    sure = quality.sigmoid(quality.margin(views[1], taught.meta))
-    assert [sums[0][0], sums[1][0]] == [(sure <= 1 - quality.CONFIDENT).sum(), (sure >= quality.CONFIDENT).sum()] and sums[0][0] > 0
-    g, h = quality._slopes(quality._with_one(views[0][sure >= quality.CONFIDENT]), 1.0, taught.text)
-    assert np.allclose(sums[1][1], g) and np.allclose(sums[1][2], h)
+    rows = quality.features(docs, labels)
+    taught, pool = quality.train(rows), rows.where("y is null").select("v")
+    teachers = [(taught.text, taught.text_scale), (taught.meta, taught.meta_scale)]
+    sums = quality._pool_sums(pool, taught.shape, teachers, [taught.text, taught.meta])
+    views = quality._split(quality.shaped(quality._features(pool.toArrow().column("v").combine_chunks()), taught.shape))
+    sure = quality.sigmoid(quality.margin(quality.margin(views[1], taught.meta)[:, None], taught.meta_scale))
+    assert [sums[0][0], sums[1][0]] == [(sure <= 1 - quality.CONFIDENT).sum(), (sure >= quality.CONFIDENT).sum()] and sums[1][0] > 0
+    x = quality._with_one(views[0][sure >= quality.CONFIDENT])
+    g, h = quality._slopes(x, 1.0, taught.text)
+    assert np.isclose(sums[1][1], quality.likelihood(x, 1.0, taught.text)) and np.allclose(sums[1][2], g) and np.allclose(sums[1][3], h)
     none = quality.quality_report(docs, labels.where("quality = 1")).collect()
     assert all(r.score == 0.5 and r.kept for r in none)
 
