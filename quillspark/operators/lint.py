@@ -365,15 +365,14 @@ def edited(text: Column, edits: Column) -> Column:
     return F.aggregate(edits, zero, step, lambda acc: F.struct(F.concat(acc["out"], F.substr(text, acc["pos"] + 1)).alias("text"), acc["n"].alias("n")))
 
 
-def fixed(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), found: DataFrame | None = None, maybe: bool = False) -> DataFrame:
-    """doc_id, the text with all replacements made (also those that may be wrong if `maybe`), and how many were; of overlapping ones the first counts.
+def fixed(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), found: DataFrame | None = None, maybe: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `keep`, the text with all replacements made (also those that may be wrong if `maybe`), and how many were; of overlapping ones the first counts.
     `found` takes the place of `find(docs)`."""
     df = find(docs, rules, options) if found is None else found
     edits = F.filter("findings", lambda f: f["replacement"].isNotNull() & (F.lit(maybe) | (f["tier"] != "inferential")))
-    return once(df, __d=edited(F.col("__t"), edits)).select("doc_id", F.col("__d.text").alias("fixed_text"), F.col("__d.n").alias("n_fixes"))
+    return once(df, __d=edited(F.col("__t"), edits)).select("doc_id", *keep, F.col("__d.text").alias("fixed_text"), F.col("__d.n").alias("n_fixes"))
 
 
 def changed(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options()) -> DataFrame:
     """The rows of `fixed` whose text differs from what it was: all that a writer has to write."""
-    df = find(docs, rules, options)
-    return fixed(docs, found=df).join(df.select("doc_id", "__t"), "doc_id").where("fixed_text <> __t").drop("__t")
+    return fixed(docs, rules, options, keep=("__t",)).where("fixed_text <> __t").drop("__t")

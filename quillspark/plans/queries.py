@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import java
-from ..operators import evaluate, judge, lint, mining, render, sourcing
+from ..operators import diffs, evaluate, judge, lint, mining, render, sourcing
 from ..rules.model import Options, Rule, RuleSet
+from .diff_sql import line_diff_sql
 from .finding_sql import finding_sql
 from .lint_corpus import lint_corpus, lint_sql, quoted
 from .sentence_sql import SENTENCE_SQL
@@ -72,6 +73,13 @@ def fixed_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lint.fixed(lint_corpus(spark, sf))
 
 
+def line_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    """What the fixes change, line by line, with a line of context on either side."""
+    found = lint.find(lint_corpus(spark, sf))
+    fixed = lint.fixed(None, found=found, keep=("__t",))
+    return diffs.line_diffs(fixed.select("doc_id", F.col("__t").alias("before"), F.col("fixed_text").alias("after")))
+
+
 def _by_option(options: Options, spark: SparkSession, sf: str) -> DataFrame:
     df = lint.lint_scores(lint_corpus(spark, sf), options=options)
     return df.withColumn("fired_rules", F.array_join(F.array_sort("fired_rules"), ","))
@@ -238,7 +246,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
+    scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
     regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
     benchmark_overlap, rule_coverage, exit_codes, revision_briefs,
 )} | {
@@ -315,3 +323,4 @@ ORACLE_SQL = {
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
 } | SENTENCE_SQL | finding_sql(CORE, SOME)
+ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"])}
