@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WEIGHTS, SHARE, EPOCHS = (5.0, 2.0, 1.0), 1.5, 2.0
-FEW, CUTS = 1024, 4096
+FEW, CUTS, SALTS = 1024, 4096, 64
 #: Twice as long a document has 2^-DAMPING of the inclusion weight, so that a budget of words covers more documents.
 DAMPING = 0.25
 SEED = "mix"
@@ -90,6 +90,12 @@ def expected_copies(classes: DataFrame, epochs: float = EPOCHS, damping: float =
     return df.select("src", "class", F.when(F.col("capped"), F.lit(epochs)).otherwise(F.greatest(F.lit(0.0), (F.col("target") - used) / open_ * F.col("w"))).alias("copies"))
 
 
+def _beside(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with what `sources` says of theirs; where Spark does not broadcast that, rows of one source are spread over `SALTS` copies of it."""
+    copies = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(copies, ["src", "salt"], how).drop("salt")
+
+
 def _cuts(n: Column) -> Column:
     return F.least(F.lit(CUTS), F.greatest(F.lit(1), F.ceil(n / F.lit(FEW)))).cast("long")
 
@@ -139,15 +145,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     certain = ranked.groupBy("src").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"), F.count("z").alias("n"))
     lacking = certain.join(goals.drop("n"), "src").select("src", (F.col("target") - F.col("certain")).alias("lacking"), _cuts(F.col("n")).alias("cuts1"))
     first = F.floor(F.col("z") * F.col("cuts1"))
-    some = ranked.where("z is not null").join(lacking, "src").withColumn("b1", first)
+    some = _beside(ranked.where("z is not null"), lacking).withColumn("b1", first)
     end1 = _end(some.groupBy("src", "b1", "lacking").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "b1")
     end1 = end1.withColumn("cuts2", _cuts(F.col("n"))).drop("n").join(lacking.select("src", "cuts1"), "src")
     within = F.least(F.floor((F.col("z") * F.col("cuts1") - F.col("b1")) * F.col("cuts2")), F.col("cuts2") - 1)
-    inside = ranked.where("z is not null").join(end1, "src").withColumn("b1", first).where("b1 = end_b1").withColumn("b2", within)
+    inside = _beside(ranked.where("z is not null"), end1).withColumn("b1", first).where("b1 = end_b1").withColumn("b2", within)
     end2 = _end(inside.groupBy("src", "b2", "lacking").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "b2").drop("n")
     ends = materialize(end1.drop("lacking").join(end2, "src"))
 
-    placed = ranked.join(ends, "src", "left").withColumn("b1", first).withColumn("b2", within)
+    placed = _beside(ranked, ends, "left").withColumn("b1", first).withColumn("b2", within)
     last = (F.col("b1") == F.col("end_b1")) & (F.col("b2") == F.col("end_b2"))
     inner = F.coalesce(last, F.lit(False))
     early = (F.col("b1") < F.col("end_b1")) | ((F.col("b1") == F.col("end_b1")) & (F.col("b2") < F.col("end_b2")))
@@ -155,4 +161,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     met = placed.where(inner).select("doc_id", "src", "size", "whole", "z", "lacking").groupBy("src").applyInArrow(_filled, "doc_id long, src string, size long, whole long, more boolean")
     taken = F.col("size") * (F.col("whole") + F.col("more").cast("long"))
     source = F.when(F.col("src") != "", F.substr("src", F.lit(2)))
-    return done.unionByName(met).withColumn("taken", taken).join(goals, "src").select("doc_id", source.alias("source"), "size", "source_size", "target", "taken")
+    return _beside(done.unionByName(met).withColumn("taken", taken), goals).select("doc_id", source.alias("source"), "size", "source_size", "target", "taken")
