@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import java
-from ..operators import diffs, evaluate, judge, lint, mining, render, sourcing
+from ..operators import diffs, evaluate, judge, lint, mining, render, review, sourcing
 from ..rules.model import Options, Rule, RuleSet
 from .diff_sql import line_diff_sql
-from .finding_sql import finding_sql
+from .finding_sql import finding_sql, findings
 from .lint_corpus import lint_corpus, lint_sql, quoted
 from .sentence_sql import SENTENCE_SQL
+from .word_corpus import edit_sql, review_sql, word_corpus
 
 CORE = lint.core_rules()
 INFERENTIAL = [r for r in CORE.rules if r.engine == "inferential"]
@@ -80,6 +81,25 @@ def line_diffs(spark: SparkSession, sf: str) -> DataFrame:
     return diffs.line_diffs(fixed.select("doc_id", F.col("__t").alias("before"), F.col("fixed_text").alias("after")))
 
 
+def _edits(spark: SparkSession, sf: str) -> DataFrame:
+    return review.edits(lint.find(review.projected(word_corpus(spark, sf))))
+
+
+def word_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings of Word documents as tracked changes and comments, and the runs in which they begin and end."""
+    df = _edits(spark, sf).select("doc_id", F.inline("edits"))
+    return df.select("doc_id", "id", "kind", "start", "end", F.col("first.run").alias("first_run"), F.col("last.run").alias("last_run"), "replacement")
+
+
+def word_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviewed Word documents: what was marked, and the texts with all changes accepted and with all rejected."""
+    how = review.Review()
+    df = review.reviewed(_edits(spark, sf), how).select("doc_id", "applied", "annotated", "skipped", review.accepted(F.col("reviewed_xml"), how.author).alias("yes"), review.rejected(F.col("reviewed_xml"), how.author).alias("no"))
+    for c in ("yes", "no"):
+        df = review.projected(df, c).withColumn(c, F.md5(F.col("text").cast("binary"))).drop("text", "runs")
+    return df.select("doc_id", "applied", "annotated", "skipped", F.col("yes").alias("accepted_md5"), F.col("no").alias("rejected_md5"))
+
+
 def _by_option(options: Options, spark: SparkSession, sf: str) -> DataFrame:
     df = lint.lint_scores(lint_corpus(spark, sf), options=options)
     return df.withColumn("fired_rules", F.array_join(F.array_sort("fired_rules"), ","))
@@ -246,7 +266,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
+    scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
     regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
     benchmark_overlap, rule_coverage, exit_codes, revision_briefs,
 )} | {
@@ -323,4 +343,4 @@ ORACLE_SQL = {
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
 } | SENTENCE_SQL | finding_sql(CORE, SOME)
-ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"])}
+ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE))}
