@@ -156,11 +156,17 @@ def density_count(pattern: Column | str, within: Column | str = "blocks") -> Col
     return F.aggregate(within, F.lit(0), lambda acc, b: acc + F.regexp_count(b["text"], pattern))
 
 
-def _density(p: Column) -> Column:
+def _limit(rule_id: Column, limit: Column, by_doc: bool) -> Column:
+    """A rule's threshold, or the one that the document's own options set."""
+    return F.coalesce(F.try_element_at(F.col("options.thresholds"), rule_id), limit) if by_doc else limit
+
+
+def _density(p: Column, by_doc: bool) -> Column:
     words = F.greatest(F.col("words"), F.lit(1))
+    threshold = _limit(p["rule_id"], p["threshold"], by_doc)
 
     def fired(count: Column) -> Column:
-        weight = F.greatest(F.lit(1), F.ceil(count - p["threshold"] * words / 1000))
+        weight = F.greatest(F.lit(1), F.ceil(count - threshold * words / 1000))
         b = F.filter(_units(p), lambda b: F.regexp_like(b["text"], p["pattern"]))[0]
         whole = extract(b["text"], p["pattern"])
         group = F.when(p["pattern"].rlike(r"(?<!\\)\((?!\?)"), extract(b["text"], p["pattern"], 1)).otherwise("")
@@ -168,7 +174,7 @@ def _density(p: Column) -> Column:
         start = at + F.when(group != "", F.position(group, whole) - 1).otherwise(0)
         span = F.struct(start.alias("start"), (start + F.length(F.when(group != "", group).otherwise(whole))).alias("end"))
         message = F.concat(p["message"], F.lit(" ("), count.cast("string"), F.lit(" occurrences in "), F.col("words").cast("string"), F.lit(" words)"))
-        return F.when(count / words * 1000 > p["threshold"], F.array(_of_part(p, span, message, weight))).otherwise(F.array().cast(FINDING))
+        return F.when(count / words * 1000 > threshold, F.array(_of_part(p, span, message, weight))).otherwise(F.array().cast(FINDING))
 
     return let(density_count(p["pattern"], _units(p)), fired)
 
@@ -179,9 +185,9 @@ def _with_candidates(df: DataFrame, rows: list[dict]) -> DataFrame:
     return once(df, __at=candidates(rows, "__low", "__words")).drop("__low", "__words")
 
 
-def _by_parts(rows: list[dict], at: Column) -> Column:
+def _by_parts(rows: list[dict], at: Column, by_doc: bool) -> Column:
     """Findings of the rows of `parts` at some places."""
-    kinds = {"phrase": _phrase, "leading": _leading, "density": _density}
+    kinds = {"phrase": _phrase, "leading": _leading, "density": lambda p: _density(p, by_doc)}
     used = [k for k in kinds if any(r["kind"] == k for r in rows)]
 
     def one(p: Column) -> Column:
@@ -239,10 +245,11 @@ def document_metric(metric: str) -> Column:
     return F.when(enough, let(F.filter(sents, lambda s: s["opener"].isNotNull()), ratio))
 
 
-def _statistical(rule: Rule, ix: int) -> Column:
+def _statistical(rule: Rule, ix: int, by_doc: bool) -> Column:
     sents = _prose() if rule.scope == "prose" else F.col("sents")
     if rule.metric == "sentence-length":
-        return F.transform(F.filter(sents, lambda s: s["n_words"] > rule.max_words), lambda s: _finding(rule, ix, s))
+        most = _limit(F.lit(rule.id), F.lit(float(rule.max_words)), by_doc).cast("int")
+        return F.transform(F.filter(sents, lambda s: s["n_words"] > most), lambda s: _finding(rule, ix, s))
     if rule.metric == "repetitive-openers":
         # a run starts where a sentence does not go on; of every run_length-th in it a finding is made
         state = F.struct(F.lit(None).cast("string").alias("opener"), F.lit(-1).alias("block"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
@@ -261,35 +268,47 @@ def _statistical(rule: Rule, ix: int) -> Column:
             return F.transform(F.aggregate(numbered, state, step, lambda acc: acc["out"]), lambda i: _finding(rule, ix, F.get(some, i)))
 
         return let(sents, found)
-    limit = F.lit(float(rule.threshold))
+    limit = _limit(F.lit(rule.id), F.lit(float(rule.threshold)), by_doc)
 
     def judged(value: Column) -> Column:
         fires = value > limit if rule.direction == "above" else value < limit
-        message = F.format_string(f"{rule.says()} (%.2f, threshold {rule.threshold:.2f})", value)
+        message = F.format_string(f"{rule.says()} (%.2f, threshold %.2f)", value, limit)
         return F.when(F.coalesce(fires, F.lit(False)), F.array(_finding(rule, ix, F.element_at("sents", 1), message))).otherwise(F.array().cast(FINDING))
 
     return let(document_metric(rule.metric), judged)
 
 
 @kept
-def _findings(chosen: tuple[Rule, ...]) -> Column:
+def _findings(chosen: tuple[Rule, ...], by_doc: bool = False) -> Column:
     """All findings of rules, sorted."""
     rows, empty = parts(list(chosen)), F.array().cast(FINDING)
-    measured = [_masked(F.lit(r.scope), _statistical(r, ix).cast(FINDING)) if r.scope == "prose" else _statistical(r, ix).cast(FINDING) for ix, r in enumerate(chosen) if r.engine == "statistical"]
-    return F.array_sort(F.concat(empty, *([_by_parts(rows, F.col("__at"))] if rows else []), *(F.coalesce(e, empty) for e in measured)))
+    measured = [_masked(F.lit(r.scope), _statistical(r, ix, by_doc).cast(FINDING)) if r.scope == "prose" else _statistical(r, ix, by_doc).cast(FINDING) for ix, r in enumerate(chosen) if r.engine == "statistical"]
+    return F.array_sort(F.concat(empty, *([_by_parts(rows, F.col("__at"), by_doc)] if rows else []), *(F.coalesce(e, empty) for e in measured)))
 
 
 def find(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), text: str = "text") -> DataFrame:
-    """Adds `words`, `n_sentences` and `findings`, sorted by place, rule and pattern."""
+    """Adds `words`, `n_sentences` and `findings`, sorted by place, rule and pattern.
+
+    Where `docs` has a column `options` (see `operators.config`), each document's own options come on top of the run's."""
+    by_doc = "options" in docs.columns
     chosen = [r for r in (rules or core_rules()).chosen(options) if r.engine != "inferential"]
     rows = parts(chosen)
     df = parse(docs, text)
     df = _with_candidates(df, rows)
-    df = once(df, __found=_findings(tuple(chosen))).drop("__at")
+    df = once(df, __found=_findings(tuple(chosen), by_doc)).drop("__at")
     df = once(df, findings=allowed(F.col("__found"), F.col("__t"), rules or core_rules(), options.directive)).drop("__found")
+    if by_doc:
+        df = once(df.withColumnRenamed("findings", "__found"), findings=_own_options(F.col("__found"))).drop("__found")
     return df.withColumn("n_sentences", F.size("sents"))
 
 
+def _own_options(findings: Column) -> Column:
+    """Of a document's findings those of rules that its own options run, with the severities that they give."""
+    enable, disable, severity = (F.col(f"options.{c}") for c in ("enable", "disable", "severity"))
+    runs = lambda f: F.coalesce(F.array_contains(enable, f["rule_id"]), F.lit(True)) & ~F.coalesce(F.array_contains(disable, f["rule_id"]), F.lit(False))
+    return F.transform(F.filter(findings, runs), lambda f: f.withField("severity", F.coalesce(F.try_element_at(severity, f["rule_id"]), f["severity"]))).cast(FINDING)
+
+
 def scope_mask(scope: Column, start: Column, end: Column) -> Column:
     """Whether a span lies where a scope looks: anywhere for `all`, in one block that is no code for `text`, in one sentence of prose for `prose`."""
     within = lambda z: (z["start"] <= start) & (end <= z["end"])

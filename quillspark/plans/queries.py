@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import java
-from ..operators import diffs, evaluate, judge, lint, mining, render, review, sourcing
+from ..operators import config, diffs, evaluate, judge, lint, mining, render, review, sourcing
 from ..rules.model import Options, Rule, RuleSet
 from .diff_sql import line_diff_sql
 from .finding_sql import finding_sql, findings
 from .lint_corpus import lint_corpus, lint_sql, quoted
+from .place_corpus import USER, place_corpus, place_sql
 from .sentence_sql import SENTENCE_SQL
 from .word_corpus import edit_sql, review_sql, word_corpus
 
@@ -100,6 +102,17 @@ def word_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", "applied", "annotated", "skipped", F.col("yes").alias("accepted_md5"), F.col("no").alias("rejected_md5"))
 
 
+def configured_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores under the options that hold where each document lies."""
+    docs, files = place_corpus(spark, sf)
+    configured = config.configurations(files, CORE)
+    user = config.parsed(F.lit(json.dumps(USER)), F.lit("user"), CORE)
+    level = F.when(F.col("path").rlike("^/corpus/[^/]+/[^/]*[02468]/"), 3).when(F.col("lang") != "de", 2).otherwise(1)
+    df = config.with_options(docs, configured, user).withColumn("level", level).drop("markdown")
+    df = lint.lint_scores(df, options=SIMPLE, keep=("doc_id", "level"))
+    return df.select("doc_id", "level", "penalty", "score", F.array_join(F.array_sort("fired_rules"), ",").alias("fired_rules"))
+
+
 def _by_option(options: Options, spark: SparkSession, sf: str) -> DataFrame:
     df = lint.lint_scores(lint_corpus(spark, sf), options=options)
     return df.withColumn("fired_rules", F.array_join(F.array_sort("fired_rules"), ","))
@@ -266,7 +279,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
+    scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, configured_scores, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
     regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
     benchmark_overlap, rule_coverage, exit_codes, revision_briefs,
 )} | {
@@ -343,4 +356,4 @@ ORACLE_SQL = {
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
 } | SENTENCE_SQL | finding_sql(CORE, SOME)
-ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE))}
+ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED))}
