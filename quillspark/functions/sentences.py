@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import pieces
+from .text import match_spans, pieces
 
 # Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = (
@@ -47,3 +47,13 @@ def sentences(block: Column) -> Column:
         )
 
     return F.transform(pieces(block, BOUNDARY), piece)
+
+
+#: Words, numbers, and every other character that is no blank.
+TOKEN = rf"{WORD}|{NUMBER}|(?U:\S)"
+
+
+def tokens(text: Column) -> Column:
+    """array of (start, end, kind, text) of a text's tokens; kinds: word, number, punct."""
+    kind = lambda t: F.when(t.rlike(r"^\p{IsAlphabetic}"), "word").when(t.rlike("^[0-9]"), "number").otherwise("punct")
+    return F.transform(match_spans(text, TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s["text"]).alias("kind"), s["text"].alias("text")))

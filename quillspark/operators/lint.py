@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import PROSE, markdown_blocks
 from ..functions.sentences import sentences
-from ..functions.text import blocks, column_of, extract, java, kept, let, line_of, match_spans, once, over, word_count
+from ..functions.text import blocks, extract, java, kept, let, match_spans, offsets, once, over, trimmed, word_count
 from ..rules.core import CORE
 from ..rules.model import MACHINE, MAYBE, Options, Rule, RuleSet
 from ..rules.parts import as_literal, candidates, folded, keywords, parts
@@ -102,7 +102,7 @@ def _replacement(p: Column, found: Column) -> Column:
     return F.when(p["fix"].isNotNull(), F.when(as_is, literal).otherwise(_cased(found, literal)))
 
 
-def _reach(side: Column, window: Column, take) -> Column:
+def reach(side: Column, window: Column, take) -> Column:
     """Of a stretch of at most `window` characters those next to the match that make up `window` bytes, whole characters."""
     enough = F.filter(F.sequence(F.lit(1), F.greatest(window, F.lit(1))), lambda k: F.octet_length(take(side, k)) >= window)
     return take(side, F.when(window < 1, 0).otherwise(F.coalesce(F.array_min(enough), F.length(side))))
@@ -111,7 +111,7 @@ def _reach(side: Column, window: Column, take) -> Column:
 def _around(start: Column, end: Column, text: Column, window: Column) -> Column:
     before = F.substr(F.col("__t"), F.greatest(F.lit(1), start + 1 - window), F.least(window, start))
     after = F.substr(F.col("__t"), end + 1, window)
-    return F.concat(_reach(before, window, F.right), text, _reach(after, window, F.left))
+    return F.concat(reach(before, window, F.right), text, reach(after, window, F.left))
 
 
 def _units(p: Column) -> Column:
@@ -358,18 +358,37 @@ def lint_scores(docs: DataFrame, rules: RuleSet | None = None, options: Options
     return df.select(*keep, F.col("words").alias("word_count"), F.col("n_sentences").alias("sentence_count"), F.size("findings").alias("n_findings"), "penalty", score_of(F.col("penalty"), F.col("words")).alias("score"), F.array_distinct(F.transform("findings", lambda f: f["rule_id"])).alias("fired_rules"))
 
 
+def placed(found: DataFrame) -> DataFrame:
+    """The rows of `find` with `placed`: the findings in order with line and column (UTF-16 units, from 1) of both ends and their line as excerpt.
+
+    A text is cut into lines once; a finding looks its place up among their beginnings."""
+    df = once(found, __lines=F.split("__t", "\n", -1))
+    df = once(df, __starts=offsets(F.transform("__lines", lambda x: F.length(x) + 1)))
+
+    def at(offset: Column) -> Column:
+        return let(F.size(F.filter("__starts", lambda s: s <= offset)), lambda n: F.struct(n.alias("line"), _units16(F.substr(F.element_at("__lines", n), F.lit(1), offset - F.element_at("__starts", n))).alias("column")))
+
+    def one(f: Column, i: Column, start: Column, end: Column) -> Column:
+        said = F.element_at("__lines", start["line"])
+        return F.struct(
+            i.alias("ord"), *(f[c].alias(c) for c in ("rule_id", "severity", "tier", "intent", "start", "end", "message", "weight", "replacement")),
+            start["line"].alias("line"), start["column"].alias("column"), end["line"].alias("end_line"), end["column"].alias("end_column"),
+            trimmed(said).alias("excerpt"), f["confidence"].alias("confidence"), F.when(f["replacement"].isNotNull(), F.when(f["tier"] == "inferential", MAYBE).otherwise(MACHINE)).alias("applicability"),
+        )
+
+    each = F.transform("findings", lambda f, i: let(F.struct(at(f["start"]).alias("a"), at(f["end"]).alias("b")), lambda z: one(f, i, z["a"], z["b"])))
+    return once(df, placed=each).drop("__lines", "__starts")
+
+
+def _units16(text: Column) -> Column:
+    """The column behind a text at a line's beginning."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2 + 1).cast("int")
+
+
 def diagnostics(docs: DataFrame, rules: RuleSet | None = None, options: Options = Options(), found: DataFrame | None = None) -> DataFrame:
-    """One row per finding with line and column (UTF-16 units, from 1) of both ends and its line as excerpt.
-    `found` takes the place of `find(docs)`."""
-    df = (find(docs, rules, options) if found is None else found).select("doc_id", "__t", F.posexplode("findings").alias("ord", "f")).select("doc_id", "__t", "ord", "f.*")
-    t = F.col("__t")
-    tail = F.substring_index(F.substr(t, F.lit(1), F.col("start")), "\n", -1)
-    line = F.concat(tail, F.substring_index(F.substr(t, F.col("start") + 1), "\n", 1))
-    return df.select(
-        "doc_id", "ord", "rule_id", "severity", "tier", "intent", "start", "end", "message", "weight", "replacement",
-        line_of(t, F.col("start")).alias("line"), column_of(t, F.col("start")).alias("column"), line_of(t, F.col("end")).alias("end_line"), column_of(t, F.col("end")).alias("end_column"),
-        F.regexp_replace(F.regexp_replace(line, r"(?U)^\s+", ""), r"(?U)\s+\z", "").alias("excerpt"), "confidence", F.when(F.col("replacement").isNotNull(), F.when(F.col("tier") == "inferential", MAYBE).otherwise(MACHINE)).alias("applicability"),
-    )
+    """One row per finding of `placed`. `found` takes the place of `find(docs)`."""
+    df = placed(find(docs, rules, options) if found is None else found)
+    return df.select("doc_id", F.inline("placed"))
 
 
 def edited(text: Column, edits: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sentences
 from ..functions.text import java
 from ..operators import config, diffs, evaluate, judge, lint, mining, render, review, sourcing
 from ..rules.model import Options, Rule, RuleSet
@@ -16,6 +17,7 @@ from .finding_sql import finding_sql, findings
 from .lint_corpus import lint_corpus, lint_sql, quoted
 from .place_corpus import USER, place_corpus, place_sql
 from .sentence_sql import SENTENCE_SQL
+from .view_sql import TOKENS, listing_sql, window_sql
 from .word_corpus import edit_sql, review_sql, word_corpus
 
 CORE = lint.core_rules()
@@ -113,6 +115,23 @@ def configured_scores(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", "level", "penalty", "score", F.array_join(F.array_sort("fired_rules"), ",").alias("fired_rules"))
 
 
+def tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Words, numbers and marks of each sentence, with their places in the document."""
+    df = lint.parse(lint_corpus(spark, sf)).select("doc_id", F.posexplode("sents").alias("sentence", "s"))
+    df = df.select("doc_id", "sentence", F.col("s.start").alias("at"), F.posexplode(sentences.tokens(F.col("s.text"))).alias("ord", "t"))
+    return df.select("doc_id", "sentence", "ord", "t.kind", (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"), "t.text")
+
+
+def finding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return render.windows(lint.find(lint_corpus(spark, sf)))
+
+
+def finding_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """What a reader gets to see of each document: a summary and its findings."""
+    found = lint.find(lint_corpus(spark, sf))
+    return render.listings(found, keep=(render.summary(CORE).alias("summary"),))
+
+
 def _by_option(options: Options, spark: SparkSession, sf: str) -> DataFrame:
     df = lint.lint_scores(lint_corpus(spark, sf), options=options)
     return df.withColumn("fired_rules", F.array_join(F.array_sort("fired_rules"), ","))
@@ -270,8 +289,7 @@ def rule_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exit_codes(spark: SparkSession, sf: str) -> DataFrame:
-    found = lint.find(lint_corpus(spark, sf)).select("doc_id", F.explode_outer("findings").alias("f")).select("doc_id", "f.severity")
-    return render.exit_codes(found, 3)
+    return render.exit_codes(lint.find(lint_corpus(spark, sf)), 3)
 
 
 def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,7 +297,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, configured_scores, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
+    scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, configured_scores, tokens, finding_windows, finding_listings, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
     regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
     benchmark_overlap, rule_coverage, exit_codes, revision_briefs,
 )} | {
@@ -356,4 +374,4 @@ ORACLE_SQL = {
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
 } | SENTENCE_SQL | finding_sql(CORE, SOME)
-ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED))}
+ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED)), "tokens": TOKENS, "finding_windows": window_sql(CORE), "finding_listings": listing_sql(CORE)}
