@@ -131,27 +131,27 @@ class _Pair:
 
 
 def _blocks(turns: dict[int, np.ndarray], eps: float):
-    """Cuts sorted rows (w, cells, id, n, v) into blocks of one width."""
-    names = ["w", "ids", "times", "vectors", "lo", "hi", "cells"]
+    """Cuts sorted rows (w, id, g, n, v, cells) into blocks of one width."""
+    names = ["w", "ids", "numbers", "times", "vectors", "lo", "hi", "cells"]
 
     def made(width: int, rows: list[tuple]) -> pa.RecordBatch:
-        blob = np.array([r[2] for r in rows], "<f8").tobytes()
+        blob = np.array([r[3] for r in rows], "<f8").tobytes()
         lead = _unit(blob, width) @ _turn(turns, width)
-        cells = [[a, b] for a, b in sorted({(r[3][0], r[3][1]) for r in rows})]
-        row = ([width], [np.array([r[0] for r in rows], "<i8").tobytes()], [np.array([r[1] for r in rows], "<i8").tobytes()], [blob], [lead.min(axis=0)], [lead.max(axis=0)], [cells])
-        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())))
+        cells = [[a, b] for a, b in sorted({(r[4][0], r[4][1]) for r in rows})]
+        row = ([width], *([np.array([r[k] for r in rows], "<i8").tobytes()] for k in range(3)), [blob], [lead.min(axis=0)], [lead.max(axis=0)], [cells])
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         width = 0
         for batch in batches:
-            for w, i, n, v, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for w, i, g, n, v, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (w != width or len(held) >= BLOCK):
                     yield made(width, held)
                     held = []
                 width = w
-                held.append((i, n, v, cells))
+                held.append((i, g, n, v, cells))
         if held:
             yield made(width, held)
 
@@ -168,24 +168,24 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, block: int = BLOCK)
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
     valid = valid & F.coalesce((square > 0) & (square < F.lit(float("inf"))), F.lit(False))
     rows = rows.withColumn("v", F.when(valid, F.col("v")))
-    distinct = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    distinct = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("g", F.monotonically_increasing_id()))  # numbered once, in the table
     turns = _rotations(distinct)
 
     def gridded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = []
-            for v in batch.column(2).to_pylist():
+            for v in batch.column(3).to_pylist():
                 x = np.array(v)
                 c = np.floor((x / math.sqrt((x * x).sum())) @ _turn(turns, len(v)) / eps).astype(int).tolist()
                 cells.append((c + [0, 0])[: max(2, len(c))])
-            yield pa.RecordBatch.from_arrays([pa.array([len(v) for v in batch.column(2)], pa.int32()), *batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["w", "id", "n", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(v) for v in batch.column(3)], pa.int32()), *batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["w", "id", "g", "n", "v", "cells"])
 
-    grid = distinct.select("id", "n", "v").mapInArrow(gridded, "w int, id long, n long, v array<double>, cells array<int>")
+    grid = distinct.select("id", "g", "n", "v").mapInArrow(gridded, "w int, id long, g long, n long, v array<double>, cells array<int>")
     count = distinct.count()
     tasks = max(1, -(-count // block))
     # where the session deals into more parts than asked for, neighbouring ones are read by one task: blocks stay full
-    ordered = grid.repartitionByRange(tasks, "w", "cells", "id").sortWithinPartitions("w", "cells", "id").coalesce(tasks)
-    shape = "w int, ids binary, times binary, vectors binary, lo array<double>, hi array<double>, cells array<array<int>>"
+    ordered = grid.repartitionByRange(tasks, "w", "cells", "g").sortWithinPartitions("w", "cells", "g").coalesce(tasks)
+    shape = "w int, ids binary, numbers binary, times binary, vectors binary, lo array<double>, hi array<double>, cells array<array<int>>"
     blocks = materialize(ordered.mapInArrow(_blocks(turns, eps), shape).withColumn("b", F.monotonically_increasing_id()))
 
     # which blocks can meet: by the cells on two dimensions that they hold, then by their boxes
@@ -201,34 +201,35 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9, block: int = BLOCK)
         .select("b", "b2")
         .distinct()
     )
-    one = blocks.select("b", "w", "ids", "times", "vectors")
-    two = blocks.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("times").alias("times2"), F.col("vectors").alias("vectors2"))
-    pairs = meet.join(one, "b").join(two, "b2").select("b", "b2", "w", "ids", "times", "vectors", "ids2", "times2", "vectors2")
+    one = blocks.select("b", "w", "ids", "numbers", "times", "vectors")
+    two = blocks.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("numbers").alias("numbers2"), F.col("times").alias("times2"), F.col("vectors").alias("vectors2"))
+    pairs = meet.join(one, "b").join(two, "b2").select("b", "b2", "w", "ids", "numbers", "times", "vectors", "ids2", "numbers2", "times2", "vectors2")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                b, b2, w, ids, times, vectors_, ids2, times2, vectors2 = (c[i].as_py() for c in batch.columns)
+                b, b2, w, ids, numbers, times, vectors_, ids2, numbers2, times2, vectors2 = (c[i].as_py() for c in batch.columns)
                 x = _unit(vectors_, w)
                 y = x if b == b2 else _unit(vectors2, w)
                 p = _Pair(x, y, _turn(turns, w), np.frombuffer(times, "<i8"), np.frombuffer(times2, "<i8"), least)
                 p.join(0, len(x), 0, len(y))
-                of = np.frombuffer(ids, "<i8"), np.frombuffer(ids2, "<i8")
+                of, by = ((np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")) for x, y in ((ids, ids2), (numbers, numbers2)))
                 some = [np.flatnonzero(n) for n in p.links]
-                counted = np.concatenate([of[s][some[s]] for s in (0, 1)])
+                counted = np.concatenate([by[s][some[s]] for s in (0, 1)])
                 number = np.concatenate([p.links[s][some[s]] for s in (0, 1)])
                 edges = np.unique(np.concatenate(p.edges), axis=0) if p.edges else np.empty((0, 3), int)
                 left = of[0][edges[:, 0]]
                 right = np.where(edges[:, 2] == 1, of[1][np.minimum(edges[:, 1], len(of[1]) - 1)], of[0][np.minimum(edges[:, 1], len(of[0]) - 1)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate((counted, left))), pa.array(np.concatenate((number, np.zeros(len(left), np.int64)))), pa.array([*[None] * len(counted), *right.tolist()], pa.int64())],
-                    names=["id", "links", "other"],
+                    names=["key", "links", "other"],
                 )
 
-    found = materialize(pairs.mapInArrow(joined, "id long, links long, other long"))
-    links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
-    together = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = distinct.join(links, "id", "left").join(together, "id", "left")
+    found = materialize(pairs.mapInArrow(joined, "key long, links long, other long"))
+    # links count for a vector, by its number, since unlike vectors may share an id; components are of ids
+    links = found.where("other is null").groupBy(F.col("key").alias("g")).agg(F.sum("links").alias("links"))
+    together = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    known = distinct.join(links, "g", "left").join(together, "id", "left")
     known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -399,6 +399,13 @@ def test_fingerprints_of_classes_that_share_an_id(spark):
     assert sorted((r.query_id, r.id) for r in found if r.query_id is not None) == [(100, 1), (200, 1)]
 
 
+def test_unlike_vectors_that_share_an_id(spark):
+    """Links are a vector's own, whoever else has its id; a repeated row is another vector."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.01]), (3, [0.01, 0.99]), (4, [0.98, 0.02]), (4, [0.98, 0.02]), (5, [-1.0, 0.0]), (5, None)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_join.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(1, 3, 1, True), (1, 1, 1, True), (2, 3, 1, False), (3, 1, 1, False), (4, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True), (5, 0, 5, True)])
+
+
 @pytest.mark.parametrize(
     "make",
     [
