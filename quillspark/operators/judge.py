@@ -1,13 +1,21 @@
 """Rules that a language model judges, as tables: requests out, findings in.
 
-The model is not called here. Requests are rows with a cache key; answers come
-back as rows with that key, are parsed, checked against the text and gated.
+Requests are rows with a cache key; answers come back as rows with that key, from a
+cache or from a function that tasks call, are parsed, checked against the text and gated.
+No model is part of this package.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,14 +88,90 @@ def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(cache.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
 
 
+OUTCOME = "cache_key string, answer string, error string, tries int, run string"
+
+
+@dataclass(frozen=True)
+class Request:
+    """What a judge is asked: a prompt, the rules that it may name, and the key of the answer."""
+
+    prompt: str
+    rules: tuple[str, ...]
+    cache_key: str
+
+
+def _is_answer(answer: object) -> bool:
+    """Whether an answer holds a list of objects, once what surrounds its outermost brackets is gone."""
+    found = re.search(r"\[.*\]", answer, re.S) if isinstance(answer, str) else None
+    try:
+        return found is not None and all(isinstance(x, dict) for x in json.loads(found[0]))
+    except ValueError:
+        return False
+
+
+def asked(judge: Callable[[Request], str], request: Request, tries: int = 2) -> tuple[str | None, str | None, int]:
+    """(answer, error, tries) of a judge; a second try for one that raises or gives no list, and then an error. Nothing that a judge does ends the job."""
+    error = ""
+    for n in range(1, tries + 1):
+        try:
+            answer = judge(request)
+            if _is_answer(answer):
+                return answer, None, n
+            error = "the answer holds no list of findings"
+        except (KeyboardInterrupt, SystemExit):
+            raise
+        except BaseException as e:
+            error = f"{type(e).__name__}: {e}"
+    return None, error, tries
+
+
+def answers_of(wanted: DataFrame, judge: Callable[[Request], str], run: str = "", workers: int = 1) -> DataFrame:
+    """(cache_key, answer, error, tries, run) of each distinct key of `wanted` (cache_key, prompt, rules), from a function that
+    tasks call, `workers` requests of a task at a time. The function is pickled; a task that runs again asks again."""
+
+    def called(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                requests = [Request(p, tuple(r), k) for k, p, r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                found = list(pool.map(partial(asked, judge), requests))
+                columns = [[r.cache_key for r in requests], *([f[i] for f in found] for i in range(3)), [run] * len(found)]
+                types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in OUTCOME.split(", ")])
+
+    return wanted.select("cache_key", "prompt", "rules").dropDuplicates(["cache_key"]).mapInArrow(called, OUTCOME)
+
+
+def fetched(wanted: DataFrame, judge: Callable[[Request], str], cache: str, workers: int = 1) -> DataFrame:
+    """`wanted` with what became of each request: `status` (cached, fresh or failed), `error`, `tries`, `answer`.
+
+    Only keys that the cache (a folder that driver and executors share) has no answer for are asked, each once; outcomes
+    are appended to the cache before anything reads them, so a judge is not asked again for the sake of a later step.
+    A failed request has no answer and no findings, and is asked again by the next run."""
+    spark, run = wanted.sparkSession, uuid.uuid4().hex
+    spark.createDataFrame([], OUTCOME).coalesce(1).write.mode("append").parquet(cache)  # so that a first run finds a table
+    answers_of(cache_misses(wanted, read_answers(spark, cache)), judge, run, workers).write.mode("append").parquet(cache)
+    own = _outcomes(spark, cache).where(F.col("run") == run)
+    fresh = own.select("cache_key", F.when(F.col("answer").isNull(), "failed").otherwise("fresh").alias("status"), "error", "tries", "answer")
+    known = read_answers(spark, cache, without=run).select("cache_key", F.lit("cached").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("tries"), "answer")
+    return wanted.join(fresh.unionByName(known), "cache_key", "left")
+
+
+def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(OUTCOME).parquet(folder)
+
+
 def write_answers(answers: DataFrame, folder: str) -> None:
     """Adds answers (cache_key, answer) to the cache: a table that readers join on the key."""
-    answers.select("cache_key", "answer").write.mode("append").parquet(folder)
+    none = F.lit(None).cast("string")
+    answers.select("cache_key", "answer", none.alias("error"), F.lit(0).alias("tries"), none.alias("run")).write.mode("append").parquet(folder)
 
 
-def read_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """The cached answers, of several for a key the least."""
-    return spark.read.schema("cache_key string, answer string").parquet(folder).groupBy("cache_key").agg(F.min("answer").alias("answer"))
+def read_answers(spark: SparkSession, folder: str, without: str | None = None) -> DataFrame:
+    """The cached answers, of several for a key the least; those of the run `without` do not count."""
+    found = _outcomes(spark, folder).where("answer is not null")
+    if without is not None:
+        found = found.where(~F.col("run").eqNullSafe(without))
+    return found.groupBy("cache_key").agg(F.min("answer").alias("answer"))
 
 
 def parsed_answers(answers: DataFrame) -> DataFrame:

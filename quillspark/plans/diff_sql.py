@@ -29,5 +29,5 @@ steps AS (SELECT doc_id, 'same' AS op, k AS x, k AS y FROM (SELECT doc_id, unnes
 ordered AS (SELECT doc_id, op, CASE WHEN op <> 'added' THEN x END AS old_line, CASE WHEN op <> 'removed' THEN y END AS new_line, row_number() OVER (PARTITION BY doc_id ORDER BY x + y) AS k FROM steps),
 near AS (SELECT *, max((op <> 'same')::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN {context} PRECEDING AND {context} FOLLOWING) = 1 AS kept FROM ordered),
 shown AS (SELECT *, lag(kept) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM near)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS ord, CASE WHEN kept THEN op ELSE 'gap' END AS op, CASE WHEN kept THEN old_line END::INT AS old_line, CASE WHEN kept THEN new_line END::INT AS new_line,
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS ord, CASE WHEN kept THEN op ELSE 'gap' END AS op, coalesce(CASE WHEN kept THEN old_line END, 0)::INT AS old_line, coalesce(CASE WHEN kept THEN new_line END, 0)::INT AS new_line,
     CASE WHEN kept THEN coalesce(o[old_line], n[new_line]) END AS text FROM shown JOIN both_ USING (doc_id) WHERE kept OR before IS NULL OR before"""

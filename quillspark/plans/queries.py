@@ -16,6 +16,7 @@ from .diff_sql import line_diff_sql
 from .finding_sql import finding_sql, findings
 from .lint_corpus import lint_corpus, lint_sql, quoted
 from .place_corpus import USER, place_corpus, place_sql
+from .scripted_judge import ScriptedJudge, scratch_folder
 from .sentence_sql import SENTENCE_SQL
 from .view_sql import TOKENS, listing_sql, window_sql
 from .word_corpus import edit_sql, review_sql, word_corpus
@@ -82,7 +83,7 @@ def line_diffs(spark: SparkSession, sf: str) -> DataFrame:
     """What the fixes change, line by line, with a line of context on either side."""
     found = lint.find(lint_corpus(spark, sf))
     fixed = lint.fixed(None, found=found, keep=("__t",))
-    return diffs.line_diffs(fixed.select("doc_id", F.col("__t").alias("before"), F.col("fixed_text").alias("after")))
+    return diffs.line_diffs(fixed.select("doc_id", F.col("__t").alias("before"), F.col("fixed_text").alias("after"))).fillna(0, ["old_line", "new_line"])
 
 
 def _edits(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,6 +217,13 @@ def judge_requests(spark: SparkSession, sf: str) -> DataFrame:
     return _asked(spark, sf).select("doc_id", "unit", "unit_ix", "start", "end", "cache_key", F.array_join("rules", ",").alias("rules"))
 
 
+def judge_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each request to a scripted judge: when first asked, and by a second run over the same cache."""
+    asked, cache = _asked(spark, sf), scratch_folder(spark)
+    runs = [judge.fetched(asked, ScriptedJudge(), cache, workers=4).select("doc_id", "unit", "unit_ix", F.lit(n).alias("run"), "status", F.col("tries"), F.col("error").isNotNull().alias("has_error")) for n in (1, 2)]
+    return runs[0].unionByName(runs[1])
+
+
 def judge_findings(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).select("doc_id", "cache_key", "ord", "rule", "status", "start", "end", "confidence")
 
@@ -298,7 +306,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, configured_scores, tokens, finding_windows, finding_listings, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
-    regressions, dimension_counts, thresholds, judge_requests, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
+    regressions, dimension_counts, thresholds, judge_requests, judge_outcomes, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
     benchmark_overlap, rule_coverage, exit_codes, revision_briefs,
 )} | {
     "leading_hits": partial(_by_option, Options(enable=tuple(r.id for r in CORE.rules if r.engine == "leading"))),
@@ -344,6 +352,8 @@ for _name in sorted(sourcing.ENTITIES, key=lambda e: e == "&amp;"):
     _PAGE = f"replace({_PAGE}, {quoted(_name)}, {quoted(sourcing.ENTITIES[_name])})"
 _NOISE = r"^[0-9]+$|^(?:[0-9]+\s+){0,4}[0-9]+$|(?i)^(?:page\s+[0-9]+.*|table of contents|opinion)$"
 
+OUTCOMES = """WITH asked AS ({asked}), runs AS (SELECT *, unnest([1, 2]) AS run, cache_key[1] AS c FROM asked)
+    SELECT doc_id, unit, unit_ix, run::INT AS run, CASE WHEN c = '0' THEN 'failed' WHEN run = 1 THEN 'fresh' ELSE 'cached' END AS status, CASE WHEN c = '0' OR run = 1 AND c IN ('1', '2') THEN 2 WHEN run = 1 THEN 1 ELSE 0 END::INT AS tries, c = '0' AS has_error FROM runs"""
 ORACLE_SQL = {
     "page_texts": f"""WITH bare AS (SELECT page_id, {_PAGE} AS t FROM pages),
         lines AS (SELECT page_id, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '')) AS ls FROM bare),
@@ -374,4 +384,4 @@ ORACLE_SQL = {
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
 } | SENTENCE_SQL | finding_sql(CORE, SOME)
-ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED)), "tokens": TOKENS, "finding_windows": window_sql(CORE), "finding_listings": listing_sql(CORE)}
+ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED)), "tokens": TOKENS, "judge_outcomes": OUTCOMES.format(asked=ORACLE_SQL["judge_requests"]), "finding_windows": window_sql(CORE), "finding_listings": listing_sql(CORE)}
