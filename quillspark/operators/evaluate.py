@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..rules.model import RuleSet
+from ..sources.scratch import cut
 from .lint import find, score_of
 
 TRAIN_SHARE, TOLERANCE = 70, 0.03
@@ -101,20 +102,93 @@ def quantiles(samples: DataFrame, value: str, shares: list[float]) -> DataFrame:
     return hit.select("share", F.col(value).alias("value"))
 
 
-def threshold_grid(samples: DataFrame, metric: str, shares: list[float], points: int = 3, top: int = 6) -> DataFrame:
-    """The `top` thresholds of a metric, above or below, by the AUC of the score with `points` more where they fire.
-    samples: label, penalty, words and the metric."""
-    cells = samples.groupBy("label", "penalty", "words", metric).agg(F.count(F.lit(1)).alias("n")).persist()  # read four times below
-    grid = quantiles(cells, metric, shares).select("value").distinct().withColumn("direction", F.explode(F.array(F.lit("above"), F.lit("below"))))
-    fires = F.coalesce(F.when(F.col("direction") == "above", F.col(metric) > F.col("value")).otherwise(F.col(metric) < F.col("value")), F.lit(False))
+#: Points of a flag that is tried.
+POINTS = 3
+
+
+def _cells(samples: DataFrame, *columns: str) -> DataFrame:
+    """Equal rows of samples (label, penalty, words, in_slice where there, and `columns`) counted, as a table of its own."""
+    samples = samples if "in_slice" in samples.columns else samples.withColumn("in_slice", F.lit(True))
+    return cut(samples.groupBy("label", "penalty", "words", F.coalesce("in_slice", F.lit(False)).alias("in_slice"), *columns).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _measured(tried: DataFrame, by: list[str]) -> DataFrame:
+    """AUC of rows (label, penalty, words, in_slice, n, extra, fired) for each `by`: over all, and with the positive ones of the slice alone; fired counts."""
+    sums = lambda *on: F.sum(F.when(on[0] if len(on) == 1 else on[0] & on[1], F.col("n")).otherwise(0))
+    ai, human = F.col("label") == "ai", F.col("label") == "human"
+    scored = tried.withColumn("score", score_of(F.col("penalty") + F.col("extra"), F.col("words")))
+    counts = scored.groupBy(*by, "score").agg(sums(ai).alias("pos"), sums(ai, F.col("in_slice")).alias("pos_in"), sums(human).alias("neg"), sums(ai, F.col("fired")).alias("fired_ai"), sums(human, F.col("fired")).alias("fired_human"))
+    above = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    won = F.coalesce(F.sum("neg").over(above), F.lit(0)) + F.col("neg") / 2
+    counts = counts.withColumn("won", won)
+    done = counts.groupBy(*by).agg(*(F.sum(F.col(c) * F.col("won")).alias(f"w_{c}") for c in ("pos", "pos_in")), *(F.sum(c).alias(c) for c in ("pos", "pos_in", "neg", "fired_ai", "fired_human")))
+    return done.select(*by, ratio(F.col("w_pos"), F.col("pos") * F.col("neg")).alias("auc"), ratio(F.col("w_pos_in"), F.col("pos_in") * F.col("neg")).alias("slice_auc"), "fired_ai", "fired_human")
+
+
+def _fires(value: Column, direction: Column, threshold: Column) -> Column:
+    return F.coalesce(F.when(direction == "above", value > threshold).otherwise(value < threshold), F.lit(False))
+
+
+def threshold_grid(samples: DataFrame, metric: str, shares: list[float], points: int = POINTS, top: int = 6) -> DataFrame:
+    """The `top` thresholds of a metric (value, direction, auc, slice_auc, fired_ai, fired_human), above or below, by the AUC of the score with `points` more
+    where they fire. Thresholds are nearest-rank quantiles of the distinct values; of those of one direction with equal AUC the least counts.
+    samples: label, penalty, words, the metric, and in_slice, the rows of a slice, if there."""
+    cells = _cells(samples, metric)
+    grid = quantiles(cells.select(metric).distinct(), metric, shares).select("value").distinct().withColumn("direction", F.explode(F.array(F.lit("above"), F.lit("below"))))
     tried = cells.crossJoin(F.broadcast(grid))  # at most two rows for each of a fixed list of shares
-    tried = tried.withColumn("score", score_of(F.col("penalty") + F.when(fires, points).otherwise(0), F.col("words")))
-    counts = tried.groupBy("value", "direction", "score").agg(F.sum(F.when(F.col("label") == "ai", F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == "human", F.col("n")).otherwise(0)).alias("neg"))
-    above = Window.partitionBy("value", "direction").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("above", F.coalesce(F.sum("neg").over(above), F.lit(0)))
-    sums = counts.groupBy("value", "direction").agg(F.sum(F.col("pos") * (F.col("above") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("m"))
-    done = sums.select("value", "direction", ratio(F.col("wins"), F.col("p") * F.col("m")).alias("auc"))
-    return done.orderBy(F.desc("auc"), "direction", "value").limit(top)
+    fired = _fires(F.col(metric), F.col("direction"), F.col("value"))
+    done = _measured(tried.withColumn("fired", fired).withColumn("extra", F.when(fired, points).otherwise(0)), ["value", "direction"])
+    first = done.groupBy("auc", "direction").agg(F.min(F.struct("value", "slice_auc", "fired_ai", "fired_human")).alias("x"))
+    return first.select("x.value", "direction", "auc", "x.slice_auc", "x.fired_ai", "x.fired_human").orderBy(F.desc("auc"), "direction", "value").limit(top)
+
+
+def tuning_checks(samples: DataFrame, checks: list[tuple[str, str, float]], points: int = POINTS) -> DataFrame:
+    """AUC, slice_auc, gain over the base, and fired counts with their precision of the score as it is (`base`), with a flag that always fires (`always`:
+    what a flag gains by the length of texts alone), with each of `checks` (metric, direction, threshold), and with all of them (`combined`, fired by any)."""
+    cells = _cells(samples, *dict.fromkeys(m for m, _, _ in checks))
+    hits = {f"{m} {d} {t:g}": _fires(F.col(m), F.lit(d), F.lit(float(t))) for m, d, t in checks}
+    both = F.lit(0)
+    for hit in hits.values():
+        both = both + hit.cast("int")
+    tries = {"base": (F.lit(0), F.lit(False)), "always": (F.lit(points), F.lit(True))} | {k: (F.when(h, points).otherwise(0), h) for k, h in hits.items()} | {"combined": (both * points, both > 0)}
+    each = F.array(*(F.struct(F.lit(k).alias("check"), extra.cast("int").alias("extra"), fired.alias("fired")) for k, (extra, fired) in tries.items()))
+    done = _measured(cells.select("label", "penalty", "words", "in_slice", "n", F.inline(each)), ["check"])
+    base = done.where("check = 'base'").select(F.col("auc").alias("base"))
+    df = done.crossJoin(F.broadcast(base))  # one row
+    return df.select("check", "auc", "slice_auc", (F.col("auc") - F.col("base")).alias("gain"), "fired_ai", "fired_human", ratio(F.col("fired_ai"), F.col("fired_ai") + F.col("fired_human")).alias("precision"))
+
+
+def precision_map(confusion: DataFrame) -> DataFrame:
+    """(rule_id, precision) of the rules that fired at all, of the rows of `rule_confusion`."""
+    return confusion.where("tp + fp > 0").select("rule_id", "precision")
+
+
+def baseline(overall: DataFrame, slices: DataFrame, confusion: DataFrame) -> DataFrame:
+    """(name, value) of all that a gate compares: overall_auc, slice_auc.*, per_rule_precision.*. overall: auc; slices: slice, auc; confusion: as `rule_confusion` gives it."""
+    named = lambda df, name, value: df.select(name.alias("name"), F.col(value).cast("double").alias("value"))
+    rows = named(overall, F.lit("overall_auc"), "auc").unionByName(named(slices, F.concat(F.lit("slice_auc."), "slice"), "auc"))
+    return rows.unionByName(named(precision_map(confusion), F.concat(F.lit("per_rule_precision."), "rule_id"), "precision"))
+
+
+def baseline_json(rows: DataFrame) -> DataFrame:
+    """`baseline` as one JSON object: a row for each rule and slice meets in it, no samples."""
+    group, name = F.substring_index("name", ".", 1), F.expr("substring(name, length(substring_index(name, '.', 1)) + 2)")
+    pairs = lambda g: F.map_from_entries(F.array_sort(F.collect_list(F.when(group == g, F.struct(name, "value")))))
+    return rows.agg(F.to_json(F.struct(F.max(F.when(group == "overall_auc", F.col("value"))).alias("overall_auc"), pairs("slice_auc").alias("slice_auc"), pairs("per_rule_precision").alias("per_rule_precision"))).alias("value"))
+
+
+def write_baseline(rows: DataFrame, folder: str) -> None:
+    """Writes `baseline` to a folder as a text file, in place of what was there."""
+    baseline_json(rows).coalesce(1).write.mode("overwrite").text(folder)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of a baseline that was written, or of any JSON file of that form."""
+    form = "overall_auc double, slice_auc map<string,double>, per_rule_precision map<string,double>"
+    one = spark.read.text(path, wholetext=True).select(F.from_json("value", form, {"mode": "FAILFAST"}).alias("b")).select("b.*")
+    pairs = lambda c: F.transform(F.map_entries(F.coalesce(c, F.create_map().cast("map<string,double>"))), lambda e: F.struct(F.concat(F.lit(f"{c}."), e["key"]).alias("name"), e["value"].alias("value")))
+    first = F.array(F.struct(F.lit("overall_auc").alias("name"), F.col("overall_auc").alias("value")))
+    return one.select(F.inline(F.concat(first, pairs("slice_auc"), pairs("per_rule_precision")))).where("value is not null")
 
 
 def verdict_discipline(findings: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,4 +109,49 @@ def short_overlap(docs: DataFrame, items: DataFrame, least: int = 5, most: int =
     """(item_id, doc_id): documents that hold the whole of an item of `least` to `most` words."""
     size = F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
     each = [verbatim_overlap(docs, items.where(size == n), n).select("item_id", "doc_id") for n in range(least, most + 1)]
-    return each[0].unionByName(each[1]).unionByName(each[2]) if len(each) == 3 else each[0]
+    return reduce(DataFrame.unionByName, each)
+
+
+#: Runs that a text takes from another word by word: of any, and of one that is twice as long and more.
+RUN, SHORT_RUN = 8, 5
+
+
+def plain_tokens(text: Column) -> Column:
+    """Words between blanks in lower case, without marks at either end other than apostrophes."""
+    bare = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}']+|[^\p{IsAlphabetic}\p{N}']+\z", "")))
+    return F.filter(bare, lambda w: w != "")
+
+
+def opening(text: Column) -> Column:
+    """A text up to its first full stop, exclamation or question mark."""
+    return F.regexp_extract(text, r"(?s)^[^.!?]*", 0)
+
+
+def _runs(words: Column, n: int) -> Column:
+    """The distinct runs of n words."""
+    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+
+
+def _sized(runs: Column, n: int) -> Column:
+    return F.transform(runs, lambda x: F.struct(F.lit(n).alias("n"), x.alias("run")))
+
+
+def echoes(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, long_runs, short_runs) of `docs` that echo the text of an item: with a run of eight words of it or of its opening, or, where
+    the document has less than half its words, with a run of five. Counts are of the item's distinct runs that the document holds.
+
+    Items' runs go to every task as hashes where they are few; only documents that hold one are compared."""
+    said = items.select("item_id", plain_tokens(F.col("text")).alias("ws"), plain_tokens(opening(F.coalesce("text", F.lit("")))).alias("os"))
+    runs = said.select("item_id", F.size("ws").alias("size"), F.inline(F.concat(_sized(F.array_union(_runs(F.col("ws"), RUN), _runs(F.col("os"), RUN)), RUN), _sized(_runs(F.col("ws"), SHORT_RUN), SHORT_RUN)))).distinct()
+    wanted = runs.select(F.xxhash64("run").alias("h")).distinct()
+    few = wanted.limit(FEW + 1).count() <= FEW
+    held = docs.select("doc_id", plain_tokens(F.col("text")).alias("ws")).withColumn("of", F.size("ws"))
+    each = held.select("doc_id", "of", F.explode(F.concat(_runs(F.col("ws"), RUN), _runs(F.col("ws"), SHORT_RUN))).alias("run")).withColumn("h", F.xxhash64("run"))
+    met = each.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").select("doc_id", "of", "run").distinct()
+    both = met.join(runs, "run").groupBy("item_id", "doc_id").agg(F.count_if(F.col("n") == RUN).alias("long_runs"), F.count_if(F.col("n") == SHORT_RUN).alias("short_runs"), F.max("of").alias("of"), F.max("size").alias("size"))
+    return both.where((F.col("long_runs") > 0) | (F.col("short_runs") > 0) & (F.col("of") < F.floor(F.col("size") / 2))).select("item_id", "doc_id", "long_runs", "short_runs")
+
+
+def without_opening(text: Column) -> Column:
+    """A text behind its first full stop, exclamation or question mark; empty without one."""
+    return trimmed(F.regexp_extract(text, r"(?s)^[^.!?]*[.!?](.*)\z", 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,14 @@ from ..functions import sentences
 from ..functions.text import java
 from ..operators import config, diffs, evaluate, judge, lint, mining, render, review, sourcing
 from ..rules.model import Options, Rule, RuleSet
+from ..sources.scratch import cut, shared_folder
 from .diff_sql import line_diff_sql
 from .finding_sql import finding_sql, findings
 from .lint_corpus import lint_corpus, lint_sql, quoted
 from .place_corpus import USER, place_corpus, place_sql
 from .scripted_judge import ScriptedJudge, scratch_folder
 from .sentence_sql import SENTENCE_SQL
+from .tuning_sql import checks_sql, grid_sql
 from .view_sql import TOKENS, listing_sql, window_sql
 from .word_corpus import edit_sql, review_sql, word_corpus
 
@@ -161,7 +164,7 @@ def score_by_source(spark: SparkSession, sf: str) -> DataFrame:
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     """Scored documents with a label: quality stands for authorship, so only the arithmetic means anything."""
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, "human").otherwise("ai").alias("label"))
-    return simple_scores(spark, sf).join(labels, "doc_id").persist()  # measures read it several times
+    return cut(simple_scores(spark, sf).join(labels, "doc_id"))  # measures read it several times
 
 
 def splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,8 +202,38 @@ def thresholds(spark: SparkSession, sf: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, "human").otherwise("ai").alias("label"))
     docs = lint_corpus(spark, sf).join(labels, "doc_id")
     df = lint.find(docs, options=SIMPLE)
-    df = df.select("label", lint.penalty().alias("penalty"), "words", F.round(lint.document_metric("sentence-length-variance"), 6).alias("metric"))
-    return evaluate.threshold_grid(df, "metric", [i / 100 for i in range(1, 100)])
+    df = df.select("label", lint.penalty().alias("penalty"), "words", (F.col("lang") == "en").alias("in_slice"), F.round(lint.document_metric("sentence-length-variance"), 6).alias("metric"))
+    return _rounded(evaluate.threshold_grid(df, "metric", [i / 100 for i in range(1, 100)]), "auc", "slice_auc")
+
+
+CHECKS = [("variance", "below", 60.0), ("triads", "above", 2.0), ("variance", "above", 20.0)]
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def tuning_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What thresholds of two metrics gain on labelled documents, one by one and together, beside a flag that always fires."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, "human").otherwise("ai").alias("label"))
+    df = lint.find(lint_corpus(spark, sf).join(labels, "doc_id"), options=SIMPLE)
+    metrics = {"variance": "sentence-length-variance", "triads": "triad-density"}
+    df = df.select("label", lint.penalty().alias("penalty"), "words", (F.col("lang") == "en").alias("in_slice"), *(F.round(lint.document_metric(m), 6).alias(c) for c, m in metrics.items()))
+    return _rounded(evaluate.tuning_checks(df, CHECKS), "auc", "slice_auc", "gain", "precision")
+
+
+def gate_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """All that a regression gate compares, written and read back."""
+    samples = _samples(spark, sf).withColumn("value", 100 - F.col("score")).withColumn("fired", F.filter(F.split("fired", ","), lambda x: x != ""))
+    slices = evaluate.auc(samples, by=("lang",)).withColumnRenamed("lang", "slice")
+    rows = evaluate.baseline(evaluate.auc(samples), slices, evaluate.rule_confusion(samples, [r.id for r in COUNTED]))
+    folder = f"{shared_folder(spark)}/baselines/{uuid.uuid4().hex}"
+    evaluate.write_baseline(rows, folder)
+    return _rounded(evaluate.read_baseline(spark, folder), "value")
+
+
+def seed_echoes(spark: SparkSession, sf: str) -> DataFrame:
+    return sourcing.echoes(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
 def judged_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,8 +339,8 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, configured_scores, tokens, finding_windows, finding_listings, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
-    regressions, dimension_counts, thresholds, judge_requests, judge_outcomes, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
-    benchmark_overlap, rule_coverage, exit_codes, revision_briefs,
+    regressions, dimension_counts, thresholds, tuning_checks, gate_baseline, judge_requests, judge_outcomes, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, self_firing, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
+    benchmark_overlap, seed_echoes, rule_coverage, exit_codes, revision_briefs,
 )} | {
     "leading_hits": partial(_by_option, Options(enable=tuple(r.id for r in CORE.rules if r.engine == "leading"))),
     "opener_runs": partial(_one_rule, "no-repetitive-openers"), "long_sentences": partial(_one_rule, "sentence-length"), "uniform_rhythm": partial(_one_rule, "uniform-sentence-rhythm"), "triad_overuse": partial(_one_rule, "triad-overuse"), "dash_context": partial(_one_rule, "no-en-dash"),
@@ -352,6 +385,13 @@ for _name in sorted(sourcing.ENTITIES, key=lambda e: e == "&amp;"):
     _PAGE = f"replace({_PAGE}, {quoted(_name)}, {quoted(sourcing.ENTITIES[_name])})"
 _NOISE = r"^[0-9]+$|^(?:[0-9]+\s+){0,4}[0-9]+$|(?i)^(?:page\s+[0-9]+.*|table of contents|opinion)$"
 
+_TOKENS = "list_filter(list_transform(regexp_split_to_array(coalesce({}, ''), '[\\s\\p{{Z}}]+'), lambda w: lower(regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}'']+', ''), '[^\\p{{L}}\\p{{N}}'']+$', ''))), lambda w: w <> '')"
+
+
+def _windows(words: str, n: int) -> str:
+    return f"list_transform(range(1, len({words}) - {n - 2}), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))"
+
+
 OUTCOMES = """WITH asked AS ({asked}), runs AS (SELECT *, unnest([1, 2]) AS run, cache_key[1] AS c FROM asked)
     SELECT doc_id, unit, unit_ix, run::INT AS run, CASE WHEN c = '0' THEN 'failed' WHEN run = 1 THEN 'fresh' ELSE 'cached' END AS status, CASE WHEN c = '0' OR run = 1 AND c IN ('1', '2') THEN 2 WHEN run = 1 THEN 1 ELSE 0 END::INT AS tries, c = '0' AS has_error FROM runs"""
 ORACLE_SQL = {
@@ -380,8 +420,14 @@ ORACLE_SQL = {
         SELECT doc_id, chunk_ix, max(strlen(chunk))::BIGINT AS n_bytes, md5(arg_max(chunk, i)) AS chunk_md5 FROM packed GROUP BY doc_id, chunk_ix""",
     "recent_passages": f"""WITH {lint_sql()}, newest AS (SELECT doc_id, substring(text, 1, 900) AS passage FROM lint WHERE text <> '' ORDER BY doc_id DESC LIMIT 28)
         SELECT * FROM (SELECT doc_id, passage, sum(strlen(passage)) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM newest) WHERE running <= 16000""",
+    "gate_baseline": f"""{_SLICES}, totals AS (SELECT count_if(label = 'ai') AS p FROM samples), cells AS (SELECT rule_id, count_if(label = 'ai') AS tp, count(*) AS n FROM fired JOIN samples USING (doc_id) GROUP BY rule_id)
+        SELECT CASE WHEN slice = 'all' THEN 'overall_auc' ELSE 'slice_auc.' || slice END AS name, auc AS value FROM result UNION ALL SELECT 'per_rule_precision.' || rule_id, round(tp / n, 6) FROM cells""",
+    "seed_echoes": f"""WITH d AS (SELECT doc_id, {_TOKENS.format("text")} AS ws FROM documents), b AS (SELECT item_id, {_TOKENS.format("text")} AS ws, {_TOKENS.format("regexp_extract(text, '^[^.!?]*')")} AS os FROM benchmark),
+        runs AS (SELECT DISTINCT item_id, size, n, run FROM (SELECT item_id, len(ws) AS size, 8 AS n, unnest(list_distinct({_windows("ws", 8)} || {_windows("os", 8)})) AS run FROM b UNION ALL SELECT item_id, len(ws), 5, unnest(list_distinct({_windows("ws", 5)})) FROM b)),
+        held AS (SELECT DISTINCT doc_id, size, run FROM (SELECT doc_id, len(ws) AS size, unnest({_windows("ws", 8)} || {_windows("ws", 5)}) AS run FROM d))
+        SELECT item_id, doc_id, count_if(n = 8)::BIGINT AS long_runs, count_if(n = 5)::BIGINT AS short_runs FROM held h JOIN runs r USING (run) GROUP BY item_id, doc_id HAVING count_if(n = 8) > 0 OR (count_if(n = 5) > 0 AND max(h.size) < max(r.size) // 2)""",
     "benchmark_overlap": f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
 } | SENTENCE_SQL | finding_sql(CORE, SOME)
-ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED)), "tokens": TOKENS, "judge_outcomes": OUTCOMES.format(asked=ORACLE_SQL["judge_requests"]), "finding_windows": window_sql(CORE), "finding_listings": listing_sql(CORE)}
+ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED)), "thresholds": grid_sql(ORACLE_SQL["simple_scores"], ORACLE_SQL["sentence_metrics"]), "tuning_checks": checks_sql(ORACLE_SQL["simple_scores"], ORACLE_SQL["sentence_metrics"], CHECKS), "tokens": TOKENS, "judge_outcomes": OUTCOMES.format(asked=ORACLE_SQL["judge_requests"]), "finding_windows": window_sql(CORE), "finding_listings": listing_sql(CORE)}

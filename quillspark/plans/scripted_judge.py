@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 from ..operators.judge import Request
+from ..sources.scratch import shared_folder
 
 
 class ScriptedJudge:
@@ -36,11 +36,5 @@ class ScriptedJudge:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder in `spark.checkpoint.dir`; a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return f"{folder}/answers/{uuid.uuid4().hex}"
+    """A new folder for answers in the shared one."""
+    return f"{shared_folder(spark)}/answers/{uuid.uuid4().hex}"
