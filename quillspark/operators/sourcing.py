@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 # Elements that go with their content, and those that end a word.
 DROPPED = ("script", "style", "nav", "header", "footer")
 BREAKING = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|blockquote|pre|hr"
