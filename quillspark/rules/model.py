@@ -26,7 +26,8 @@ class RuleError(ValueError):
 class Rule:
     """One rule. `patterns` holds patterns, or pairs of a pattern and its replacement: a literal one,
     or one that names groups ($1, ${name}, $$ for a dollar sign) at the places in `templates`.
-    `examples` are pairs of a text that the rule flags and one that it leaves alone."""
+    `examples` are pairs of a text that the rule flags and one that it leaves alone; `flags` and `passes` are
+    what a judge is shown of either kind. `messages` holds messages of single patterns, by their places."""
 
     name: str
     engine: str
@@ -47,6 +48,13 @@ class Rule:
     rubric: str | None = None
     examples: tuple[tuple[str, str], ...] = ()
     package: str = "core"
+    flags: tuple[str, ...] = ()
+    passes: tuple[str, ...] = ()
+    messages: tuple[tuple[int, str], ...] = ()
+    description: str | None = None
+    rationale: str | None = None
+    docs: str | None = None
+    explanation: str | None = None
 
     def __post_init__(self) -> None:
         def need(ok: bool, name: str, value: object, allowed: object = None) -> None:
@@ -112,7 +120,11 @@ class Rule:
 
         return re.sub(r"\$\$|\$(\w+)|\$\{(\w+)\}|[\\$]", one, template)
 
-    def says(self) -> str:
+    def says(self, pattern: int | None = None) -> str:
+        """The rule's message, or that of one of its patterns."""
+        for n, text in self.messages:
+            if n == pattern:
+                return text
         return self.message or f"{self.name.replace('-', ' ').capitalize()}."
 
 

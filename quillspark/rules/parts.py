@@ -77,7 +77,7 @@ def parts(rules: list[Rule]) -> list[dict]:
             context = (java(r.allow_context[0]), r.allow_context[1]) if r.allow_context else (None, None)
             for n, (pattern, fix) in enumerate(r.pairs()):
                 expands = n in r.templates
-                out.append(base | {"part_ix": n, "pattern": java(pattern), "needs": needed(pattern), "context": context[0], "window": context[1], "fix": r.java_template(fix) if expands else fix, "expands": expands, "match_case": r.match_case})
+                out.append(base | {"part_ix": n, "message": r.says(n), "pattern": java(pattern), "needs": needed(pattern), "context": context[0], "window": context[1], "fix": r.java_template(fix) if expands else fix, "expands": expands, "match_case": r.match_case})
         elif r.engine == "density":
             pattern = r.pairs()[0][0]
             out.append(base | {"part_ix": 0, "pattern": java(pattern), "needs": needed(pattern), "threshold": float(r.threshold)})
