@@ -98,6 +98,20 @@ def test_markdown_blocks(spark):
         "Title\n=====\ntext in\n2020. was written\n1. one": [("heading", "Title"), ("paragraph", "text in\n2020. was written"), ("item", "one")],
         "# H\n\npara one\n\n- li\n\n> q\n\n~~~\ncode": [("heading", "H"), ("paragraph", "para one"), ("item", "li"), ("quote", "q"), ("code", "~~~\ncode")],
         "": [],
+        # items within items
+        "- a\n  - b\n\n  c\n\nd": [("item", "a"), ("item", "b"), ("item", "c"), ("paragraph", "d")],
+        "1.  one\n    - two\n      - three\n\n      more three\n\n    more two's item\n\n    still": [("item", "one"), ("item", "two"), ("item", "three"), ("item", "more three"), ("item", "more two's item"), ("item", "still")],
+        "- a\n\n      code\n\n  # Head\n  > quoted\n\n- b": [("item", "a"), ("code", "    code"), ("heading", "Head"), ("quote", "quoted"), ("item", "b")],
+        "- a\nlazy\n- b": [("item", "a\nlazy"), ("item", "b")],
+        "- a\n\n> q\n\n  text": [("item", "a"), ("quote", "q"), ("paragraph", "text")],
+        # definitions of link references
+        "[a]: http://x.y 'T'\n[b c]: <u v>\nText [a].\n\n[d]: /only\n\nEnd": [("paragraph", "Text [a]."), ("paragraph", "End")],
+        "[a]:\n  /long\n  \"over\n lines\"\nrest": [("paragraph", "rest")],
+        "[a]: /x \"bad\" more\n[]: /y\n[b]: \n": [("paragraph", "[a]: /x \"bad\" more\n[]: /y\n[b]:")],
+        "Text\n[a]: /no": [("paragraph", "Text\n[a]: /no")],
+        "> [q]: /z\n> said\n\n- [i]: /w\n- [k]: /w\n  item": [("quote", "said"), ("item", "item")],
+        "[a\\]b]: /x\n'title (not \n\nX": [("paragraph", "'title (not"), ("paragraph", "X")],
+        "```\n[a]: /code\n```": [("code", "```\n[a]: /code\n```")],
     }
     for r in frame(spark, *cases).select("text", markdown_blocks(F.col("text")).alias("b")).collect():
         assert [(b.kind, r.text[b.start : b.end]) for b in r.b] == cases[r.text], r.text
