@@ -421,3 +421,22 @@ def test_empty_and_repeated_rows(make, docs, empty):
     n = twice.count()
     got = make(twice).collect()
     assert len(got) >= n and {r[0] for r in got} >= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize(
+    ("make", "free"),
+    [
+        (pii.pii_report, ()), (minhash.near_duplicates, ()), (suffix_dedup.dedup_report, ()), (licenses.scan_licenses, ()), (lambda d: sharding.shard_documents(d, [1.0] * 3), ("slot",)),
+        (lambda d: pieces.encoding_report(d, public_tokenizers.path("piece_bpe_32k.model")), ()), (pack, ("sequence_id", "offset")),
+    ],
+    ids=["pii", "near", "repeats", "licences", "shard", "pieces", "pack"],
+)
+def test_a_repeated_row_repeats_its_result(make, free, docs):
+    """Twice the row, twice its result; a row's place among others may differ."""
+    few = docs.where("doc_id > 60 and doc_id < 130")
+    row = few.orderBy("doc_id").limit(1)
+    (one,) = row.collect()
+    got = [r.asDict() for r in make(few.unionByName(row)).collect() if r.doc_id == one.doc_id]
+    alone = [r.asDict() for r in make(few).collect() if r.doc_id == one.doc_id]
+    plain = lambda rows: sorted(repr({k: v for k, v in r.items() if k not in free}) for r in rows)
+    assert plain(got) == sorted(2 * plain(alone))

@@ -1,13 +1,17 @@
 """Each stage of the corpus pipeline against a plain version, and the stages in a row."""
 
 import re
+import zlib
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from quillspark.llm import pii, quality
+from tokenizers import Tokenizer
 
-from test_operators import smallest
+from test_operators import plain_pii, smallest
 
 COLUMNS = corpus_pipeline.COLUMNS
 
@@ -81,12 +85,37 @@ def test_stages(spark, folder):
     assert all(r.text is None or r.n_chars == len(r.text) for r in third)
 
     masked = as_rows(mask(spark, short, folder))
-    spans = {r.doc_id: r.spans for r in pii.pii_report(short).collect()}
-    assert [r.text for r in masked if not spans[r.doc_id]] == [r.text for r in third if not spans[r.doc_id]]
-    assert all("[" in r.text for r in masked if spans[r.doc_id]) and any(spans.values())
+    spans = {(r.doc_id, r.text): r.spans for r in pii.pii_report(short).join(short.select("doc_id", "text"), "doc_id").collect()}
+    assert sorted((r.doc_id, r.text or "") for r in masked) == sorted((r.doc_id, plain_mask(r.text or "", spans[r.doc_id, r.text])) for r in third) and any(spans.values())
+    base = {k: found for k, found in zip(("email", "ip", "card", "phone"), zip(*(plain_pii(r.text) for r in third), strict=True), strict=True)}
+    for r, *each in zip(third, *base.values(), strict=True):  # all that the base kinds hold is masked
+        assert {x for x in spans[r.doc_id, r.text].split(",") if x.split(":")[0] in base} == {x for found in each for x in found}
+    assert all(r.text is None or r.n_chars == len(r.text) for r in masked)
 
     packed = pack(spark, short, folder).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in third}
+    want, tok = [], Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in third:
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        want += [(r.doc_id, n, a, b - a, zlib.crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(want)
+    held = {}
+    for r in packed:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in held.values():
+        assert [a for a, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 1024
+    assert len(held) <= 1.03 * sum(n for *_, n, _ in want) / 1024 + 1
+
+
+def plain_mask(text, spans):
+    """Every stretch that spans cover, as the kind of its first (of equal beginnings the longest) in brackets."""
+    out, pos = "", 0
+    for start, back, kind in sorted((int(a), -int(b), kind) for kind, a, b in (x.split(":") for x in spans.split(",") if x)):
+        if start >= pos:
+            out += text[pos:start] + f"[{kind}]"
+        pos = max(pos, -back)
+    return out + text[pos:]
 
 
 def test_stages_of_an_empty_table(spark, folder, tmp_path):
