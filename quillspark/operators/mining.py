@@ -140,7 +140,7 @@ def spread_sample(docs: DataFrame, when: str, slots: int = 28, chars: int = 900,
 def consistent(candidates: RuleSet, docs: DataFrame) -> DataFrame:
     """(rule_id, ok) of candidate rules: those that fire nowhere in the writing, and whose examples hold."""
     spark = docs.sparkSession
-    fired = self_firing(docs, candidates).select("rule_id", F.lit(True).alias("fires"))
+    fired = self_firing_chunks(docs, candidates).select("rule_id", F.lit(True).alias("fires"))
     wrong = rule_tests(spark, candidates).where("not ok").select("rule_id", F.lit(True).alias("wrong")).distinct()
     every = spark.createDataFrame([(r.id,) for r in candidates.rules], "rule_id string")
     df = every.join(fired, "rule_id", "left").join(wrong, "rule_id", "left")
@@ -166,3 +166,11 @@ def self_firing(docs: DataFrame, rules: RuleSet) -> DataFrame:
     """Candidate rules that fire on the writing they are mined from, with how many documents they hit."""
     fired = find(docs, rules, Options()).select(F.explode(F.array_distinct(F.transform("findings", lambda f: f["rule_id"]))).alias("rule_id"))
     return fired.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def self_firing_chunks(docs: DataFrame, rules: RuleSet, options: Options = Options(), target: int = 2000) -> DataFrame:
+    """Candidate rules that fire on passages of the writing they are mined from: rule_id, how many passages (paragraphs packed to about `target`
+    bytes) they hit, and the first of these (doc_id, chunk_ix)."""
+    chunks = paragraph_chunks(docs, target).select("doc_id", "chunk_ix", F.col("chunk").alias("text"))
+    fired = find(chunks, rules, options).select("doc_id", "chunk_ix", F.explode(F.array_distinct(F.transform("findings", lambda f: f["rule_id"]))).alias("rule_id"))
+    return fired.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min(F.struct("doc_id", "chunk_ix")).alias("x")).select("rule_id", "n_chunks", F.col("x.doc_id").alias("first_doc"), F.col("x.chunk_ix").alias("first_chunk"))

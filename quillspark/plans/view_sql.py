@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.render import CONTEXT, LONGEST, UNDERLINED
+from ..operators.render import CLOSING, CONTEXT, LONGEST, OPENING, UNDERLINED
 from ..rules.model import RuleSet
 from .finding_sql import _column, findings
 from .lint_corpus import quoted
@@ -47,3 +47,9 @@ sums AS (SELECT doc_id, count(*) AS n, count(replacement) AS fixes, {", ".join(f
     string_agg(line || ':' || "column" || '  ' || severity || '  ' || message || '  ' || rule_id || chr(10) || '    ' || "window" || coalesce(chr(10) || '    ' || caret, ''), chr(10) ORDER BY ord) AS listing FROM seen GROUP BY doc_id)
 SELECT doc_id, {plural("word_count", "word")} || ' · ' || {plural("n_sents", "sentence")} || chr(10) || {" || chr(10) || ".join(tiers)} || chr(10) || 'score ' || {score} || '/100 (without a judge)' || chr(10) ||
     CASE WHEN n IS NULL THEN 'No findings.' ELSE {plural("n", "finding")} || CASE WHEN fixes > 0 THEN ' · ' || format('{{:,}}', fixes) || ' with a fix' ELSE '' END END AS summary, coalesce(listing, 'No findings.') AS listing FROM words_ LEFT JOIN sums USING (doc_id)"""
+
+
+def brief_sql(diagnostics: str) -> str:
+    """`diagnostics`: SQL of all findings with their lines."""
+    return f"""WITH found_ AS ({diagnostics}), rules_ AS (SELECT doc_id, rule_id, min(ord) AS first_, string_agg('- line ' || line || ': ' || excerpt || CASE WHEN replacement IS NOT NULL THEN ' -> ' || replacement ELSE '' END, chr(10) ORDER BY ord) AS said FROM found_ GROUP BY doc_id, rule_id)
+SELECT doc_id, {quoted(OPENING)} || chr(10) || chr(10) || string_agg('## ' || rule_id || chr(10) || said, chr(10) || chr(10) ORDER BY first_) || chr(10) || chr(10) || {quoted(CLOSING)} AS brief FROM rules_ GROUP BY doc_id"""

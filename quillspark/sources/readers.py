@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE = "id string, label string, text string, word_count int, source string, register string, era string, date string, court string, model string, prompt_style string, pair_id string, split string"
@@ -16,9 +16,25 @@ REGISTERS = {"docx": "document", "md": "markdown", "markdown": "markdown", "txt"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def _sample(line: str) -> Column:
+    """A line as a sample, with `__bad` where it is none."""
+    return F.from_json(line, SAMPLE + ", __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled samples, one JSON object per line; a malformed line is an error."""
-    return spark.read.schema(SAMPLE).json(path, mode="FAILFAST")
+    """Labelled samples, one JSON object per line; blank lines are left out, and a malformed one is an error that names its file and quotes it."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).select("value", F.input_file_name().alias("file"), _sample("value").alias("s"))
+    fields = [c.split()[0] for c in SAMPLE.split(", ")]
+    kind = ",".join(c.replace(" ", ":") for c in SAMPLE.split(", "))
+    wrong = F.raise_error(F.concat("file", F.lit(": invalid JSON: "), F.substring("value", 1, 80))).cast(f"struct<{kind}>")
+    return lines.select(F.when(F.col("s.__bad").isNotNull() | F.col("s.id").isNull(), wrong).otherwise(F.struct(*(F.col(f"s.{f}") for f in fields))).alias("x")).select("x.*")
+
+
+def invalid_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of the malformed lines, for a report: a file is read whole so that its lines have numbers."""
+    each = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "text")).where(F.col("text").rlike(r"\S"))
+    bad = each.select("file", (F.col("n") + 1).alias("line"), "text", _sample("text").alias("s"))
+    return bad.where("s.__bad is not null or s.id is null").select("file", "line", "text")
 
 
 def word_text(data: bytes) -> str:
@@ -50,11 +66,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, path, text, register, markdown, modified) of the files in a folder and below.
-    Hidden and unknown files and blank texts are left out."""
+    """(doc_id, path, text, register, markdown, modified) of the files in a folder and below, or of one file, by path.
+    Hidden and unknown files and blank texts are left out; one file alone of an unknown kind is an error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(folder)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile() and folder.rpartition(".")[2].lower() not in REGISTERS:
+        raise ValueError(f"{folder}: not a file of a known kind ({', '.join(REGISTERS)})")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     files = files.where(ending.isin(*REGISTERS) & ~F.col("path").rlike(r"/\.[^/]*$"))
     texts = files.select("path", "content", F.col("modificationTime").alias("modified")).mapInArrow(_texts, "path string, text string, modified timestamp")
     register = F.coalesce(*(F.when(ending == e, r) for e, r in REGISTERS.items()))
-    return texts.where(F.col("text").rlike(r"(?U)\S")).select(F.xxhash64("path").alias("doc_id"), "path", "text", register.alias("register"), (register == "markdown").alias("markdown"), "modified")
+    return texts.where(F.col("text").rlike(r"(?U)\S")).select(F.xxhash64("path").alias("doc_id"), "path", "text", register.alias("register"), (register == "markdown").alias("markdown"), "modified").orderBy("path")
