@@ -68,22 +68,27 @@ def absences(stats: DataFrame) -> DataFrame:
     return stats.select(F.inline(every))
 
 
-def synthesized(docs: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+def synthesized(docs: DataFrame, rules: list[tuple[str, str, str, str]], canonical: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """(name, bad, good) for candidate rules (name, flags, seek, inject): `good` is the corpus' first sentence (by doc_id and place)
     of 20 to 160 bytes on one line that holds `seek` and that the rule's pattern `flags` not; `bad` is that sentence with the
-    first `seek` replaced by `inject`, which the pattern must flag. A rule without such a sentence has no row."""
+    first `seek` replaced by `inject` (which may name groups), which the pattern must flag. A rule without such a sentence has its
+    pair (bad, good) of `canonical`, or no row; with `canonical` a column `mined` tells which."""
     text = F.col("s.text")
     sents = parse(docs).select("doc_id", F.explode("sents").alias("s")).where(~F.col("s.is_citation") & F.octet_length(text).between(20, 160) & ~F.contains(text, F.lit("\n")))
 
     def one(name: str, flags: str, seek: str, inject: str) -> Column:
-        at = F.length(F.split(text, java(seek), 2)[0])
-        bad = F.concat(F.substr(text, F.lit(1), at), F.lit(inject), F.substr(text, at + F.length(F.regexp_extract(text, java(seek), 0)) + 1))
+        at, found = F.length(F.split(text, java(seek), 2)[0]), F.regexp_extract(text, java(seek), 0)
+        bad = F.concat(F.substr(text, F.lit(1), at), F.regexp_replace(found, java(seek), inject), F.substr(text, at + F.length(found) + 1))
         fits = ~text.rlike(java(flags)) & text.rlike(java(seek)) & bad.rlike(java(flags))
         return F.when(fits, F.struct(F.lit(name).alias("name"), bad.alias("bad"), text.alias("good")))
 
     each = sents.select("doc_id", F.col("s.start").alias("start"), F.explode(F.array_compact(F.array(*(one(*r) for r in rules)))).alias("e"))
-    first = each.groupBy("e.name").agg(F.min_by(F.struct("e.bad", "e.good"), F.struct("doc_id", "start")).alias("x"))
-    return first.select("name", "x.bad", "x.good")
+    first = each.groupBy("e.name").agg(F.min_by(F.struct("e.bad", "e.good"), F.struct("doc_id", "start")).alias("x")).select("name", "x.bad", "x.good")
+    if canonical is None:
+        return first
+    known = docs.sparkSession.createDataFrame([(r[0], *canonical.get(r[0], (None, None))) for r in rules], "name string, bad0 string, good0 string")
+    both = known.join(first, "name", "left").withColumn("mined", F.col("bad").isNotNull())
+    return both.select("name", F.coalesce("bad", "bad0").alias("bad"), F.coalesce("good", "good0").alias("good"), "mined").where("bad is not null")
 
 
 def family_seeks() -> list[tuple[str, str, str, str]]:
@@ -91,6 +96,19 @@ def family_seeks() -> list[tuple[str, str, str, str]]:
     return [(n, family_pattern(n), rf"\b{next(iter(forms.values()))}\b", next(iter(forms))) for n, forms in FAMILIES.items()]
 
 
+def mark_seeks() -> list[tuple[str, str, str, str]]:
+    """Rules about marks for `synthesized`, by the names of `absences`."""
+    return [("no-em-dash", "—", ", ", "—"), ("no-semicolon", ";", ", ", "; "), ("serial-comma", OXFORD_WITHOUT, r", ([^,;]{1,40}), (and|or)\b", ", $1 $2"), ("no-serial-comma", OXFORD_WITH, r", ([^,;]{1,40}) (and|or)\b", ", $1, $2")]
+
+
+def canonical_pairs() -> dict[str, tuple[str, str]]:
+    """For each rule of `family_seeks` and `mark_seeks` a text that it flags and one that it leaves alone."""
+    lists = ("They packed bread, cheese and figs.", "They packed bread, cheese, and figs.")
+    marks = {"no-em-dash": ("The door—a red one—was shut.", "The door, a red one, was shut."), "no-semicolon": ("It rained; they stayed.", "It rained, so they stayed."), "serial-comma": lists, "no-serial-comma": lists[::-1]}
+    said = "They plan {} the work by noon."
+    return marks | {n: tuple(said.format(x) for x in next(iter(forms.items()))) for n, forms in FAMILIES.items()}
+
+
 def sanitized(candidates: DataFrame) -> DataFrame:
     """Candidate rules (id, pattern, ...) with ids in kebab case and unique, without blank patterns: those that repeat an id get a number."""
     bare = F.trim(F.regexp_replace(F.lower("id"), "[^a-z0-9]+", "-"), F.lit("-"))

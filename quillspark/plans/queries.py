@@ -17,6 +17,7 @@ from ..sources.scratch import cut, shared_folder
 from .diff_sql import line_diff_sql
 from .finding_sql import finding_sql, findings
 from .lint_corpus import lint_corpus, lint_sql, quoted
+from .example_sql import example_sql
 from .passage_sql import passage_sql
 from .place_corpus import USER, place_corpus, place_sql
 from .scripted_judge import ScriptedJudge, scratch_folder
@@ -316,6 +317,11 @@ def mined_examples(spark: SparkSession, sf: str) -> DataFrame:
     return mining.synthesized(lint_corpus(spark, sf), mining.family_seeks())
 
 
+def mined_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples for all rules that a corpus' absences suggest, from the corpus where it has one."""
+    return mining.synthesized(lint_corpus(spark, sf), mining.family_seeks() + mining.mark_seeks(), mining.canonical_pairs())
+
+
 def judged_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores under the countable rules with the findings of the scripted judge."""
     scores = lint.lint_scores(lint_corpus(spark, sf), options=SIMPLE)
@@ -350,7 +356,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, configured_scores, tokens, finding_windows, finding_listings, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
-    regressions, dimension_counts, thresholds, tuning_checks, gate_baseline, judge_requests, judge_outcomes, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, stratified_passages, self_firing, self_firing_chunks, mined_examples, judged_scores, judged_diagnostics, page_texts, page_passages,
+    regressions, dimension_counts, thresholds, tuning_checks, gate_baseline, judge_requests, judge_outcomes, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, stratified_passages, self_firing, self_firing_chunks, mined_examples, mined_pairs, judged_scores, judged_diagnostics, page_texts, page_passages,
     benchmark_overlap, seed_echoes, rule_coverage, exit_codes, revision_briefs,
 )} | {
     "leading_hits": partial(_by_option, Options(enable=tuple(r.id for r in CORE.rules if r.engine == "leading"))),
@@ -441,5 +447,6 @@ ORACLE_SQL = {
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark)
         SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d) JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM b) USING (run) GROUP BY item_id, doc_id""",
 } | SENTENCE_SQL | finding_sql(CORE, SOME)
+ORACLE_SQL |= example_sql(mining.family_seeks(), mining.mark_seeks(), mining.canonical_pairs())
 ORACLE_SQL |= passage_sql(ORACLE_SQL, COUNTED, _rows, _WORDS, INFERENTIAL)
 ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED)), "thresholds": grid_sql(ORACLE_SQL["simple_scores"], ORACLE_SQL["sentence_metrics"]), "tuning_checks": checks_sql(ORACLE_SQL["simple_scores"], ORACLE_SQL["sentence_metrics"], CHECKS), "revision_briefs": brief_sql(ORACLE_SQL["all_diagnostics"]), "tokens": TOKENS, "judge_outcomes": OUTCOMES.format(asked=ORACLE_SQL["judge_requests"]), "finding_windows": window_sql(CORE), "finding_listings": listing_sql(CORE)}

@@ -65,3 +65,18 @@ def test_candidates(spark):
     rules = RuleSet((Rule("alpha", "phrase", patterns=("alpha",)), Rule("beta", "phrase", patterns=("beta",)), Rule("no", "phrase", patterns=("delta",), examples=(("delta", "x"),)), Rule("odd", "phrase", patterns=("omega",), examples=(("none", "x"),))))
     assert sorted(map(tuple, mining.self_firing_chunks(docs, rules).collect())) == [("core/alpha", 2, 1, 0), ("core/beta", 2, 1, 0)]
     assert {r.rule_id: r.ok for r in mining.consistent(rules, docs).collect()} == {"core/alpha": False, "core/beta": False, "core/no": True, "core/odd": False}
+
+
+def test_canonical_pairs(spark):
+    """Each rule flags the one text and leaves the other alone; corpora without a fitting sentence get them."""
+    import re
+
+    rules, pairs = mining.family_seeks() + mining.mark_seeks(), mining.canonical_pairs()
+    for name, flags, _, _ in rules:
+        bad, good = pairs[name]
+        assert re.search(flags, bad) and not re.search(flags, good), name
+    docs = spark.createDataFrame([(2, "We took the red, the green, and the blue one."), (1, "Short, one."), (3, None)], "doc_id long, text string")
+    got = {r.name: (r.bad, r.good, r.mined) for r in mining.synthesized(docs, rules, pairs).collect()}
+    assert len(got) == len(rules) and got["serial-comma"] == ("We took the red, the green and the blue one.", "We took the red, the green, and the blue one.", True)
+    assert got["no-em-dash"][0] == "We took the red—the green, and the blue one." and got["no-utilize"] == (*pairs["no-utilize"], False)
+    assert {r.name for r in mining.synthesized(docs, rules).collect()} == {n for n, x in got.items() if x[2]}
