@@ -102,6 +102,34 @@ def quantiles(samples: DataFrame, value: str, shares: list[float]) -> DataFrame:
     return hit.select("share", F.col(value).alias("value"))
 
 
+def report(samples: DataFrame, rules: list[str], slices: list[str]) -> DataFrame:
+    """(split, part, name, value) of all measures of a corpus by its split. samples: split, label, score, slice (of machine-written ones), fired (array of rule ids).
+
+    Parts: `auc` over all and of each slice (its machine-written samples against all human ones), `mean_score` by label and slice (0 where there are none),
+    and for each rule `precision`, `recall`, `f1`, `tp`, `fp`, `fn`, `tn`. Splits without samples have no rows."""
+    human = F.col("label") == "human"
+    inside = F.when(human, F.array(*map(F.lit, ("overall", *slices)))).otherwise(F.array_compact(F.array(F.lit("overall"), F.when(F.col("slice").isin(*slices), F.col("slice")))))
+    each = cut(samples.groupBy("split", "label", "score", "slice").agg(F.count(F.lit(1)).alias("n")).select("split", "label", "score", "n", F.explode(inside).alias("name")))
+    counted = each.groupBy("split", "name", (100 - F.col("score")).alias("value")).agg(F.sum(F.when(F.col("label") == "ai", F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == "human", F.col("n")).otherwise(0)).alias("neg"))
+    below = Window.partitionBy("split", "name").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    won = counted.withColumn("won", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)).groupBy("split", "name").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    aucs = won.select("split", F.lit("auc").alias("part"), "name", ratio(F.col("won"), F.col("pos") * F.col("neg")).alias("value"))
+    label = F.when(F.col("name") == "overall", F.col("label")).when(F.col("label") == "ai", F.concat(F.lit("ai."), "name"))
+    means = each.groupBy("split", label.alias("name")).agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("value")).where("name is not null")
+    names = samples.sparkSession.createDataFrame([(n,) for n in ("human", "ai", *(f"ai.{x}" for x in slices))], "name string")
+    splits = samples.select("split").distinct()
+    means = splits.crossJoin(F.broadcast(names)).join(means, ["split", "name"], "left").select("split", F.lit("mean_score").alias("part"), "name", F.coalesce("value", F.lit(0.0)).alias("value"))  # a fixed list
+    totals = samples.groupBy("split").agg(F.count_if(F.col("label") == "ai").alias("p"), F.count_if(human).alias("m"))
+    hits = samples.select("split", "label", F.explode(F.array_distinct("fired")).alias("name")).groupBy("split", "name").agg(F.count_if(F.col("label") == "ai").alias("tp"), F.count_if(human).alias("fp"))
+    every = samples.sparkSession.createDataFrame([(r,) for r in rules], "name string")
+    cells = totals.crossJoin(F.broadcast(every)).join(hits, ["split", "name"], "left").fillna(0, ["tp", "fp"]).withColumns({"fn": F.col("p") - F.col("tp"), "tn": F.col("m") - F.col("fp")})  # a row for each rule
+    cells = cells.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+    cells = cells.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    parts = ("precision", "recall", "f1", "tp", "fp", "fn", "tn")
+    by_rule = cells.select("split", F.inline(F.array(*(F.struct(F.lit(c).alias("part"), F.col("name").alias("name"), F.col(c).cast("double").alias("value")) for c in parts))))
+    return aucs.unionByName(means).unionByName(by_rule)
+
+
 #: Points of a flag that is tried.
 POINTS = 3
 

@@ -234,6 +234,16 @@ def gate_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(evaluate.read_baseline(spark, folder), "value")
 
 
+LANGUAGES = ["de", "en", "es", "xx"]
+
+
+def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All measures of labelled documents, by split and by language as slices."""
+    samples = _samples(spark, sf).withColumn("fired", F.filter(F.split("fired", ","), lambda x: x != ""))
+    samples = samples.withColumn("split", evaluate.split_of(F.col("doc_id").cast("string"))).withColumn("slice", F.col("lang"))
+    return _rounded(evaluate.report(samples, [r.id for r in COUNTED], LANGUAGES), "value")
+
+
 def seed_echoes(spark: SparkSession, sf: str) -> DataFrame:
     return sourcing.echoes(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
@@ -356,7 +366,7 @@ def revision_briefs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scores, word_counts, phrase_hits, density_rates, simple_scores, all_diagnostics, fixed_texts, line_diffs, word_edits, word_reviews, configured_scores, tokens, finding_windows, finding_listings, sentence_metrics, score_histogram, score_by_source, splits, rule_confusion, auc_by_lang,
-    regressions, dimension_counts, thresholds, tuning_checks, gate_baseline, judge_requests, judge_outcomes, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, stratified_passages, self_firing, self_firing_chunks, mined_examples, mined_pairs, judged_scores, judged_diagnostics, page_texts, page_passages,
+    regressions, dimension_counts, thresholds, tuning_checks, gate_baseline, corpus_report, judge_requests, judge_outcomes, judge_findings, corpus_stats, absences, top_openers, paragraph_chunks, recent_passages, stratified_passages, self_firing, self_firing_chunks, mined_examples, mined_pairs, judged_scores, judged_diagnostics, page_texts, page_passages,
     benchmark_overlap, seed_echoes, rule_coverage, exit_codes, revision_briefs,
 )} | {
     "leading_hits": partial(_by_option, Options(enable=tuple(r.id for r in CORE.rules if r.engine == "leading"))),
@@ -439,6 +449,15 @@ ORACLE_SQL = {
         SELECT * FROM (SELECT doc_id, passage, sum(strlen(passage)) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM newest) WHERE running <= 16000""",
     "gate_baseline": f"""{_SLICES}, totals AS (SELECT count_if(label = 'ai') AS p FROM samples), cells AS (SELECT rule_id, count_if(label = 'ai') AS tp, count(*) AS n FROM fired JOIN samples USING (doc_id) GROUP BY rule_id)
         SELECT CASE WHEN slice = 'all' THEN 'overall_auc' ELSE 'slice_auc.' || slice END AS name, auc AS value FROM result UNION ALL SELECT 'per_rule_precision.' || rule_id, round(tp / n, 6) FROM cells""",
+    "corpus_report": f"""{_SCORED}, cut AS (SELECT *, CASE WHEN ('0x' || sha256(doc_id::VARCHAR)[1:4])::INTEGER % 100 < 70 THEN 'train' ELSE 'test' END AS split FROM samples), slices(name) AS (VALUES ('overall'), {", ".join(f"('{x}')" for x in LANGUAGES)}),
+        aucs AS (SELECT a.split, s.name, sum(CASE WHEN a.score < h.score THEN 1.0 WHEN a.score = h.score THEN 0.5 ELSE 0 END) / count(*) AS value FROM cut a JOIN cut h ON h.split = a.split AND h.label = 'human' AND a.label = 'ai' JOIN slices s ON s.name IN ('overall', a.lang) GROUP BY a.split, s.name),
+        seen AS (SELECT DISTINCT split, s.name FROM cut c JOIN slices s ON c.label = 'human' OR s.name IN ('overall', c.lang)),
+        kinds AS (SELECT DISTINCT split, n.name, n.label, n.lang FROM cut, (VALUES ('human', 'human', NULL), ('ai', 'ai', NULL), {", ".join(f"('ai.{x}', 'ai', '{x}')" for x in LANGUAGES)}) AS n(name, label, lang)),
+        cells AS (SELECT k.split, k.rule_id, count_if(label = 'ai' AND hit) AS tp, count_if(label = 'human' AND hit) AS fp, count_if(label = 'ai' AND NOT hit) AS fn, count_if(label = 'human' AND NOT hit) AS tn FROM (SELECT c.split, c.label, r.rule_id, f.doc_id IS NOT NULL AS hit FROM cut c CROSS JOIN (SELECT DISTINCT rule_id FROM hits) r LEFT JOIN fired f ON f.doc_id = c.doc_id AND f.rule_id = r.rule_id) k GROUP BY k.split, k.rule_id),
+        rates AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS p, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS r FROM cells)
+        SELECT split, 'auc' AS part, name, round(coalesce(value, 0), 6)::DOUBLE AS value FROM seen LEFT JOIN aucs USING (split, name)
+        UNION ALL SELECT k.split, 'mean_score', k.name, round(coalesce(avg(score), 0), 6) FROM kinds k LEFT JOIN cut c ON c.split = k.split AND c.label = k.label AND (k.lang IS NULL OR c.lang = k.lang) GROUP BY k.split, k.name
+        UNION ALL SELECT split, unnest(['precision', 'recall', 'f1', 'tp', 'fp', 'fn', 'tn']), rule_id, round(unnest([p, r, coalesce(2 * p * r / nullif(p + r, 0), 0), tp, fp, fn, tn]), 6)::DOUBLE FROM rates""",
     "seed_echoes": f"""WITH d AS (SELECT doc_id, {_TOKENS.format("text")} AS ws FROM documents), b AS (SELECT item_id, {_TOKENS.format("text")} AS ws, {_TOKENS.format("regexp_extract(text, '^[^.!?]*')")} AS os FROM benchmark),
         runs AS (SELECT DISTINCT item_id, size, n, run FROM (SELECT item_id, len(ws) AS size, 8 AS n, unnest(list_distinct({_windows("ws", 8)} || {_windows("os", 8)})) AS run FROM b UNION ALL SELECT item_id, len(ws), 5, unnest(list_distinct({_windows("ws", 5)})) FROM b)),
         held AS (SELECT DISTINCT doc_id, size, run FROM (SELECT doc_id, len(ws) AS size, unnest({_windows("ws", 8)} || {_windows("ws", 5)}) AS run FROM d))

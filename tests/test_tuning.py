@@ -129,3 +129,25 @@ def test_echoes(spark):
     assert sorted(got) == sorted(want) and (92, 903, 1, 3) in want and len(want) > 20
     texts = spark.createDataFrame([("One. Two three! ",), ("no end",), ("?x",)], "t string").select(sourcing.without_opening(F.col("t")).alias("t"), sourcing.opening(F.col("t")).alias("o"))
     assert [tuple(r) for r in texts.collect()] == [("Two three!", "One"), ("", "no end"), ("x", "")]
+
+
+def test_report(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice(["train", "test"]), draw.choice(["ai", "human"]), draw.randint(0, 100), draw.choice(["a", "b", None]), draw.sample(["r1", "r2", "r3"], draw.randint(0, 3))) for _ in range(120)] + [("odd", "human", 50, None, ["r1", "r1"])]
+    df = spark.createDataFrame(rows, "split string, label string, score int, slice string, fired array<string>").repartition(3)
+    got = {(r.split, r.part, r.name): r.value for r in evaluate.report(df, ["r1", "r2", "never"], ["a", "b", "none"]).collect()}
+    for split in ("train", "test", "odd"):
+        mine = [r for r in rows if r[0] == split]
+        human = [r[2] for r in mine if r[1] == "human"]
+        for name in ("overall", "a", "b", "none"):
+            ai = [r[2] for r in mine if r[1] == "ai" and name in ("overall", r[3])]
+            wins = [(x < h) + 0.5 * (x == h) for x in ai for h in human]
+            assert abs(got[split, "auc", name] - (sum(wins) / len(wins) if wins else 0)) < 1e-9
+            mean = sum(ai) / len(ai) if ai else 0
+            assert abs(got[split, "mean_score", "ai" if name == "overall" else f"ai.{name}"] - mean) < 1e-9
+        assert abs(got[split, "mean_score", "human"] - sum(human) / len(human)) < 1e-9
+        for rule in ("r1", "r2", "never"):
+            cells = [sum((r[1] == label) and (rule in r[4]) == hit for r in mine) for label, hit in (("ai", True), ("human", True), ("ai", False), ("human", False))]
+            assert [got[split, c, rule] for c in ("tp", "fp", "fn", "tn")] == cells
+            assert got[split, "precision", rule] == (cells[0] / (cells[0] + cells[1]) if cells[0] + cells[1] else 0)
+    assert evaluate.report(df.limit(0), ["r1"], ["a"]).collect() == []
