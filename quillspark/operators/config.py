@@ -91,13 +91,14 @@ def nearest(folders: DataFrame, configured: DataFrame) -> DataFrame:
     return found.groupBy("folder").agg(F.max_by(F.struct("options", "from"), F.length("from")).alias("x")).select("folder", "x.*")
 
 
-def with_options(docs: DataFrame, configured: DataFrame, user: Column | None = None) -> DataFrame:
-    """`docs` (path, ...) with the `options` that hold for each (of the nearest folder over the user's), as `lint.find` takes them.
+def with_options(docs: DataFrame, configured: DataFrame, user: Column | None = None, call: Column | None = None) -> DataFrame:
+    """`docs` (path, ...) with the `options` that hold for each (of the nearest folder over the user's, and those of the call over both), as `lint.find` takes them.
     A document without any has no options of its own; where a configuration says whether texts are Markdown, a column `markdown` does."""
     docs = docs.withColumn("__folder", folder_of(F.col("path")))
     near = nearest(docs.select(F.col("__folder").alias("folder")).distinct(), configured).select(F.col("folder").alias("__folder"), F.col("options").alias("__near"))
     df = docs.join(near, "__folder", "left")
     none = F.lit(None).cast(OPTIONS)
-    df = df.withColumn("options", layered(none if user is None else user.cast(OPTIONS), F.col("__near"))).drop("__near", "__folder")
+    held = layered(none if user is None else user.cast(OPTIONS), F.col("__near"))
+    df = df.withColumn("options", held if call is None else layered(held, call.cast(OPTIONS))).drop("__near", "__folder")
     own = F.col("options.markdown")
     return df.withColumn("markdown", F.coalesce(own, F.col("markdown")) if "markdown" in docs.columns else F.coalesce(own, F.lit(False)))

@@ -117,6 +117,37 @@ def sanitized(candidates: DataFrame) -> DataFrame:
     return named.withColumn("__n", nth).withColumn("id", F.when(F.col("__n") > 1, F.concat_ws("-", "id", "__n")).otherwise(F.col("id"))).drop("__n")
 
 
+MINED = "array<struct<id:string,engine:string,severity:string,description:string,mined_from:string,rationale:string,message:string,examples:array<struct<bad:string,good:string>>,patterns:array<string>>>"
+#: Engines that a mined rule may have.
+MINED_ENGINES = ("phrase", "leading")
+
+
+def mined_candidates(answers: DataFrame, model: str = "none") -> DataFrame:
+    """Candidate rules from answers (lens_ix, lens, answer) of a model that was asked for rules: lens_ix, ix, id, engine, severity, description,
+    rationale, message, examples, patterns (without fixes), and `reason`, why one is refused (null: it is not).
+
+    Ids are made kebab case; severities stay below an error; a description says where a rule comes from. Refused are other engines than
+    `MINED_ENGINES`, rules without examples, description or pattern, and those with the id of an earlier one that is not refused."""
+    inner = F.regexp_extract("answer", r"(?s)(\[.*\])", 1)
+    df = answers.select("lens_ix", "lens", F.posexplode(F.from_json(inner, MINED)).alias("ix", "r")).select("lens_ix", "lens", "ix", "r.*")
+    bare = F.trim(F.regexp_replace(F.lower(F.coalesce("id", F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
+    said = F.regexp_replace(trimmed(F.coalesce("description", F.lit(""))), r"\.+\z", "")
+    source = F.when(F.coalesce("mined_from", F.lit("")).rlike(r"(?U)\S"), trimmed(F.col("mined_from"))).otherwise("your corpus sample")
+    # a pattern is a text, or an object with one
+    patterns = F.filter(F.transform(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.coalesce(F.get_json_object(p, "$.pattern"), p)), lambda p: p.rlike(r"\S"))
+    engine = F.coalesce("engine", F.lit("phrase"))
+    df = df.select(
+        "lens_ix", "ix", F.when(bare == "", F.concat(F.lit("mined-"), (F.col("ix") + 1).cast("string"))).otherwise(bare).alias("id"), engine.alias("engine"),
+        F.when(F.col("severity").isin("warning", "error"), "warning").otherwise("suggestion").alias("severity"),
+        F.concat(said, F.lit(f" (mined by {model}, lens: "), F.coalesce("lens", F.lit("")), F.lit(", from "), source, F.lit(").")).alias("description"), "rationale", "message", "examples", patterns.alias("patterns"),
+        F.when(~engine.isin(*MINED_ENGINES), F.concat(F.lit("engine "), engine, F.lit(" is not one of phrase and leading")))
+        .when(F.coalesce(F.size("examples"), F.lit(0)) <= 0, "no examples").when(said == "", "no description").when(F.size(patterns) == 0, "no pattern").alias("reason"),
+    )
+    before = Window.partitionBy("id").orderBy("lens_ix", "ix").rowsBetween(Window.unboundedPreceding, -1)  # one name's candidates
+    again = F.coalesce(F.max(F.col("reason").isNull()).over(before), F.lit(False))
+    return df.withColumn("reason", F.coalesce("reason", F.when(again, "an id that is taken")))
+
+
 def packed(parts: Column, size: Column | None = None, target: int = 2000, glue: str = "\n\n") -> Column:
     """Neighbouring parts joined greedily up to `target` bytes; no part is cut."""
     kind = "array<string>"

@@ -26,13 +26,18 @@ def _twice(pattern: str) -> tuple[str, str]:
     return f"regexp_replace(btext, '([^{W[1:-1]}])', '\\1\\1', 'g')", _own(beside)
 
 
-def _values(rules: list[Rule], all_: list[Rule]) -> str:
-    rows = [f"({quoted(r.id)}, {all_.index(r)}, {quoted(r.severity)}, {quoted(r.tier)}, {quoted(r.intent)}, {_POINTS[r.severity]}, {quoted(r.says())}, {float(r.threshold or 0)}::DOUBLE, {r.max_words})" for r in rules]
+def _values(rules: list[Rule], all_: list[Rule], judged: dict[int, Rule]) -> str:
+    rows = [f"({quoted(r.id)}, {ix}, {quoted(r.severity)}, {quoted(r.tier)}, {quoted(r.intent)}, {_POINTS[r.severity]}, {quoted(r.says())}, {float(r.threshold or 0)}::DOUBLE, {r.max_words})" for ix, r in [*((all_.index(r), r) for r in rules), *judged.items()]]
     return "(VALUES " + ", ".join(rows) + ") AS rules(rule_id, rule_ix, severity, tier, intent, points, says, thr, most)"
 
 
-def findings(rules: RuleSet, options: Options = Options()) -> str:
-    """A WITH clause whose last table, `found`, holds all findings that no directive turns off: doc_id, start, stop, rule_id, ..., weight, message, replacement, line."""
+def findings(rules: RuleSet, options: Options = Options(), judged: dict[int, Rule] | None = None, spans: str = "") -> str:
+    """A WITH clause whose last table, `found`, holds all findings that no directive turns off: doc_id, start, stop, rule_id, ..., weight, message, replacement, line.
+
+    `spans` is SQL of further ones (doc_id, start, stop, rule_id, part_ix, weight, message, replacement) of the rules `judged` (by their places);
+    directives then turn off these only."""
+    judged = judged or {}
+    off_for = "r.tier <> 'inferential' OR " if judged else ""
     chosen = [r for r in rules.chosen(options) if r.engine != "inferential"]
     each = []
     for r in chosen:
@@ -62,7 +67,7 @@ def findings(rules: RuleSet, options: Options = Options()) -> str:
     contexts = " ".join(f"WHEN rule_id = {quoted(r.id)} THEN NOT regexp_matches(substring(d.text, greatest(1, start + 1 - {r.allow_context[1]}), stop - start + 2 * {r.allow_context[1]}), {_own(r.allow_context[0])})" for r in chosen if r.allow_context)
     names = ", ".join(f"({quoted(x)}, {quoted(r.id)})" for r in rules.rules for x in {r.id, r.name})
     return f"""{_METRICS},
-rules AS (SELECT * FROM {_values(chosen, chosen)}),
+rules AS (SELECT * FROM {_values(chosen, chosen, judged)}),
 matched AS ({" UNION ALL ".join(each)}),
 phrases AS (SELECT doc_id, rule_id, part_ix, fix, ms[i] AS m, bstart + list_sum(list_transform(ss[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM matched)),
 rates AS ({" UNION ALL ".join(dense)}),
@@ -72,8 +77,8 @@ spans AS (
     SELECT doc_id, start::BIGINT AS start, (start + length(m))::BIGINT AS stop, rule_id, part_ix, 1 AS weight, NULL AS message, CASE WHEN fix IS NULL THEN NULL WHEN length(letters) > 1 AND letters = upper(letters) THEN upper(fix) WHEN regexp_matches(letters, '^\\p{{Lu}}') THEN upper(fix[1]) || fix[2:] ELSE fix END AS replacement
         FROM (SELECT *, regexp_replace(m, '[^\\p{{L}}]', '', 'g') AS letters FROM phrases)
     UNION ALL SELECT doc_id, start::BIGINT, (start + size)::BIGINT, rule_id, 0, greatest(1, ceil(n - thr * greatest(word_count, 1) / 1000))::INT, says || ' (' || n || ' occurrences in ' || word_count || ' words)', NULL FROM rates JOIN docs USING (doc_id) JOIN rules USING (rule_id) WHERE n > 0 AND n / greatest(word_count, 1) * 1000 > thr
-    UNION ALL SELECT doc_id, start, stop, rule_id, 0, 1, NULL, NULL FROM ({" UNION ALL ".join(heads)})
-    UNION ALL SELECT doc_id, start, stop, rule_id, 0, 1, message, NULL FROM ({" UNION ALL ".join(measured)}) AS t(doc_id, start, stop, rule_id, message)),
+    UNION ALL SELECT doc_id, start, stop, rule_id, 0, 1, NULL, NULL FROM ({" UNION ALL ".join(heads) or "SELECT NULL::BIGINT AS doc_id, NULL::BIGINT AS start, NULL::BIGINT AS stop, NULL::VARCHAR AS rule_id WHERE FALSE"})
+    UNION ALL SELECT doc_id, start, stop, rule_id, 0, 1, message, NULL FROM ({" UNION ALL ".join(measured) or "SELECT NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR WHERE FALSE"}) AS t(doc_id, start, stop, rule_id, message){f" UNION ALL ({spans})" if spans else ""}),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM lint WHERE regexp_matches(text, '(?i)prose-(?:disable|enable)')),
 aliases(name, rule_id) AS (VALUES {names}),
 told AS (SELECT *, CASE WHEN regexp_matches(said, '(?i)prose-disable-file') THEN 'disable-file' WHEN regexp_matches(said, '(?i)prose-disable-next-line') THEN 'disable-next-line' WHEN regexp_matches(said, '(?i)prose-disable') THEN 'disable' WHEN regexp_matches(said, '(?i)prose-enable') THEN 'enable' END AS keyword FROM lines),
@@ -82,10 +87,17 @@ orders AS (SELECT doc_id, line, keyword, len(ws) = 0 AS every, list_transform(ws
 placed_ AS (SELECT s.*, d.text, length(substring(d.text, 1, start)) - length(replace(substring(d.text, 1, start), chr(10), '')) + 1 AS line FROM spans s JOIN lint d USING (doc_id) WHERE CASE {contexts or "WHEN FALSE THEN TRUE"} ELSE TRUE END),
 meant AS (SELECT o.doc_id, o.line AS said_at, o.keyword, r.rule_id FROM orders o, rules r WHERE o.every OR exists(SELECT 1 FROM aliases x WHERE x.rule_id = r.rule_id AND list_contains(o.ws, lower(x.name)))),
 found AS (SELECT p.*, r.* EXCLUDE (rule_id) FROM placed_ p JOIN rules r USING (rule_id)
-    WHERE NOT exists(SELECT 1 FROM orders o WHERE o.doc_id = p.doc_id AND o.line = p.line)
+    WHERE {off_for}(NOT exists(SELECT 1 FROM orders o WHERE o.doc_id = p.doc_id AND o.line = p.line)
     AND NOT exists(SELECT 1 FROM meant m WHERE m.doc_id = p.doc_id AND m.rule_id = p.rule_id AND m.keyword = 'disable-file')
     AND NOT exists(SELECT 1 FROM meant m WHERE m.doc_id = p.doc_id AND m.rule_id = p.rule_id AND m.keyword = 'disable-next-line' AND m.said_at < p.line AND NOT exists(SELECT 1 FROM lines l WHERE l.doc_id = p.doc_id AND l.line > m.said_at AND l.line < p.line AND regexp_matches(l.said, '[^\\s\\p{{Z}}]')))
-    AND coalesce((SELECT arg_max(m.keyword, m.said_at) FROM meant m WHERE m.doc_id = p.doc_id AND m.rule_id = p.rule_id AND m.keyword IN ('disable', 'enable') AND m.said_at <= p.line), 'enable') = 'enable')"""
+    AND coalesce((SELECT arg_max(m.keyword, m.said_at) FROM meant m WHERE m.doc_id = p.doc_id AND m.rule_id = p.rule_id AND m.keyword IN ('disable', 'enable') AND m.said_at <= p.line), 'enable') = 'enable'))"""
+
+
+def judged_sql(rules: RuleSet, options: Options, judged: dict[int, Rule], spans: str) -> str:
+    """Judged findings among all: `spans` as for `findings`, confidences by their rules."""
+    sure = f"CASE rule_id WHEN {quoted(list(judged.values())[0].id)} THEN 0.9 ELSE 0.7 END"
+    return f"""{findings(rules, options, judged, spans)}, all_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, rule_ix, part_ix) - 1 AS ord FROM found)
+SELECT doc_id, ord::INT AS ord, rule_id, severity, start::INT AS start, stop::INT AS "end", line::INT AS line, {_column("start")} AS "column", message, {sure}::DOUBLE AS confidence FROM all_ WHERE tier = 'inferential'"""
 
 
 def scores(rules: RuleSet, options: Options = Options(), keep: str = "doc_id") -> str:

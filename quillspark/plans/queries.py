@@ -15,7 +15,7 @@ from ..operators import config, diffs, evaluate, judge, lint, mining, render, re
 from ..rules.model import Options, Rule, RuleSet
 from ..sources.scratch import cut, shared_folder
 from .diff_sql import line_diff_sql
-from .finding_sql import finding_sql, findings
+from .finding_sql import finding_sql, findings, judged_sql
 from .lint_corpus import lint_corpus, lint_sql, quoted
 from .example_sql import example_sql
 from .passage_sql import passage_sql
@@ -468,4 +468,7 @@ ORACLE_SQL = {
 } | SENTENCE_SQL | finding_sql(CORE, SOME)
 ORACLE_SQL |= example_sql(mining.family_seeks(), mining.mark_seeks(), mining.canonical_pairs())
 ORACLE_SQL |= passage_sql(ORACLE_SQL, COUNTED, _rows, _WORDS, INFERENTIAL)
+_SPANS = f"""SELECT j.doc_id, j.start, j."end" AS stop, j.rule, 0, 1, CASE j.ord WHEN 0 THEN 'vague' ELSE 'padded' END, NULL FROM ({ORACLE_SQL["judge_findings"]}) j
+    WHERE j.status = 'grounded' AND j.confidence >= 0.6 AND exists(SELECT 1 FROM blocks k WHERE k.doc_id = j.doc_id AND k.bstart <= j.start AND j."end" <= k.bstart + length(k.btext))"""
+ORACLE_SQL |= {"judged_diagnostics": judged_sql(CORE, SIMPLE, {CORE.rules.index(r): r for r in INFERENTIAL}, _SPANS)}
 ORACLE_SQL |= {"line_diffs": line_diff_sql(ORACLE_SQL["fixed_texts"]), "word_edits": edit_sql(findings(CORE)), "word_reviews": review_sql(findings(CORE)), "configured_scores": place_sql(_PARSED, _rows(COUNTED)), "thresholds": grid_sql(ORACLE_SQL["simple_scores"], ORACLE_SQL["sentence_metrics"]), "tuning_checks": checks_sql(ORACLE_SQL["simple_scores"], ORACLE_SQL["sentence_metrics"], CHECKS), "revision_briefs": brief_sql(ORACLE_SQL["all_diagnostics"]), "tokens": TOKENS, "judge_outcomes": OUTCOMES.format(asked=ORACLE_SQL["judge_requests"]), "finding_windows": window_sql(CORE), "finding_listings": listing_sql(CORE)}

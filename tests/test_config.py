@@ -59,6 +59,17 @@ def test_layers_and_names(spark):
     assert o.severity == {"core/no-hedging": "suggestion", "core/prefer-short-words": "suggestion"} and o.thresholds == {"core/no-hedging": 3.0, "core/no-passive-overuse": 1.5}
 
 
+def test_three_layers(spark):
+    rules = lint.core_rules()
+    text = lambda o: config.parsed(F.lit(json.dumps(o)), F.lit("x"), rules)
+    docs = spark.createDataFrame([(1, "/a/x.txt"), (2, "/b/x.txt")], "doc_id long, path string")
+    configured = config.configurations(files(spark, [("/a/prose.config.json", {"disable": ["no-hedging"], "thresholds": {"no-hedging": 2, "no-passive-overuse": 2}})]), rules)
+    df = config.with_options(docs, configured, text({"enable": ["no-hedging"], "thresholds": {"no-hedging": 1}}), text({"thresholds": {"no-passive-overuse": 3}, "markdown": True}))
+    got = {r.doc_id: (r.options.enable, r.options.disable, r.options.thresholds, r.markdown) for r in df.collect()}
+    assert got[1] == (["core/no-hedging"], ["core/no-hedging"], {"core/no-hedging": 2.0, "core/no-passive-overuse": 3.0}, True)
+    assert got[2] == (["core/no-hedging"], None, {"core/no-hedging": 1.0, "core/no-passive-overuse": 3.0}, True)
+
+
 @pytest.mark.parametrize("content", ["{", '{"enable": 5}', "", "[]", '{"severity": {"no-hedging": "fatal"}}', '{"thresholds": {"no-hedging": "x"}}'])
 def test_a_file_that_is_none(spark, content):
     with pytest.raises(Exception, match=r"a/b/prose\.config\.json: invalid configuration"):

@@ -80,3 +80,21 @@ def test_canonical_pairs(spark):
     assert len(got) == len(rules) and got["serial-comma"] == ("We took the red, the green and the blue one.", "We took the red, the green, and the blue one.", True)
     assert got["no-em-dash"][0] == "We took the red—the green, and the blue one." and got["no-utilize"] == (*pairs["no-utilize"], False)
     assert {r.name for r in mining.synthesized(docs, rules).collect()} == {n for n, x in got.items() if x[2]}
+
+
+def test_mined_candidates(spark):
+    import json
+
+    pair = [{"bad": "b", "good": "g"}]
+    rule = lambda **k: {"id": "No X!", "description": "Never x.", "examples": pair, "patterns": ["x"]} | k
+    first = [rule(severity="error", patterns=["x", {"pattern": "y+", "fix": "z", "message": "m"}, " "]), rule(), rule(id="--", engine="leading", mined_from=" a memo "), rule(id="q", engine="density"), rule(id="q", severity="info")]
+    second = [rule(id="no-x"), rule(id="e", examples=[]), rule(id="d", description=" . "), rule(id="p", patterns=[]), rule(id="e")]
+    rows = [(0, "tone", "Here:\n```json\n" + json.dumps(first) + "\n```"), (1, "form", json.dumps(second)), (2, "none", "no list"), (3, None, None)]
+    got = mining.mined_candidates(spark.createDataFrame(rows, "lens_ix int, lens string, answer string"), "m1").orderBy("lens_ix", "ix").collect()
+    taken = "an id that is taken"
+    assert [(r.id, r.reason) for r in got] == [
+        ("no-x", None), ("no-x", taken), ("mined-3", None), ("q", "engine density is not one of phrase and leading"), ("q", None),
+        ("no-x", taken), ("e", "no examples"), ("d", "no description"), ("p", "no pattern"), ("e", None),
+    ]
+    assert (got[0].severity, got[0].patterns, got[0].description) == ("warning", ["x", "y+"], "Never x (mined by m1, lens: tone, from your corpus sample).")
+    assert got[2].description == "Never x (mined by m1, lens: tone, from a memo)." and got[4].severity == "suggestion" and got[2].engine == "leading"
