@@ -228,13 +228,13 @@ def reviewed(edited: DataFrame, review: Review = Review(), xml: str = "xml", exi
     df = once(df, __from=offsets(F.col("__texts")), __deep=offsets(deeper))
     described = F.transform("__runs", lambda r, k: F.struct(F.get(F.col("__from"), k).alias("from"), (F.get(F.col("__from"), k) + F.get(F.col("__texts"), k)).alias("till"), ((F.get(F.col("__deep"), k + 1) == 0) & r.rlike(SIMPLE)).alias("simple")))
     df = once(df, __described=described)
-    closed = F.filter("__described", lambda d: ~d["simple"])
-    void = F.array_distinct(F.transform(F.filter("__pieces", lambda p: F.exists(closed, lambda d: (d["from"] <= p["run"]) & (p["run"] < d["till"]))), lambda p: p["id"]))
+    df = once(df, __closed=F.filter("__described", lambda d: ~d["simple"] & (d["from"] < d["till"])))
+    void = F.array_distinct(F.transform(F.filter("__pieces", lambda p: F.exists("__closed", lambda d: (d["from"] <= p["run"]) & (p["run"] < d["till"]))), lambda p: p["id"]))
     df = once(df, __void=void)
     df = once(df, __left=F.filter("__pieces", lambda p: ~F.array_contains("__void", p["id"])))
     mine = lambda k: F.filter("__left", lambda p: p["run"] == F.get(F.col("__described"), k)["from"])
-    changed = F.array_distinct(F.transform("__left", lambda p: p["run"]))
-    new_runs = F.transform("__runs", lambda r, k: F.when(F.array_contains(changed, F.get(F.col("__described"), k)["from"]) & F.get(F.col("__described"), k)["simple"], _sweep(r, mine(k), review)).otherwise(r))
+    df = once(df, __changed=F.array_distinct(F.transform("__left", lambda p: p["run"])))
+    new_runs = F.transform("__runs", lambda r, k: F.when(F.array_contains("__changed", F.get(F.col("__described"), k)["from"]) & F.get(F.col("__described"), k)["simple"], _sweep(r, mine(k), review)).otherwise(r))
     whole = F.concat(F.element_at("__gaps", 1), F.array_join(F.zip_with(new_runs, F.slice("__gaps", F.lit(2), F.size("__runs")), lambda r, g: F.concat(r, g)), ""))
     # comments stand in the order in which they close
     ends = F.filter("__left", lambda p: p["closes"])
@@ -252,7 +252,7 @@ def reviewed(edited: DataFrame, review: Review = Review(), xml: str = "xml", exi
     applied = F.size("__closing") - notes
     counts = {"applied": applied, "maybe_applied": F.least(F.col("n_maybe"), applied), "annotated": notes, "skipped": F.col("n_lost") + F.size("__void")}
     df = df.withColumn("comments_xml", F.when(F.size("__closing") > 0, fresh)).withColumns(counts)
-    return df.drop("__runs", "__gaps", "__pieces", "__texts", "__from", "__deep", "__described", "__void", "__left", "__closing")
+    return df.drop("__runs", "__gaps", "__pieces", "__texts", "__from", "__deep", "__described", "__closed", "__void", "__left", "__changed", "__closing")
 
 
 def _revision(kind: str, author: str) -> str:
