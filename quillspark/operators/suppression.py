@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import line_of
+from ..functions.text import let, offsets
 from ..rules.model import RuleSet
 
 _WHAT = "struct<all:boolean,ids:array<string>>"
@@ -62,7 +62,11 @@ def allowed(findings: Column, text: Column, rules: RuleSet, prefix: str = "prose
     def holds(what: Column, rule: Column) -> Column:
         return what["all"] | F.array_contains(what["ids"], rule)
 
-    def kept(acc: Column) -> Column:
-        return F.filter(findings, lambda f: ~(holds(acc["file"], f["rule_id"]) | holds(F.element_at(acc["lines"], line_of(text, f["start"])), f["rule_id"])))
+    def within(starts: Column) -> Column:
+        """`starts`: where each line begins, so that a finding's line is a count."""
+        line = lambda f: F.size(F.filter(starts, lambda s: s <= f["start"]))
+        kept = lambda acc: F.filter(findings, lambda f: ~(holds(acc["file"], f["rule_id"]) | holds(F.element_at(acc["lines"], line(f)), f["rule_id"])))
+        return F.aggregate(directives(text, rules, prefix), zero, step, kept)
 
-    return F.when(text.rlike(f"(?i){prefix}-(?:disable|enable)"), F.aggregate(directives(text, rules, prefix), zero, step, kept)).otherwise(findings)
+    begins = offsets(F.transform(F.split(text, "\n", -1), lambda x: F.length(x) + 1))
+    return F.when(text.rlike(f"(?i){prefix}-(?:disable|enable)"), let(begins, within)).otherwise(findings)

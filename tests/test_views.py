@@ -114,3 +114,14 @@ def test_long_text_with_many_findings(spark):
     fixed = lint.fixed(frame(spark, text.replace("kappa;", "utilize")), options=Options(enable=("prefer-short-words",))).first()
     assert len(rows) == 5000 and {(r.ord + 1, r.column) for r in rows} == {(r.line, 57) for r in rows}
     assert fixed.n_fixes == 5000 and time.time() - began < 90
+
+
+def test_long_text_with_directives(spark):
+    """Directives in a text of thousands of lines and findings."""
+    lines = ["We utilize it; so."] * 3000
+    lines[10], lines[20], lines[2000] = "prose-disable no-semicolons", "prose-enable", "prose-disable-next-line"
+    options = Options(enable=("no-semicolons", "prefer-short-words"))
+    began = time.time()
+    (r,) = lint.find(frame(spark, "\n".join(lines)), options=options).collect()
+    by = {n: sum(f.rule_id == n for f in r.findings) for n in ("core/no-semicolons", "core/prefer-short-words")}
+    assert by == {"core/no-semicolons": 2997 - 9 - 1, "core/prefer-short-words": 2997 - 1} and time.time() - began < 60
