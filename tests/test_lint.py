@@ -317,3 +317,10 @@ def test_samples_and_gates(spark):
     assert [(r.doc_id, r.slot, r.passage[:6]) for r in got] == [(1, 0, "only o"), (0, 0, "part 0"), (0, 1, "part 8")]
     rules = RuleSet((Rule("a", "phrase", patterns=("part",)), Rule("b", "phrase", patterns=("zeta",), examples=(("a zeta", "none"),)), Rule("c", "phrase", patterns=("eta",), examples=(("none", "none"),))))
     assert {r.rule_id: r.ok for r in mining.consistent(rules, docs).collect()} == {"core/a": False, "core/b": True, "core/c": False}
+
+
+def test_messages_round_to_even(spark):
+    """Two decimals of a value halfway between two are the even ones: 3.125 and 0.125."""
+    docs = frame(spark, " ".join(["word"] * 316) + ". Red, green, and blue.", "Go on. " * 14 + "Stop. Go on now.")
+    found = lint.diagnostics(docs, options=Options(enable=("triad-overuse", "uniform-sentence-rhythm"))).orderBy("doc_id").collect()
+    assert [r.message for r in found] == ["Triad overuse. (3.12, threshold 2.00)", "Uniform sentence rhythm. (0.12, threshold 105.00)"]
