@@ -1,12 +1,15 @@
 """Parsing, rules, directives, fixes and scores on small texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from quillspark.functions.sentences import sentences
 from quillspark.functions.markdown import markdown_blocks
 from quillspark.functions.text import blocks
+from quillspark.functions import text as text_functions
 from quillspark.operators import evaluate, judge, lint, mining, sourcing
-from quillspark.rules import loader
+from quillspark.rules import loader, parts
 from quillspark.rules.model import Options, Rule, RuleError, RuleSet
 from quillspark.streaming.scores import score_monitor, stream_scores
 
@@ -324,3 +327,31 @@ def test_messages_round_to_even(spark):
     docs = frame(spark, " ".join(["word"] * 316) + ". Red, green, and blue.", "Go on. " * 14 + "Stop. Go on now.")
     found = lint.diagnostics(docs, options=Options(enable=("triad-overuse", "uniform-sentence-rhythm"))).orderBy("doc_id").collect()
     assert [r.message for r in found] == ["Triad overuse. (3.12, threshold 2.00)", "Uniform sentence rhythm. (0.12, threshold 105.00)"]
+
+
+def test_quick_patterns_match_alike(spark):
+    """Patterns that stand for slower ones have the same matches, or as many, in texts made of what they look at."""
+    rnd, bits = random.Random(7), ["a", "red", "İs", "is", "was", "been", "noted", "given", "and", "or", "AND", ",", ", ", " ", "  ", "\n", ".", ";", "’", "'", "-", "_", "5", "é", "é", "́", "–"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 60))) for _ in range(3000)] + [" ".join(rnd.choice(["a", "red,", "and", "or", "is", "noted", "b", "c,"]) for _ in range(30)) for _ in range(1000)]
+    df = frame(spark, *texts)
+    for own, quick in parts._QUICK.items():
+        spans = [text_functions.match_spans(F.col("text"), text_functions.java(p)) for p in (own, quick)]
+        assert df.where(F.size(spans[0]) > 0).count() > 50 and df.where(~spans[0].eqNullSafe(spans[1])).count() == 0
+    for own, quick in parts._AS_MANY.items():
+        counts = [F.regexp_count("text", F.lit(text_functions.java(p))) for p in (own, quick)]
+        assert df.where(counts[0] > 0).count() > 50 and df.where(counts[0] != counts[1]).count() == 0
+    assert df.where(text_functions.word_count(F.col("text")) != F.regexp_count("text", F.lit(r"(?U)\b[\w'’-]+\b"))).count() == 0
+
+
+def test_patterns_are_tried_where_all_they_need_is(spark):
+    """A word that a pattern shares with most texts does not make it a candidate."""
+    df = lint._with_candidates(frame(spark, "The people of that place, at the door.", "So in the age of tin.").withColumn("__t", F.col("text")), parts.parts([r for r in lint.core_rules().rules if r.name in ("prefer-concise-phrases", "no-marketing-language")]))
+    assert [len(r["__at"]) for r in df.orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_scores_without_sentences(spark):
+    """Where neither rules nor columns need sentences, the plan makes none."""
+    df = lint.lint_scores(frame(spark, "We utilize it. It is new."), options=Options(enable=("prefer-short-words",)))
+    told = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "is_citation" in told(df) and "is_citation" not in told(df.select("doc_id", "score"))
+    assert [(r.sentence_count, r.n_findings) for r in df.collect()] == [(2, 1)]
