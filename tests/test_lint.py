@@ -355,3 +355,12 @@ def test_scores_without_sentences(spark):
     told = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
     assert "is_citation" in told(df) and "is_citation" not in told(df.select("doc_id", "score"))
     assert [(r.sentence_count, r.n_findings) for r in df.collect()] == [(2, 1)]
+
+
+def test_judged_findings_without_sentences(spark):
+    """Where no judged rule looks at prose only, findings of a judge are placed without sentences."""
+    judged = spark.createDataFrame([(0, "core/empty-hedge", "grounded", 3, 5, "vague", 0.9, None)], "doc_id long, rule string, status string, start int, end int, explanation string, confidence double, suggested_rewrite string")
+    found = lint.find(frame(spark, "We do it. It is new."), options=Options(enable=("prefer-short-words",)), late=True)
+    df = lint.merged(found, judged, lint.core_rules()).select("doc_id", "findings")
+    assert "is_citation" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [[(f.start, f.end) for f in r.findings] for r in df.collect()] == [[(3, 5)]]
