@@ -40,7 +40,9 @@ def _close(names: str) -> str:
 
 
 TEXT = rf"{_tag('t')}.*?{_close('t')}|{_empty('t')}"
-UNIT = rf"(?s){TEXT}|{_close('p')}|{_empty('tab|br|cr')}"
+#: The same elements, each character of a text looked at once.
+_TEXT = rf"{_tag('t')}[^<]*+(?:(?!{_close('t')})<[^<]*+)*+{_close('t')}|{_empty('t')}"
+UNIT = rf"(?s)(?=<)(?:{_TEXT}|{_close('p')}|{_empty('tab|br|cr')})"
 RUN = rf"(?s){_tag('r')}.*?{_close('r')}"
 PROPERTIES = rf"(?:{_empty('rPr')}|{_tag('rPr')}.*{_close('rPr')})"
 #: A run of one text and, before it, properties at most.
@@ -96,8 +98,10 @@ def unescaped(text: Column) -> Column:
 
 def _inner(element: Column) -> Column:
     """The text of an element, character data included."""
-    bare = F.regexp_replace(element, r"(?s)^<[^>]*>|<(?!!\[CDATA\[)[^>]*>\z", "")
-    return F.when(bare.contains("<![CDATA["), F.regexp_replace(bare, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")).otherwise(unescaped(bare))
+    # most hold no tag but their own; an element that is empty has nothing behind its tag
+    plain = F.substr(F.substring_index(element, "<", 2), F.instr(element, ">") + 1)
+    bare = F.when(F.substring_index(element, "<", 3) == element, plain).otherwise(F.regexp_extract(element, r"(?s)\A<[^>]*>(.*)<[^>]*>\z", 1))
+    return let(bare, lambda z: F.when(z.contains("<![CDATA["), F.regexp_replace(z, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")).otherwise(unescaped(z)))
 
 
 def _projection(xml: Column) -> Column:
@@ -124,23 +128,34 @@ def _first(runs: Column, fits) -> Column:
     return F.get(F.filter(runs, fits), F.lit(0))
 
 
+#: Of so many runs one is known by its beginning, so that a place is looked up among few.
+STRIDE = 16
+
+
+def _about(runs: Column, heads: Column, before) -> Column:
+    """The runs that may hold a place: the last one that begins `before` it is among them. `heads`: where every `STRIDE`-th run begins."""
+    return let(F.size(F.filter(heads, before)), lambda k: F.slice(runs, F.greatest(k - 1, F.lit(0)) * STRIDE + 1, F.lit(STRIDE)))
+
+
 def edits(found: DataFrame, review: Review = Review(), first_comment: Column | None = None) -> DataFrame:
     """Adds to the rows of `find` with `runs`: `edits`, in order (id, start, end, replacement, message, kind, first, last), `n_lost`, the
     candidates that no run holds, and `n_maybe`, the tracked changes whose fix may be wrong. Kinds: redline, comment, split (a comment from one run to another)."""
     f = F.col("findings")
     usable = lambda x: x["replacement"].isNotNull() & (F.lit(review.maybe) | (x["tier"] != "inferential"))
-    bounded = lambda x: (x["start"] <= x["end"]) & (x["end"] <= F.length("__t"))
+    bounded = lambda x: (x["start"] <= x["end"]) & (x["end"] <= F.col("__size"))
     as_one = lambda fix: lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("ord"), (x["replacement"] if fix else F.lit(None).cast("string")).alias("replacement"), x["message"].alias("message"), ((x["tier"] == "inferential") & F.lit(fix)).alias("maybe"))
     # places in the list of findings break ties
     rewrites = F.array_sort(F.transform(F.filter(f, lambda x: usable(x) & bounded(x)), as_one(True)))
     notes = F.array_sort(F.transform(F.filter(f, lambda x: ~usable(x) & bounded(x) & (x["start"] < x["end"])), as_one(False)))
-    df = once(found, __c=F.concat(rewrites, notes) if review.annotate else rewrites)
+    heads = F.transform(F.filter("runs", lambda r, i: i % STRIDE == 0), lambda r: r["start"])
+    df = once(found, __size=F.length("__t"), __heads=heads)
+    df = once(df, __c=F.concat(rewrites, notes) if review.annotate else rewrites)
 
     def located(c: Column) -> Column:
         point = c["start"] == c["end"]
         at = _first(F.col("runs"), lambda r: (c["start"] >= r["start"]) & (c["end"] <= r["end"]))
-        first = F.when(point, at).otherwise(_first(F.col("runs"), lambda r: (r["start"] <= c["start"]) & (c["start"] < r["end"])))
-        last = F.when(point, at).otherwise(_first(F.col("runs"), lambda r: (r["start"] < c["end"]) & (c["end"] <= r["end"])))
+        first = F.when(point, at).otherwise(_first(_about(F.col("runs"), F.col("__heads"), lambda s: s <= c["start"]), lambda r: (r["start"] <= c["start"]) & (c["start"] < r["end"])))
+        last = F.when(point, at).otherwise(_first(_about(F.col("runs"), F.col("__heads"), lambda s: s < c["end"]), lambda r: (r["start"] < c["end"]) & (c["end"] <= r["end"])))
         return F.struct(c.alias("c"), first.alias("first"), last.alias("last"))
 
     df = once(df, __l=F.filter(F.transform("__c", located), lambda z: z["first"].isNotNull() & z["last"].isNotNull()))
@@ -160,7 +175,7 @@ def edits(found: DataFrame, review: Review = Review(), first_comment: Column | N
 
     lost = (F.size("__c") - F.size("__l")).alias("n_lost")
     df = once(df, edits=F.transform("__l", edit)).withColumn("n_lost", lost)
-    return df.withColumn("n_maybe", F.size(F.filter("edits", lambda e: (e["kind"] == "redline") & e["maybe"]))).drop("__c", "__l", "__w")
+    return df.withColumn("n_maybe", F.size(F.filter("edits", lambda e: (e["kind"] == "redline") & e["maybe"]))).drop("__size", "__heads", "__c", "__l", "__w")
 
 
 PIECE = "array<struct<run:int,start:int,end:int,id:int,replacement:string,message:string,opens:boolean,closes:boolean>>"
@@ -183,7 +198,7 @@ def _sweep(run: Column, pieces: Column, review: Review) -> Column:
     date = "" if review.date is None else f' w:date="{review.date}"'
     author = review.author.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
     properties = F.regexp_extract(run, rf"(?s)^<[^>]*>\s*({PROPERTIES})", 1)
-    text = _inner(F.regexp_extract(run, f"(?s){TEXT}", 0))
+    text = let(F.regexp_extract(run, f"(?s){TEXT}", 0), _inner)
 
     def written(z: Column) -> Column:
         said = lambda tag, t: F.concat(F.lit("<w:r>"), z["properties"], F.lit(f'<w:{tag} xml:space="preserve">'), escaped(t), F.lit(f"</w:{tag}></w:r>"))

@@ -364,3 +364,33 @@ def test_judged_findings_without_sentences(spark):
     df = lint.merged(found, judged, lint.core_rules()).select("doc_id", "findings")
     assert "is_citation" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert [[(f.start, f.end) for f in r.findings] for r in df.collect()] == [[(3, 5)]]
+
+
+def test_word_lookups():
+    cases = {
+        r"(?i)\butili[sz]e\b": {"utilise", "utilize"}, r"(?i)\bgame[- ]changer\b": {"game", "changer"}, r"(?i)\bcomprehensive(?:ly)?\b": {"comprehensive", "comprehensively"},
+        r"(?im)^\s*(Moreover|Furthermore),": {"moreover", "furthermore"}, r"(?i),\s*(?:showing|telling)\b\s+the\b": {"showing", "telling", "the"}, r"(?i)the catch\s*:": {"catch"},
+    }
+    for pattern, words in cases.items():  # no text is searched for parts of words
+        assert {(s, whole) for need in parts.needed(pattern) for s, whole, _ in need} == {(w, True) for w in words}, pattern
+    for pattern in (r"(?i)\bvis-?a", r"(?i)\brel[a-z]+\b", r"(?i)\bnon\w*\b", r"(?i)before"):
+        assert not any(whole for need in parts.needed(pattern) for _, whole, _ in need), pattern
+
+
+def test_spans_of_texts_that_hold_marks(spark):
+    import re
+
+    texts = ["ab\ufdd0ab b", "\ufdd2ab", "ab ab🙂ab", "none", "", "ab"]
+    got = frame(spark, *texts).withColumn("p", F.lit("ab?")).select("text", text_functions.match_spans(F.col("text"), F.col("p")).alias("s")).collect()
+    assert all([(s.start, s.end, s.text) for s in r.s] == [(*m.span(), m[0]) for m in re.finditer("ab?", r.text)] for r in got)
+
+
+def test_free_stops(spark):
+    from quillspark.functions import sentences as cut
+
+    rng = random.Random(4)
+    pieces = ["Prof", "prof", "e.g", "Sept", "septs", "words", "wordy", "A", "xA", "12th", "3", "\n(ii)", "iv", ".", ". ", "! ", "? ", '." ', " ", "Then", "(So", "7"]
+    texts = ["".join(rng.choice(pieces) for _ in range(60)) for _ in range(300)]
+    whole = cut.BOUNDARY.replace(f"(?:{cut._FREE}|(?!{cut._BLOCKED}))", f"(?!{cut._BLOCKED})")
+    assert whole != cut.BOUNDARY
+    assert frame(spark, *texts).where(F.regexp_replace("text", cut.BOUNDARY, "$0|") != F.regexp_replace("text", whole, "$0|")).count() == 0

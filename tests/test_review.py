@@ -174,3 +174,17 @@ def test_the_corpus_of_queries(spark):
     assert all(x.text == (x.said or "") + "\n\n" for x in review.projected(df).collect())
     edits = review.edits(lint.find(review.projected(df.limit(0))))
     assert review.reviewed(edits).collect() == []
+
+
+def test_runs_are_looked_up_by_their_beginnings(spark):
+    """Of many runs, some of them empty, the same are found as by going through all."""
+    runs = [(i, 3 * i + (i > 20), 3 * i + (i > 20) + (0 if i == 17 else 2)) for i in range(70)]
+    spans = [(s, s + n) for s in range(0, 214) for n in (0, 1, 2, 4)]
+    df = spark.createDataFrame([(1, [dict(zip(("run", "start", "end"), r)) for r in runs], "x" * 220, [(s, e, 0, 0, "r", "warning", "hard", "style", "m", 1, "y", None) for s, e in spans])], f"doc_id long, runs array<struct<run:int,start:int,end:int>>, __t string, findings {lint.FINDING}")
+    (row,) = review.edits(df).select("edits").collect()
+    want = []
+    for s, e in sorted(spans):
+        at = [r for r, a, b in runs if a <= s and e <= b]
+        first, last = (at, at) if s == e else ([r for r, a, b in runs if a <= s < b], [r for r, a, b in runs if a < e <= b])
+        want += [(s, e, first[0], last[0])] if first and last else []
+    assert [(x.start, x.end, x.first.run, x.last.run) for x in row.edits] == want
