@@ -394,3 +394,12 @@ def test_free_stops(spark):
     whole = cut.BOUNDARY.replace(f"(?:{cut._FREE}|(?!{cut._BLOCKED}))", f"(?!{cut._BLOCKED})")
     assert whole != cut.BOUNDARY
     assert frame(spark, *texts).where(F.regexp_replace("text", cut.BOUNDARY, "$0|") != F.regexp_replace("text", whole, "$0|")).count() == 0
+
+
+def test_fixed_texts_search_for_fixes_only(spark):
+    texts = ("In order to utilize it; we purchase – perhaps, due to the fact that it is late.", "prose-disable prefer-short-words\nWe utilize it In Order To go.", "Nothing here. Nothing there.", "")
+    docs = frame(spark, *texts)
+    fixed = lint.fixed(docs)
+    assert sorted(fixed.collect()) == sorted(lint.fixed(docs, found=lint.find(docs)).collect())
+    assert all(f.replacement is not None for r in lint.fixes(docs).collect() for f in r.findings)
+    assert "sents" not in fixed._jdf.queryExecution().optimizedPlan().toString()
