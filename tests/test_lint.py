@@ -403,3 +403,28 @@ def test_fixed_texts_search_for_fixes_only(spark):
     assert sorted(fixed.collect()) == sorted(lint.fixed(docs, found=lint.find(docs)).collect())
     assert all(f.replacement is not None for r in lint.fixes(docs).collect() for f in r.findings)
     assert "sents" not in fixed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_led_patterns_match_alike(spark):
+    """A look at the first letter changes no match, also of letters that count as ASCII ones without regard to case."""
+    own = [p for r in lint.core_rules().rules for p, _ in r.pairs() if parts._led(p) != p]
+    rng = random.Random(11)
+    said = [w for p in own for w in ("".join(c if c.isalpha() else " " for c in p.replace(r"\b", " ").replace("(?i)", " "))).split()]
+    odd = lambda w: "".join({"s": "ſ", "k": "K", "i": rng.choice("İıI")}.get(c, c.upper()) if rng.random() < 0.2 else c for c in w)
+    texts = [p.replace("(?i)", "").replace(r"\b", rng.choice(["", " ", "x", "́"])) for p in own for _ in range(3)] + [" ".join(odd(rng.choice(said)) for _ in range(30)) for _ in range(100)]
+    marked = lambda p: F.regexp_replace("text", text_functions.java(p), "<$0>")
+    assert len(own) > 100
+    for i in range(0, len(own), 40):
+        wrong = F.array_compact(F.array(*(F.when(marked(p) != marked(parts._led(p)), F.lit(p)) for p in own[i : i + 40])))
+        assert frame(spark, *texts).where(F.size(wrong) > 0).count() == 0
+    assert all(parts._led(p) == p for p in (r"(?i)\b(?:un)?lock\b", r"(?i)\b\w+ly\b", r"(?i)\bété\b", r"\bword\b", r"(?i)\b[a-z]+"))
+
+
+def test_openers_repeat(spark):
+    """Sentences are folded for runs of openers only where so many in a row begin alike."""
+    df = lint.parse(frame(spark, "We go. We see. We run.", "We go. We see. They run. We go.", "We go.\n\nWe see. We run.", "", "? ? ?"))
+    assert [r[0] for r in df.orderBy("doc_id").select(lint._repeats(F.col("sents"), 3)).collect()] == [True, False, False, False, False]
+
+
+def test_runs_that_matches_hold():
+    assert [parts.held(p) for p in (r"\buse\b", r", ([^,;]{1,40}), (and|or)\b", r"(?i)\buse\b", r"\w+")] == [["use"], [", and", ", or"], [], []]
