@@ -348,6 +348,21 @@ def test_fingerprints_of_short_recordings(spark):
     assert all(i == q + 1 for q, i in pairs)
 
 
+def test_fingerprints_of_unlike_and_edited_short_recordings(spark):
+    """What short texts share is sound, not the silence around them; a word changed now and then leaves them alike."""
+    draw = random.Random(23)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    rows = [(100 * n if n < 6 else 600 + n, " ".join(draw.choices(words, k=4 + n % 9))) for n in range(70) if n]
+    planted = set()
+    for n in range(6):
+        w = draw.choices(words, k=70 + 10 * n)
+        edited = [draw.choice(words) if i % 17 == 9 else x for i, x in enumerate(w)]
+        rows += [(100 * (n + 20), " ".join(w)), (100 * (n + 20) + 1, " ".join(edited))]
+        planted.add((100 * (n + 20), 100 * (n + 20) + 1))
+    found = fingerprints.search(spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text as binary) media")).collect()
+    assert {(r.query_id, r.id) for r in found if r.query_id is not None} == planted
+
+
 def plain_alignment(x, y, least=fingerprints.LEAST_OVERLAP):
     """Whether some stretch of frames of two long recordings differs in few bits, at any shift of samples."""
     a, b = (fingerprints.samples_of(z.encode(), 1) for z in (x, y))
