@@ -404,6 +404,37 @@ def test_fingerprints_against_every_shift(spark):
         assert offsets[q, q + 1] == text[q + 1].index(passage) - text[q].index(passage)
 
 
+def test_registered_search_of_every_shift(spark, tmp_path):
+    """The registered query finds a shared passage wherever it lies in both texts, and a short text with a letter before it."""
+    from quillspark.llm.queries import op1_chroma_search
+
+    draw = random.Random(31)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 8))) for _ in range(400)]
+    some = lambda n: " ".join(draw.choices(words, k=n))[:n]
+    rows, planted = [], set()
+    for n in range(6):
+        q, passage, short = 200 * (n + 1), some(1500), some(300 + 90 * n)
+        rows += [(q, some(900) + passage + some(700)), (q + 1, some(301 + 11 * n) + passage + some(500)), (q + 2, some(2500))]
+        rows += [(q + 100, short), (q + 101, "abc"[: 1 + n % 3] + short)]
+        planted |= {(q, q + 1), (q + 100, q + 101)}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = op1_chroma_search(spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.doc_id) for r in found if r.query_id is not None} == planted
+
+
+def test_numbers_do_not_depend_on_what_is_made_with_them():
+    """A recording's numbers are the same alone, among others, and where its work is cut; each phase's are those of its own samples."""
+    draw = np.random.default_rng(5)
+    many = [draw.integers(0, 256, n).astype(np.float32) / 128 - 1 for n in (5000, 1600, 2 * fingerprints.CHUNK + 5000, 1537, 40_000)]
+    for step, scale in ((64, 1), (16, 1), (4, 16), (1, 16)):
+        alone = [fingerprints.numbers([x], step, scale)[0] for x in many]
+        together = fingerprints.numbers(many[::-1], step, scale)[::-1]
+        assert all(np.array_equal(a, b) for a, b in zip(alone, together, strict=True))
+    every = fingerprints.numbers([many[0]], 1)[0]
+    for phase in (0, 1, 37, 63):
+        assert np.array_equal(every[phase::64], fingerprints.numbers_of(many[0], phase)[2])
+
+
 def test_fingerprints_of_classes_that_share_an_id(spark):
     draw = random.Random(22)
     words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 8))) for _ in range(400)]
