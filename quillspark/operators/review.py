@@ -43,10 +43,14 @@ TEXT = rf"{_tag('t')}.*?{_close('t')}|{_empty('t')}"
 #: The same elements, each character of a text looked at once.
 _TEXT = rf"{_tag('t')}[^<]*+(?:(?!{_close('t')})<[^<]*+)*+{_close('t')}|{_empty('t')}"
 UNIT = rf"(?s)(?=<)(?:{_TEXT}|{_close('p')}|{_empty('tab|br|cr')})"
+#: The same places: what stands in a text that holds no tag, and of all else one tag (of an empty text its last, of one with tags its first).
+PLAIN_UNIT = rf"(?s)(?=</?+(?:\w++:)?+(?:t|p|tab|br|cr)[\s/>])(?:{_tag('t')}(?=[^<]*+{_close('t')})|(?={_TEXT}|{_close('p')}|{_empty('tab|br|cr')}))(<[^>]*+>|[^<]*+)"
 RUN = rf"(?s){_tag('r')}.*?{_close('r')}"
 PROPERTIES = rf"(?:{_empty('rPr')}|{_tag('rPr')}.*{_close('rPr')})"
 #: A run of one text and, before it, properties at most.
 SIMPLE = rf"(?s)^{_tag('r')}\s*{PROPERTIES}?\s*(?:{_tag('t')}[^<]*{_close('t')}|{_empty('t')})\s*{_close('r')}\z"
+#: Of these, the ones without properties: no other text stands in them.
+BARE = rf"(?s)^{_tag('r')}\s*(?:{_tag('t')}[^<]*+{_close('t')}|{_empty('t')})\s*{_close('r')}\z"
 #: Stands for the next revision's number; a noncharacter, which no XML holds.
 NEXT = "﷑"
 
@@ -104,19 +108,36 @@ def _inner(element: Column) -> Column:
     return let(bare, lambda z: F.when(z.contains("<![CDATA["), F.regexp_replace(z, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")).otherwise(unescaped(z)))
 
 
-def _projection(xml: Column) -> Column:
-    def piece(u: Column) -> Column:
-        is_text = u.rlike(rf"^<(?:\w+:)?t[\s/>]")
-        said = F.when(is_text, _inner(u)).when(u.startswith("</"), "\n\n").when(u.rlike(r"^<(?:\w+:)?tab[\s/>]"), "\t").otherwise("\n")
-        return F.struct(is_text.alias("is_text"), said.alias("said"))
+def _said(xml: Column) -> Column:
+    """What each unit of a part says, and whether it is a text."""
+    piece = lambda is_text, said: F.struct(is_text.alias("is_text"), said.alias("said"))
+    sign = lambda u: F.when(u.startswith("</"), "\n\n").when(u.rlike(r"^<(?:\w+:)?tab[\s/>]"), "\t").otherwise("\n")
+
+    def plain(u: Column) -> Column:
+        return F.when(~u.startswith("<"), piece(F.lit(True), unescaped(u))).otherwise(let(u.rlike(r"^</?(?:\w+:)?t[\s/>]"), lambda empty: piece(empty, F.when(empty, "").otherwise(sign(u)))))
+
+    def whole(u: Column) -> Column:
+        is_text = u.rlike(r"^<(?:\w+:)?t[\s/>]")
+        return piece(is_text, F.when(is_text, _inner(u)).otherwise(sign(u)))
+
+    opens = lambda u: u.startswith("<") & ~u.startswith("</") & ~u.endswith("/>")
+    slowly = F.transform(F.regexp_extract_all(xml, F.lit(UNIT), F.lit(0)), whole)
+    return let(F.regexp_extract_all(xml, F.lit(PLAIN_UNIT), F.lit(1)), lambda all_: F.when(F.exists(all_, opens), slowly).otherwise(F.transform(all_, plain)))
+
 
+def said(xml: Column) -> Column:
+    """The text of a document part alone. A null part is empty."""
+    return F.array_join(F.transform(_said(F.coalesce(xml, F.lit(""))), lambda p: p["said"]), "")
+
+
+def _projection(xml: Column) -> Column:
     def placed(z: Column) -> Column:
         at = offsets(F.transform(z, lambda p: F.length(p["said"])))
         spans = F.zip_with(z, F.slice(at, F.lit(1), F.size(z)), lambda p, o: F.struct(p["is_text"].alias("is_text"), o.alias("start"), (o + F.length(p["said"])).alias("end")))
         runs = F.transform(F.filter(spans, lambda s: s["is_text"]), lambda s, i: F.struct(i.alias("run"), s["start"].alias("start"), s["end"].alias("end")))
         return F.struct(F.array_join(F.transform(z, lambda p: p["said"]), "").alias("text"), runs.alias("runs"))
 
-    return let(F.transform(F.regexp_extract_all(xml, F.lit(UNIT), F.lit(0)), piece), placed)
+    return let(_said(xml), placed)
 
 
 def projected(docs: DataFrame, xml: str = "xml") -> DataFrame:
@@ -236,12 +257,14 @@ def reviewed(edited: DataFrame, review: Review = Review(), xml: str = "xml", exi
     """Adds to the rows of `edits`: `reviewed_xml`, the part with tracked changes and comments; `comments_xml`, the part of comments (with those of
     the column `existing`; null without any); and the counts `applied`, `maybe_applied`, `annotated`, `skipped`."""
     xml = F.coalesce(F.col(xml), F.lit(""))
-    df = once(edited, __runs=F.regexp_extract_all(xml, F.lit(RUN), F.lit(0)), __gaps=F.split(xml, RUN, -1), __pieces=_pieces(F.col("edits")))
-    texts = F.transform("__runs", lambda r: F.regexp_count(r, F.lit(f"(?s){TEXT}")))
-    deeper = F.transform("__gaps", lambda g: F.regexp_count(g, F.lit(_tag("ins|del"))) - F.regexp_count(g, F.lit(_close("ins|del"))))
+    read = F.when(F.size("edits") > 0, xml).otherwise("")  # a part without edits stays as it is
+    df = once(edited, __runs=F.regexp_extract_all(read, F.lit(RUN), F.lit(0)), __gaps=F.split(read, RUN, -1), __pieces=_pieces(F.col("edits")))
+    one = lambda r, bare: F.struct(F.when(bare, 1).otherwise(F.regexp_count(r, F.lit(f"(?s){TEXT}"))).alias("n"), (bare | r.rlike(SIMPLE)).alias("simple"))
+    texts = F.transform("__runs", lambda r: let(r.rlike(BARE), lambda bare: one(r, bare)))
+    deeper = F.transform("__gaps", lambda g: F.when(g == "", 0).otherwise(F.regexp_count(g, F.lit(_tag("ins|del"))) - F.regexp_count(g, F.lit(_close("ins|del")))))
     df = once(df, __texts=texts)
-    df = once(df, __from=offsets(F.col("__texts")), __deep=offsets(deeper))
-    described = F.transform("__runs", lambda r, k: F.struct(F.get(F.col("__from"), k).alias("from"), (F.get(F.col("__from"), k) + F.get(F.col("__texts"), k)).alias("till"), ((F.get(F.col("__deep"), k + 1) == 0) & r.rlike(SIMPLE)).alias("simple")))
+    df = once(df, __from=offsets(F.transform("__texts", lambda t: t["n"])), __deep=offsets(deeper))
+    described = F.transform("__texts", lambda t, k: F.struct(F.get(F.col("__from"), k).alias("from"), (F.get(F.col("__from"), k) + t["n"]).alias("till"), ((F.get(F.col("__deep"), k + 1) == 0) & t["simple"]).alias("simple")))
     df = once(df, __described=described)
     df = once(df, __closed=F.filter("__described", lambda d: ~d["simple"] & (d["from"] < d["till"])))
     void = F.array_distinct(F.transform(F.filter("__pieces", lambda p: F.exists("__closed", lambda d: (d["from"] <= p["run"]) & (p["run"] < d["till"]))), lambda p: p["id"]))
@@ -277,15 +300,20 @@ def _revision(kind: str, author: str) -> str:
     return rf'(?s)<w:{kind} [^>]*w:author="{re.escape(author)}"[^>]*>(.*?)</w:{kind}>'
 
 
+def _without(xml: Column, kind: str, author: str, kept: str) -> Column:
+    """A part without an author's revisions of a kind, of whose contents `kept` stays."""
+    return let(xml, lambda z: F.when(z.contains(f"<w:{kind} "), F.regexp_replace(z, _revision(kind, author), kept)).otherwise(z))
+
+
 def accepted(xml: Column, author: str) -> Column:
     """A part with all changes of an author accepted."""
-    return F.regexp_replace(F.regexp_replace(xml, _revision("del", author), ""), _revision("ins", author), "$1")
+    return _without(_without(xml, "del", author, ""), "ins", author, "$1")
 
 
 def rejected(xml: Column, author: str) -> Column:
     """A part with all changes of an author rejected."""
-    back = F.regexp_replace(F.regexp_replace(xml, _revision("ins", author), ""), _revision("del", author), "$1")
-    return F.regexp_replace(back, r"(</?w:)delText\b", "$1t")
+    back = _without(_without(xml, "ins", author, ""), "del", author, "$1")
+    return let(back, lambda z: F.when(z.contains("w:delText"), F.regexp_replace(z, r"(</?w:)delText\b", "$1t")).otherwise(z))
 
 
 def max_comment(xml: Column) -> Column:

@@ -50,6 +50,16 @@ def test_projection(spark):
     assert got[98].text == got[99].text == ""
 
 
+def test_text_of_a_part_alone(spark):
+    """`said` gives the text of `projected`, also of odd parts: tags in texts, character data, references, prefixes, closing tags with blanks."""
+    rows = ["", None, "<w:t/>", "</w:p>", "plain", "<w:t>a<b>c</w:t><w:t>d</w:t>", "<w:t><![CDATA[x<y]]></w:t>", "<w:t>&am</w:t><w:t>p;</w:t>", "<w:t>&amp;lt; &#65;</w:t></w:p><w:tab/>", "<w:t>\t</w:t><w:br/><w:cr w:x='1'/><w:t></w:t></w:p ><t a='>'>z</t >", "<w:t>a > b</w:t><w:t a='<'>q</w:t>", "<w:tabs/><w:delText>no</w:delText><w:t>yes</w:t>", "<w:t>x<w:t>y</w:t></w:p>"]
+    said = ["", "", "", "\n\n", "", "a<b>cd", "x<y", "&amp;", "&lt; A\n\n\t", "\t\n\n\n\n'>z", "a > bq", "yes", "x<w:t>y\n\n"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, xml string")
+    got = review.projected(df).withColumn("said", review.said(F.col("xml"))).orderBy("doc_id").collect()
+    assert [x.said for x in got] == [x.text for x in got] == said
+    assert all(x.text[y.start : y.end] for x in got for y in x.runs if y.start < y.end)
+
+
 def package(held):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
